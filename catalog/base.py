@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.parse import in_sessions, parse_spans
+from spanloom.operators.tree import unique_spans
 from spanloom.runtime import materialize
 from spanloom.sources import derived
 
@@ -43,7 +44,7 @@ def raw(spark: SparkSession, folder: str) -> DataFrame:
 
 def typed(spark: SparkSession, folder: str) -> DataFrame:
     """Typed spans of all sessions, parsed from the trace table once."""
-    return _stored(spark, folder, "typed", lambda: in_sessions(parse_spans(raw(spark, folder))))
+    return _stored(spark, folder, "typed", lambda: unique_spans(in_sessions(parse_spans(raw(spark, folder)))))
 
 
 def r6(c: str | Column) -> Column:

@@ -30,9 +30,9 @@ def _(spark, d):
     with_base("SELECT span AS span_id, coalesce(json_valid(tool_out), false) AS parsed FROM evt WHERE etype = 'tool'"),
 )
 def _(spark, d):
-    tools = _parsed(spark, d).filter("entity_type = 'tool'")
-    out = values.attr(F.col("attrs"), "traceloop.entity.output")
-    return tools.select("span_id", values.lenient_json(out).isNotNull().alias("parsed"))
+    tools = raw(spark, d).filter(parse.entity_type() == "tool")
+    out = values.attr(F.col("SpanAttributes"), "traceloop.entity.output")
+    return tools.select(F.col("SpanId").alias("span_id"), values.lenient_json(out).isNotNull().alias("parsed"))
 
 
 @query("P04_entity_name", with_base("SELECT span AS span_id, name AS entity_name FROM typ"))

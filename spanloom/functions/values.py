@@ -41,41 +41,46 @@ def whole_number(c: Column) -> Column:
     return F.when(c.rlike(r"^\s*[-+]?[0-9]+\s*$"), F.trim(c).try_cast("bigint"))
 
 
-def json_is_object(c: Column) -> Column:
-    return F.coalesce(
-        F.try_parse_json(c).isNotNull() & F.ltrim(c).startswith("{"), F.lit(False)
-    )
+# What JSON can look like from its two ends: spares the parser (and an exception per row)
+# on plain text, which is what most unparsable payloads are.
+_JSON_SHAPE = r'(?s)^\s*(?:\{.*\}|\[.*\]|".*"|-?[0-9][-+.0-9eE]*|true|false|null)\s*$'
 
 
 def lenient_json(c: Column) -> Column:
     """Parsed variant, or null for empty, cut-off or otherwise invalid text."""
-    return F.try_parse_json(truthy(c))
+    return F.when(c.rlike(_JSON_SHAPE), F.try_parse_json(c))
+
+
+def json_is_object(c: Column) -> Column:
+    return F.coalesce(F.ltrim(c).startswith("{") & lenient_json(c).isNotNull(), F.lit(False))
 
 
 def _json_null(c: Column) -> Column:
     return F.trim(c) == F.lit("null")
 
 
-def payload(raw: Column) -> Column:
-    """A payload as the JSON text of an object. Text that does not parse is wrapped as
-    {"value": text}, other JSON values as {"value": json}."""
+def payload(raw: Column, parses: Column) -> Column:
+    """A payload as the JSON text of an object; `parses` says whether the text is JSON. Text
+    that is not is wrapped as {"value": text}, other JSON values as {"value": json}."""
     wrapped_text = F.to_json(F.struct(raw.alias("value")))
     return (
         F.when(raw.isNull(), F.lit(None))
-        .when(lenient_json(raw).isNull() | _json_null(raw), wrapped_text)
+        .when(~parses | _json_null(raw), wrapped_text)
         .when(F.ltrim(raw).startswith("{"), raw)
         .otherwise(F.concat(F.lit('{"value":'), F.trim(raw), F.lit("}")))
     )
 
 
-def payload_is_searched(raw: Column, entity_type: Column) -> Column:
-    """Only objects, wrapped text and (for workflows) bare JSON strings take part in the
-    error-word search; top-level lists and numbers do not."""
-    parsed = lenient_json(raw).isNotNull() & ~_json_null(raw)
+def error_words_in_payload(raw: Column, parses: Column, entity_type: Column) -> Column:
+    """Error words in an output payload: among the string values of an object, in plain text,
+    or (for workflows) in a bare JSON string. Top-level lists and numbers are not searched."""
     head = F.ltrim(raw)
-    return raw.isNotNull() & (
-        ~parsed | head.startswith("{") | ((entity_type == "workflow") & head.startswith('"'))
+    structured = head.startswith("{") | ((entity_type == "workflow") & head.startswith('"'))
+    maybe = has_error_words(raw) | raw.contains("\\u")
+    found = F.when(~parses | _json_null(raw), has_error_words(raw)).otherwise(
+        structured & json_has_error_words(raw)
     )
+    return F.coalesce(F.when(maybe, found).otherwise(False), F.lit(False))
 
 
 def string_values(json_text: Column) -> Column:

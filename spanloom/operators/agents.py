@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.values import attr, per_call, truthy
 from spanloom.operators.sessions import session_measures, tokens
-from spanloom.operators.tree import Fold, fold_ancestors, path_fold, path_item, preorder, unique_spans
+from spanloom.operators.tree import Fold, fold_ancestors, path_fold, path_item, preorder
 
 
 def span_agent() -> Column:
@@ -82,7 +82,7 @@ def agent_spans(spans: DataFrame, ordered: bool = False) -> DataFrame:
     """Every span of every agent: those attributed to it and those below its agent and task
     spans, once each, owner in `agent`. With `ordered`, `preorder` sorts an agent's spans as
     a depth-first walk meets them; spans off the tree come last, by time."""
-    nodes = unique_spans(with_agent(spans))
+    nodes = with_agent(spans)
     empty = F.array().cast("array<string>")
     leads = F.when(F.col("entity_type").isin("agent", "task") & F.col("agent").isNotNull(), F.array("agent"))
     fold = Fold("agents_above", F.coalesce(leads, empty), empty, F.array_union)
@@ -137,7 +137,7 @@ def agent_tool_tokens(spans: DataFrame) -> DataFrame:
 
 def with_tool_cost(spans: DataFrame) -> DataFrame:
     """Tool spans attributed to an agent with the tokens of the model calls below them."""
-    nodes = unique_spans(with_agent(spans))
+    nodes = with_agent(spans)
     mine = F.when(
         (F.col("entity_type") == "tool") & F.col("agent").isNotNull(),
         F.create_map("agent", F.lit(1).cast("bigint")),

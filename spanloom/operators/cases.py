@@ -16,6 +16,7 @@ from spanloom.operators.conversation import (
     endpoints,
 )
 from spanloom.operators.ordered import packed
+from spanloom.operators.parse import input_text, output_text
 from spanloom.operators.results import result_rows
 from spanloom.operators.sessions import SESSION_ORDER, with_order
 from spanloom.schemas import SCORER_REPLY_SCHEMA
@@ -62,7 +63,8 @@ def catalog(spark: SparkSession, allowed_types: str = "") -> DataFrame:
 
 def assess_spans(spans: DataFrame, metric: str, types: list[str], needs: list[str]) -> DataFrame:
     """Whether each span can be evaluated, with the reason when not."""
-    missing = F.array_compact(F.array(*[F.when(_empty(F.col(c)), F.lit(c)) for c in needs]))
+    text = {"input_payload": input_text(), "output_payload": output_text()}
+    missing = F.array_compact(F.array(*[F.when(_empty(text.get(c, F.col(c))), F.lit(c)) for c in needs]))
     reason = F.when(
         ~F.coalesce(F.col("entity_type").isin(*types), F.lit(False)),
         F.concat(F.lit("entity type not in " + ",".join(types) + ": "), F.coalesce("entity_type", F.lit("none"))),
@@ -231,8 +233,8 @@ def span_parameter_cases(spans: DataFrame, types: list[str] | None = None) -> Da
     return _case(
         kept,
         "Sentiment",
-        input=_first_of(F.col("input_payload"), ["input", "question", "query"]),
-        output=_first_of(F.col("output_payload"), ["output", "answer", "response"]),
+        input=_first_of(input_text(), ["input", "question", "query"]),
+        output=_first_of(output_text(), ["output", "answer", "response"]),
         expected_output=F.col("expected_output"),
     )
 
@@ -240,7 +242,7 @@ def span_parameter_cases(spans: DataFrame, types: list[str] | None = None) -> Da
 def hallucination_cases(spans: DataFrame, types: list[str] | None = None) -> DataFrame:
     """The same with more keys, and the context embedded in the input."""
     kept = spans.filter(F.col("entity_type").isin(*(types or ["llm"])))
-    source = F.col("input_payload")
+    source = input_text()
     context = F.coalesce(
         *[truthy(F.get_json_object(source, f"$.{k}")) for k in ("context", "documents", "retrieved_docs", "knowledge_base")]
     )
@@ -251,7 +253,7 @@ def hallucination_cases(spans: DataFrame, types: list[str] | None = None) -> Dat
         kept,
         "Hallucination",
         input=_first_of(source, ["input", "question", "query", "prompt"]),
-        output=_first_of(F.col("output_payload"), ["output", "answer", "response", "completion"]),
+        output=_first_of(output_text(), ["output", "answer", "response", "completion"]),
         context=listed,
     )
 

@@ -25,7 +25,10 @@ def token_logprobs(spans: DataFrame, keys: list[str] | None = None) -> DataFrame
         F.lit("]"),
     )
     text = F.when(F.col("entity_type") == "llm", decoded).otherwise(F.col("output_payload"))
-    held = spans.filter(F.col("output_payload").contains("logprobs")).select(
+    mentioned = F.when(
+        F.col("entity_type") == "llm", F.exists(F.map_values("completions"), lambda v: v.contains("logprobs"))
+    ).otherwise(F.col("output_payload").contains("logprobs"))
+    held = spans.filter(mentioned).select(
         *keys, "span_id", find_key(text, "logprobs", "own_first").alias("_json")
     )
     parsed = held.withColumn("_t", F.from_json("_json", LOGPROBS_TYPE))

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from spanloom.constants import DEFAULT_APP_NAME
 from spanloom.functions.values import (
     attr,
-    json_has_error_words,
+    error_words_in_payload,
     lenient_json,
     map_has_error_words,
     payload,
-    payload_is_searched,
     truthy,
 )
 
@@ -131,58 +130,71 @@ def _first_exception() -> Column:
     )
 
 
+# Attributes that become columns of their own and are not stored twice.
+_MOVED_PREFIXES = ["gen_ai.prompt", "gen_ai.completion", "llm.request.functions."]
+_MOVED_KEYS = [f"{source}.entity.{side}" for source in ("traceloop", "ioa_observe") for side in ("input", "output")]
+
+
 def parse_spans(raw: DataFrame, with_tool_definitions: bool = False) -> DataFrame:
-    """Typed spans from raw ones; spans of no recognised type are dropped."""
-    is_llm = F.col("entity_type") == "llm"
-    observed_io = F.col("entity_type") == "agent"
-    raw_in = F.when(observed_io, _attrs("ioa_observe.entity.input")).when(
-        ~is_llm, _attrs("traceloop.entity.input")
-    )
-    raw_out = F.when(observed_io, _attrs("ioa_observe.entity.output")).when(
-        ~is_llm, _attrs("traceloop.entity.output")
-    )
-    family = lambda prefix: F.when(
-        is_llm, F.map_filter(F.col("SpanAttributes"), lambda k, v: k.startswith(prefix))
+    """Typed spans from raw ones; spans of no recognised type are dropped. Model spans keep
+    their payloads as the text maps `prompts` and `completions`, others as JSON objects in
+    `input_payload` and `output_payload`; `attrs` holds the remaining attributes."""
+    attrs = F.col("SpanAttributes")
+    kind = F.col("entity_type")
+    typed = raw.withColumn("entity_type", entity_type()).filter(kind.isNotNull())
+    is_llm = kind == "llm"
+    family = lambda prefix: F.when(is_llm, F.map_filter(attrs, lambda k, v: k.startswith(prefix)))
+    side = lambda name: F.when(kind == "agent", _attrs(f"ioa_observe.entity.{name}")).when(
+        ~is_llm, _attrs(f"traceloop.entity.{name}")
     )
-    start = _attrs("ioa_start_time").try_cast("double")
+    staged = typed.withColumns(
+        {
+            "_in": side("input"),
+            "_out": side("output"),
+            "prompts": family("gen_ai.prompt"),
+            "completions": family("gen_ai.completion"),
+            "_start": _attrs("ioa_start_time").try_cast("double"),
+        }
+    ).withColumn("_parsed_out", lenient_json(F.col("_out")).isNotNull())
     has_duration = F.coalesce(F.col("Duration"), F.lit(0)) != 0
-    end = F.when(has_duration, start + F.col("Duration") / 1e9)
-    duration = F.when(has_duration, F.col("Duration") / 1e6)
-
-    typed = raw.withColumn("entity_type", entity_type()).filter(F.col("entity_type").isNotNull())
-    failed_output = F.when(
-        is_llm, map_has_error_words(family("gen_ai.completion"))
-    ).otherwise(
-        F.coalesce(payload_is_searched(raw_out, F.col("entity_type")), F.lit(False))
-        & json_has_error_words(payload(raw_out))
+    failed_output = F.when(is_llm, map_has_error_words(F.col("completions"))).otherwise(
+        error_words_in_payload(F.col("_out"), F.col("_parsed_out"), kind)
     )
     contains_error = (
         F.coalesce(F.lower("StatusCode") == "error", F.lit(False))
         | truthy(_attrs("traceloop.entity.error")).isNotNull()
         | failed_output
     )
-    out = typed.select(
+    kept = F.map_filter(
+        attrs,
+        lambda k, v: ~(
+            k.isin(*_MOVED_KEYS) | k.startswith(_MOVED_PREFIXES[0]) | k.startswith(_MOVED_PREFIXES[1])
+            | k.startswith(_MOVED_PREFIXES[2])
+        ),
+    )
+    flagged = staged.withColumn("contains_error", contains_error)
+    out = flagged.select(
         "entity_type",
         F.col("SpanId").alias("span_id"),
         _entity_name().alias("entity_name"),
         span_app_name().alias("app_name"),
         _attrs("agent_id").alias("agent_id"),
-        F.when(is_llm, F.to_json(family("gen_ai.prompt"))).otherwise(payload(raw_in)).alias("input_payload"),
-        F.when(is_llm, F.to_json(family("gen_ai.completion"))).otherwise(payload(raw_out)).alias("output_payload"),
-        family("gen_ai.prompt").alias("prompts"),
-        family("gen_ai.completion").alias("completions"),
+        payload(F.col("_in"), lenient_json(F.col("_in")).isNotNull()).alias("input_payload"),
+        payload(F.col("_out"), F.col("_parsed_out")).alias("output_payload"),
+        "prompts",
+        "completions",
         F.lit(None).cast("string").alias("expected_output"),
         _attrs("traceloop.entity.message").alias("message"),
-        contains_error.alias("contains_error"),
-        F.when(contains_error, _first_exception()).alias("error_data"),
+        "contains_error",
+        F.when(F.col("contains_error"), _first_exception()).alias("error_data"),
         F.col("Timestamp").alias("timestamp"),
         "ts_raw",
         F.col("ParentSpanId").alias("parent_span_id"),
         F.col("TraceId").alias("trace_id"),
         session_id().alias("session_id"),
-        start.alias("start_time"),
-        end.alias("end_time"),
-        duration.alias("duration_ms"),
+        F.col("_start").alias("start_time"),
+        F.when(has_duration, F.col("_start") + F.col("Duration") / 1e9).alias("end_time"),
+        F.when(has_duration, F.col("Duration") / 1e6).alias("duration_ms"),
         F.when(
             is_llm,
             F.struct(
@@ -196,7 +208,7 @@ def parse_spans(raw: DataFrame, with_tool_definitions: bool = False) -> DataFram
             ),
         ).alias("llm"),
         F.when(is_llm, _numbered_functions()).alias("functions"),
-        F.col("SpanAttributes").alias("attrs"),
+        kept.alias("attrs"),
         F.col("ServiceName").alias("service_name"),
         F.col("ResourceAttributes").alias("resource_attributes"),
         F.col("EventsName").alias("events_name"),
@@ -206,6 +218,16 @@ def parse_spans(raw: DataFrame, with_tool_definitions: bool = False) -> DataFram
     return attach_tool_definitions(out) if with_tool_definitions else out
 
 
+def input_text() -> Column:
+    """The input payload of any typed span as JSON text."""
+    return F.coalesce(F.col("input_payload"), F.to_json("prompts"))
+
+
+def output_text() -> Column:
+    """The output payload of any typed span as JSON text."""
+    return F.coalesce(F.col("output_payload"), F.to_json("completions"))
+
+
 def tool_definitions(spans: DataFrame) -> DataFrame:
     """One definition per (session, tool name): the first in session order wins."""
     listed = spans.filter(F.col("entity_type") == "llm").select(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import truthy
@@ -32,10 +32,19 @@ class Fold:
 
 
 def unique_spans(spans: DataFrame) -> DataFrame:
-    """One row per (session, span id): the first in session order."""
-    columns = [c for c in spans.columns if c not in ("session_id", "span_id")]
+    """One row per (session, span id): the first in session order. Ids are counted first on
+    the two key columns alone; only rows of repeated ids are regrouped. The operators below
+    expect unique ids, so this runs once, when spans are stored."""
+    keys = ["session_id", "span_id"]
+    repeated = spans.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys)
+    if repeated.isEmpty():
+        return spans
+    columns = [c for c in spans.columns if c not in keys]
     first = F.min_by(F.struct(*columns), order_struct())
-    return spans.groupBy("session_id", "span_id").agg(first.alias("x")).select("session_id", "span_id", "x.*")
+    regrouped = (
+        spans.join(repeated, keys, "left_semi").groupBy(*keys).agg(first.alias("x")).select(*keys, "x.*")
+    )
+    return spans.join(repeated, keys, "left_anti").unionByName(regrouped)
 
 
 def parents(spans: DataFrame) -> DataFrame:
@@ -57,39 +66,60 @@ def parents(spans: DataFrame) -> DataFrame:
     )
 
 
-def fold_ancestors(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
-    """`nodes` (session_id, span_id, parent_span_id, ...) with root_id, depth and one column
-    per fold. Spans in or under a parent loop are left out."""
+# Hops made in one plan before the first result is stored; most forests end here.
+_FIRST_HOPS = 3
+
+
+def _first_hops(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
+    """Each span with the ancestors of its first hops folded in. `at` is the last of them,
+    `root_id` is set where the walk ended."""
     own = nodes.select(
         "session_id",
         "span_id",
-        truthy(F.col("parent_span_id")).alias("_parent"),
+        truthy(F.col("parent_span_id")).alias("_next"),
         *[f.start.alias(f"_start_{f.name}") for f in folds],
     )
-    p = own.select("session_id", F.col("span_id").alias("_pid"), *[f"_start_{f.name}" for f in folds])
-    first = own.drop(*[f"_start_{f.name}" for f in folds]).alias("n").join(
-        p.alias("p"),
-        (F.col("n.session_id") == F.col("p.session_id")) & (F.col("n._parent") == F.col("p._pid")),
-        "left",
+    above = own.select(
+        F.col("session_id").alias("_s"),
+        F.col("span_id").alias("_up"),
+        F.col("_next").alias("_beyond"),
+        *[f"_start_{f.name}" for f in folds],
     )
-    # state: `at` is the farthest ancestor folded in so far, `root_id` is set once it is a root.
-    state = materialize(
-        first.select(
-            "n.session_id",
-            "n.span_id",
-            F.col("p._pid").alias("at"),
-            F.when(F.col("p._pid").isNull(), F.col("n.span_id")).alias("root_id"),
-            F.when(F.col("p._pid").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+    state = own.select(
+        "session_id",
+        "span_id",
+        "_next",
+        F.lit(None).cast("string").alias("at"),
+        F.lit(0).cast("bigint").alias("depth"),
+        *[f.empty.alias(f.name) for f in folds],
+    )
+    for _ in range(_FIRST_HOPS):
+        met = F.col("_up").isNotNull()
+        state = state.join(
+            above, (F.col("session_id") == F.col("_s")) & (F.col("_next") == F.col("_up")), "left"
+        ).select(
+            "session_id",
+            "span_id",
+            F.col("_beyond").alias("_next"),
+            F.coalesce("_up", "at").alias("at"),
+            (F.col("depth") + met.cast("bigint")).alias("depth"),
             *[
-                F.when(F.col("p._pid").isNull(), f.empty).otherwise(F.col(f"p._start_{f.name}")).alias(f.name)
+                F.when(met, f.merge(F.col(f.name), F.col(f"_start_{f.name}"))).otherwise(F.col(f.name)).alias(f.name)
                 for f in folds
             ],
-        ),
-        "tree",
-    )
-    while True:
-        open_rows = state.filter(F.col("root_id").isNull())
-        a = open_rows.alias("a")
+        )
+    ended = F.col("_next").isNull()
+    return state.withColumn("root_id", F.when(ended, F.coalesce("at", "span_id"))).drop("_next")
+
+
+def fold_ancestors(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
+    """`nodes` (session_id, span_id, parent_span_id, ...) with root_id, depth and one column
+    per fold. Spans in or under a parent loop are left out."""
+    columns = ["session_id", "span_id", "at", "root_id", "depth", *[f.name for f in folds]]
+    state, done, total = _stored_step(_first_hops(nodes, folds).select(*columns))
+    still_open = total - done
+    while still_open:
+        a = state.filter(F.col("root_id").isNull()).alias("a")
         b = state.alias("b")
         step = a.join(
             b,
@@ -102,16 +132,21 @@ def fold_ancestors(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
             (F.col("a.depth") + F.col("b.depth")).alias("depth"),
             *[f.merge(F.col(f"a.{f.name}"), F.col(f"b.{f.name}")).alias(f.name) for f in folds],
         )
-        grown = materialize(step, "tree-step")
-        progress = grown.agg(F.count("root_id"), F.count("*")).first()
-        done = state.filter(F.col("root_id").isNotNull())
-        state = done.unionByName(grown)
-        if progress[0] == 0 or progress[0] == progress[1]:
-            break
+        grown, done, total = _stored_step(step)
+        state = state.filter(F.col("root_id").isNotNull()).unionByName(grown)
+        still_open = total - done if done else 0
     reached = state.filter(F.col("root_id").isNotNull()).drop("at")
     return nodes.join(reached, ["session_id", "span_id"])
 
 
+def _stored_step(step: DataFrame) -> tuple[DataFrame, int, int]:
+    """(stored rows, rows whose root is known, all rows), counted while writing."""
+    seen = Observation()
+    counted = step.observe(seen, F.count("root_id").alias("done"), F.count(F.lit(1)).alias("rows"))
+    stored = materialize(counted, "tree")
+    return stored, seen.get["done"], seen.get["rows"]
+
+
 def path_item() -> Column:
     return F.struct(
         F.col("timestamp").alias("t"), F.coalesce("ts_raw", F.lit("")).alias("r"), F.col("span_id").alias("s")
@@ -143,8 +178,7 @@ _NODE = [
 def execution_tree(spans: DataFrame) -> DataFrame:
     """Reachable spans with root_id, depth and the root-first path of (time, id) in `path`;
     sorting by (trace start, path) is pre-order."""
-    nodes = unique_spans(spans.select(*_NODE))
-    reached = fold_ancestors(nodes, [path_fold()])
+    reached = fold_ancestors(spans.select(*_NODE), [path_fold()])
     return reached.select(
         *_NODE, "root_id", "depth", F.concat("above", F.array(path_item())).alias("path")
     )
@@ -239,9 +273,7 @@ def type_hierarchy(spans: DataFrame, tree: DataFrame) -> DataFrame:
 def tool_token_cost(spans: DataFrame) -> DataFrame:
     """Model tokens spent below each tool, per session and tool name. A model call under two
     nested tools counts for both, so each call is weighted by the tools above it."""
-    nodes = unique_spans(
-        spans.select(*_NODE, tokens("total_tokens").alias("total_tokens"))
-    )
+    nodes = spans.select(*_NODE, tokens("total_tokens").alias("total_tokens"))
     fold = type_counts_fold("tool")
     reached = fold_ancestors(nodes, [fold])
     calls = reached.filter(F.col("entity_type") == "llm").select(

@@ -73,7 +73,7 @@ class Frames:
 def build_sessions(raw: DataFrame, session: str | None = None, steps: list[Step] | None = None) -> Frames:
     """Parse, keep spans of sessions, optionally one session (its exact id, else the first
     id that contains the text), and apply user steps in order. Raises when nothing is left."""
-    spans = in_sessions(parse_spans(raw))
+    spans = tree.unique_spans(in_sessions(parse_spans(raw)))
     if session is not None:
         hit = sessions.by_id_text(spans.select("session_id").distinct(), session)
         spans = spans.join(hit, "session_id", "left_semi")

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import metrics, parsing, reads, sessions, talk  # noqa: F401
+from catalog import metrics, outcomes, parsing, reads, sessions, talk  # noqa: F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.parse import in_sessions, parse_spans
 from spanloom.operators.tree import unique_spans
-from spanloom.runtime import materialize
+from spanloom.plans.build import Frames
+from spanloom.runtime import materialize, scratch_root
 from spanloom.sources import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +19,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 _tables: dict[tuple[str, str, str], DataFrame] = {}
+_frames: dict[tuple[str, str], Frames] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -47,6 +50,19 @@ def typed(spark: SparkSession, folder: str) -> DataFrame:
     return _stored(spark, folder, "typed", lambda: unique_spans(in_sessions(parse_spans(raw(spark, folder)))))
 
 
+def frames(spark: SparkSession, folder: str) -> Frames:
+    """The frames that several operators share, built on the typed spans once."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _frames:
+        _frames[key] = Frames(typed(spark, folder))
+    return _frames[key]
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_root(spark)}/spanloom/{label}-{uuid.uuid4().hex}"
+
+
 def r6(c: str | Column) -> Column:
     """Doubles are compared to six places."""
     name = c if isinstance(c, str) else None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, r6, typed
+from catalog.base import frames, query, r6, typed
 from catalog.base_sql import TREE, with_base
 from catalog.sessions import _AM, _AST, _OWN, _POP, _PRE, _SES
 from spanloom.operators import agents, confidence, metrics, population, sessions
@@ -35,7 +35,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    out = metrics.agent_tool_error_rate(agents.agent_spans(typed(spark, d)))
+    out = metrics.agent_tool_error_rate(frames(spark, d).owned)
     return out.withColumn("tool_error_rate", F.round("tool_error_rate", 6))
 
 
@@ -250,7 +250,7 @@ def _(spark, d):
 def _(spark, d):
     t = typed(spark, d)
     keys = ["session_id", "agent"]
-    out = confidence.confidence(confidence.token_logprobs(agents.agent_spans(t), keys), agents.agent_stats(t), keys)
+    out = confidence.confidence(confidence.token_logprobs(frames(spark, d).owned, keys), agents.agent_stats(t), keys)
     return out.select(*keys, r6("average_confidence"), r6("minimum_confidence"), r6("maximum_confidence"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import micros, query, r6, typed
+from catalog.base import frames, micros, query, r6, typed
 from catalog.base_sql import TREE, num, with_base
 from spanloom.operators import agents, population, sessions, tree
 
@@ -200,7 +200,7 @@ def _(spark, d):
 def _(spark, d):
     t = typed(spark, d)
     starts = t.filter("entity_type = 'agent'").select("session_id", "span_id")
-    return tree.descendants(tree.execution_tree(t), starts).select("session_id", "start_id", "span_id")
+    return tree.descendants(frames(spark, d).tree, starts).select("session_id", "start_id", "span_id")
 
 
 _PRE = f"""{TREE}, tstart AS (SELECT sid, tid, min(ts || '/' || span) AS t0 FROM tree WHERE depth = 0 GROUP BY 1, 2),
@@ -220,7 +220,7 @@ def _(spark, d):
     with_base("SELECT sid AS session_id, root_tid AS trace_id, count(DISTINCT root) AS root_count, count(*) AS flow_count FROM tree GROUP BY 1, 2", TREE),
 )
 def _(spark, d):
-    return tree.tree_summary(tree.execution_tree(typed(spark, d)))
+    return tree.tree_summary(frames(spark, d).tree)
 
 
 @query(
@@ -236,7 +236,7 @@ def _(spark, d):
     with_base("SELECT span AS span_id, depth, array_to_string(ids, '>') AS path FROM tree WHERE NOT EXISTS (SELECT 1 FROM sp q WHERE q.sid = tree.sid AND q.parent = tree.span)", TREE),
 )
 def _(spark, d):
-    out = tree.leaf_paths(tree.execution_tree(typed(spark, d)))
+    out = tree.leaf_paths(frames(spark, d).tree)
     return out.select("span_id", "depth", F.array_join("path", ">").alias("path"))
 
 
@@ -248,7 +248,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return tree.flow_listing(tree.execution_tree(typed(spark, d)))
+    return tree.flow_listing(frames(spark, d).tree)
 
 
 @query(
@@ -261,7 +261,7 @@ def _(spark, d):
 )
 def _(spark, d):
     t = typed(spark, d)
-    return tree.type_hierarchy(t, tree.execution_tree(t))
+    return tree.type_hierarchy(t, frames(spark, d).tree)
 
 
 _ANC = f"""{TREE}, anc AS (SELECT t.sid, t.span, t.etype, a.anc FROM tree t, unnest(t.ids) AS a(anc) WHERE a.anc <> t.span)"""
@@ -340,7 +340,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    out = agents.agent_view(agents.agent_spans(typed(spark, d)))
+    out = agents.agent_view(frames(spark, d).owned)
     return out.withColumn("tool_error_rate", F.round("tool_error_rate", 6))
 
 

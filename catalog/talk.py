@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, r6, typed
+from catalog.base import frames, query, r6, typed
 from catalog.base_sql import with_base
 from catalog.sessions import _AST, _OWN, _SES
 from spanloom.operators import agents, conversation, judge, roles, sessions
@@ -70,7 +70,7 @@ def _(spark, d):
     with_base("SELECT sid AS session_id, agent, span AS span_id, role, content FROM ael", *_AGENT_TALK),
 )
 def _(spark, d):
-    owned = agents.agent_spans(typed(spark, d))
+    owned = frames(spark, d).owned
     el = conversation.conversation_elements(owned, ["session_id", "agent"], tools=True)
     return el.select("session_id", "agent", "span_id", "role", "content")
 
@@ -80,7 +80,7 @@ def _(spark, d):
     with_base(f"SELECT sid AS session_id, agent, 0 AS part, string_agg(line, chr(10) ORDER BY {_ORD}) AS text FROM aline GROUP BY 1, 2", *_AGENT_TALK),
 )
 def _(spark, d):
-    owned = agents.agent_spans(typed(spark, d))
+    owned = frames(spark, d).owned
     el = conversation.conversation_elements(owned, ["session_id", "agent"], tools=True)
     return conversation.transcripts(el, ["session_id", "agent"])
 
@@ -148,7 +148,7 @@ def _(spark, d):
     with_base("SELECT sid AS session_id, owner AS agent, q AS input_query, a AS final_response FROM endsa", _EL, _OWN, _AENDS),
 )
 def _(spark, d):
-    return conversation.endpoints(agents.agent_spans(typed(spark, d)), ["session_id", "agent"], 3)
+    return conversation.endpoints(frames(spark, d).owned, ["session_id", "agent"], 3)
 
 
 # --- roles -----------------------------------------------------------------------------------
@@ -174,7 +174,7 @@ sk AS (SELECT *, role = 'coordinator' OR (role = 'mixed' AND NOT (pr >= 2 OR too
 
 def _behaviour(spark, d):
     t = typed(spark, d)
-    el = conversation.conversation_elements(agents.agent_spans(t), ["session_id", "agent"], tools=True)
+    el = conversation.conversation_elements(frames(spark, d).owned, ["session_id", "agent"], tools=True)
     return roles.agent_behaviour(el, agents.agent_stats(t), agents.agent_tools(t))
 
 
@@ -247,7 +247,7 @@ def _agent_request(key: str, metric: str):
     )
     def _(spark, d):
         t = typed(spark, d)
-        el = conversation.conversation_elements(agents.agent_spans(t), ["session_id", "agent"], tools=True)
+        el = conversation.conversation_elements(frames(spark, d).owned, ["session_id", "agent"], tools=True)
         behaviour = roles.agent_behaviour(el, agents.agent_stats(t), agents.agent_tools(t))
         asked = judge.agent_conversation_requests(metric, el, roles.skip_coordinators(roles.agent_roles(behaviour)))
         return asked.select("session_id", "agent", "prompt")
@@ -311,7 +311,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    ends = conversation.endpoints(agents.agent_spans(typed(spark, d)), ["session_id", "agent"], 3)
+    ends = conversation.endpoints(frames(spark, d).owned, ["session_id", "agent"], 3)
     return judge.endpoint_requests("IntentRecognitionAccuracy", ends, "agent")[0].select("session_id", "agent", "prompt")
 
 
@@ -322,7 +322,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    ends = conversation.endpoints(agents.agent_spans(typed(spark, d)), ["session_id", "agent"], 3)
+    ends = conversation.endpoints(frames(spark, d).owned, ["session_id", "agent"], 3)
     return judge.endpoint_requests("GoalSuccessRate", ends, "agent", _truth(spark, d))[1].select("session_id", "agent_id", "value_num")
 
 

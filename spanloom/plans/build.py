@@ -30,7 +30,7 @@ class Frames:
 
     @cached_property
     def tree(self) -> DataFrame:
-        return tree.execution_tree(self.spans)
+        return materialize(tree.execution_tree(self.spans), "forest")
 
     @cached_property
     def agent_stats(self) -> DataFrame:

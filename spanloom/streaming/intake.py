@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.operators.parse import session_id
 from spanloom.schemas import SPAN_SCHEMA
 
+_KEYS = ["TraceId", "SpanId"]
+TRACE_TABLE_SCHEMA = T.StructType(
+    [*SPAN_SCHEMA.fields, T.StructField("session_id", T.StringType()), T.StructField("day", T.DateType())]
+)
+
 
 def landing_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """Spans from Parquet files that a collector drops into a folder."""
@@ -16,25 +22,40 @@ def landing_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
 
 
 def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """A span delivered more than once within the delay is kept once. The trace id is part of
-    the key, so state spreads over tasks and expires with the watermark."""
-    return stream.withWatermark("Timestamp", delay).dropDuplicatesWithinWatermark(["TraceId", "SpanId"])
+    """For pipelines that stay in memory: a span delivered twice within the delay is kept
+    once, and state expires with the watermark. Spans later than the delay are dropped, so
+    the stored intake below does not use it."""
+    return stream.withWatermark("Timestamp", delay).dropDuplicatesWithinWatermark(_KEYS)
 
 
-def start_intake(
-    spark: SparkSession, landing: str, table: str, checkpoint: str, delay: str = "10 minutes", once: bool = False
-) -> StreamingQuery:
-    """Append to the day-partitioned trace table, exactly once (file sink with checkpoint)."""
+def store_batch(batch: DataFrame, table: str) -> None:
+    """Append the spans of a batch that the table does not hold yet. Only the days of the
+    batch are read for that, late spans are stored like others, and a replayed batch adds
+    nothing."""
+    spark = batch.sparkSession
     rows = (
-        deduplicated(landing_stream(spark, landing), delay)
-        .withColumn("session_id", session_id())
+        batch.withColumn("session_id", session_id())
         .withColumn("day", F.to_date("Timestamp"))
+        .dropDuplicates(_KEYS)
     )
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    if first is None and batch.isEmpty():
+        return
+    stored = spark.read.schema(TRACE_TABLE_SCHEMA).parquet(table)
+    near = F.col("day").between(F.lit(first), F.lit(last)) | F.col("day").isNull()
+    fresh = rows.join(stored.filter(near).select(*_KEYS), _KEYS, "left_anti")
+    fresh.select(*TRACE_TABLE_SCHEMA.names).write.mode("append").partitionBy("day").parquet(table)
+
+
+def start_intake(
+    spark: SparkSession, landing: str, table: str, checkpoint: str, once: bool = False, files_per_trigger: int = 100
+) -> StreamingQuery:
+    """Append landing files to the day-partitioned trace table, each span once."""
+    empty = spark.createDataFrame([], TRACE_TABLE_SCHEMA)
+    empty.write.mode("append").partitionBy("day").parquet(table)
     writer = (
-        rows.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", table)
+        landing_stream(spark, landing, files_per_trigger)
+        .writeStream.foreachBatch(lambda batch, _id: store_batch(batch, table))
         .option("checkpointLocation", checkpoint)
-        .partitionBy("day")
     )
     return writer.trigger(availableNow=True).start() if once else writer.start()

@@ -25,6 +25,13 @@ def table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame
     return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Narrow rows over all cores where the input is too few files to fill them; inputs of
+    many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _uuid(number: Column) -> Column:
     h = F.md5(number.cast("string"))
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
@@ -50,7 +57,7 @@ def _whole_schema(df: DataFrame) -> DataFrame:
 
 
 def event_spans(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events", EVENT_SCHEMA)
+    e = _spread(table(spark, folder, "events", EVENT_SCHEMA))
     e = e.select(
         F.col("event_id").alias("e"),
         "ts",

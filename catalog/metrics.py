@@ -75,7 +75,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return metrics.agent_cycles(agents.agent_spans(typed(spark, d), ordered=True))
+    return metrics.agent_cycles(frames(spark, d).owned)
 
 
 # Agent spans carry an event that names the agent; error spans' first event does not.
@@ -98,7 +98,7 @@ def _(spark, d):
 @query(
     "M05_agent_to_agent",
     with_base(
-        """SELECT ses.sid AS session_id, coalesce('{' || string_agg('"' || transition || '":' || n, ',' ORDER BY transition) || '}', '{}') AS value_json,
+        """SELECT ses.sid AS session_id, coalesce('{' || string_agg('"' || transition || '":' || n, ',' ORDER BY transition) || '}', '{}') AS value_json, 0 AS part,
         cast(coalesce(sum(n), 0) AS bigint) AS total_transitions, count(transition) AS unique_transitions FROM ses LEFT JOIN trc ON trc.sid = ses.sid GROUP BY 1""",
         _SES, _TRANS,
     ),

@@ -200,7 +200,7 @@ def _(spark, d):
 def _(spark, d):
     t = typed(spark, d)
     starts = t.filter("entity_type = 'agent'").select("session_id", "span_id")
-    return tree.descendants(frames(spark, d).tree, starts).select("session_id", "start_id", "span_id")
+    return tree.descendants(t, starts).select("session_id", "start_id", "span_id")
 
 
 _PRE = f"""{TREE}, tstart AS (SELECT sid, tid, min(ts || '/' || span) AS t0 FROM tree WHERE depth = 0 GROUP BY 1, 2),
@@ -211,7 +211,7 @@ pre AS (SELECT tree.*, row_number() OVER (PARTITION BY tree.sid ORDER BY t0, pat
 def _(spark, d):
     from spanloom.operators.ordered import OrderedGroups
 
-    walked = tree.preorder(tree.execution_tree(typed(spark, d))).select("session_id", "span_id", "root_id", "depth", "preorder")
+    walked = tree.walked(typed(spark, d)).select("session_id", "span_id", "root_id", "depth", "preorder")
     return OrderedGroups(walked, ["session_id"], ["preorder"]).positions().drop("preorder")
 
 
@@ -236,7 +236,7 @@ def _(spark, d):
     with_base("SELECT span AS span_id, depth, array_to_string(ids, '>') AS path FROM tree WHERE NOT EXISTS (SELECT 1 FROM sp q WHERE q.sid = tree.sid AND q.parent = tree.span)", TREE),
 )
 def _(spark, d):
-    out = tree.leaf_paths(frames(spark, d).tree)
+    out = tree.leaf_paths(typed(spark, d))
     return out.select("span_id", "depth", F.array_join("path", ">").alias("path"))
 
 
@@ -260,8 +260,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    t = typed(spark, d)
-    return tree.type_hierarchy(t, frames(spark, d).tree)
+    return tree.type_hierarchy(frames(spark, d).tree)
 
 
 _ANC = f"""{TREE}, anc AS (SELECT t.sid, t.span, t.etype, a.anc FROM tree t, unnest(t.ids) AS a(anc) WHERE a.anc <> t.span)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.values import attr, per_call, truthy
 from spanloom.operators.sessions import session_measures, tokens
-from spanloom.operators.tree import Fold, fold_ancestors, path_fold, path_item, preorder
+from spanloom.operators.tree import Fold, fold_ancestors, path_item, walked
 
 
 def span_agent() -> Column:
@@ -78,36 +78,37 @@ def session_completion(stats: DataFrame, session_frame: DataFrame) -> DataFrame:
     )
 
 
-def agent_spans(spans: DataFrame, ordered: bool = False) -> DataFrame:
-    """Every span of every agent: those attributed to it and those below its agent and task
-    spans, once each, owner in `agent`. With `ordered`, `preorder` sorts an agent's spans as
-    a depth-first walk meets them; spans off the tree come last, by time."""
-    nodes = with_agent(spans)
+_NARROW = [
+    "session_id", "span_id", "parent_span_id", "trace_id", "timestamp", "ts_raw", "entity_type", "agent",
+]
+
+
+def ownership(spans: DataFrame, ordered: bool = False) -> DataFrame:
+    """(session, span, agent): the spans attributed to an agent and those below its agent and
+    task spans, once each. With `ordered`, `preorder` sorts an agent's spans as a depth-first
+    walk meets them; spans off the tree come last, by time. Narrow rows only: payloads join
+    later, where they are read."""
+    nodes = with_agent(spans).select(*_NARROW)
     empty = F.array().cast("array<string>")
     leads = F.when(F.col("entity_type").isin("agent", "task") & F.col("agent").isNotNull(), F.array("agent"))
     fold = Fold("agents_above", F.coalesce(leads, empty), empty, F.array_union)
     keys = ["session_id", "span_id"]
     if ordered:
-        reached = fold_ancestors(nodes, [fold, path_fold()]).withColumn(
-            "path", F.concat("above", F.array(path_item()))
-        )
-        walked = preorder(reached).select(*keys, "agents_above", "preorder")
-        off = F.struct(
-            F.lit(True).alias("off"),
-            F.lit(None).cast("struct<t:timestamp,r:string,s:string>").alias("trace_start"),
-            F.array(path_item()).alias("path"),
-        )
-        owned = nodes.join(walked, keys, "left").withColumn("preorder", F.coalesce("preorder", off))
+        reached = walked(nodes, [fold]).select(*keys, "agents_above", "preorder")
+        place = F.struct(F.col("preorder").isNull().alias("off"), "preorder", path_item().alias("item"))
+        joined = nodes.join(reached, keys, "left").withColumn("preorder", place)
     else:
-        owned = nodes.join(fold_ancestors(nodes, [fold]).select(*keys, "agents_above"), keys, "left")
+        joined = nodes.join(fold_ancestors(nodes, [fold]).select(*keys, "agents_above"), keys, "left")
     owners = F.array_compact(F.array_union(F.coalesce("agents_above", empty), F.array("agent")))
+    extra = ["preorder"] if ordered else []
     # Only agents that some span is attributed to have statistics, and so a view; the names
     # above a span are such by construction.
-    return (
-        owned.withColumn("owner", F.explode(owners))
-        .drop("agent", "agents_above")
-        .withColumnRenamed("owner", "agent")
-    )
+    return joined.select(*keys, F.explode(owners).alias("agent"), *extra)
+
+
+def agent_spans(spans: DataFrame, owned: DataFrame | None = None) -> DataFrame:
+    """Every span of every agent, owner in `agent`."""
+    return spans.join(ownership(spans) if owned is None else owned, ["session_id", "span_id"])
 
 
 def agent_view(owned: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.values import attr, find_key, per_call, truthy
 from spanloom.operators.agents import agent_view
 from spanloom.operators.cycles import count_cycles_long
-from spanloom.operators.ordered import OrderedGroups
+from spanloom.operators.ordered import OrderedGroups, packed
 from spanloom.operators.sessions import SESSION_ORDER, with_order
 from spanloom.runtime import max_group_rows
 
@@ -83,20 +83,26 @@ def transition_counts(transitions: DataFrame) -> DataFrame:
     return transitions.groupBy("session_id", "transition").agg(F.count("*").alias("n"))
 
 
-def agent_to_agent(counts: DataFrame, session_frame: DataFrame) -> DataFrame:
-    """Per session the counts as one JSON map; an empty map without transitions."""
-    listed = counts.groupBy("session_id").agg(
-        F.to_json(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("transition", "n"))))
-        ).alias("value_json"),
-        F.sum("n").alias("total_transitions"),
-        F.count("*").alias("unique_transitions"),
-    )
-    return session_frame.select("session_id").join(listed, "session_id", "left").select(
+def count_maps(counts: DataFrame, name: str, session_frame: DataFrame, max_items: int = 10_000) -> DataFrame:
+    """Counts per session as JSON maps in name order, at most `max_items` names each (a
+    session of many names comes in several parts); an empty map without any."""
+    listed = packed(counts, ["session_id"], [name], F.struct(name, "n"), "_m", max_items)
+    maps = listed.select("session_id", "part", F.to_json(F.map_from_entries("_m")).alias("value_json"))
+    return session_frame.select("session_id").join(maps, "session_id", "left").select(
         "session_id",
+        F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce("value_json", F.lit("{}")).alias("value_json"),
-        F.coalesce("total_transitions", F.lit(0)).alias("total_transitions"),
-        F.coalesce("unique_transitions", F.lit(0)).alias("unique_transitions"),
+    )
+
+
+def agent_to_agent(counts: DataFrame, session_frame: DataFrame) -> DataFrame:
+    """Transition counts per session as JSON maps, with the totals of the session."""
+    totals = counts.groupBy("session_id").agg(
+        F.sum("n").alias("total_transitions"), F.count("*").alias("unique_transitions")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return count_maps(counts, "transition", session_frame).join(totals, "session_id", "left").select(
+        "session_id", "part", "value_json", zero("total_transitions"), zero("unique_transitions")
     )
 
 
@@ -234,7 +240,7 @@ def cycles(spans: DataFrame) -> DataFrame:
 
 
 def agent_cycles(owned_in_tree_order: DataFrame) -> DataFrame:
-    """Cycles per agent over its spans in pre-order (see `tree.preorder`); null names are
+    """Cycles per agent over its spans in pre-order (see `agents.ownership`); null names are
     passed over."""
     acts = owned_in_tree_order.filter(_is("agent", "tool") & truthy(F.col("entity_name")).isNotNull())
     return _cycles(

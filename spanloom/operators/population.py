@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import per_call
-from spanloom.operators.agents import agent_stats, session_completion
+from spanloom.operators.agents import agent_stats
 from spanloom.operators.ordered import OrderedGroups
-from spanloom.operators.sessions import graph_attributes, sessions
+from spanloom.operators.sessions import sessions
 from spanloom.operators.tree import tool_token_cost
 
 _MAX_UNFOLDED = 1_000
@@ -32,11 +32,8 @@ def session_metrics(spans: DataFrame) -> DataFrame:
     base = sessions(spans)
     stats = agent_stats(spans)
     cost = tool_token_cost(spans).groupBy("session_id").agg(F.sum("tool_tokens").alias("tool_total_tokens"))
-    joined = (
-        base.join(cost, "session_id", "left")
-        .join(graph_attributes(spans), "session_id", "left")
-        .join(session_completion(stats, base), "session_id", "left")
-    )
+    done = stats.groupBy("session_id").agg(F.bool_and("completion").alias("completion"))
+    joined = base.join(cost, "session_id", "left").join(done, "session_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return joined.select(
         "session_id",
@@ -57,7 +54,7 @@ def session_metrics(spans: DataFrame) -> DataFrame:
         zero("graph_dynamism").cast("double").alias("graph_dynamism"),
         F.col("llm_total_tokens").alias("total_tokens"),
         F.coalesce("duration_ms", F.lit(0.0)).alias("latency"),
-        F.col("completion").cast("int").alias("completion"),
+        F.coalesce("completion", F.lit(True)).cast("int").alias("completion"),
     )
 
 

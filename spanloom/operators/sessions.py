@@ -79,7 +79,12 @@ def sessions(spans: DataFrame) -> DataFrame:
         ),
         **session_measures(),
     }
-    return spans.groupBy("session_id").agg(*[c.alias(n) for n, c in measures.items()])
+    graph = F.min_by(graph_struct(), F.when(_is("graph"), order_struct()))
+    return (
+        spans.groupBy("session_id")
+        .agg(*[c.alias(n) for n, c in measures.items()], graph.alias("_graph"))
+        .select("session_id", *measures, "_graph.*")
+    )
 
 
 def entity_names(spans: DataFrame, kind: str) -> DataFrame:
@@ -162,17 +167,19 @@ def remove_sessions(session_frame: DataFrame, ids: DataFrame) -> DataFrame:
 # --- enrichments -----------------------------------------------------------------------------
 
 
-def graph_attributes(spans: DataFrame) -> DataFrame:
-    """Determinism, dynamism and graph of each session's first graph span."""
+def graph_struct() -> Column:
+    """Determinism, dynamism and graph as a span states them."""
     a = F.col("attrs")
-    picked = F.min_by(
-        F.struct(
-            attr(a, "gen_ai.ioa.graph_determinism_score").try_cast("double").alias("graph_determinism"),
-            attr(a, "gen_ai.ioa.graph_dynamism").try_cast("double").alias("graph_dynamism"),
-            attr(a, "gen_ai.ioa.graph").alias("graph"),
-        ),
-        order_struct(),
+    return F.struct(
+        attr(a, "gen_ai.ioa.graph_determinism_score").try_cast("double").alias("graph_determinism"),
+        attr(a, "gen_ai.ioa.graph_dynamism").try_cast("double").alias("graph_dynamism"),
+        attr(a, "gen_ai.ioa.graph").alias("graph"),
     )
+
+
+def graph_attributes(spans: DataFrame) -> DataFrame:
+    """Graph attributes of each session's first graph span."""
+    picked = F.min_by(graph_struct(), order_struct())
     return spans.filter(_is("graph")).groupBy("session_id").agg(picked.alias("g")).select("session_id", "g.*")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import truthy
+from spanloom.operators.ordered import OrderedGroups
 from spanloom.operators.sessions import order_struct, tokens
 from spanloom.runtime import materialize
 
@@ -112,13 +113,21 @@ def _first_hops(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
     return state.withColumn("root_id", F.when(ended, F.coalesce("at", "span_id"))).drop("_next")
 
 
-def fold_ancestors(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
+class TooDeep(Exception):
+    """The forest is deeper than a fold with path-long values should carry."""
+
+
+def fold_ancestors(nodes: DataFrame, folds: list[Fold], max_depth: int | None = None) -> DataFrame:
     """`nodes` (session_id, span_id, parent_span_id, ...) with root_id, depth and one column
-    per fold. Spans in or under a parent loop are left out."""
+    per fold. Spans in or under a parent loop are left out. `max_depth` is for folds whose
+    values grow with the path: deeper forests raise TooDeep."""
     columns = ["session_id", "span_id", "at", "root_id", "depth", *[f.name for f in folds]]
     state, done, total = _stored_step(_first_hops(nodes, folds).select(*columns))
-    still_open = total - done
+    still_open, reach = total - done, _FIRST_HOPS
     while still_open:
+        if max_depth is not None and reach > max_depth:
+            raise TooDeep
+        reach *= 2
         a = state.filter(F.col("root_id").isNull()).alias("a")
         b = state.alias("b")
         step = a.join(
@@ -175,42 +184,112 @@ _NODE = [
 ]
 
 
+# Root-first paths are built up to this depth; deeper forests are ranked by their tour.
+MAX_PATH_DEPTH = 1_000
+
+
 def execution_tree(spans: DataFrame) -> DataFrame:
-    """Reachable spans with root_id, depth and the root-first path of (time, id) in `path`;
-    sorting by (trace start, path) is pre-order."""
-    reached = fold_ancestors(spans.select(*_NODE), [path_fold()])
-    return reached.select(
-        *_NODE, "root_id", "depth", F.concat("above", F.array(path_item())).alias("path")
-    )
+    """Reachable spans with root_id and depth."""
+    return fold_ancestors(spans.select(*_NODE), [])
 
 
-def trace_starts(reached: DataFrame) -> DataFrame:
-    """When each trace of a session begins: the (time, id) of its first root."""
-    roots = reached.filter(F.col("depth") == 0)
-    return roots.groupBy("session_id", F.coalesce("trace_id", F.lit("unknown")).alias("root_trace")).agg(
-        F.min(path_item()).alias("trace_start")
-    )
+def with_paths(spans: DataFrame, folds: list[Fold] | None = None) -> DataFrame:
+    """Reachable spans with root_id, depth and the root-first path of (time, id) in `path`."""
+    reached = fold_ancestors(spans, [*(folds or []), path_fold()], MAX_PATH_DEPTH)
+    return reached.withColumn("path", F.concat("above", F.array(path_item()))).drop("above")
 
 
-def preorder(reached: DataFrame) -> DataFrame:
-    """Add `preorder` to reachable spans (with `path`, `root_id`): traces by their first root,
-    then roots and children by time. Sorting by it walks the forest depth first."""
+def walked(spans: DataFrame, folds: list[Fold] | None = None) -> DataFrame:
+    """Reachable spans with `preorder`, whose order is a depth-first walk: traces by their
+    first root, then roots and children by time."""
+    try:
+        reached = with_paths(spans, folds)
+    except TooDeep:
+        return tour_ranked(fold_ancestors(spans, folds or []))
     roots = reached.filter(F.col("depth") == 0).select(
         "session_id", F.col("span_id").alias("root_id"), F.coalesce("trace_id", F.lit("unknown")).alias("root_trace")
     )
     starts = roots.join(trace_starts(reached), ["session_id", "root_trace"]).drop("root_trace")
     return (
         reached.join(starts, ["session_id", "root_id"])
-        .withColumn("preorder", F.struct(F.lit(False).alias("off"), "trace_start", "path"))
-        .drop("trace_start")
+        .withColumn("preorder", F.struct("trace_start", "path"))
+        .drop("trace_start", "path")
+    )
+
+
+def tour_ranked(reached: DataFrame) -> DataFrame:
+    """The same walk for forests of any depth, as a rank. Each span is entered and left once;
+    the tour enter → first child … leave → next sibling or parent is a linked list, ranked by
+    doubling its links. Nothing kept per span grows with depth."""
+    trace = F.coalesce("trace_id", F.lit("unknown"))
+    own = reached.select(
+        "session_id",
+        "span_id",
+        F.when(F.col("depth") > 0, F.col("parent_span_id")).alias("up"),
+        trace.alias("root_trace"),
+        path_item().alias("item"),
+    )
+    starts = trace_starts(reached)
+    rows = own.join(starts, ["session_id", "root_trace"], "left").select(
+        "session_id", "span_id", "up", F.when(F.col("up").isNull(), F.col("trace_start")).alias("start"), "item"
+    )
+    linked = OrderedGroups(rows, ["session_id", "up"], ["start", "item"]).neighbours(
+        {"before": "span_id"}, {"after": "span_id"}
+    )
+    linked = materialize(linked.select("session_id", "span_id", "up", "before", "after"), "siblings")
+    firsts = linked.filter("before is null and up is not null").select(
+        "session_id", F.col("up").alias("span_id"), F.col("span_id").alias("child")
+    )
+    enter, leave = (lambda c: F.concat(F.lit("+"), c)), (lambda c: F.concat(F.lit("-"), c))
+    going_in = linked.join(firsts, ["session_id", "span_id"], "left").select(
+        "session_id",
+        enter(F.col("span_id")).alias("at"),
+        F.coalesce(enter(F.col("child")), leave(F.col("span_id"))).alias("to"),
+        F.lit(1).cast("bigint").alias("ahead"),
+    )
+    going_out = linked.select(
+        "session_id",
+        leave(F.col("span_id")).alias("at"),
+        F.coalesce(enter(F.col("after")), leave(F.col("up"))).alias("to"),
+        F.lit(0).cast("bigint").alias("ahead"),
+    )
+    links = materialize(going_in.unionByName(going_out), "tour")
+    while not links.filter("to is not null").isEmpty():
+        far = links.select("session_id", F.col("at").alias("to"), F.col("to").alias("_to"), F.col("ahead").alias("_a"))
+        links = materialize(
+            links.join(far, ["session_id", "to"], "left").select(
+                "session_id",
+                "at",
+                F.col("_to").alias("to"),
+                (F.col("ahead") + F.coalesce("_a", F.lit(0))).alias("ahead"),
+            ),
+            "tour",
+        )
+    ranks = links.filter(F.col("at").startswith("+")).select(
+        "session_id", F.substring("at", 2, 1 << 30).alias("span_id"), F.struct((-F.col("ahead")).alias("rank")).alias("preorder")
+    )
+    return reached.join(ranks, ["session_id", "span_id"])
+
+
+def trace_starts(reached: DataFrame) -> DataFrame:
+    """When each trace of a session begins: the (time, id) of its first root."""
+    roots = reached.filter(F.col("depth") == 0)
+    return roots.groupBy("session_id", F.coalesce("trace_id", F.lit("unknown")).alias("root_trace")).agg(
+        F.min(path_item()).alias("trace_start")
     )
 
 
-def descendants(tree: DataFrame, starts: DataFrame) -> DataFrame:
-    """Spans at or below each start (`starts`: session_id, span_id)."""
-    wanted = starts.select("session_id", F.col("span_id").alias("start_id")).distinct()
-    steps = tree.select("session_id", "span_id", F.explode("path.s").alias("start_id"))
-    return steps.join(wanted, ["session_id", "start_id"])
+def descendants(spans: DataFrame, starts: DataFrame) -> DataFrame:
+    """Spans at or below each start (`starts`: session_id, span_id). Only the starts above a
+    span are carried down, so the work is that of the result."""
+    keys = ["session_id", "span_id"]
+    wanted = starts.select(*keys).distinct().withColumn("_start", F.lit(True))
+    nodes = spans.select(*keys, "parent_span_id").join(wanted, keys, "left")
+    empty = F.array().cast("array<string>")
+    own = F.when(F.col("_start"), F.array("span_id")).otherwise(empty)
+    fold = Fold("starts_above", own, empty, lambda near, far: F.concat(near, far))
+    reached = fold_ancestors(nodes, [fold])
+    return reached.select(*keys, F.explode(F.concat("starts_above", own)).alias("start_id"))
 
 
 def tree_summary(tree: DataFrame) -> DataFrame:
@@ -233,10 +312,11 @@ def roots_of_type(spans: DataFrame, kind: str) -> DataFrame:
     return parents(spans).filter(F.col("is_root") & (F.col("entity_type") == kind))
 
 
-def leaf_paths(tree: DataFrame) -> DataFrame:
-    """The path of every leaf, from its root."""
-    inner = tree.select("session_id", F.col("parent_span_id").alias("span_id")).distinct()
-    leaves = tree.join(inner, ["session_id", "span_id"], "left_anti")
+def leaf_paths(spans: DataFrame) -> DataFrame:
+    """The path of every leaf, from its root, as an array of span ids."""
+    reached = with_paths(spans.select(*_NODE))
+    inner = spans.select("session_id", F.col("parent_span_id").alias("span_id")).distinct()
+    leaves = reached.join(inner, ["session_id", "span_id"], "left_anti")
     return leaves.select("session_id", "span_id", "root_id", "depth", F.col("path.s").alias("path"))
 
 
@@ -256,9 +336,9 @@ def flow_listing(tree: DataFrame) -> DataFrame:
     )
 
 
-def type_hierarchy(spans: DataFrame, tree: DataFrame) -> DataFrame:
+def type_hierarchy(tree: DataFrame) -> DataFrame:
     """Per session: spans of each type, and the types found directly below it."""
-    linked = parents(tree.drop("path"))
+    linked = parents(tree)
     counts = tree.groupBy("session_id", "entity_type").agg(F.count("*").alias("n_spans"))
     below = (
         linked.filter(~F.col("is_root"))

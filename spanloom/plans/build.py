@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -22,7 +22,6 @@ class Frames:
     first use; those that several metrics share are stored once."""
 
     spans: DataFrame
-    _extra: dict = field(default_factory=dict)
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -38,7 +37,10 @@ class Frames:
 
     @cached_property
     def owned(self) -> DataFrame:
-        return materialize(agents.agent_spans(self.spans, ordered=True), "owned")
+        """Spans of every agent. Who owns what is stored once, narrow; the columns a metric
+        reads join when it runs."""
+        who = materialize(agents.ownership(self.spans, ordered=True), "ownership")
+        return agents.agent_spans(self.spans, who)
 
     @cached_property
     def elements(self) -> DataFrame:

@@ -93,14 +93,16 @@ def _agent_to_agent(f: Frames) -> DataFrame:
 
 @native.metric("AgentToToolInteractions", "session")
 def _agent_to_tool(f: Frames) -> DataFrame:
-    pairs = F.array_sort(F.collect_list(F.struct("interaction", "n")))
-    listed = metrics.agent_to_tool(f.spans).groupBy("session_id").agg(
-        F.max("error").alias("error"), F.when(F.max("error").isNull(), F.map_from_entries(pairs)).alias("_m")
-    )
-    every = f.sessions.select("session_id").join(listed, "session_id", "left")
-    value = F.coalesce(F.to_json("_m"), F.lit("{}"))
+    found = metrics.agent_to_tool(f.spans)
+    counted = metrics.count_maps(found.filter("error is null"), "interaction", f.sessions)
+    bad = found.filter("error is not null").select("session_id", "error")
     return result_rows(
-        every, "AgentToToolInteractions", "session", value_json=value, error=F.col("error"), unit="interactions"
+        counted.join(bad, "session_id", "left"),
+        "AgentToToolInteractions",
+        "session",
+        value_json=F.col("value_json"),
+        error=F.col("error"),
+        unit="interactions",
     )
 
 

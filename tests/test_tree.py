@@ -1,3 +1,5 @@
+import random
+
 from spanloom.operators import agents, tree
 from tests.conftest import agent, model, tool
 
@@ -35,13 +37,42 @@ def test_parents_cross_traces_but_not_sessions(spans):
     assert _depths(spans(rows)) == {"p": (0, "p"), "q": (1, "p"), "r": (0, "r")}
 
 
+def _walk(df):
+    return [r["span_id"] for r in tree.walked(df).orderBy("session_id", "preorder").collect()]
+
+
+FOREST = [
+    tool(id="r2", trace="t2", at=5), tool(id="r1", trace="t1", at=1), tool(id="c2", parent="r1", at=9),
+    tool(id="c1", parent="r1", at=3), tool(id="g", parent="c1", at=20), tool(id="late", trace="t1", at=30),
+]
+WALK = ["r1", "c1", "g", "c2", "late", "r2"]
+
+
 def test_preorder_walks_traces_roots_and_children_by_time(spans):
-    rows = [
-        tool(id="r2", trace="t2", at=5), tool(id="r1", trace="t1", at=1), tool(id="c2", parent="r1", at=9),
-        tool(id="c1", parent="r1", at=3), tool(id="g", parent="c1", at=20), tool(id="late", trace="t1", at=30),
-    ]
-    walked = tree.preorder(tree.execution_tree(spans(rows))).orderBy("preorder")
-    assert [r["span_id"] for r in walked.collect()] == ["r1", "c1", "g", "c2", "late", "r2"]
+    assert _walk(spans(FOREST)) == WALK
+
+
+def test_tour_ranks_give_the_same_walk(spans):
+    df = spans(FOREST)
+    got = tree.tour_ranked(tree.execution_tree(df)).orderBy("preorder").collect()
+    assert [r["span_id"] for r in got] == WALK
+
+
+def test_deep_forests_are_ranked_by_their_tour(spans, monkeypatch):
+    rnd = random.Random(2)
+    rows = [tool(id=f"n{i:03d}", parent=f"n{i - rnd.randrange(1, 3):03d}" if i > 1 else "", at=rnd.randrange(500)) for i in range(60)]
+    df = spans(rows)
+    plain = _walk(df)
+    monkeypatch.setattr(tree, "MAX_PATH_DEPTH", 4)
+    assert _walk(df) == plain
+    assert len(plain) == 60
+
+
+def test_agent_spans_in_tree_order_with_spans_off_the_tree_last(spans):
+    mine = {"attrs": {"agent_id": "x_agent"}}
+    rows = [tool(id="loop", parent="loop", at=0, **mine), tool(id="b", parent="a", at=3, **mine), tool(id="a", at=2, **mine)]
+    got = agents.ownership(spans(rows), ordered=True).orderBy("preorder").collect()
+    assert [r["span_id"] for r in got] == ["a", "b", "loop"]
 
 
 def test_nested_tools_count_the_same_tokens_again(spans):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.parse import in_sessions, parse_spans
+from spanloom.operators.reads import promoted
 from spanloom.operators.tree import unique_spans
 from spanloom.plans.build import Frames
 from spanloom.runtime import materialize, scratch_root
@@ -42,7 +43,7 @@ def _stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Dat
 
 def raw(spark: SparkSession, folder: str) -> DataFrame:
     """The derived trace table, stored as Parquet as a collector would leave it."""
-    return _stored(spark, folder, "traces", lambda: derived.spans(spark, folder))
+    return _stored(spark, folder, "traces", lambda: promoted(derived.spans(spark, folder)))
 
 
 def typed(spark: SparkSession, folder: str) -> DataFrame:

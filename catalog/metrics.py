@@ -174,12 +174,12 @@ _APP = {n: c for n, c in metrics.PASSIVE_APP.items()}
 @query(
     "M08_passive_app",
     with_base(
-        "SELECT sid AS session_id, app AS app_name, " + ", ".join(f"round(cast({c} AS double), 3) AS eval_app_{n}" for n, c in _APP.items()) + " FROM sm", *_POP
+        "SELECT sid AS session_id, app AS app_name, " + ", ".join(f"round(cast({c} AS double), 6) AS eval_app_{n}" for n, c in _APP.items()) + " FROM sm", *_POP
     ),
 )
 def _(spark, d):
     out = metrics.passive_app(population.session_metrics(typed(spark, d)))
-    return out.select("session_id", "app_name", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in out.columns if c.startswith("eval")])
+    return out.select("session_id", "app_name", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in out.columns if c.startswith("eval")])
 
 
 _AGENT = {n: ("duration" if n == "duration" else c) for n, c in _APP.items() if not n.startswith("graph")}
@@ -188,7 +188,7 @@ _AGENT = {n: ("duration" if n == "duration" else c) for n, c in _APP.items() if
 @query(
     "M09_passive_agents",
     with_base(
-        "SELECT ses.sid AS session_id, a.agent, " + ", ".join(f"round(cast(coalesce(am.{c}, 0) AS double), 3) AS eval_agent_{n}" for n, c in _AGENT.items())
+        "SELECT ses.sid AS session_id, a.agent, " + ", ".join(f"round(cast(coalesce(am.{c}, 0) AS double), 6) AS eval_agent_{n}" for n, c in _AGENT.items())
         + " FROM ses, (SELECT DISTINCT agent FROM am) a LEFT JOIN am ON am.sid = ses.sid AND am.agent = a.agent",
         _SES, _AST, _AM,
     ),
@@ -197,7 +197,7 @@ def _(spark, d):
     t = typed(spark, d)
     grid = population.aligned_agent_measures(population.agent_metrics(agents.agent_stats(t)), sessions.sessions(t))
     out = metrics.passive_agents(grid)
-    return out.select("session_id", "agent", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in out.columns if c.startswith("eval")])
+    return out.select("session_id", "agent", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in out.columns if c.startswith("eval")])
 
 
 @query(

@@ -11,6 +11,7 @@ from catalog.talk import _EL, _ORD, _OUTJ, _SENDS
 from spanloom.operators import cases, metrics, results
 from spanloom.operators.parse import parse_spans
 from spanloom.plans import build, registry
+from spanloom.schemas import SPAN_FILE_SCHEMA, SPAN_SCHEMA
 from spanloom.sources import derived, metric_store, traces
 from spanloom.streaming import intake
 
@@ -469,7 +470,7 @@ def _(spark, d):
 @query("S02_trace_file_lines", with_base("SELECT span AS span_id, etype AS entity_type, sid AS session_id, err AS contains_error, ts AS ts_us FROM typ"))
 def _(spark, d):
     path = scratch(spark, "span-file")
-    source = raw(spark, d).drop("ts_raw", "EventsTimestamp", "LinksTraceId", "LinksSpanId", "LinksTraceState", "LinksAttributes")
+    source = raw(spark, d).select(*[c for c in SPAN_FILE_SCHEMA.names if c in SPAN_SCHEMA.names])
     stamp = F.date_format("Timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     source.withColumn("Timestamp", stamp).write.json(path)
     spans = parse_spans(traces.file_spans(traces.read_trace_file(spark, path, "lines")))
@@ -486,13 +487,14 @@ def _(spark, d):
 @query("X01_stream_intake", with_base("SELECT span AS span_id, sid AS session_id, ts AS ts_us FROM raw"))
 def _(spark, d):
     landing, table, mark = (scratch(spark, n) for n in ("landing", "trace-table", "intake-state"))
-    source = raw(spark, d)
+    source = raw(spark, d).select(*SPAN_SCHEMA.names)
     source.write.parquet(landing)
     # A second delivery of every span: intake keeps one.
     source.write.mode("append").parquet(landing)
     intake.start_intake(spark, landing, table, mark, once=True, files_per_trigger=2).awaitTermination()
     stored = spark.read.schema(intake.TRACE_TABLE_SCHEMA).parquet(table)
-    return stored.select(F.col("SpanId").alias("span_id"), "session_id", F.unix_micros("Timestamp").alias("ts_us"))
+    session = F.coalesce("session_attr", "execution_attr").alias("session_id")
+    return stored.select(F.col("SpanId").alias("span_id"), session, F.unix_micros("Timestamp").alias("ts_us"))
 
 
 # --- user metrics ---------------------------------------------------------------------------------------

@@ -395,12 +395,12 @@ def _(spark, d):
 @query(
     "A21_session_histogram",
     with_base(
-        " UNION ALL ".join(f"SELECT sid AS session_id, '{m}' AS measure, round(cast({m} AS double), 3) AS value FROM sm" for m in population.SESSION_MEASURES), *_POP
+        " UNION ALL ".join(f"SELECT sid AS session_id, '{m}' AS measure, round(cast({m} AS double), 6) AS value FROM sm" for m in population.SESSION_MEASURES), *_POP
     ),
 )
 def _(spark, d):
     m = population.session_metrics(typed(spark, d))
-    return population.long_measures(m, ["session_id"], population.SESSION_MEASURES).withColumn("value", F.round("value", 3))
+    return population.long_measures(m, ["session_id"], population.SESSION_MEASURES).withColumn("value", F.round("value", 6))
 
 
 _AGM = ["tool_calls", "tool_fails", "llm_calls", "llm_total_tokens", "duration", "completion"]

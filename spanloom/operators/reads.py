@@ -10,12 +10,35 @@ from spanloom.functions.values import attr, second_part, truthy, utc_bound, whol
 from spanloom.operators.ordered import OrderedGroups
 
 
-def _session() -> Column:
-    return attr(F.col("SpanAttributes"), "session.id")
+# Attributes that listings filter and group on. Stored as columns of their own they reach
+# the scan (pushed filters, no map column read); see `promoted`.
+PROMOTED = {
+    "session.id": "session_attr",
+    "execution.id": "execution_attr",
+    "gen_ai.prompt.0.role": "first_prompt_role",
+    "gen_ai.prompt.0.content": "first_prompt_content",
+    "llm.usage.total_tokens": "total_tokens_attr",
+}
 
 
-def _has_session() -> Column:
-    return truthy(_session()).isNotNull()
+def promoted(raw: DataFrame) -> DataFrame:
+    """Raw spans with the listing attributes as columns: the layout to store."""
+    return raw.withColumns({c: attr(F.col("SpanAttributes"), k) for k, c in PROMOTED.items()})
+
+
+def _stated(raw: DataFrame, key: str) -> Column:
+    """An attribute: its promoted column where the table has one, else the map entry."""
+    name = PROMOTED[key]
+    return F.col(name) if name in raw.columns else attr(F.col("SpanAttributes"), key)
+
+
+def _session(raw: DataFrame) -> Column:
+    return _stated(raw, "session.id")
+
+
+def _has_session(raw: DataFrame) -> Column:
+    session = _session(raw)
+    return session.isNotNull() & (session != "")
 
 
 def _between(c: Column, start: str, end: str) -> Column:
@@ -32,17 +55,17 @@ def _is_root() -> Column:
 
 def spans_of_session(raw: DataFrame, session_suffix: str) -> DataFrame:
     """Spans whose session id ends with the text (taken literally)."""
-    return raw.filter(_session().endswith(session_suffix))
+    return raw.filter(_session(raw).endswith(session_suffix))
 
 
 def spans_of_sessions(raw: DataFrame, ids: DataFrame) -> DataFrame:
     """Spans of every requested session (`ids.session_id`); blanks dropped, no limit."""
     wanted = ids.select(truthy(F.trim("session_id")).alias("_id")).filter("_id is not null").distinct()
-    return raw.withColumn("_s", _session()).join(wanted, F.col("_s") == F.col("_id"), "left_semi").drop("_s")
+    return raw.withColumn("_s", _session(raw)).join(wanted, F.col("_s") == F.col("_id"), "left_semi").drop("_s")
 
 
 def one_span(raw: DataFrame, session_suffix: str, span_id: str) -> DataFrame:
-    found = raw.filter((F.col("SpanId") == span_id) & _session().endswith(session_suffix))
+    found = raw.filter((F.col("SpanId") == span_id) & _session(raw).endswith(session_suffix))
     return found.orderBy("Timestamp", "SpanId").limit(1)
 
 
@@ -53,8 +76,8 @@ def trace_sample(raw: DataFrame, n: int = 10) -> DataFrame:
 def span_listing(raw: DataFrame, start: str, end: str) -> DataFrame:
     """Session id and time of every span in the range, newest first."""
     return (
-        raw.filter(_has_session() & _between(F.col("Timestamp"), start, end))
-        .select(_session().alias("session_id"), "Timestamp")
+        raw.filter(_has_session(raw) & _between(F.col("Timestamp"), start, end))
+        .select(_session(raw).alias("session_id"), "Timestamp")
         .orderBy(F.desc("Timestamp"), "session_id")
     )
 
@@ -114,22 +137,22 @@ def requested_but_missing(ids: DataFrame, matched: DataFrame) -> DataFrame:
 def sessions_started(raw: DataFrame, start: str, end: str, prompts: bool = False) -> DataFrame:
     """Sessions whose first span lies in the range, newest first. The range is tested after
     the grouping: a session may have begun earlier."""
-    kept = raw.filter(_has_session())
+    kept = raw.filter(_has_session(raw))
     first = F.min("Timestamp").alias("start_timestamp")
     aggregates = [first]
     if prompts:
-        kept = kept.filter(attr(F.col("SpanAttributes"), "gen_ai.prompt.0.role") == "user")
-        aggregates.append(_first_prompt())
+        kept = kept.filter(_stated(raw, "gen_ai.prompt.0.role") == "user")
+        aggregates.append(_first_prompt(raw))
     return (
-        kept.groupBy(_session().alias("session_id"))
+        kept.groupBy(_session(raw).alias("session_id"))
         .agg(*aggregates)
         .filter(_between(F.col("start_timestamp"), start, end))
         .orderBy(F.desc("start_timestamp"), "session_id")
     )
 
 
-def _first_prompt() -> Column:
-    prompt = F.coalesce(attr(F.col("SpanAttributes"), "gen_ai.prompt.0.content"), F.lit(""))
+def _first_prompt(raw: DataFrame) -> Column:
+    prompt = F.coalesce(_stated(raw, "gen_ai.prompt.0.content"), F.lit(""))
     return F.min_by(prompt, F.struct("Timestamp", "SpanId")).alias("prompt")
 
 
@@ -138,14 +161,14 @@ def session_pages(
 ) -> DataFrame:
     """Sessions by id part with the row-level time filter, newest first: the frame that
     `page` cuts and whose count is the total."""
-    kept = raw.filter(_has_session() & _between(F.col("Timestamp"), start, end))
+    kept = raw.filter(_has_session(raw) & _between(F.col("Timestamp"), start, end))
     if prompts:
-        kept = kept.filter(attr(F.col("SpanAttributes"), "gen_ai.prompt.0.role") == "user")
+        kept = kept.filter(_stated(raw, "gen_ai.prompt.0.role") == "user")
     if name_prefix:
-        kept = kept.filter(_session().startswith(name_prefix))
-    aggregates = [F.min("Timestamp").alias("start_timestamp")] + ([_first_prompt()] if prompts else [])
+        kept = kept.filter(_session(raw).startswith(name_prefix))
+    aggregates = [F.min("Timestamp").alias("start_timestamp")] + ([_first_prompt(raw)] if prompts else [])
     return (
-        kept.groupBy(second_part(_session()).alias("session_id"))
+        kept.groupBy(second_part(_session(raw)).alias("session_id"))
         .agg(*aggregates)
         .orderBy(F.desc("start_timestamp"), "session_id")
     )
@@ -166,11 +189,11 @@ def page_after(ordered: DataFrame, last_start: str, last_id: str, size: int) ->
 
 def traces_of_session(raw: DataFrame, id_part: str | None = None) -> DataFrame:
     """Distinct traces per session part, newest first."""
-    kept = raw.filter(_has_session())
+    kept = raw.filter(_has_session(raw))
     if id_part is not None:
-        kept = kept.filter(second_part(_session()) == id_part)
+        kept = kept.filter(second_part(_session(raw)) == id_part)
     return (
-        kept.groupBy(second_part(_session()).alias("session_id"), F.col("TraceId").alias("trace_id"))
+        kept.groupBy(second_part(_session(raw)).alias("session_id"), F.col("TraceId").alias("trace_id"))
         .agg(F.max("Timestamp").alias("last_timestamp"))
         .orderBy(F.desc("last_timestamp"), "trace_id")
     )
@@ -192,8 +215,8 @@ def select_sessions(
     if (start is None) != (end is None):
         raise ValueError("a time range needs both bounds")
     firsts = (
-        raw.filter(_has_session())
-        .groupBy(_session().alias("session_id"))
+        raw.filter(_has_session(raw))
+        .groupBy(_session(raw).alias("session_id"))
         .agg(F.min("Timestamp").alias("start_timestamp"))
     )
     if ids is not None:
@@ -210,7 +233,7 @@ def select_sessions(
 
 def population(raw: DataFrame, selected: DataFrame, requested: DataFrame | None = None):
     """(spans of the selected sessions, requested ids that have none)."""
-    chosen = raw.withColumn("session_id", _session()).join(
+    chosen = raw.withColumn("session_id", _session(raw)).join(
         selected.select("session_id"), "session_id", "left_semi"
     )
     if requested is None:
@@ -233,9 +256,9 @@ def frequent_root_names(raw: DataFrame, n: int = 10) -> DataFrame:
 
 def tokens_per_service(raw: DataFrame) -> DataFrame:
     """Total tokens per service; text that is no whole number counts 0."""
-    tokens = attr(F.col("SpanAttributes"), "llm.usage.total_tokens")
+    tokens = _stated(raw, "llm.usage.total_tokens")
     return (
-        raw.filter(truthy(tokens).isNotNull())
+        raw.filter(tokens.isNotNull() & (tokens != ""))
         .groupBy(F.col("ServiceName").alias("service_name"))
         .agg(F.sum(F.coalesce(whole_number(tokens), F.lit(0))).alias("total_tokens"))
         .orderBy(F.desc("total_tokens"), "service_name")
@@ -264,7 +287,7 @@ def call_graph(raw: DataFrame, execution: str | None = None) -> DataFrame:
     if execution is not None:
         roots = roots.filter(F.col("ServiceName").contains(execution))
     steps = roots.select(
-        F.coalesce(attr(F.col("SpanAttributes"), "execution.id"), F.lit("")).alias("execution_id"),
+        F.coalesce(_stated(raw, "execution.id"), F.lit("")).alias("execution_id"),
         F.col("ServiceName").alias("service_name"),
         "Timestamp",
         F.col("SpanId").alias("span_id"),

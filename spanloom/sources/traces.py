@@ -9,6 +9,7 @@ from spanloom.constants import DEFAULT_FILE_SESSION
 from spanloom.functions.values import truthy, uuid_part
 from spanloom.operators.ordered import OrderedGroups
 from spanloom.operators.parse import session_id
+from spanloom.operators.reads import promoted
 from spanloom.schemas import HISTOGRAM_SCHEMA, SPAN_FILE_SCHEMA, SPAN_SCHEMA
 
 
@@ -86,10 +87,10 @@ def one_session_per_row(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def write_trace_table(raw: DataFrame, path: str, mode: str = "append") -> None:
-    """Store raw spans with the columns every read filters on promoted out of the maps, and
+    """Store raw spans with the attributes that reads filter on promoted out of the maps, and
     partitioned by day, so that filters and pruning reach the scan."""
     (
-        raw.withColumn("session_id", session_id())
+        promoted(raw)
         .withColumn("day", F.to_date("Timestamp"))
         .write.mode(mode)
         .partitionBy("day")

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from spanloom.operators.parse import session_id
+from spanloom.operators.reads import PROMOTED, promoted
 from spanloom.schemas import SPAN_SCHEMA
 
 _KEYS = ["TraceId", "SpanId"]
 TRACE_TABLE_SCHEMA = T.StructType(
-    [*SPAN_SCHEMA.fields, T.StructField("session_id", T.StringType()), T.StructField("day", T.DateType())]
+    [
+        *SPAN_SCHEMA.fields,
+        *[T.StructField(c, T.StringType()) for c in PROMOTED.values()],
+        T.StructField("day", T.DateType()),
+    ]
 )
 
 
@@ -33,11 +37,7 @@ def store_batch(batch: DataFrame, table: str) -> None:
     batch are read for that, late spans are stored like others, and a replayed batch adds
     nothing."""
     spark = batch.sparkSession
-    rows = (
-        batch.withColumn("session_id", session_id())
-        .withColumn("day", F.to_date("Timestamp"))
-        .dropDuplicates(_KEYS)
-    )
+    rows = promoted(batch).withColumn("day", F.to_date("Timestamp")).dropDuplicates(_KEYS)
     first, last = rows.agg(F.min("day"), F.max("day")).first()
     if first is None and batch.isEmpty():
         return

@@ -59,7 +59,7 @@ scan AS (
     ),
 )
 def _(spark, d):
-    return metrics.cycles(typed(spark, d))
+    return metrics.cycles(typed(spark, d), frames(spark, d).largest_session)
 
 
 @query(
@@ -87,12 +87,12 @@ trc AS (SELECT sid, transition, count(*) AS n FROM tr GROUP BY 1, 2)"""
 
 @query("W02_agent_transitions", with_base("SELECT sid AS session_id, span AS span_id, transition FROM tr", _TRANS))
 def _(spark, d):
-    return metrics.agent_transitions(typed(spark, d))
+    return metrics.agent_transitions(typed(spark, d), frames(spark, d).largest_session)
 
 
 @query("M05_agent_to_agent_counts", with_base("SELECT sid AS session_id, transition, n FROM trc", _TRANS))
 def _(spark, d):
-    return metrics.transition_counts(metrics.agent_transitions(typed(spark, d)))
+    return metrics.transition_counts(metrics.agent_transitions(typed(spark, d), frames(spark, d).largest_session))
 
 
 @query(
@@ -105,7 +105,7 @@ def _(spark, d):
 )
 def _(spark, d):
     t = typed(spark, d)
-    counts = metrics.transition_counts(metrics.agent_transitions(t))
+    counts = metrics.transition_counts(metrics.agent_transitions(t, frames(spark, d).largest_session))
     return metrics.agent_to_agent(counts, sessions.sessions(t))
 
 
@@ -134,7 +134,7 @@ edges AS (SELECT DISTINCT sid, source, target FROM steps)"""
 
 @query("W03_path_edges", with_base("SELECT sid AS session_id, source, target FROM edges", _STEPS))
 def _(spark, d):
-    return metrics.path_edges(typed(spark, d))
+    return metrics.path_edges(typed(spark, d), frames(spark, d).largest_session)
 
 
 _PAIR = ("app1_c4ca4238-a0b9-2382-0dcc-509a6f75849b", "app2_c81e728d-9d4c-2f63-6f06-7f89cc14862c")
@@ -149,7 +149,7 @@ _PAIR = ("app1_c4ca4238-a0b9-2382-0dcc-509a6f75849b", "app2_c81e728d-9d4c-2f63-6
     ),
 )
 def _(spark, d):
-    return metrics.edge_difference(metrics.path_edges(typed(spark, d)), *_PAIR)
+    return metrics.edge_difference(metrics.path_edges(typed(spark, d), frames(spark, d).largest_session), *_PAIR)
 
 
 @query(
@@ -164,7 +164,7 @@ def _(spark, d):
 )
 def _(spark, d):
     t = typed(spark, d)
-    out = metrics.path_variance(metrics.path_edges(t), t.select("session_id").distinct())
+    out = metrics.path_variance(metrics.path_edges(t, frames(spark, d).largest_session), t.select("session_id").distinct())
     return out.select("n_sessions", r6("path_variance"))
 
 
@@ -210,7 +210,7 @@ def _(spark, d):
 )
 def _(spark, d):
     t = typed(spark, d)
-    counts = metrics.transition_counts(metrics.agent_transitions(t))
+    counts = metrics.transition_counts(metrics.agent_transitions(t, frames(spark, d).largest_session))
     return metrics.workflow_efficiency(counts, sessions.sessions(t)).select("session_id", "unique_transitions", r6("efficiency"))
 
 

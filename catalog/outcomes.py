@@ -360,6 +360,15 @@ def _(spark, d):
     return _stored_and_wanted(spark, d)[1].select("session_id")
 
 
+@query("J06_agent_work_left", with_base("SELECT sid AS session_id FROM ses WHERE sid NOT IN (SELECT sid FROM sp WHERE agent = 'lead_agent')", _SES))
+def _(spark, d):
+    f = frames(spark, d)
+    lead = f.agent_stats.filter("agent = 'lead_agent'")
+    stored = results.result_rows(lead, "ToolErrorRate", "agent", F.col("tool_fails"))
+    wanted = f.sessions.select("session_id").withColumn("metric_name", F.lit("ToolErrorRate"))
+    return results.split_work(wanted, stored, agent_level=True)[0].select("session_id")
+
+
 @query("U05_reused_and_new", with_base("SELECT sid AS session_id, v > 0 AS from_cache FROM rt", _RES))
 def _(spark, d):
     rate, todo, reuse = _stored_and_wanted(spark, d)
@@ -491,7 +500,7 @@ def _(spark, d):
     source.write.parquet(landing)
     # A second delivery of every span: intake keeps one.
     source.write.mode("append").parquet(landing)
-    intake.start_intake(spark, landing, table, mark, once=True, files_per_trigger=2).awaitTermination()
+    intake.start_intake(spark, landing, table, mark, once=True, files_per_trigger=10).awaitTermination()
     stored = spark.read.schema(intake.TRACE_TABLE_SCHEMA).parquet(table)
     session = F.coalesce("session_attr", "execution_attr").alias("session_id")
     return stored.select(F.col("SpanId").alias("span_id"), session, F.unix_micros("Timestamp").alias("ts_us"))

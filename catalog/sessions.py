@@ -124,7 +124,7 @@ def _(spark, d):
     from spanloom.operators.ordered import OrderedGroups
 
     rows = sessions.with_order(typed(spark, d)).select("session_id", *sessions.SESSION_ORDER)
-    return OrderedGroups(rows, ["session_id"], sessions.SESSION_ORDER).positions().select("session_id", "span_id", "position")
+    return OrderedGroups(rows, ["session_id"], sessions.SESSION_ORDER, largest=frames(spark, d).largest_session).positions().select("session_id", "span_id", "position")
 
 
 _GRAPH = """gr AS (SELECT sid, CASE WHEN k % 10 = 0 THEN cast('0.' || lpad(cast(k AS varchar), 2, '0') AS double) END AS det,
@@ -212,7 +212,7 @@ def _(spark, d):
     from spanloom.operators.ordered import OrderedGroups
 
     walked = tree.walked(typed(spark, d)).select("session_id", "span_id", "root_id", "depth", "preorder")
-    return OrderedGroups(walked, ["session_id"], ["preorder"]).positions().drop("preorder")
+    return OrderedGroups(walked, ["session_id"], ["preorder"], largest=frames(spark, d).largest_session).positions().drop("preorder")
 
 
 @query(

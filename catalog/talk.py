@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import frames, query, r6, typed
 from catalog.base_sql import with_base
 from catalog.sessions import _AST, _OWN, _SES
-from spanloom.operators import agents, conversation, judge, roles, sessions
+from spanloom.operators import agents, conversation, judge, roles
 from spanloom.operators.conversation import ELEMENT_ORDER
 from spanloom.sources import derived
 
@@ -40,8 +40,9 @@ _AGENT_TALK = (_EL, _OWN, _AEL)
 def _(spark, d):
     from spanloom.operators.ordered import OrderedGroups
 
-    el = conversation.conversation_elements(typed(spark, d))
-    return OrderedGroups(el, ["session_id"], ELEMENT_ORDER).positions().select("session_id", "span_id", "role", "content", "position")
+    f = frames(spark, d)
+    groups = OrderedGroups(f.elements, ["session_id"], ELEMENT_ORDER, largest=f.largest_conversation)
+    return groups.positions().select("session_id", "span_id", "role", "content", "position")
 
 
 @query(
@@ -80,9 +81,8 @@ def _(spark, d):
     with_base(f"SELECT sid AS session_id, agent, 0 AS part, string_agg(line, chr(10) ORDER BY {_ORD}) AS text FROM aline GROUP BY 1, 2", *_AGENT_TALK),
 )
 def _(spark, d):
-    owned = frames(spark, d).owned
-    el = conversation.conversation_elements(owned, ["session_id", "agent"], tools=True)
-    return conversation.transcripts(el, ["session_id", "agent"])
+    f = frames(spark, d)
+    return conversation.transcripts(f.agent_elements, ["session_id", "agent"], largest=f.largest_agent_conversation)
 
 
 @query(
@@ -228,8 +228,8 @@ def _session_request(key: str, metric: str):
         with_base(f"SELECT ses.sid AS session_id, {_prompt_sql(metric, conversation='j')} AS prompt FROM ses LEFT JOIN ej ON ej.sid = ses.sid", _SES, _EL, _ELJSON),
     )
     def _(spark, d):
-        t = typed(spark, d)
-        asked = judge.conversation_requests(metric, conversation.conversation_elements(t), sessions.sessions(t))
+        f = frames(spark, d)
+        asked = judge.conversation_requests(metric, f.elements, f.sessions, f.largest_conversation)
         return asked.select("session_id", "prompt")
 
 
@@ -246,10 +246,8 @@ def _agent_request(key: str, metric: str):
         ),
     )
     def _(spark, d):
-        t = typed(spark, d)
-        el = conversation.conversation_elements(frames(spark, d).owned, ["session_id", "agent"], tools=True)
-        behaviour = roles.agent_behaviour(el, agents.agent_stats(t), agents.agent_tools(t))
-        asked = judge.agent_conversation_requests(metric, el, roles.skip_coordinators(roles.agent_roles(behaviour)))
+        f = frames(spark, d)
+        asked = judge.agent_conversation_requests(metric, f.agent_elements, f.roles, f.largest_agent_conversation)
         return asked.select("session_id", "agent", "prompt")
 
 

@@ -11,7 +11,7 @@ from spanloom.functions.filters import is_system_content
 from spanloom.functions.values import lenient_json, strip, truthy
 from spanloom.operators.conversation import (
     ELEMENT_ORDER,
-    chat_history,
+    chat_messages,
     conversation_elements,
     endpoints,
 )
@@ -166,15 +166,13 @@ def answer_relevancy_cases(spans: DataFrame) -> DataFrame:
 def session_relevancy_cases(spans: DataFrame) -> DataFrame:
     """Query and response of each session, filtered conversation elements where one of them
     is missing, a fixed text where nothing fits."""
-    from spanloom.operators.sessions import sessions
-
     said = conversation_elements(spans).filter(~is_system_content(F.col("content")))
     order = F.struct(*ELEMENT_ORDER)
     pick = lambda fn, role: fn("content", F.when(F.lower("role") == role, order))
     spare = said.groupBy("session_id").agg(
         pick(F.min_by, "user").alias("_q"), pick(F.max_by, "assistant").alias("_a")
     )
-    every = sessions(spans).select("session_id").join(endpoints(spans), "session_id", "left").join(
+    every = spans.select("session_id").distinct().join(endpoints(spans), "session_id", "left").join(
         spare, "session_id", "left"
     )
     text = lambda a, b, what: F.coalesce(
@@ -190,24 +188,12 @@ def session_relevancy_cases(spans: DataFrame) -> DataFrame:
 
 def answer_correctness_cases(spans: DataFrame) -> DataFrame:
     """Tool definitions and chat history in, answer out, expected output where known."""
-    asked = chat_history(spans, "prompts").withColumnRenamed("messages", "chat_payload")
-    said = chat_history(spans, "completions").withColumnRenamed("messages", "answer")
-    keys = ["session_id", "span_id"]
-    defs = _models(spans).select(*keys, F.col("functions").alias("tool_definitions"), "expected_output")
-    same = lambda a, b: F.col(f"{a}.session_id").eqNullSafe(F.col(f"{b}.session_id")) & (
-        F.col(f"{a}.span_id") == F.col(f"{b}.span_id")
-    )
-    joined = (
-        defs.alias("d")
-        .join(asked.alias("q"), same("d", "q"))
-        .join(said.alias("a"), same("d", "a"))
-        .select("d.*", "q.chat_payload", "a.answer")
-    )
+    asked = F.struct(F.col("functions").alias("tool_definitions"), chat_messages("prompts").alias("chat_payload"))
     return _case(
-        joined,
+        _models(spans),
         "AnswerCorrectnessMetric",
-        input=F.to_json(F.struct("tool_definitions", "chat_payload")),
-        actual_output=F.to_json("answer"),
+        input=F.to_json(asked),
+        actual_output=F.to_json(chat_messages("completions")),
         expected_output=F.coalesce("expected_output", F.lit("")),
     )
 
@@ -215,10 +201,10 @@ def answer_correctness_cases(spans: DataFrame) -> DataFrame:
 def style_cases(spans: DataFrame) -> DataFrame:
     """The answer only."""
     return _case(
-        chat_history(spans, "completions"),
+        _models(spans),
         "GeneralStructureAndStyleMetric",
         input=F.lit("{}"),
-        actual_output=F.to_json("messages"),
+        actual_output=F.to_json(chat_messages("completions")),
     )
 
 

@@ -123,19 +123,23 @@ def element_line() -> Column:
     )
 
 
-def transcripts(elements: DataFrame, keys: list[str], max_lines: int = 2_000) -> DataFrame:
+def transcripts(
+    elements: DataFrame, keys: list[str], max_lines: int = 2_000, largest: int | None = None
+) -> DataFrame:
     """Transcript text per group, in parts of at most `max_lines` elements, so that no group
     is too large for one value. A group of usual size is a single part 0."""
     lines = elements.withColumn("_line", element_line()).filter(F.col("_line").isNotNull())
-    return packed(lines, keys, ELEMENT_ORDER, F.col("_line"), "_lines", max_lines).select(
+    return packed(lines, keys, ELEMENT_ORDER, F.col("_line"), "_lines", max_lines, largest).select(
         *keys, "part", F.array_join("_lines", "\n").alias("text")
     )
 
 
-def elements_json(elements: DataFrame, keys: list[str], max_items: int = 2_000) -> DataFrame:
+def elements_json(
+    elements: DataFrame, keys: list[str], max_items: int = 2_000, largest: int | None = None
+) -> DataFrame:
     """Conversation elements per group as JSON lists of {role, content}, in bounded parts."""
     item = F.struct("role", "content")
-    return packed(elements, keys, ELEMENT_ORDER, item, "_items", max_items).select(
+    return packed(elements, keys, ELEMENT_ORDER, item, "_items", max_items, largest).select(
         *keys, "part", F.to_json("_items").alias("elements")
     )
 
@@ -150,9 +154,9 @@ def agent_exchanges(spans: DataFrame, max_items: int = 2_000) -> DataFrame:
     )
 
 
-def chat_history(spans: DataFrame, side: str = "prompts") -> DataFrame:
-    """Messages of each model span: its numbered prompts or completions, with the tool calls
-    of assistant messages rebuilt. One row per span; bounded by the span's own attributes."""
+def chat_messages(side: str) -> Column:
+    """Messages of a model span, from its numbered prompts or completions, with the tool calls
+    of assistant messages rebuilt. Row-local: bounded by the span's own attributes."""
     prefix = {"prompts": "gen_ai.prompt", "completions": "gen_ai.completion"}[side]
     values = F.col(side)
 
@@ -167,8 +171,13 @@ def chat_history(spans: DataFrame, side: str = "prompts") -> DataFrame:
             calls.alias("tool_calls"),
         )
 
+    return F.transform(_numbered(values, prefix), message)
+
+
+def chat_history(spans: DataFrame, side: str = "prompts") -> DataFrame:
+    """Messages of each model span."""
     return spans.filter(F.col("entity_type") == "llm").select(
-        "session_id", "span_id", F.transform(_numbered(values, prefix), message).alias("messages")
+        "session_id", "span_id", chat_messages(side).alias("messages")
     )
 
 

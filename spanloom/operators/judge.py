@@ -88,18 +88,22 @@ def requests(entities: DataFrame, metric: str, level: str) -> DataFrame:
     )
 
 
-def conversation_requests(metric: str, elements: DataFrame, session_frame: DataFrame) -> DataFrame:
+def conversation_requests(
+    metric: str, elements: DataFrame, session_frame: DataFrame, largest: int | None = None
+) -> DataFrame:
     """Session-level request over the conversation's elements. Every session is asked about,
     one without elements with an empty conversation."""
-    shown = elements_json(elements, ["session_id"]).withColumnRenamed("elements", "conversation")
+    shown = elements_json(elements, ["session_id"], largest=largest).withColumnRenamed("elements", "conversation")
     every = session_frame.select("session_id").join(shown, "session_id", "left")
     return requests(every.withColumn("part", F.coalesce("part", F.lit(0))), metric, "session")
 
 
-def agent_conversation_requests(metric: str, elements: DataFrame, roles: DataFrame) -> DataFrame:
+def agent_conversation_requests(
+    metric: str, elements: DataFrame, roles: DataFrame, largest: int | None = None
+) -> DataFrame:
     """Agent-level request over the agent's transcript. Agents without text are passed over,
     and so are coordinators where the criterion says so (`roles` has skip per agent)."""
-    text = transcripts(elements, ["session_id", "agent"]).withColumnRenamed("text", "conversation")
+    text = transcripts(elements, ["session_id", "agent"], largest=largest).withColumnRenamed("text", "conversation")
     asked = text.filter(truthy(F.col("conversation")).isNotNull())
     if CRITERIA[metric].skip_coordinators:
         asked = asked.join(roles.filter("skip").select("session_id", "agent"), ["session_id", "agent"], "left_anti")

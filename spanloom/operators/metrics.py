@@ -66,9 +66,11 @@ def agent_mentions(spans: DataFrame) -> DataFrame:
     ).filter(F.col("agent_name").isNotNull())
 
 
-def agent_transitions(spans: DataFrame) -> DataFrame:
-    """Changes from one named agent to the next, in session order, one row each."""
-    linked = OrderedGroups(agent_mentions(spans), ["session_id"], SESSION_ORDER).neighbours(
+def agent_transitions(spans: DataFrame, largest: int | None = None) -> DataFrame:
+    """Changes from one named agent to the next, in session order, one row each. `largest`:
+    spans of the largest session, where known."""
+    groups = OrderedGroups(agent_mentions(spans), ["session_id"], SESSION_ORDER, largest=largest)
+    linked = groups.neighbours(
         {"previous_agent": "agent_name"}
     )
     changed = F.col("previous_agent") != F.col("agent_name")
@@ -141,10 +143,10 @@ def workflow_efficiency(counts: DataFrame, session_frame: DataFrame) -> DataFram
     )
 
 
-def path_steps(spans: DataFrame) -> DataFrame:
+def path_steps(spans: DataFrame, largest: int | None = None) -> DataFrame:
     """Consecutive agent and tool names of each session, repeats included."""
     acts = with_order(spans).filter(_is("agent", "tool")).select("session_id", "entity_name", *SESSION_ORDER)
-    linked = OrderedGroups(acts, ["session_id"], SESSION_ORDER).neighbours(
+    linked = OrderedGroups(acts, ["session_id"], SESSION_ORDER, largest=largest).neighbours(
         {"source": "entity_name", "_before": "span_id"}
     )
     return linked.filter(F.col("_before").isNotNull()).select(
@@ -152,9 +154,9 @@ def path_steps(spans: DataFrame) -> DataFrame:
     )
 
 
-def path_edges(spans: DataFrame) -> DataFrame:
+def path_edges(spans: DataFrame, largest: int | None = None) -> DataFrame:
     """The edge set of each session's path."""
-    return path_steps(spans).distinct()
+    return path_steps(spans, largest).distinct()
 
 
 def edge_difference(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -210,11 +212,11 @@ def count_cycles(names: list, shortest: int = 2) -> int:
 _MAX_SCANNED = 20_000
 
 
-def _cycles(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def _cycles(df: DataFrame, keys: list[str], order: list[str], largest: int | None = None) -> DataFrame:
     """Cycles per group. Groups within the row limit are scanned as one array each; larger
     ones are solved by joins (operators.cycles)."""
     limit = min(max_group_rows(df.sparkSession), _MAX_SCANNED)
-    groups = OrderedGroups(df, keys, order, limit)
+    groups = OrderedGroups(df, keys, order, limit, largest)
 
     @F.pandas_udf("bigint")
     def scan(sequences: pd.Series) -> pd.Series:
@@ -233,10 +235,10 @@ def _cycles(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return counted.unionByName(count_cycles_long(long_groups, keys, order))
 
 
-def cycles(spans: DataFrame) -> DataFrame:
+def cycles(spans: DataFrame, largest: int | None = None) -> DataFrame:
     """Cycles of the agent and tool names of each session; 0 for sessions without any."""
     acts = with_order(spans).filter(_is("agent", "tool")).select("session_id", "entity_name", *SESSION_ORDER)
-    return _cycles(acts, ["session_id"], SESSION_ORDER)
+    return _cycles(acts, ["session_id"], SESSION_ORDER, largest)
 
 
 def agent_cycles(owned_in_tree_order: DataFrame) -> DataFrame:

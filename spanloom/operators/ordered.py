@@ -21,10 +21,17 @@ from spanloom.runtime import materialize, max_group_rows
 _BLOCK = "_block"
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group: a map-side-combined count."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 class OrderedGroups:
     """Rows of `df` in a total order inside each group.
 
     `order` must be a total key (end it with an id): ties are the caller's to break.
+    `largest` is the size of the largest group where a caller has measured it already
+    (`largest_group`), which spares counting again.
     """
 
     def __init__(
@@ -33,13 +40,15 @@ class OrderedGroups:
         keys: list[str],
         order: list[str],
         max_rows: int | None = None,
+        largest: int | None = None,
     ):
         self.keys = keys
         self.order_columns = order
         self.order = [F.col(o).asc_nulls_last() for o in order]
         limit = max_rows or max_group_rows(df.sparkSession)
         hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-        hot_rows = hot.agg(F.sum("_n")).first()[0] or 0
+        fits = largest is not None and largest <= limit
+        hot_rows = 0 if fits else hot.agg(F.sum("_n")).first()[0] or 0
         self.split = hot_rows > 0
         self.df = self._split(df, hot, int(hot_rows), limit) if self.split else df
 
@@ -165,10 +174,11 @@ def packed(
     item: Column,
     name: str = "items",
     max_items: int = 10_000,
+    largest: int | None = None,
 ) -> DataFrame:
     """Ordered lists, at most `max_items` long: one row per (group, part). A group of any
     size stays whole, spread over as many parts as it needs."""
-    placed = OrderedGroups(df, keys, order).positions("_pos")
+    placed = OrderedGroups(df, keys, order, largest=largest).positions("_pos")
     listed = (
         placed.withColumn("_part", F.floor(F.col("_pos") / max_items).cast("bigint"))
         .groupBy(*keys, F.col("_part").alias("part"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators import agents, conversation, metrics, population, roles, sessions, tree
+from spanloom.operators.ordered import largest_group
 from spanloom.operators.parse import in_sessions, parse_spans
 from spanloom.runtime import materialize
 
@@ -23,6 +24,20 @@ class Frames:
 
     spans: DataFrame
 
+    @cached_property
+    def largest_session(self) -> int:
+        """Spans of the largest session, counted once for all order-dependent operators."""
+        return largest_group(self.spans, ["session_id"])
+
+    @cached_property
+    def largest_conversation(self) -> int:
+        """Elements of the largest conversation."""
+        return largest_group(self.elements, ["session_id"])
+
+    @cached_property
+    def largest_agent_conversation(self) -> int:
+        return largest_group(self.agent_elements, ["session_id", "agent"])
+
     @cached_property
     def sessions(self) -> DataFrame:
         return sessions.sessions(self.spans)
@@ -60,7 +75,7 @@ class Frames:
 
     @cached_property
     def transitions(self) -> DataFrame:
-        return metrics.transition_counts(metrics.agent_transitions(self.spans))
+        return metrics.transition_counts(metrics.agent_transitions(self.spans, self.largest_session))
 
     @cached_property
     def session_metrics(self) -> DataFrame:

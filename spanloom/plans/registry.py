@@ -81,7 +81,7 @@ def _tool_error_rate(f: Frames) -> DataFrame:
     agent=lambda f: result_rows(metrics.agent_cycles(f.owned), "CyclesCount", "agent", F.col("cycles"), unit="cycles"),
 )
 def _cycles(f: Frames) -> DataFrame:
-    found = f.sessions.select("session_id").join(metrics.cycles(f.spans), "session_id", "left")
+    found = f.sessions.select("session_id").join(metrics.cycles(f.spans, f.largest_session), "session_id", "left")
     return result_rows(found, "CyclesCount", "session", F.coalesce("cycles", F.lit(0)), unit="cycles")
 
 
@@ -108,7 +108,7 @@ def _agent_to_tool(f: Frames) -> DataFrame:
 
 @native.metric("GraphDeterminismScore", "population")
 def _path_variance(f: Frames) -> DataFrame:
-    found = metrics.path_variance(metrics.path_edges(f.spans), f.sessions)
+    found = metrics.path_variance(metrics.path_edges(f.spans, f.largest_session), f.sessions)
     return result_rows(
         found, "GraphDeterminismScore", "population", F.col("path_variance"), error=F.col("error"), unit="average_edit_distance"
     )

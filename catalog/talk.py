@@ -265,7 +265,7 @@ for _key, _metric in [
         _agent_request(f"{_key}_agent", _metric)
 
 
-_TRUTH = "truth AS (SELECT DISTINCT 'Please calculate item ' || k AS query, 'The answer is ' || (k * k) AS answer FROM ev WHERE k % 3 = 0)"
+_TRUTH = "truth AS (SELECT DISTINCT 'Please calculate item ' || k AS query, 'The answer is ' || (k * k) AS answer FROM ev)"
 
 
 _KNOWN = "coalesce(answer, 'No ground truth available')"
@@ -273,7 +273,7 @@ _KNOWN = "coalesce(answer, 'No ground truth available')"
 
 def _truth(spark, d):
     k = F.regexp_extract("props", r"([0-9]+)", 1).cast("int")
-    e = derived.table(spark, d, "events", "props string").select(k.alias("k")).distinct().filter("k % 3 = 0")
+    e = derived.table(spark, d, "events", "props string").select(k.alias("k")).distinct()
     return e.select(
         F.concat(F.lit("Please calculate item "), F.col("k").cast("string")).alias("query"),
         F.concat(F.lit("The answer is "), (F.col("k") * F.col("k")).cast("string")).alias("answer"),

@@ -1,3 +1,10 @@
 """Agent-telemetry analytics as DataFrame-to-DataFrame operators on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run inside tasks travel with the job, so executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

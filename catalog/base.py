@@ -14,6 +14,7 @@ from spanloom.operators.tree import unique_spans
 from spanloom.plans.build import Frames
 from spanloom.runtime import materialize, scratch_root
 from spanloom.sources import derived
+from spanloom.sources.traces import read_histogram
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +22,7 @@ ORACLES: dict[str, str] = {}
 
 _tables: dict[tuple[str, str, str], DataFrame] = {}
 _frames: dict[tuple[str, str], Frames] = {}
+_histograms: dict[tuple[str, str], str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -51,6 +53,15 @@ def typed(spark: SparkSession, folder: str) -> DataFrame:
     return _stored(spark, folder, "typed", lambda: unique_spans(in_sessions(parse_spans(raw(spark, folder)))))
 
 
+def histogram(spark: SparkSession, folder: str, metric: str) -> DataFrame:
+    """Points of one histogram metric, read from the stored points."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _histograms:
+        _histograms[key] = scratch(spark, "histogram")
+        derived.histogram_points(spark, folder).write.parquet(_histograms[key])
+    return read_histogram(spark, _histograms[key], metric)
+
+
 def frames(spark: SparkSession, folder: str) -> Frames:
     """The frames that several operators share, built on the typed spans once."""
     key = (spark.sparkContext.applicationId, folder)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import micros, query, r6, raw
+from catalog.base import histogram, micros, query, r6, raw
 from catalog.base_sql import uuid_sql, with_base
 from spanloom.functions.values import attr, utc_time
 from spanloom.operators import reads
@@ -129,7 +129,7 @@ def _(spark, d):
     "SELECT 'app' || ((event_id // 16) % 5) AS service, round(value, 6) AS total FROM events WHERE event_type <> 'view'",
 )
 def _(spark, d):
-    points = derived.histogram_points(spark, d).filter(F.col("MetricName") == "response_latency")
+    points = histogram(spark, d, "response_latency")
     return points.select(attr(F.col("ResourceAttributes"), "service.name").alias("service"), r6(F.col("Sum")).alias("total"))
 
 
@@ -312,7 +312,7 @@ def _(spark, d):
     FROM events WHERE event_type <> 'view' GROUP BY 1""",
 )
 def _(spark, d):
-    points = derived.histogram_points(spark, d).filter(F.col("MetricName") == "response_latency")
+    points = histogram(spark, d, "response_latency")
     out = reads.latency_per_service(points)
     return out.select("service_name", "total_requests", *[r6(c) for c in ("total_latency", "avg_latency", "max_latency", "min_latency")])
 

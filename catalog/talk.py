@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import frames, query, r6, typed
+from catalog.base import frames, query, r6, scratch, typed
 from catalog.base_sql import with_base
 from catalog.sessions import _AST, _OWN, _SES
-from spanloom.operators import agents, conversation, judge, roles
+from spanloom.operators import agents, conversation, judge, results, roles
 from spanloom.operators.conversation import ELEMENT_ORDER
 from spanloom.sources import derived
 
@@ -385,3 +385,22 @@ _REP = """rep AS (SELECT 'doc' || doc_id AS id, 1 AS no, quality AS sc, 'doc ' |
 def _(spark, d):
     agreed = judge.consensus(judge.parsed_replies(derived.judge_replies(spark, d)))
     return agreed.select("request_id", r6("score"), "reasoning", F.col("error").isNotNull().alias("failed"))
+
+
+@query(
+    "A37_judged_results",
+    with_base(
+        """SELECT span AS span_id, 'TaskDelegationAccuracy' AS metric_name, 'span' AS aggregation_level, round(n % 2 * 1e0, 6) AS value_num,
+        CASE WHEN n % 2 = 1 THEN 'delegation_accurate' ELSE 'delegation_not_accurate' END AS label, 'why ' || n AS reasoning
+        FROM (SELECT span, cast(regexp_extract(span, '([0-9]+)$', 1) AS bigint) AS n FROM sp WHERE etype = 'agent')"""
+    ),
+)
+def _(spark, d):
+    asked = judge.delegation_requests(typed(spark, d))
+    n = F.regexp_extract("span_id", r"([0-9]+)$", 1).cast("bigint")
+    reply = F.to_json(F.struct((n % 2).alias("metric_score"), F.concat(F.lit("why "), n.cast("string")).alias("score_reasoning")))
+    path = scratch(spark, "replies")
+    asked.select("request_id", F.lit(1).alias("judge_no"), reply.alias("reply")).write.json(path)
+    agreed = judge.consensus(judge.parsed_replies(judge.read_replies(spark, path)))
+    out = results.with_labels(judge.judged_results(asked, agreed))
+    return out.select("span_id", "metric_name", "aggregation_level", r6("value_num"), "label", "reasoning")

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import find_key, reply_json, truthy
 from spanloom.operators.conversation import elements_json, transcripts
 from spanloom.operators.results import result_rows
+from spanloom.schemas import JUDGE_REPLY_SCHEMA
 
 ANSWER_FORMAT = (
     "\nAnswer with one JSON object: `score_reasoning` (at most 100 words on the rubric) and "
@@ -163,6 +164,11 @@ def delegation_requests(spans: DataFrame) -> DataFrame:
 # --- replies ------------------------------------------------------------------------------------
 
 
+def read_replies(spark: SparkSession, path: str) -> DataFrame:
+    """Replies handed back as JSON lines: request_id, judge_no, reply."""
+    return spark.read.schema(JUDGE_REPLY_SCHEMA).json(path)
+
+
 def parsed_replies(replies: DataFrame) -> DataFrame:
     """Score and reasoning of each reply, at any depth; both null where it does not parse."""
     read = replies.withColumn("_json", reply_json(F.col("reply")))

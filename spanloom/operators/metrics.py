@@ -3,6 +3,7 @@ one into result rows. Evidence (span ids) stays in long frames of its own."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,28 +187,51 @@ def path_variance(edges: DataFrame, session_frame: DataFrame) -> DataFrame:
 
 def count_cycles(names: list, shortest: int = 2) -> int:
     """Contiguous repeats in a sequence, taken greedily, the shortest length first."""
+    if len(names) <= 64:
+        return _count_cycles_short(names, shortest)
     code = {name: i for i, name in enumerate(dict.fromkeys(names))}
-    seq = [code[name] for name in names]
-    places: dict[int, list[int]] = {}
-    for i, c in enumerate(seq):
-        places.setdefault(c, []).append(i)
-    n, at, cycles = len(seq), 0, 0
+    seq = np.array([code[name] for name in names], dtype=np.int64)
+    places = [np.flatnonzero(seq == c) for c in range(len(code))]
+    # Prefix hashes (wrapping) rule lengths out many at a time; hits are compared in full.
+    n, wrap, base = len(seq), (1 << 64) - 1, 0x9E3779B97F4A7C15
+    prefix, power = [0], [1]
+    for c in seq.tolist():
+        prefix.append((prefix[-1] * base + c + 1) & wrap)
+        power.append((power[-1] * base) & wrap)
+    h, p = np.array(prefix, dtype=np.uint64), np.array(power, dtype=np.uint64)
+    at, cycles = 0, 0
     while at < n:
         step = 1
         # A repeat of length k starts with the same name k places on.
-        for j in places[seq[at]]:
-            k = j - at
-            if k < shortest:
-                continue
-            if at + 2 * k > n:
-                break
-            if seq[at:j] == seq[j : j + k]:
-                cycles, step = cycles + 1, k
-                break
+        same = places[seq[at]]
+        first, last = np.searchsorted(same, [at + shortest, at + (n - at) // 2 + 1])
+        nexts = same[first:last]
+        if len(nexts):
+            ks = nexts - at
+            ahead, behind = h[nexts] - h[at] * p[ks], h[nexts + ks] - h[nexts] * p[ks]
+            for k in ks[ahead == behind].tolist():
+                if np.array_equal(seq[at : at + k], seq[at + k : at + 2 * k]):
+                    cycles, step = cycles + 1, k
+                    break
         at += step
     return cycles
 
 
+def _count_cycles_short(names: list, shortest: int) -> int:
+    """The same for a few names, where plain lists are quicker than arrays."""
+    n, at, cycles = len(names), 0, 0
+    while at + 2 * shortest <= n:
+        lengths = (
+            k
+            for k in range(shortest, (n - at) // 2 + 1)
+            if names[at] == names[at + k] and names[at : at + k] == names[at + k : at + 2 * k]
+        )
+        k = next(lengths, 0)
+        cycles += k > 0
+        at += k or 1
+    return cycles
+
+
 # The array scan is quadratic at worst; longer sequences go to the join form.
 _MAX_SCANNED = 20_000
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.constants import AGGREGATION_LEVELS
-from spanloom.operators import confidence, metrics
+from spanloom.operators import confidence, metrics, population
 from spanloom.operators.agents import agent_view
 from spanloom.operators.results import result_rows, split_work, with_bucket, with_labels, with_session_app
 from spanloom.plans.build import Frames
@@ -127,6 +127,14 @@ def _passive_app(f: Frames) -> DataFrame:
     return result_rows(found, "PassiveEvalApp", "session", value_json=body, unit="dict_stats")
 
 
+@native.metric("PassiveEvalAgents", "session")
+def _passive_agents(f: Frames) -> DataFrame:
+    grid = population.aligned_agent_measures(population.agent_metrics(f.agent_stats), f.sessions)
+    found = metrics.passive_agents(grid)
+    body = F.to_json(F.struct(*[c for c in found.columns if c not in ("session_id", "agent")]))
+    return result_rows(found, "PassiveEvalAgents", "session", value_json=body, unit="dict_stats")
+
+
 @native.metric("ToolError", "span")
 def _tool_status(f: Frames) -> DataFrame:
     found = metrics.tool_status(f.spans)

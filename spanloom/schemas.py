@@ -114,9 +114,6 @@ METRIC_RESULT_SCHEMA = _fields(
     ]
 )
 
-# A grade as external judges return it.
-GRADE_TYPE = _fields([("score_reasoning", T.StringType()), ("metric_score", T.IntegerType())])
-
 JUDGE_REPLY_SCHEMA = _fields(
     [
         ("request_id", T.StringType()),

@@ -150,3 +150,33 @@ def test_deduplicated_stream(spark, raw_spans, tmp_path):
     q = stream.writeStream.format("memory").queryName("dedup").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["SpanId"] for r in spark.sql("select SpanId from dedup").collect()) == ["a", "b"]
+
+
+def test_trace_table_layout_prunes_and_pushes_down(spark, raw_spans, tmp_path):
+    from spanloom.operators import reads
+
+    path = str(tmp_path / "traces")
+    traces.write_trace_table(raw_spans([tool(id="a", session="x_1"), tool(id="b", session="y_2")]), path)
+    assert traces.read_traces(spark, path).count() == 2
+    table = spark.read.schema(intake.TRACE_TABLE_SCHEMA).parquet(path)
+    found = reads.sessions_started(table, "2024-05-01T00:00:00Z", "2024-05-02T00:00:00Z").select("session_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SpanAttributes" not in plan
+    assert "IsNotNull(session_attr)" in plan
+    assert sorted(r[0] for r in found.collect()) == ["x_1", "y_2"]
+
+
+def test_histogram_name_is_pushed_down(spark, tmp_path):
+    path = str(tmp_path / "points")
+    rows = [("response_latency", {"service.name": "a"}, 2.0, 1.0, 3.0), ("other", {}, 1.0, 1.0, 1.0)]
+    spark.createDataFrame(rows, "MetricName string, ResourceAttributes map<string,string>, Sum double, Min double, Max double").write.parquet(path)
+    points = traces.read_histogram(spark, path, "response_latency")
+    assert points.count() == 1
+    assert "EqualTo(MetricName,response_latency)" in points._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scope_is_checked(spark):
+    rows = spark.createDataFrame([("a",)], "SessionId string")
+    assert metric_store.with_scope(rows, "span").first()["Scope"] == "span"
+    with pytest.raises(ValueError, match="scope"):
+        metric_store.with_scope(rows, "agent")

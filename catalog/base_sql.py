@@ -147,7 +147,7 @@ def num(c: str) -> str:
 
 # Reachable spans with depth and root; ids are unique, so no loops arise here.
 TREE = """tree AS (
-  SELECT sid, span, tid, etype, name, ts, span AS root, tid AS root_tid, 0 AS depth, [ts || '/' || span] AS path, [span] AS ids
+  SELECT sid, span, tid, etype, name, ts, span AS root, tid AS root_tid, 0::BIGINT AS depth, [ts || '/' || span] AS path, [span] AS ids
   FROM sp WHERE parent IS NULL OR NOT EXISTS (SELECT 1 FROM sp q WHERE q.sid = sp.sid AND q.span = sp.parent)
   UNION ALL
   SELECT c.sid, c.span, c.tid, c.etype, c.name, c.ts, t.root, t.root_tid, t.depth + 1,

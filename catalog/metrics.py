@@ -43,7 +43,7 @@ def _cycle_sql(source: str, keys: str) -> str:
     """Greedy scan in SQL: step by the smallest repeat length, else by one."""
     return f"""seqs AS ({source}),
 scan AS (
-  SELECT {keys}, names, len(names) AS n, 1 AS i, 0 AS cycles FROM seqs
+  SELECT {keys}, names, len(names) AS n, 1 AS i, 0::BIGINT AS cycles FROM seqs
   UNION ALL
   SELECT {keys}, names, n, i + coalesce(k, 1), cycles + CASE WHEN k IS NULL THEN 0 ELSE 1 END FROM (
     SELECT *, list_min([x FOR x IN range(2, (n - i + 1) // 2 + 1) IF names[i:i + x - 1] = names[i + x:i + 2 * x - 1]]) AS k FROM scan WHERE i <= n))"""
@@ -98,7 +98,7 @@ def _(spark, d):
 @query(
     "M05_agent_to_agent",
     with_base(
-        """SELECT ses.sid AS session_id, coalesce('{' || string_agg('"' || transition || '":' || n, ',' ORDER BY transition) || '}', '{}') AS value_json, 0 AS part,
+        """SELECT ses.sid AS session_id, coalesce('{' || string_agg('"' || transition || '":' || n, ',' ORDER BY transition) || '}', '{}') AS value_json, 0::BIGINT AS part,
         cast(coalesce(sum(n), 0) AS bigint) AS total_transitions, count(transition) AS unique_transitions FROM ses LEFT JOIN trc ON trc.sid = ses.sid GROUP BY 1""",
         _SES, _TRANS,
     ),

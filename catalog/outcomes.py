@@ -40,7 +40,7 @@ _TJ = f"""tj AS (SELECT sid, count(*) AS n, '[' || string_agg('{{"name":' || to_
   FROM (SELECT sid, span, ts, name, tool_in AS i, {_OUTJ} AS o FROM evt WHERE kind = 'tool' AND sid IS NOT NULL) GROUP BY 1)"""
 
 
-@query("E02_session_tools", with_base("SELECT sid AS session_id, 0 AS part, n AS n_tools, j AS tools_called FROM tj", _TJ))
+@query("E02_session_tools", with_base("SELECT sid AS session_id, 0::BIGINT AS part, n AS n_tools, j AS tools_called FROM tj", _TJ))
 def _(spark, d):
     real = typed(spark, d).filter("attrs['tool_name'] is null")
     return cases.session_tools(real)
@@ -49,7 +49,7 @@ def _(spark, d):
 _TURNS = f"""tu AS (SELECT sid, count(*) AS n, '[' || string_agg('{{"role":' || to_json(CASE WHEN role IN ('user','assistant') THEN role ELSE 'assistant' END) || ',"content":' || to_json(content) || '}}', ',' ORDER BY {_ORD}) || ']' AS j FROM el GROUP BY 1)"""
 
 
-@query("E03_conversation_cases", with_base("SELECT sid AS session_id, 0 AS part, n AS n_turns, j AS turns FROM tu", _EL, _TURNS))
+@query("E03_conversation_cases", with_base("SELECT sid AS session_id, 0::BIGINT AS part, n AS n_turns, j AS turns FROM tu", _EL, _TURNS))
 def _(spark, d):
     return cases.conversation_cases(typed(spark, d), "RoleAdherenceMetric").select("session_id", "part", "n_turns", "turns")
 

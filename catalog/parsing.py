@@ -56,7 +56,7 @@ def _(spark, d):
         at("prompts", "gen_ai.prompt.1.content").alias("prompt"),
         at("completions", "gen_ai.completion.0.content").alias("completion"),
         at("completions", "gen_ai.completion.0.role").alias("role"),
-        F.size("prompts").alias("n_prompt_keys"),
+        F.size("prompts").cast("bigint").alias("n_prompt_keys"),
     )
 
 
@@ -167,10 +167,10 @@ def _(spark, d):
 @query(
     "P16_P17_P18_P19_raw_measures",
     with_base(
-        """SELECT span AS span_id, round(ts / 1e6, 6) AS start_epoch, round(dur * 0.000001, 6) AS duration_ms,
+        """SELECT span AS span_id, round(ts / 1e6, 6) AS start_epoch, round(dur * 1e-6, 6) AS duration_ms,
         CASE WHEN status IN ('Error', 'STATUS_CODE_ERROR') THEN 2 ELSE 0 END AS status_number,
         CASE WHEN k % 3 = 0 THEN '' ELSE upper(CASE kind WHEN 'autoflow' THEN 'workflow' WHEN 'autoagent' THEN 'agent' ELSE kind END) END AS framework_kind
-        FROM evr UNION ALL SELECT span, round(ts / 1e6, 6), round(dur * 0.000001, 6), 0, '' FROM ch"""
+        FROM evr UNION ALL SELECT span, round(ts / 1e6, 6), round(dur * 1e-6, 6), 0, '' FROM ch"""
     ),
 )
 def _(spark, d):

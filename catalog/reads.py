@@ -41,7 +41,7 @@ def _(spark, d):
     "S03_keyed_by_session",
     with_base(
         f"""SELECT span AS span_id, coalesce(CASE WHEN src = 'c' THEN substr(sid, 6) ELSE split_part(sid, '_', 2) END, 'file_session_default') AS session_key,
-        sid AS full_session_id, round(ts / 1e6, 6) AS start_epoch, round(dur * 0.000001, 6) AS duration_ms,
+        sid AS full_session_id, round(ts / 1e6, 6) AS start_epoch, round(dur * 1e-6, 6) AS duration_ms,
         CASE WHEN status IN ('Error','STATUS_CODE_ERROR') THEN 2 ELSE 0 END AS status_number FROM raw"""
     ),
 )

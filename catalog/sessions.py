@@ -296,7 +296,7 @@ astc AS (SELECT *, (llm_calls = 0 OR llm_fails < llm_calls) AND (tool_calls = 0
     "A15_agent_stats",
     with_base(
         """SELECT sid AS session_id, agent, llm_calls, llm_fails, tool_calls, tool_fails, round(tool_duration, 6) AS tool_duration, round(llm_duration, 6) AS llm_duration,
-        round(duration, 6) AS duration, llm_input_tokens, llm_output_tokens, llm_total_tokens, 0 AS tool_total_tokens, completion FROM astc""",
+        round(duration, 6) AS duration, llm_input_tokens, llm_output_tokens, llm_total_tokens, 0::BIGINT AS tool_total_tokens, completion FROM astc""",
         _AST,
     ),
 )

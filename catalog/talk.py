@@ -78,7 +78,7 @@ def _(spark, d):
 
 @query(
     "P35_agent_transcripts",
-    with_base(f"SELECT sid AS session_id, agent, 0 AS part, string_agg(line, chr(10) ORDER BY {_ORD}) AS text FROM aline GROUP BY 1, 2", *_AGENT_TALK),
+    with_base(f"SELECT sid AS session_id, agent, 0::BIGINT AS part, string_agg(line, chr(10) ORDER BY {_ORD}) AS text FROM aline GROUP BY 1, 2", *_AGENT_TALK),
 )
 def _(spark, d):
     f = frames(spark, d)
@@ -88,7 +88,7 @@ def _(spark, d):
 @query(
     "P32_agent_exchanges",
     with_base(
-        """SELECT sid AS session_id, 0 AS part, string_agg('INPUT: ' || i || chr(10) || 'OUTPUT: ' || o, chr(10) || chr(10) ORDER BY ts, span) AS conversation FROM (
+        """SELECT sid AS session_id, 0::BIGINT AS part, string_agg('INPUT: ' || i || chr(10) || 'OUTPUT: ' || o, chr(10) || chr(10) ORDER BY ts, span) AS conversation FROM (
         SELECT sid, ts, span, CASE WHEN kind = 'agent' THEN '{"value":"Plan step ' || k || '"}' ELSE 'None' END AS i,
           CASE WHEN kind <> 'agent' THEN 'None' WHEN k % 2 = 0 THEN '{"value": "Agent reply ' || k || ' done"}' ELSE '{"answer": ' || k || '}' END AS o FROM sp WHERE etype = 'agent') GROUP BY 1"""
     ),

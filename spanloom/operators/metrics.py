@@ -176,9 +176,9 @@ def path_variance(edges: DataFrame, session_frame: DataFrame) -> DataFrame:
     sums = per_edge.agg(F.sum("f").alias("e"), F.sum(F.col("f") * (F.col("f") - 1)).alias("shared"))
     count, e, shared = F.col("n"), F.col("e").cast("double"), F.col("shared").cast("double")
     total = (count - 1) * F.coalesce(e, F.lit(0.0)) - F.coalesce(shared, F.lit(0.0))
-    # Both sides are one-row aggregates; the key makes the join an ordinary one.
-    one = n.withColumn("_k", F.lit(1)).join(sums.withColumn("_k", F.lit(1)), "_k", "left")
-    return one.select(
+    # Two one-row aggregates become one row by union, not by a join.
+    parts = n.unionByName(sums, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in ("n", "e", "shared")]).select(
         count.alias("n_sessions"),
         F.when(count < 2, -1.0).otherwise(2.0 * total / (count * (count - 1))).alias("path_variance"),
         F.when(count < 2, "needs at least two sessions").alias("error"),

@@ -193,9 +193,10 @@ def execution_tree(spans: DataFrame) -> DataFrame:
     return fold_ancestors(spans.select(*_NODE), [])
 
 
-def with_paths(spans: DataFrame, folds: list[Fold] | None = None) -> DataFrame:
-    """Reachable spans with root_id, depth and the root-first path of (time, id) in `path`."""
-    reached = fold_ancestors(spans, [*(folds or []), path_fold()], MAX_PATH_DEPTH)
+def with_paths(spans: DataFrame, folds: list[Fold] | None = None, max_depth: int | None = None) -> DataFrame:
+    """Reachable spans with root_id, depth and the root-first path of (time, id) in `path`.
+    With `max_depth`, TooDeep is raised for forests beyond it."""
+    reached = fold_ancestors(spans, [*(folds or []), path_fold()], max_depth)
     return reached.withColumn("path", F.concat("above", F.array(path_item()))).drop("above")
 
 
@@ -203,7 +204,7 @@ def walked(spans: DataFrame, folds: list[Fold] | None = None) -> DataFrame:
     """Reachable spans with `preorder`, whose order is a depth-first walk: traces by their
     first root, then roots and children by time."""
     try:
-        reached = with_paths(spans, folds)
+        reached = with_paths(spans, folds, MAX_PATH_DEPTH)
     except TooDeep:
         return tour_ranked(fold_ancestors(spans, folds or []))
     roots = reached.filter(F.col("depth") == 0).select(
@@ -313,7 +314,8 @@ def roots_of_type(spans: DataFrame, kind: str) -> DataFrame:
 
 
 def leaf_paths(spans: DataFrame) -> DataFrame:
-    """The path of every leaf, from its root, as an array of span ids."""
+    """The path of every leaf, from its root, as an array of span ids: whole at any depth,
+    since the path is the result."""
     reached = with_paths(spans.select(*_NODE))
     inner = spans.select("session_id", F.col("parent_span_id").alias("span_id")).distinct()
     leaves = reached.join(inner, ["session_id", "span_id"], "left_anti")

@@ -68,6 +68,13 @@ def test_deep_forests_are_ranked_by_their_tour(spans, monkeypatch):
     assert len(plain) == 60
 
 
+def test_leaf_paths_are_whole_at_any_depth(spans, monkeypatch):
+    monkeypatch.setattr(tree, "MAX_PATH_DEPTH", 2)
+    rows = [tool(id=f"n{i:02d}", parent=f"n{i - 1:02d}" if i else "") for i in range(15)]
+    got = tree.leaf_paths(spans(rows)).collect()
+    assert [r["path"] for r in got] == [[f"n{i:02d}" for i in range(15)]]
+
+
 def test_agent_spans_in_tree_order_with_spans_off_the_tree_last(spans):
     mine = {"attrs": {"agent_id": "x_agent"}}
     rows = [tool(id="loop", parent="loop", at=0, **mine), tool(id="b", parent="a", at=3, **mine), tool(id="a", at=2, **mine)]

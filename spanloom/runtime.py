@@ -35,9 +35,12 @@ def max_group_rows(spark: SparkSession) -> int:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set."""
+    """The shared folder that spark.checkpoint.dir names. Only a local session, whose driver
+    and executors are one process, may go without: it gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spanloom-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.decontaminate import find_benchmark_words, hit_words
+from spanloom.llm.hosts import UrlRule, filter_urls
+from spanloom.llm.quality import base_failed, measured, quality_verdict
+from spanloom.llm.sharding import shuffle_into_shards
 from spanloom.llm.substrings import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +43,49 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = remove_repeats(table(spark, folder, "documents"), returned=["doc_id"])
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = measured(table(spark, folder, "documents").select("doc_id", "text"))
+    failed = base_failed()
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        failed.alias("base_failed"),
+        (~failed & quality_verdict()).alias("kept"),
+    )
+
+
+@query
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = table(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    out = shuffle_into_shards(docs, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards=8)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+URL_RULES = [
+    UrlRule("block", "com", "/en/"),
+    UrlRule("allow", "example.com", "/en/7"),
+    UrlRule("allow", "net", "/de/"),
+    UrlRule("block", "example.net", "/de/8"),
+    UrlRule("block", "org", "/es/"),
+]
+
+
+@query
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels of the document with a page's id are the page's outcome."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    judged = filter_urls(table(spark, folder, "pages").select("page_id", "url"), outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")

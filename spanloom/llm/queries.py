@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.decontaminate import find_benchmark_words, hit_words
 from spanloom.llm.hosts import UrlRule, filter_urls
+from spanloom.llm.near_dups import near_duplicates
 from spanloom.llm.quality import base_failed, measured, quality_verdict
 from spanloom.llm.sharding import shuffle_into_shards
 from spanloom.llm.substrings import remove_repeats
@@ -89,3 +90,9 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     judged = filter_urls(table(spark, folder, "pages").select("page_id", "url"), outcomes, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_duplicates(table(spark, folder, "documents"), words=2)
+    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.decontaminate import find_benchmark_words, hit_words
 from spanloom.llm.hosts import UrlRule, filter_urls
+from spanloom.llm.mixing import mix, text_words
 from spanloom.llm.near_dups import near_duplicates
 from spanloom.llm.quality import base_failed, measured, quality_verdict
 from spanloom.llm.sharding import shuffle_into_shards
@@ -96,3 +97,10 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = near_duplicates(table(spark, folder, "documents"), words=2)
     return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    units = table(spark, folder, "documents").select("doc_id", "source", text_words(F.col("text")).alias("size"))
+    rows = mix(units).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

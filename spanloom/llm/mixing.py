@@ -6,8 +6,8 @@ ones while the totals it balances, words and documents of the source, stay what
 two totals any three open units have a direction in which both stay fixed; the three are moved
 along it, forwards or back at random with fair odds, until one is decided, and the next unit takes
 its place. At most two units per chunk stay open. They are gathered, chunked again and moved on,
-level by level, until each source has one chunk; its last two units at most are landed on the
-outcome nearest to the open words.
+level by level, until each source has one chunk; its last two units, and LANDING more that did not
+fly, are landed on the outcome nearest to their words.
 
 Chunks hold about CHUNK_UNITS narrow rows (id, words, probability) by a hash of the id, so a hot
 source is many tasks. Texts take no part.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from spanloom.runtime import materialize
 
 CHUNK_UNITS = 5_000
+LANDING = 10
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
@@ -103,23 +104,26 @@ def cube_flight(p: np.ndarray, totals: np.ndarray, draw: random.Random) -> np.nd
 
 
 def land(p: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """The nearest outcome of the open units: words first, then documents."""
+    """The outcome of the open units that is nearest in words, then in documents."""
     at = np.flatnonzero((p > 0) & (p < 1))
     p = p.copy()
     if len(at):
-        due, count = float((p[at] * totals[at]).sum()), float(p[at].sum())
-        outcomes = [[(n >> i) & 1 for i in range(len(at))] for n in range(1 << len(at))]
-        p[at] = min(outcomes, key=lambda o: (abs(float(np.dot(o, totals[at])) - due), abs(sum(o) - count), o))
+        outcomes = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))) & 1
+        words = np.abs(outcomes @ totals[at] - (p[at] * totals[at]).sum())
+        count = np.abs(outcomes.sum(axis=1) - p[at].sum())
+        p[at] = outcomes[np.argmin(words + 0.01 * totals[at].mean() * count)]
     return p
 
 
 def _flown(last: bool, seed: int):
     def chunk(rows: pd.DataFrame) -> pd.DataFrame:
-        # Long documents first: what is open at the end is short.
-        rows = rows.sort_values(["total", "order", "doc_id"], ascending=[False, True, True], na_position="first", kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["order", "doc_id", "size"], na_position="first", kind="stable").reset_index(drop=True)
         draw = random.Random(f"{seed}/{rows['chunk'].iloc[0]}/{len(rows)}/{rows['order'].iloc[0]}")
         totals = rows["total"].to_numpy().astype(float)
-        p = cube_flight(rows["p"].to_numpy(), totals, draw)
+        p = rows["p"].to_numpy().astype(float)
+        flying = len(p) - LANDING if last else len(p)
+        if flying > 0:
+            p = np.concatenate([cube_flight(p[:flying], totals[:flying], draw), p[flying:]])
         rows["p"] = land(p, totals) if last else p
         return rows
 

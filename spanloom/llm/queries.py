@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.archives import archive_folder, read_archive, write_archive, write_index
 from spanloom.llm.decontaminate import find_benchmark_words, hit_words
 from spanloom.llm.hosts import UrlRule, filter_urls
 from spanloom.llm.mixing import mix, text_words
@@ -104,3 +105,11 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     units = table(spark, folder, "documents").select("doc_id", "source", text_words(F.col("text")).alias("size"))
     rows = mix(units).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    place = archive_folder(spark)
+    lines = write_archive(table(spark, folder, "pages"), place)
+    records = read_archive(write_index(lines, place), place, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.archives import archive_folder, read_archive, write_archive, write_index
+from spanloom.llm.classifier import score_quality, train
 from spanloom.llm.decontaminate import find_benchmark_words, hit_words
 from spanloom.llm.hosts import UrlRule, filter_urls
+from spanloom.llm.licenses import scan_licenses
 from spanloom.llm.mixing import mix, text_words
 from spanloom.llm.near_dups import near_duplicates
 from spanloom.llm.quality import base_failed, measured, quality_verdict
@@ -113,3 +115,30 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     lines = write_archive(table(spark, folder, "pages"), place)
     records = read_archive(write_index(lines, place), place, payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(table(spark, folder, "documents"), returned=["doc_id"])
+    base = F.transform("places", lambda p: p["label"])
+    more = F.transform("notices", lambda n: n["label"])
+    starts = F.transform("places", lambda p: p["word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        "score",
+    )
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
+    labels = table(spark, folder, "labels").where(~held_out("doc_id")).select("doc_id", F.col("quality").alias("label"))
+    scored = score_quality(docs, train(docs, labels), returned=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.rows import ROW, packed, schema_with, unpacked
 from spanloom.llm.words import NOT_SPACE, SAME, Words, texts, windows
 
 MOST_ROWS = 20_000
@@ -259,8 +260,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text", ret
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = shared.value.score(_batch_features(batch))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(score)], names=[*carried, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(score)], names=[ROW, "score"])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").cast("string").alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema.fields]
-    return rows.mapInArrow(run, ", ".join([*kinds, "score double"]))
+    rows = docs.select(packed(carried), F.col(f"`{text}`").cast("string").alias("__text"))
+    return unpacked(rows.mapInArrow(run, schema_with(rows, "score double")), carried, ["score"])

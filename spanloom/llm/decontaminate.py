@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.rows import ROW, packed, unpacked
 from spanloom.llm.words import LETTERS, LOWER, Members, scanned, windows
 from spanloom.runtime import materialize
 
@@ -141,7 +142,7 @@ def _merged(places: list[tuple[int, int]]) -> list[dict]:
     return [{"start": a, "end": b} for a, b in out]
 
 
-def _scan(docs: DataFrame, block: _Block, text: str, returned: list[str]) -> DataFrame:
+def _scan(docs: DataFrame, block: _Block, returned: list[str]) -> DataFrame:
     """One block over all texts: adds to n_words, hits and items of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -150,7 +151,7 @@ def _scan(docs: DataFrame, block: _Block, text: str, returned: list[str]) -> Dat
         block = shared.value
         for batch in batches:
             counts, spans, items = [], batch.column("__hits").to_pylist(), batch.column("__items").to_pylist()
-            for lo, _, w in scanned(batch.column(text), LOWER, LETTERS):
+            for lo, _, w in scanned(batch.column("__text"), LOWER, LETTERS):
                 counts.append(w.counts)
                 found = block.hits(w.hashes(), w.room()) if len(w) else []
                 if not found:
@@ -200,21 +201,21 @@ def find_benchmark_words(
     rows = materialize(item_windows(items, span, gram), "item-windows")
     blocks = max(1, -(-rows.count() // block_rows))
     which = F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks))
-    keep = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
-    last = [c for c in returned or keep if c in keep]
+    new = ("n_words", "hits", "items")
+    carried = [c for c in returned or docs.columns if c not in new]
     out = docs.select(
-        *[F.col(f"`{c}`") for c in dict.fromkeys([*last, text])],
+        packed(carried),
+        F.col(f"`{text}`").cast("string").alias("__text"),
         F.lit(0).cast("long").alias("__n_words"),
         F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("__hits"),
         F.expr("cast(array() as array<string>)").alias("__items"),
     )
     for n in range(blocks):
         block = _Block(rows.where(which == n).toArrow(), span, gram)
-        columns = last if n == blocks - 1 else list(dict.fromkeys([*last, text]))
-        out = _scan(out, block, text, columns)
+        out = _scan(out, block, [ROW] if n == blocks - 1 else [ROW, "__text"])
         if n < blocks - 1:
             out = materialize(out, "decontaminate")
-    return out.withColumnsRenamed(dict(zip(_OWN, ("n_words", "hits", "items"), strict=True)))
+    return unpacked(out.withColumnsRenamed(dict(zip(_OWN, new, strict=True))), carried, list(new))
 
 
 def hit_words(hits: str = "hits") -> Column:
@@ -224,8 +225,6 @@ def hit_words(hits: str = "hits") -> Column:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", span: int = SPAN) -> DataFrame:
     """The rows of `docs` without a benchmark window, columns unchanged."""
-    probe = docs.select("*", F.col(f"`{text}`").alias("__text"))
-    found = find_benchmark_words(probe.withColumnsRenamed({"hits": "__h", "items": "__i", "n_words": "__n"}), items, "__text", span)
-    return found.where(F.size("hits") == 0).drop("hits", "items", "n_words", "__text").withColumnsRenamed(
-        {"__h": "hits", "__i": "items", "__n": "n_words"}
-    )
+    whole = docs.select(packed(docs.columns).alias("whole"), F.col(f"`{text}`").alias("text"))
+    clean = find_benchmark_words(whole, items, "text", span, returned=["whole"]).where(F.size("hits") == 0)
+    return unpacked(clean.withColumnRenamed("whole", ROW), docs.columns, [])

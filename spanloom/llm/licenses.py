@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.rows import ROW, packed, schema_with, unpacked
 from spanloom.llm.words import LETTERS_ANY_CASE, texts
 
 
@@ -156,11 +157,10 @@ def scan_licenses(
                     best = max((1 - e / max(1, b - a) for _, a, b, e in fuzzy), default=0.0)
                     scores.append(1.0 if exact else best)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in carried], pa.array(counts, pa.int64()), pa.array(places, place_type), pa.array(spans, span_type), pa.array(scores, pa.float64())],
-                names=[*carried, *new],
+                [batch.column(ROW), pa.array(counts, pa.int64()), pa.array(places, place_type), pa.array(spans, span_type), pa.array(scores, pa.float64())],
+                names=[ROW, *new],
             )
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").cast("string").alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema.fields]
+    rows = docs.select(packed(carried), F.col(f"`{text}`").cast("string").alias("__text"))
     own = f"n_words long, places array<struct<label:string,word:long>>, notices array<{_SPAN}>, score double"
-    return rows.mapInArrow(run, ", ".join([*kinds, own]))
+    return unpacked(rows.mapInArrow(run, schema_with(rows, own)), carried, list(new))

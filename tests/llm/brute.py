@@ -92,3 +92,91 @@ def similar_components(docs, k, threshold):
         if doc is not None:
             least[root(i)] = min(doc, least.get(root(i), doc))
     return [(doc, len(sets[i]), least.get(root(i))) for i, (doc, _) in enumerate(docs)]
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def license_places(text):
+    """(n_words, n_base, first_word, last_word, base_labels)."""
+    w, at, labels = letter_words(text), [], set()
+    for phrase, label in PHRASES.items():
+        p = phrase.split()
+        for i in range(len(w) - len(p) + 1):
+            if w[i : i + len(p)] == p:
+                at.append(i)
+                labels.add(label)
+    return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
+
+
+def quality_counts(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    text = text or ""
+    w = solid_words(text)
+    lines = [x for x in text.split("\n") if solid_words(x)]
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = Counter(grams)
+    hit = {i + d for i, g in enumerate(grams) if often[g] > 1 for d in range(3)}
+    failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
+    symbols = sum(text.count(c) for c in "#*$%&|<>")
+    return (len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(hit), failed)
+
+
+RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def url_parts(url):
+    """(host, path, rule, the rule's verdict)."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = host.translate(LOWER)
+    fits = [r for r in RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    if not fits:
+        return host, path, None, None
+    best = max(fits, key=lambda r: len(r[1] + r[2]))
+    return host, path, best[1] + best[2], best[0]
+
+
+def captures(pages):
+    """pages: (page_id, html). Rows (page_id, bytes, digest, type, refers_to)."""
+    import base64
+
+    first = {}
+    rows = []
+    for page, html in pages:
+        raw = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        rows.append((page, len(raw), digest))
+        if page is not None:
+            first[digest] = min(page, first.get(digest, page))
+    out = []
+    for page, size, digest in rows:
+        again = page is not None and first[digest] < page
+        out.append((page, size, digest, "revisit" if again else "response", first[digest] if again else None))
+    return out
+
+
+def water_fill(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    """sizes: {source: words}. {source: target}, by sharing out again what is cut off."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, target, open_ = share * sum(sizes.values()), dict.fromkeys(names, 0.0), set(names)
+    while left > 1e-9 and open_:
+        per = left / sum(weight[s] for s in open_)
+        left = 0.0
+        for s in sorted(open_, key=str):
+            target[s] += per * weight[s]
+            if target[s] >= most * sizes[s]:
+                left += target[s] - most * sizes[s]
+                target[s] = most * sizes[s]
+                open_.discard(s)
+    return target

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.rows import ROW, packed, schema_with, unpacked
 from spanloom.llm.words import NOT_SPACE, SAME, Words, column_list, scanned, windows
 
 SPAN = 13
@@ -135,7 +136,7 @@ def _in_lists(row: np.ndarray, value: np.ndarray, lists: list[np.ndarray]) -> np
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _cut_rows(span: int, carried: list[str]):
+def _cut_rows(span: int):
     """Word ranges to remove and the text that is left."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +171,13 @@ def _cut_rows(span: int, carried: list[str]):
             )
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(c) for c in carried],
+                    batch.column(ROW),
                     pa.array(np.concatenate(counts) if counts else [], pa.int64()),
                     pa.array(np.concatenate(removed) if removed else [], pa.int64()),
                     column_list(ranges, n_ranges),
                     pa.array(left, pa.binary()),
                 ],
-                names=[*carried, "n_words", "n_removed", "removed", "kept_text"],
+                names=[ROW, "n_words", "n_removed", "removed", "kept_text"],
             )
 
     return scan
@@ -197,20 +198,21 @@ def remove_repeats(
     Columns of `docs` named like the four new ones are replaced."""
     new = ("n_words", "n_removed", "removed", "kept_text")
     carried = [c for c in returned or docs.columns if c not in new]
-    # Both joins below deal the same rows by the same key, so that one exchange serves both.
+    # Both joins below deal the same columns by the same key, and what is read twice has no null
+    # that a filter could be put against, so that one exchange serves both readers.
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in carried],
+        packed(carried),
         F.col(f"`{doc_id}`").cast("long").alias("__id"),
         F.col(f"`{text}`").cast("string").alias("__text"),
     )
     known = rows.select("__id", "__text").where(F.col("__id").isNotNull())
-    anchors = known.mapInArrow(_anchor_rows(span), "anchor long, doc_id long").repartition("anchor")
+    anchors = known.mapInArrow(_anchor_rows(span), "anchor long not null, doc_id long not null").repartition("anchor")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("__lo"), F.max("doc_id").alias("__hi"))
     shared = shared.where(F.col("__lo") < F.col("__hi")).select("anchor").hint("shuffle_hash")
     held = anchors.join(shared, "anchor").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("anchor").alias("__held"))
 
-    around = rows.join(held, rows["__id"] == held["__of"], "left").select("__id", "__text", "__held")
-    found = around.mapInArrow(_window_rows(span), "first long, second long, doc_id long").repartition("first", "second")
+    around = rows.join(held, rows["__id"] == held["__of"], "left").drop("__of")
+    found = around.mapInArrow(_window_rows(span), "first long not null, second long not null, doc_id long not null").repartition("first", "second")
     least = found.groupBy("first", "second").agg(F.min("doc_id").alias("__least"), F.max("doc_id").alias("__most"))
     least = least.where(F.col("__least") < F.col("__most")).drop("__most").hint("shuffle_hash")
     later = found.join(least, ["first", "second"]).where(F.col("__least") < F.col("doc_id"))
@@ -218,6 +220,5 @@ def remove_repeats(
     gone = later.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set(joint).alias("__held"))
 
     cut = rows.join(gone, rows["__id"] == gone["__of"], "left").drop("__of", "__id")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*[f"`{c}`" for c in carried]).schema.fields]
     own = "n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text binary"
-    return cut.mapInArrow(_cut_rows(span, carried), ", ".join([*kinds, own]))
+    return unpacked(cut.mapInArrow(_cut_rows(span), schema_with(cut, own)), carried, list(new))

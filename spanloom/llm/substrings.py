@@ -5,6 +5,7 @@ with (i + d) mod v and (j + d) mod v both in D. Anchors are the windows of `span
 at places whose residue is in D, so two equal windows of `span` words at any places i and j
 share an anchor at the same shift. Only anchors that two documents hold are followed:
 
+0. a text that equals one of a smaller id has no part in the search: all its windows go;
 1. anchors, dealt by their hash, once; those held by one document alone end here;
 2. around each shared anchor the windows of `span` words that contain it are hashed in full
    (128 bits) and dealt by that hash; the least doc_id of each is known after partial sums;
@@ -16,6 +17,7 @@ partial minima, and never grouped into a list.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +51,8 @@ class _Anchors:
         whole = w.counts[self.text] >= span
         at = np.flatnonzero(np.isin(place % self.v, cover) & (self.room >= self.size) & whole)
         self.at = at
-        self.hash = windows(self.hashes, self.size)[at] if len(at) else np.zeros(0, np.uint64)
+        # 48 bits tell anchors apart well enough; they only choose what is compared in full.
+        self.hash = windows(self.hashes, self.size)[at] >> np.uint64(16) if len(at) else np.zeros(0, np.uint64)
 
     def around(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first words, hash, second hash) of the windows that contain the anchors numbered `hit`."""
@@ -75,14 +78,25 @@ def _distinct_by_row(row: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return order[new]
 
 
+def _copied(batch: pa.RecordBatch, lo: int, hi: int) -> np.ndarray:
+    """Rows whose text, by its digest, is listed as a copy for their id."""
+    held, text = batch.column("__copies"), batch.column("__text")
+    return np.array(
+        [held[i].is_valid and hashlib.md5(text[i].as_buffer() or b"").hexdigest() in held[i].as_py() for i in range(lo, hi)], bool
+    )
+
+
 def _anchor_rows(span: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("__id").to_numpy(zero_copy_only=False)
-            for lo, _, w in scanned(batch.column("__text"), SAME, NOT_SPACE):
+            ids = batch.column("__id")
+            known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            for lo, hi, w in scanned(batch.column("__text"), SAME, NOT_SPACE):
+                use = known[lo:hi] & ~_copied(batch, lo, hi)
                 a = _Anchors(w, span)
                 row = a.text[a.at]
                 one = _distinct_by_row(row, a.hash)
+                one = one[use[row[one]]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a.hash[one].view(np.int64)), pa.array(ids[lo + row[one]], pa.int64())],
                     names=["anchor", "doc_id"],
@@ -103,7 +117,7 @@ def _held(batch: pa.RecordBatch, name: str, lo: int, hi: int) -> list[np.ndarray
 def _window_rows(span: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("__id").to_numpy(zero_copy_only=False)
+            ids = batch.column("__id").fill_null(0).to_numpy()
             for lo, hi, w in scanned(batch.column("__text"), SAME, NOT_SPACE):
                 lists = _held(batch, "__held", lo, hi)
                 if not any(len(x) for x in lists):
@@ -152,7 +166,8 @@ def _cut_rows(span: int):
                     at = at[_in_lists(w.text[at], key[at], lists)]
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + span, -1)
-                covered = np.cumsum(gone)[: len(w)] > 0
+                copied = _copied(batch, lo, hi) & (w.counts >= span)
+                covered = (np.cumsum(gone)[: len(w)] > 0) | copied[w.text]
                 per_text = np.zeros(len(w.counts), np.int64)
                 np.add.at(per_text, w.text[covered], 1)
                 counts.append(w.counts)
@@ -198,15 +213,21 @@ def remove_repeats(
     Columns of `docs` named like the four new ones are replaced."""
     new = ("n_words", "n_removed", "removed", "kept_text")
     carried = [c for c in returned or docs.columns if c not in new]
-    # Both joins below deal the same columns by the same key, and what is read twice has no null
-    # that a filter could be put against, so that one exchange serves both readers.
+    # The joins below deal the same columns by the same key, and what is read twice has no null
+    # that a filter could be put against, so that one exchange serves all readers.
     rows = docs.select(
         packed(carried),
         F.col(f"`{doc_id}`").cast("long").alias("__id"),
         F.col(f"`{text}`").cast("string").alias("__text"),
     )
-    known = rows.select("__id", "__text").where(F.col("__id").isNotNull())
-    anchors = known.mapInArrow(_anchor_rows(span), "anchor long not null, doc_id long not null").repartition("anchor")
+    digests = rows.select("__id", F.md5(F.col("__text").cast("binary")).alias("__digest")).where("__id is not null and __digest is not null")
+    first = digests.groupBy("__digest").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last"))
+    first = first.where(F.col("__first") < F.col("__last")).drop("__last")
+    copies = digests.join(first, "__digest").where(F.col("__id") > F.col("__first"))
+    copies = copies.groupBy(F.col("__id").alias("__copy")).agg(F.collect_set("__digest").alias("__copies"))
+
+    whole = rows.join(copies, rows["__id"] == copies["__copy"], "left").drop("__copy")
+    anchors = whole.mapInArrow(_anchor_rows(span), "anchor long not null, doc_id long not null").repartition("anchor")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("__lo"), F.max("doc_id").alias("__hi"))
     shared = shared.where(F.col("__lo") < F.col("__hi")).select("anchor").hint("shuffle_hash")
     held = anchors.join(shared, "anchor").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("anchor").alias("__held"))
@@ -219,6 +240,8 @@ def remove_repeats(
     joint = F.col("first").bitwiseXOR(F.shiftleft("second", 1)).alias("__joint")
     gone = later.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set(joint).alias("__held"))
 
-    cut = rows.join(gone, rows["__id"] == gone["__of"], "left").drop("__of", "__id")
+    marks = gone.join(copies, gone["__of"] == copies["__copy"], "full")
+    marks = marks.select(F.coalesce("__of", "__copy").alias("__marked"), "__held", "__copies")
+    cut = rows.join(marks, rows["__id"] == marks["__marked"], "left").drop("__marked", "__id")
     own = "n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text binary"
     return unpacked(cut.mapInArrow(_cut_rows(span), schema_with(cut, own)), carried, list(new))

@@ -360,13 +360,30 @@ def _(spark, d):
     return _stored_and_wanted(spark, d)[1].select("session_id")
 
 
-@query("J06_agent_work_left", with_base("SELECT sid AS session_id FROM ses WHERE sid NOT IN (SELECT sid FROM sp WHERE agent = 'lead_agent')", _SES))
-def _(spark, d):
+_AGENTS = "ag AS (SELECT DISTINCT sid, agent FROM sp WHERE agent IS NOT NULL)"
+
+
+def _agent_work(spark, d, stored_agents):
+    """Agent rows stored for the given agents, each twice, and one of an agent the session lacks."""
     f = frames(spark, d)
-    lead = f.agent_stats.filter("agent = 'lead_agent'")
-    stored = results.result_rows(lead, "ToolErrorRate", "agent", F.col("tool_fails"))
-    wanted = f.sessions.select("session_id").withColumn("metric_name", F.lit("ToolErrorRate"))
-    return results.split_work(wanted, stored, agent_level=True)[0].select("session_id")
+    who = f.agent_stats.filter(stored_agents)
+    rows = who.union(who).unionByName(who.withColumn("agent", F.lit("nobody")))
+    stored = results.result_rows(rows, "ToolErrorRate", "agent", F.col("tool_fails"))
+    wanted = f.agent_stats.select("session_id", F.col("agent").alias("agent_id")).withColumn("metric_name", F.lit("ToolErrorRate"))
+    return results.split_work(wanted, stored, agent_level=True)
+
+
+@query(
+    "J06_agent_work_left",
+    with_base("SELECT sid AS session_id, agent AS agent_id FROM ag WHERE sid NOT IN (SELECT sid FROM ag GROUP BY 1 HAVING bool_and(agent = 'lead_agent'))", _AGENTS),
+)
+def _(spark, d):
+    return _agent_work(spark, d, "agent = 'lead_agent'")[0].select("session_id", "agent_id")
+
+
+@query("J06_agents_reused", with_base("SELECT sid AS session_id, agent AS agent_id, true AS from_cache FROM ag WHERE sid IN (SELECT sid FROM ag GROUP BY 1 HAVING bool_and(agent <> 'lead_agent'))", _AGENTS))
+def _(spark, d):
+    return _agent_work(spark, d, "agent <> 'lead_agent'")[1].select("session_id", "agent_id", "from_cache")
 
 
 @query("U05_reused_and_new", with_base("SELECT sid AS session_id, v > 0 AS from_cache FROM rt", _RES))

@@ -226,8 +226,9 @@ _SEARCH = {"document": _find_in_order, "own_first": _find_own_first, "reply": _f
 
 
 def find_key(json_text: Column, key: str, order: str = "document") -> Column:
-    """The first value stored under `key` anywhere in a JSON text, as JSON text. Rows whose
-    text does not mention the key never reach Python."""
+    """The first value stored under `key` anywhere in a JSON text, as JSON text; null where the
+    text is no JSON or nested beyond what a parser takes. Rows whose text does not name the key
+    never reach Python, nor do objects that hold it at the top and name it only there."""
     search = _SEARCH[order]
 
     @F.pandas_udf("string")
@@ -237,13 +238,18 @@ def find_key(json_text: Column, key: str, order: str = "document") -> Column:
                 return None
             try:
                 found = search(json.loads(text), key)
-            except ValueError:
+                return None if found is None else json.dumps(found)
+            except (ValueError, RecursionError):
                 return None
-            return None if found is None else json.dumps(found)
 
         return texts.map(one)
 
-    return find(F.when(json_text.contains(key), json_text))
+    # A top-level scalar under a key that is named once needs no search.
+    once = F.regexp_count(json_text, F.lit(f'"{key}"')) == 1
+    plain = F.try_parse_json(F.when(once & json_text.startswith("{"), json_text))
+    top = F.to_json(F.try_variant_get(plain, f"$.{key}", "variant"))
+    scalar = F.when(top.rlike(r'^(true|false|"[ !#-\[\]-~]*"|-?[0-9]{1,15})$'), top)
+    return F.coalesce(scalar, find(F.when(json_text.contains(f'"{key}"') & scalar.isNull(), json_text)))
 
 
 def strip_fences(text: Column) -> Column:

@@ -125,17 +125,29 @@ def distinct_failures(failures: DataFrame) -> DataFrame:
 
 
 def split_work(wanted: DataFrame, stored: DataFrame, agent_level: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(work still to do, results to reuse). `wanted` holds session_id and metric_name;
-    `stored` holds stored results. For agents a session's stored rows count only together:
-    any stored agent row of a (session, metric) means all of them are reused."""
-    keys = ["session_id", "metric_name"]
+    """(work still to do, results to reuse). `wanted` holds session_id and metric_name, for
+    agents also agent_id; `stored` holds stored results, several of a key counting as one.
+
+    For agents a session counts as a whole: its results are reused if every wanted agent of it
+    has one, else all of its agents are computed again. Stored agents that are not wanted, being
+    no agents of the session, are left out."""
+    group = ["session_id", "metric_name"]
+    keys = [*group, "agent_id"] if agent_level else group
     level = "agent" if agent_level else "session"
-    usable = stored.filter(F.col("aggregation_level") == level)
-    todo = wanted.join(usable.select(*keys).distinct(), keys, "left_anti")
-    reuse = usable.join(wanted.select(*keys).distinct(), keys, "left_semi").withColumn(
-        "from_cache", F.lit(True)
-    )
-    return todo, reuse
+    one = F.max(F.struct(*[F.col(c) for c in stored.columns])).alias("_one")
+    usable = stored.filter(F.col("aggregation_level") == level).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(one)
+    asked = wanted.select(*keys).distinct()
+    matched = asked.join(usable, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
+    if agent_level:
+        counts = matched.groupBy(*[F.col(k).alias(f"_g_{k}") for k in group]).agg(
+            (F.count("_one") == F.count(F.lit(1))).alias("_whole")
+        )
+        matched = matched.join(counts, [F.col(k) == F.col(f"_g_{k}") for k in group])
+    else:
+        matched = matched.withColumn("_whole", F.col("_one").isNotNull())
+    todo = matched.filter(~F.col("_whole")).select(*keys)
+    reuse = matched.filter("_whole").select("_one.*").withColumn("from_cache", F.lit(True))
+    return todo, reuse.select(*stored.columns) if "from_cache" in stored.columns else reuse
 
 
 def reused_and_new(reused: DataFrame, computed: DataFrame) -> DataFrame:
@@ -155,24 +167,40 @@ def entity_key() -> Column:
 
 
 def results_by_entity(results: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
-    """Evaluated, failed and skipped counts and metric names per entity, one row each."""
+    """One row per entity: evaluated, failed and skipped counts and metric names, the session and
+    app it belongs to, and `items`, each metric with its state, value and reason."""
     state = F.when(F.col("bucket") == "failed", "failed").otherwise("evaluated")
+    value = F.coalesce(F.col("value_json"), F.col("value_num").cast("string"))
     rows = with_bucket(results).select(
-        "aggregation_level", entity_key().alias("entity_id"), "metric_name", state.alias("state")
+        "aggregation_level",
+        entity_key().alias("entity_id"),
+        "session_id",
+        "app_name",
+        "metric_name",
+        state.alias("state"),
+        value.alias("value"),
+        F.coalesce("error_message", "reasoning").alias("reason"),
     )
     if skipped is not None:
         rows = rows.unionByName(
             skipped.select(
                 "aggregation_level",
                 F.when(F.col("aggregation_level") == "span", F.col("entity_id")).otherwise(F.col("session_id")).alias("entity_id"),
+                "session_id",
+                F.lit(None).cast("string").alias("app_name"),
                 "metric_name",
                 F.lit("skipped").alias("state"),
+                F.lit(None).cast("string").alias("value"),
+                F.col("skip_category").alias("reason"),
             )
         )
     listed = lambda s: F.collect_set(F.when(F.col("state") == s, F.col("metric_name")))
     return rows.groupBy("aggregation_level", "entity_id").agg(
         *[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("evaluated", "failed", "skipped")],
         *[F.array_join(F.sort_array(listed(s)), ",").alias(s) for s in ("evaluated", "failed", "skipped")],
+        F.min("session_id").alias("session_id"),
+        F.max("app_name").alias("app_name"),
+        F.sort_array(F.collect_set(F.struct("metric_name", "state", "value", "reason"))).alias("items"),
     )
 
 
@@ -189,28 +217,36 @@ def result_documents(results: DataFrame, max_items: int = 2_000) -> DataFrame:
 # --- what is computed for what ---------------------------------------------------------------
 
 
-def match_span_metrics(spans: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Span × metric by required entity type. `catalog` (metric_name, entity_type rows) is
-    unfolded per type first, so this is an equi-join."""
-    wanted = catalog.filter(F.col("aggregation_level") == "span").select(
-        "metric_name", F.explode("entity_types").alias("entity_type")
+def _span_metrics(catalog: DataFrame) -> Column:
+    """The span metrics of a catalogue as one literal: a stated list of requested metrics."""
+    rows = catalog.filter(F.col("aggregation_level") == "span").select("metric_name", "entity_types").collect()
+    if not rows:
+        return F.expr("cast(array() as array<struct<metric_name:string,entity_types:array<string>>>)")
+    return F.array(
+        *[
+            F.struct(F.lit(r["metric_name"]).alias("metric_name"), F.array(*[F.lit(t) for t in r["entity_types"]]).cast("array<string>").alias("entity_types"))
+            for r in rows
+        ]
     )
-    return spans.join(wanted, "entity_type")
+
+
+def match_span_metrics(spans: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Span × metric by required entity type. The catalogue is matched as a literal inside each
+    row, so that spans are not dealt by their few types."""
+    fits = F.filter(_span_metrics(catalog), lambda m: F.array_contains(m["entity_types"], F.col("entity_type")))
+    return spans.filter("entity_type is not null").withColumn("metric_name", F.explode(F.transform(fits, lambda m: m["metric_name"])))
 
 
 def unmatched_spans(spans: DataFrame, catalog: DataFrame) -> DataFrame:
     """Spans that no requested span metric applies to, or that are invalid, with the reason."""
-    types = catalog.filter(F.col("aggregation_level") == "span").select(
-        F.explode("entity_types").alias("entity_type")
-    ).distinct().withColumn("_known", F.lit(True))
-    seen = spans.join(types, "entity_type", "left")
+    known = F.exists(_span_metrics(catalog), lambda m: F.array_contains(m["entity_types"], F.col("entity_type")))
     category = (
         F.when(F.coalesce("span_id", F.lit("")) == "", "invalid_span")
         .when(F.coalesce("entity_type", F.lit("")) == "", "invalid_span")
-        .when(F.col("_known").isNull(), "no_matching_metrics")
+        .when(~known, "no_matching_metrics")
     )
     return (
-        seen.withColumn("skip_category", category)
+        spans.withColumn("skip_category", category)
         .filter(F.col("skip_category").isNotNull())
         .select(
             F.lit("ALL").alias("metric_name"),

@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 from spanloom.constants import AGGREGATION_LEVELS
 from spanloom.operators import confidence, metrics, population
 from spanloom.operators.agents import agent_view
-from spanloom.operators.results import result_rows, split_work, with_bucket, with_labels, with_session_app
-from spanloom.plans.build import Frames
+from spanloom.operators.results import (
+    missing_requirements,
+    result_rows,
+    split_work,
+    with_bucket,
+    with_labels,
+    with_session_app,
+)
+from spanloom.plans.build import Frames, with_session_inputs
+from spanloom.runtime import materialize
+from spanloom.schemas import METRIC_RESULT_SCHEMA
 
 Compute = Callable[[Frames], DataFrame]
 
@@ -49,6 +58,11 @@ class Registry:
     def get(self, name: str) -> Metric | None:
         return self._metrics.get(name)
 
+    def computes(self, name: str, level: str) -> Compute | None:
+        """How a metric is computed at a level, if it is."""
+        m = self._metrics[name]
+        return m.compute if level == m.level else m.agent_compute if level == "agent" else None
+
     def names(self) -> list[str]:
         return sorted(self._metrics)
 
@@ -166,6 +180,53 @@ for _name, _column in [
     native.metric(_name, "session", agent=_confidence(_column, _name, True))(_confidence(_column, _name, False))
 
 
+def _error_rows(frames: Frames, name: str, level: str, text: str) -> DataFrame:
+    """One failed result that stands for a metric that could not be planned."""
+    one = frames.spans.sparkSession.createDataFrame([(text,)], "problem string")
+    return result_rows(one, name, level, error=F.col("problem"))
+
+
+def _safely(compute: Compute, frames: Frames, name: str, level: str) -> DataFrame:
+    """A metric whose plan fails gives an error row, and the run goes on."""
+    try:
+        return compute(frames).select(*[f.name for f in METRIC_RESULT_SCHEMA.fields])
+    except Exception as problem:  # noqa: BLE001 - whatever a user's metric raises
+        return _error_rows(frames, name, level, f"{type(problem).__name__}: {problem}"[:2000])
+
+
+def _wanted(frames: Frames, name: str, level: str) -> DataFrame:
+    if level == "agent":
+        who = frames.agent_stats.select("session_id", F.col("agent").alias("agent_id"))
+    else:
+        who = frames.sessions.select("session_id")
+    return who.withColumn("metric_name", F.lit(name))
+
+
+def skipped_metrics(
+    frames: Frames, names: list[str] | None = None, levels: list[str] | None = None, registry: Registry = native
+) -> DataFrame:
+    """Session and agent metrics that a session lacks inputs for: metric_name,
+    aggregation_level, session_id, entity_id, skip_category, missing."""
+    levels = levels or ["session"]
+    needs: dict[str, list[str]] = {}
+    found: list[tuple[str, str]] = []
+    for name in names or registry.names():
+        m = registry.get(name)
+        if m is not None and m.requires:
+            needs[name] = list(m.requires)
+            found += [(name, level) for level in levels if level in ("session", "agent") and registry.computes(name, level)]
+    spark = frames.spans.sparkSession
+    shape = "metric_name string, aggregation_level string, session_id string, entity_id string, skip_category string, missing array<string>"
+    if not found:
+        return spark.createDataFrame([], shape)
+    lacking = missing_requirements(with_session_inputs(frames), needs).filter(~F.col("valid"))
+    per_metric = {name: [level for n, level in found if n == name] for name, _ in found}
+    listed = F.create_map(*[x for n, ls in per_metric.items() for x in (F.lit(n), F.array(*[F.lit(v) for v in ls]))])
+    return lacking.withColumn("aggregation_level", F.explode(listed[F.col("metric_name")])).select(
+        "metric_name", "aggregation_level", "session_id", F.col("session_id").alias("entity_id"), F.lit("missing_requirements").alias("skip_category"), "missing"
+    )
+
+
 def run_metrics(
     frames: Frames,
     names: list[str] | None = None,
@@ -174,25 +235,44 @@ def run_metrics(
     stored: DataFrame | None = None,
 ) -> DataFrame:
     """Results of the named metrics at the given levels (session by default), labelled, with
-    the bucket each goes to. Stored results are reused, and only missing ones computed."""
+    the bucket each goes to.
+
+    Sessions that lack what a metric requires have no result of it (`skipped_metrics` lists
+    them). An unknown name, or a metric whose plan fails, gives one error row. Stored results are
+    reused; metrics see only the sessions that still have work."""
     levels = levels or ["session"]
+    asked = [(name, registry.get(name)) for name in names or registry.names()]
+    skipped = skipped_metrics(frames, names, levels, registry)
     parts: list[DataFrame] = []
-    for name in names or registry.names():
-        m = registry.get(name)
+    work: list[tuple[str, str, Compute]] = []
+    for name, m in asked:
         if m is None:
-            raise KeyError(f"unknown metric {name!r}")
-        for level in levels:
-            compute = m.compute if level == m.level else m.agent_compute if level == "agent" else None
-            if compute is None:
-                continue
-            rows = compute(frames)
-            if stored is not None and level in ("session", "agent"):
-                wanted = frames.sessions.select("session_id").withColumn("metric_name", F.lit(name))
-                todo, reuse = split_work(wanted, stored, level == "agent")
-                rows = rows.join(todo.select("session_id"), "session_id", "left_semi").select(*rows.columns)
-                rows = rows.unionByName(reuse.select(*rows.columns))
-            parts.append(rows)
-    if not parts:
+            parts.append(_error_rows(frames, name, levels[0], f"unknown metric {name!r}"))
+            continue
+        work += [(name, level, c) for level in levels if (c := registry.computes(name, level)) is not None]
+    if not work and not parts:
         raise ValueError("no metric matches the given levels")
+
+    todo: dict[tuple[str, str], DataFrame] = {}
+    if stored is not None:
+        for name, level, _ in work:
+            if level in ("session", "agent"):
+                left, reuse = split_work(_wanted(frames, name, level), stored, level == "agent")
+                todo[name, level] = left
+                parts.append(reuse.select(*[f.name for f in METRIC_RESULT_SCHEMA.fields]))
+    narrowed = frames
+    if work and len(todo) == len(work):
+        ids = reduce(DataFrame.union, [t.select("session_id") for t in todo.values()]).distinct()
+        narrowed = Frames(materialize(frames.spans.join(ids, "session_id", "left_semi"), "spans-with-work"))
+    for name, level, compute in work:
+        rows = _safely(compute, narrowed, name, level)
+        if (name, level) in todo:
+            # A failed plan has no session; its row stays.
+            left = todo[name, level].select(F.col("session_id").alias("_todo")).distinct()
+            rows = rows.join(left, rows["session_id"] == left["_todo"], "left").filter("_todo is not null or session_id is null").drop("_todo")
+        if registry.get(name).requires and level in ("session", "agent"):
+            out = skipped.filter((F.col("metric_name") == name) & (F.col("aggregation_level") == level)).select(F.col("session_id").alias("_out"))
+            rows = rows.join(out, rows["session_id"] == out["_out"], "left_anti")
+        parts.append(rows)
     everything = reduce(DataFrame.unionByName, parts)
     return with_bucket(with_labels(with_session_app(everything, frames.sessions)))

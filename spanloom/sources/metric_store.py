@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.constants import STORED_SCOPES
 from spanloom.functions.values import truthy
+from spanloom.operators.results import with_bucket
 from spanloom.schemas import DERIVED_METRIC_SCHEMA
 
 _RESPONSE = ["ID", "SpanId", "TraceId", "SessionId", "Timestamp", "Metrics", "AppName", "AppId"]
@@ -34,15 +35,17 @@ def complete_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, marked.filter(F.size("missing") > 0)
 
 
-def append_metrics(rows: DataFrame, path: str) -> None:
-    """Append complete rows, each under a new id and the current time."""
-    accepted, _ = complete_rows(rows)
+def append_metrics(rows: DataFrame, path: str) -> DataFrame:
+    """Append complete rows, each under a new id and the current time. Returns the rejected
+    rows, with what they lack."""
+    accepted, rejected = complete_rows(rows)
     stamped = accepted.withColumn("ID", F.expr("uuid()")).withColumn(
         "Timestamp", F.current_timestamp()
     )
     stamped.select([f.name for f in DERIVED_METRIC_SCHEMA.fields]).write.mode("append").partitionBy(
         "Scope"
     ).parquet(path)
+    return rejected
 
 
 def storage_rows(results: DataFrame, trace_id=None, app_id=None) -> DataFrame:
@@ -62,13 +65,11 @@ def storage_rows(results: DataFrame, trace_id=None, app_id=None) -> DataFrame:
 
 
 def storable(results: DataFrame) -> DataFrame:
-    """Results worth storing: successful span, session and agent rows that were not read back
-    from the store."""
-    return results.filter(
-        F.col("aggregation_level").isin("span", "session", "agent")
-        & ~F.coalesce("from_cache", F.lit(False))
-        & F.coalesce("success", F.lit(False))
-    )
+    """Results worth storing: span, session and agent rows that are not in the failed bucket and
+    were not read back from the store. An unsuccessful row with a value is worth storing."""
+    return with_bucket(results).filter(
+        F.col("bucket").isin("span", "session", "agent") & ~F.coalesce("from_cache", F.lit(False))
+    ).select(*results.columns)
 
 
 def response_rows(rows: DataFrame) -> DataFrame:

@@ -189,5 +189,5 @@ def take_mix(
     rows = docs.select("*", *[v.alias(k) for k, v in keys.items()])
     taken = mix(rows.select(*[F.col(k).alias(n) for k, n in zip(keys, ("doc_id", "source", "size"), strict=True)]), weights, share, most, seed)
     taken = taken.where(F.col("copies") > 0).select(*[F.col(n).alias(f"{k}_of") for k, n in zip(keys, ("doc_id", "source", "size"), strict=True)], "copies")
-    held = rows.join(taken, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys])
+    held = rows.join(taken.hint("merge"), [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys])
     return held.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -248,7 +248,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     pairs = materialize(candidate_pairs(classes, percent), "pairs")
     ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    wanted = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    # Merged at every size, so that the work grows with the input and not by leaps.
+    wanted = rows.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
     wanted = materialize(wanted.select("doc_id", "text"), "candidates")
 
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("to")), F.struct(F.col("b").alias("of"), F.col("a").alias("to")))).alias("e"), "agree")
@@ -277,4 +278,4 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", words: int = WORDS, pe
     unchanged. Rows without an id stay."""
     groups = near_duplicates(docs, text=text, words=words, percent=percent)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
+    return docs.where(F.col("doc_id").isNotNull()).join(kept.hint("merge"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -90,19 +90,19 @@ evt AS (
 _CHAT = f"""
 tn AS (SELECT conv_id, turn, role, text FROM conversations),
 ch0 AS (
-  SELECT a.conv_id AS conv, a.turn AS call, a.text AS text0, p1.role AS role1, p1.text AS text1,
-    p2.role AS role2, p2.text AS text2, p3.role AS role3, p3.text AS text3
+  SELECT a.conv_id AS conv, a.turn AS call, a.text AS text0, p1.text AS text1, p.text AS second_text
   FROM tn a LEFT JOIN tn p1 ON p1.conv_id = a.conv_id AND p1.turn = a.turn - 1
-    LEFT JOIN tn p2 ON p2.conv_id = a.conv_id AND p2.turn = a.turn - 2
-    LEFT JOIN tn p3 ON p3.conv_id = a.conv_id AND p3.turn = a.turn - 3
+    LEFT JOIN tn p ON p.conv_id = a.conv_id AND p.turn = 1
   WHERE a.role = 'assistant'),
 ch AS (
   SELECT *, 'chat_' || {uuid_sql('conv')} AS sid, 'c_' || conv || '_' || call AS span, 'ctr' || conv AS tid,
     CASE WHEN call > 2 THEN 'c_' || conv || '_' || (call - 2) END AS parent,
     epoch_us(TIMESTAMP '2024-02-01 00:00:00') + conv * 60000000 + call * 1000000 AS ts,
     length(text0) * 1000000 AS dur, {_AG}[conv % 3 + 1] AS ag,
-    least(call, 3) AS held
+    call AS held
   FROM ch0),
+cp AS (
+  SELECT c.sid, c.span, c.ts, p.turn AS n, p.role AS r, p.text AS t FROM ch c JOIN tn p ON p.conv_id = c.conv AND p.turn < c.call),
 """
 
 _TYP = """

@@ -58,7 +58,7 @@ def _(spark, d):
     "E04_answer_relevancy_cases",
     with_base(
         """SELECT span AS span_id, 'tool_' || (k % 4) AS first_tool, 1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS n_tools, 'Please calculate item ' || k AS question FROM sp WHERE kind = 'llm'
-        UNION ALL SELECT span, NULL, 0, CASE held WHEN 1 THEN NULL WHEN 2 THEN text1 ELSE text2 END FROM ch"""
+        UNION ALL SELECT span, NULL, 0, CASE WHEN held >= 2 THEN second_text END FROM ch"""
     ),
 )
 def _(spark, d):
@@ -563,10 +563,11 @@ def _(spark, d):
     return marked.spans.groupBy("session_id").agg(F.count("*").alias("n_spans"), F.count_if("is_tool").alias("n_marked"))
 
 
-@query("V06_result_documents", with_base("SELECT lvl || '_metrics' AS level, count(*) AS n FROM res GROUP BY 1", _RES))
+@query("V06_result_documents", with_base("SELECT lvl || '_metrics' AS level, m AS metric_name, sid AS session_id, span AS span_id, ok AS success FROM res", _RES))
 def _(spark, d):
+    field = lambda name: F.get_json_object("document", f"$.{name}").alias(name)
     docs = results.result_documents(_all_results(spark, d))
-    each = F.size(F.from_json("document", "array<string>"))
-    return docs.groupBy("level").agg(F.sum(each).alias("n"))
+    return docs.select("level", field("metric_name"), field("session_id"), field("span_id"), field("success").cast("boolean").alias("success"))
+
 
 

@@ -45,7 +45,7 @@ def _(spark, d):
     with_base(
         """SELECT span AS span_id, 'Please calculate item ' || k AS prompt, completion, CASE WHEN k % 3 > 0 THEN 'assistant' END AS role, 4 AS n_prompt_keys
         FROM evt WHERE etype = 'llm'
-        UNION ALL SELECT span, CASE WHEN held >= 2 THEN CASE held WHEN 2 THEN text1 ELSE text2 END END, text0, 'assistant', held * 2 FROM ch"""
+        UNION ALL SELECT span, CASE WHEN held >= 2 THEN second_text END, text0, 'assistant', held * 2 FROM ch"""
     ),
 )
 def _(spark, d):

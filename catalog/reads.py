@@ -216,8 +216,7 @@ def _(spark, d):
 
 
 # First prompt of a span whose prompt 0 is the user's: only conversation calls have one.
-_P0 = """p0 AS (SELECT sid, span, ts, CASE held WHEN 1 THEN role1 WHEN 2 THEN role2 ELSE role3 END AS r,
-  CASE held WHEN 1 THEN text1 WHEN 2 THEN text2 ELSE text3 END AS t FROM ch)"""
+_P0 = """p0 AS (SELECT sid, span, ts, r, t FROM cp WHERE n = 0)"""
 _FEB = ("2024-02-01T00:00:00Z", "2024-02-01T01:00:00Z")
 _FS, _FE = "epoch_us(TIMESTAMP '2024-02-01 00:00:00')", "epoch_us(TIMESTAMP '2024-02-01 01:00:00')"
 

@@ -16,9 +16,7 @@ _EL = """el AS (
   SELECT sid, span, ts, 0 AS source, 0 AS side, 0 AS idx, 'system' AS role, 'You are a careful helper.' AS content FROM sp WHERE kind = 'llm'
   UNION ALL SELECT sid, span, ts, 0, 0, 1, 'user', 'Please calculate item ' || k FROM sp WHERE kind = 'llm'
   UNION ALL SELECT sid, span, ts, 0, 1, 0, 'assistant', completion FROM evr WHERE kind = 'llm' AND sid IS NOT NULL
-  UNION ALL SELECT sid, span, ts, 0, 0, 0, CASE held WHEN 1 THEN role1 WHEN 2 THEN role2 ELSE role3 END, CASE held WHEN 1 THEN text1 WHEN 2 THEN text2 ELSE text3 END FROM ch
-  UNION ALL SELECT sid, span, ts, 0, 0, 1, CASE held WHEN 2 THEN role1 ELSE role2 END, CASE held WHEN 2 THEN text1 ELSE text2 END FROM ch WHERE held >= 2
-  UNION ALL SELECT sid, span, ts, 0, 0, 2, role1, text1 FROM ch WHERE held >= 3
+  UNION ALL SELECT sid, span, ts, 0, 0, n, r, t FROM cp
   UNION ALL SELECT sid, span, ts, 0, 1, 0, 'assistant', text0 FROM ch
   UNION ALL SELECT sid, span, ts, 1, 0, 0, 'user', 'Plan step ' || k FROM sp WHERE kind = 'agent'
   UNION ALL SELECT sid, span, ts, 1, 1, 0, 'assistant', 'Agent reply ' || k || ' done' FROM sp WHERE kind = 'agent' AND k % 2 = 0)"""

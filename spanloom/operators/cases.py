@@ -1,5 +1,5 @@
-"""Evaluation cases for third-party scorers: one row per case (sessions too long for one
-value come in numbered parts), and the way back from scorer replies to metric results."""
+"""Evaluation cases for third-party scorers, one row per case, and the way back from scorer
+replies to metric results."""
 
 from __future__ import annotations
 
@@ -124,7 +124,7 @@ def span_cases(spans: DataFrame, metric: str) -> DataFrame:
     )
 
 
-def task_cases(spans: DataFrame, max_items: int = 2_000) -> tuple[DataFrame, DataFrame]:
+def task_cases(spans: DataFrame, max_items: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(cases, tool calls): the exchange of each session that has both ends, and the tools it
     called in order, in bounded parts."""
     ends = endpoints(spans)
@@ -133,7 +133,7 @@ def task_cases(spans: DataFrame, max_items: int = 2_000) -> tuple[DataFrame, Dat
     return cases, session_tools(spans, max_items)
 
 
-def session_tools(spans: DataFrame, max_items: int = 2_000) -> DataFrame:
+def session_tools(spans: DataFrame, max_items: int | None = None) -> DataFrame:
     """Tool calls of each session as JSON lists, in bounded parts."""
     used = with_order(spans).filter(F.col("entity_type") == "tool")
     item = F.struct(
@@ -146,7 +146,7 @@ def session_tools(spans: DataFrame, max_items: int = 2_000) -> DataFrame:
     )
 
 
-def conversation_cases(spans: DataFrame, metric: str, max_items: int = 2_000) -> DataFrame:
+def conversation_cases(spans: DataFrame, metric: str, max_items: int | None = None) -> DataFrame:
     """Turns of each session; roles other than user and assistant become assistant."""
     role = F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise("assistant")
     turns = packed(
@@ -275,7 +275,7 @@ def topic_messages(spans: DataFrame) -> DataFrame:
     )
 
 
-def topic_cases(spans: DataFrame, mode: str = "precision", topics: list[str] | None = None, max_items: int = 2_000) -> DataFrame:
+def topic_cases(spans: DataFrame, mode: str = "precision", topics: list[str] | None = None, max_items: int | None = None) -> DataFrame:
     """Multi-turn samples with reference topics, in bounded parts."""
     if mode not in TOPIC_MODES:
         raise ValueError(f"mode must be one of {TOPIC_MODES}, got {mode!r}")

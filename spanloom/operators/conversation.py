@@ -124,10 +124,9 @@ def element_line() -> Column:
 
 
 def transcripts(
-    elements: DataFrame, keys: list[str], max_lines: int = 2_000, largest: int | None = None
+    elements: DataFrame, keys: list[str], max_lines: int | None = None, largest: int | None = None
 ) -> DataFrame:
-    """Transcript text per group, in parts of at most `max_lines` elements, so that no group
-    is too large for one value. A group of usual size is a single part 0."""
+    """Transcript text, one row per group. `elements` itself is the long form of it."""
     lines = elements.withColumn("_line", element_line()).filter(F.col("_line").isNotNull())
     return packed(lines, keys, ELEMENT_ORDER, F.col("_line"), "_lines", max_lines, largest).select(
         *keys, "part", F.array_join("_lines", "\n").alias("text")
@@ -135,17 +134,17 @@ def transcripts(
 
 
 def elements_json(
-    elements: DataFrame, keys: list[str], max_items: int = 2_000, largest: int | None = None
+    elements: DataFrame, keys: list[str], max_items: int | None = None, largest: int | None = None
 ) -> DataFrame:
-    """Conversation elements per group as JSON lists of {role, content}, in bounded parts."""
+    """Conversation elements per group as a JSON list of {role, content}, one row per group."""
     item = F.struct("role", "content")
     return packed(elements, keys, ELEMENT_ORDER, item, "_items", max_items, largest).select(
         *keys, "part", F.to_json("_items").alias("elements")
     )
 
 
-def agent_exchanges(spans: DataFrame, max_items: int = 2_000) -> DataFrame:
-    """Input and output of the agent spans of each session as one text, in bounded parts."""
+def agent_exchanges(spans: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Input and output of the agent spans of each session as one text."""
     said = spans.filter(F.col("entity_type") == "agent").withColumn("ts_order", F.coalesce("ts_raw", F.lit("")))
     shown = lambda c: F.coalesce(c, F.lit("None"))
     text = F.concat(F.lit("INPUT: "), shown("input_payload"), F.lit("\nOUTPUT: "), shown("output_payload"))

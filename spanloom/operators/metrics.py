@@ -86,10 +86,9 @@ def transition_counts(transitions: DataFrame) -> DataFrame:
     return transitions.groupBy("session_id", "transition").agg(F.count("*").alias("n"))
 
 
-def count_maps(counts: DataFrame, name: str, session_frame: DataFrame, max_items: int = 10_000) -> DataFrame:
-    """Counts per session as JSON maps in name order, at most `max_items` names each (a
-    session of many names comes in several parts); an empty map without any."""
-    listed = packed(counts, ["session_id"], [name], F.struct(name, "n"), "_m", max_items)
+def count_maps(counts: DataFrame, name: str, session_frame: DataFrame) -> DataFrame:
+    """Counts per session as one JSON map in name order; an empty map without any."""
+    listed = packed(counts, ["session_id"], [name], F.struct(name, "n"), "_m")
     maps = listed.select("session_id", "part", F.to_json(F.map_from_entries("_m")).alias("value_json"))
     return session_frame.select("session_id").join(maps, "session_id", "left").select(
         "session_id",

@@ -173,15 +173,20 @@ def packed(
     order: list[str],
     item: Column,
     name: str = "items",
-    max_items: int = 10_000,
+    max_items: int | None = None,
     largest: int | None = None,
 ) -> DataFrame:
-    """Ordered lists, at most `max_items` long: one row per (group, part). A group of any
-    size stays whole, spread over as many parts as it needs."""
-    placed = OrderedGroups(df, keys, order, largest=largest).positions("_pos")
-    listed = (
-        placed.withColumn("_part", F.floor(F.col("_pos") / max_items).cast("bigint"))
-        .groupBy(*keys, F.col("_part").alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("_pos"), item.alias("_item")))).alias("_l"))
-    )
+    """Ordered lists, one row per group: `part` 0 holds the group whole, at any size. Only a
+    caller that asks for `max_items` gets numbered parts of that length."""
+    if max_items is None:
+        place = [c for o in order for c in (F.col(o).isNull().alias(f"n_{o}"), F.col(o).alias(f"v_{o}"))]
+        listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*place, item.alias("_item")))).alias("_l"))
+        listed = listed.withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        placed = OrderedGroups(df, keys, order, largest=largest).positions("_pos")
+        listed = (
+            placed.withColumn("_part", F.floor(F.col("_pos") / max_items).cast("bigint"))
+            .groupBy(*keys, F.col("_part").alias("part"))
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("_pos"), item.alias("_item")))).alias("_l"))
+        )
     return listed.select(*keys, "part", F.transform("_l", lambda x: x["_item"]).alias(name))

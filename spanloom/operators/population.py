@@ -12,7 +12,7 @@ from spanloom.operators.ordered import OrderedGroups
 from spanloom.operators.sessions import sessions
 from spanloom.operators.tree import tool_token_cost
 
-_MAX_UNFOLDED = 1_000
+_BUCKETS = 16
 
 SESSION_MEASURES = [
     "tool_calls", "tool_fails", "tool_total_tokens", "tool_duration", "tool_duration_norm",
@@ -91,21 +91,14 @@ def long_measures(metrics: DataFrame, keys: list[str], measures: list[str]) -> D
 
 
 def aligned_agent_measures(metrics: DataFrame, session_ids: DataFrame) -> DataFrame:
-    """Every agent in every session, zeros where it took no part. The full grid is what the
-    statistic is; a short agent list (counted first) is unfolded on each session row, a long
-    one is dealt into buckets that sessions visit by equi-join."""
+    """Every agent in every session, zeros where it took no part: the full grid is what the
+    statistic is. Agents are dealt into a few buckets that sessions visit by equi-join, so that
+    neither list is collected. `metrics` is the sparse form; for large populations pass the
+    sessions that are looked at."""
     agents = metrics.select("agent").distinct()
-    names = [r["agent"] for r in agents.limit(_MAX_UNFOLDED + 1).collect()]
-    ids = session_ids.select("session_id")
-    if len(names) <= _MAX_UNFOLDED:
-        listed = F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>")
-        grid = ids.withColumn("agent", F.explode(listed))
-    else:
-        buckets = 256
-        dealt = agents.withColumn("_b", F.pmod(F.hash("agent"), F.lit(buckets)))
-        visits = ids.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-        grid = visits.join(dealt, "_b").drop("_b")
-    return grid.join(metrics, ["session_id", "agent"], "left").select(
+    dealt = agents.withColumn("_b", F.pmod(F.hash("agent"), F.lit(_BUCKETS)))
+    visits = session_ids.select("session_id", F.explode(F.sequence(F.lit(0), F.lit(_BUCKETS - 1))).alias("_b"))
+    return visits.join(dealt, "_b").join(metrics, ["session_id", "agent"], "left").select(
         "session_id",
         "agent",
         *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in AGENT_MEASURES],

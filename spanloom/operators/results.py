@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.constants import GRADE_LABELS
-from spanloom.operators.ordered import packed
 from spanloom.schemas import METRIC_RESULT_SCHEMA
 
 # Scored by an outside scorer, so labelled by that scorer's own threshold.
@@ -204,13 +203,11 @@ def results_by_entity(results: DataFrame, skipped: DataFrame | None = None) -> D
     )
 
 
-def result_documents(results: DataFrame, max_items: int = 2_000) -> DataFrame:
-    """Results as JSON documents per level, in bounded parts."""
-    shaped = results.withColumn("_level", F.concat(F.col("aggregation_level"), F.lit("_metrics")))
-    body = F.struct(*[F.col(c) for c in results.columns])
-    order = ["metric_name", "session_id", "agent_id", "span_id"]
-    return packed(shaped, ["_level"], order, body, "_docs", max_items).select(
-        F.col("_level").alias("level"), "part", F.to_json("_docs").alias("document")
+def result_documents(results: DataFrame) -> DataFrame:
+    """One JSON document per result, with the list it belongs to; nothing is gathered."""
+    body = F.to_json(F.struct(*[F.col(c) for c in results.columns]))
+    return results.select(
+        F.concat(F.col("aggregation_level"), F.lit("_metrics")).alias("level"), entity_key().alias("entity_id"), "metric_name", body.alias("document")
     )
 
 

@@ -113,21 +113,13 @@ def _first_hops(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
     return state.withColumn("root_id", F.when(ended, F.coalesce("at", "span_id"))).drop("_next")
 
 
-class TooDeep(Exception):
-    """The forest is deeper than a fold with path-long values should carry."""
-
-
-def fold_ancestors(nodes: DataFrame, folds: list[Fold], max_depth: int | None = None) -> DataFrame:
+def fold_ancestors(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
     """`nodes` (session_id, span_id, parent_span_id, ...) with root_id, depth and one column
-    per fold. Spans in or under a parent loop are left out. `max_depth` is for folds whose
-    values grow with the path: deeper forests raise TooDeep."""
+    per fold. Spans in or under a parent loop are left out."""
     columns = ["session_id", "span_id", "at", "root_id", "depth", *[f.name for f in folds]]
     state, done, total = _stored_step(_first_hops(nodes, folds).select(*columns))
-    still_open, reach = total - done, _FIRST_HOPS
+    still_open = total - done
     while still_open:
-        if max_depth is not None and reach > max_depth:
-            raise TooDeep
-        reach *= 2
         a = state.filter(F.col("root_id").isNull()).alias("a")
         b = state.alias("b")
         step = a.join(
@@ -184,42 +176,26 @@ _NODE = [
 ]
 
 
-# Root-first paths are built up to this depth; deeper forests are ranked by their tour.
-MAX_PATH_DEPTH = 1_000
-
-
 def execution_tree(spans: DataFrame) -> DataFrame:
     """Reachable spans with root_id and depth."""
     return fold_ancestors(spans.select(*_NODE), [])
 
 
-def with_paths(spans: DataFrame, folds: list[Fold] | None = None, max_depth: int | None = None) -> DataFrame:
-    """Reachable spans with root_id, depth and the root-first path of (time, id) in `path`.
-    With `max_depth`, TooDeep is raised for forests beyond it."""
-    reached = fold_ancestors(spans, [*(folds or []), path_fold()], max_depth)
+def with_paths(spans: DataFrame, folds: list[Fold] | None = None) -> DataFrame:
+    """Reachable spans with root_id, depth and the root-first path of (time, id) in `path`; for
+    results that hold the path itself."""
+    reached = fold_ancestors(spans, [*(folds or []), path_fold()])
     return reached.withColumn("path", F.concat("above", F.array(path_item()))).drop("above")
 
 
 def walked(spans: DataFrame, folds: list[Fold] | None = None) -> DataFrame:
     """Reachable spans with `preorder`, whose order is a depth-first walk: traces by their
-    first root, then roots and children by time."""
-    try:
-        reached = with_paths(spans, folds, MAX_PATH_DEPTH)
-    except TooDeep:
-        return tour_ranked(fold_ancestors(spans, folds or []))
-    roots = reached.filter(F.col("depth") == 0).select(
-        "session_id", F.col("span_id").alias("root_id"), F.coalesce("trace_id", F.lit("unknown")).alias("root_trace")
-    )
-    starts = roots.join(trace_starts(reached), ["session_id", "root_trace"]).drop("root_trace")
-    return (
-        reached.join(starts, ["session_id", "root_id"])
-        .withColumn("preorder", F.struct("trace_start", "path"))
-        .drop("trace_start", "path")
-    )
+    first root, then roots and children by time. One way at every depth."""
+    return tour_ranked(fold_ancestors(spans, folds or []))
 
 
 def tour_ranked(reached: DataFrame) -> DataFrame:
-    """The same walk for forests of any depth, as a rank. Each span is entered and left once;
+    """The walk as a rank, for forests of any depth. Each span is entered and left once;
     the tour enter → first child … leave → next sibling or parent is a linked list, ranked by
     doubling its links. Nothing kept per span grows with depth."""
     trace = F.coalesce("trace_id", F.lit("unknown"))

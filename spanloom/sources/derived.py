@@ -9,7 +9,7 @@ assistant turn is a model call with up to three earlier turns as its prompts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -244,21 +244,14 @@ def event_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chat_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """One model call per assistant turn; prompts are the (at most three) turns before."""
+    """One model call per assistant turn; its prompts are all turns before it."""
     t = table(spark, folder, "conversations", TURN_SCHEMA)
-    spread = t.select(
-        "conv_id",
-        "role",
-        "text",
-        F.explode(F.array(*[F.col("turn") + i for i in range(4)])).alias("call"),
-        F.col("turn").alias("turn"),
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = t.withColumn("before", F.collect_list(F.struct("role", "text")).over(earlier))
+    calls = turns.filter(F.col("role") == "assistant").select(
+        "conv_id", F.col("turn").alias("call"), F.col("role").alias("role0"), F.col("text").alias("text0"), "before",
+        F.try_element_at("before", F.lit(-1))["text"].alias("text1"),
     )
-    back = F.col("call") - F.col("turn")
-    picks = []
-    for i in range(4):
-        picks += [F.max(F.when(back == i, F.col(c))).alias(f"{c}{i}") for c in ("role", "text")]
-    calls = spread.groupBy("conv_id", "call").agg(*picks).filter(F.col("role0") == "assistant")
-    held = F.least(F.col("call"), F.lit(3)).cast("int")
     pairs = {
         "session.id": F.concat(F.lit("chat_"), _uuid(F.col("conv_id"))),
         "agent_id": F.element_at(F.array(*[F.lit(a) for a in AGENTS]), (F.col("conv_id") % 3 + 1).cast("int")),
@@ -269,11 +262,11 @@ def chat_spans(spark: SparkSession, folder: str) -> DataFrame:
         "gen_ai.usage.prompt_tokens": F.length("text1"),
         "gen_ai.usage.completion_tokens": F.length("text0"),
     }
-    for n in range(3):
-        # Prompt n of a call with h earlier turns is the turn h - n calls back.
-        for c, label in (("role", "role"), ("text", "content")):
-            chosen = F.coalesce(*[F.when(held - n == i, F.col(f"{c}{i}")) for i in (1, 2, 3)])
-            pairs[f"gen_ai.prompt.{n}.{label}"] = chosen
+    prompt = lambda m, n, c, label: F.struct(
+        F.concat(F.lit("gen_ai.prompt."), n.cast("string"), F.lit(f".{label}")).alias("key"), m[c].alias("value")
+    )
+    prompts = F.flatten(F.transform("before", lambda m, n: F.array(prompt(m, n, "role", "role"), prompt(m, n, "text", "content"))))
+    prompts = F.map_from_entries(F.filter(prompts, lambda e: e["value"].isNotNull()))
     minute = F.lit("2024-02-01 00:00:00").cast("timestamp")
     return _whole_schema(
         calls.select(
@@ -290,7 +283,7 @@ def chat_spans(spark: SparkSession, folder: str) -> DataFrame:
             F.map_from_arrays(
                 F.array().cast("array<string>"), F.array().cast("array<string>")
             ).alias("ResourceAttributes"),
-            _text_map(pairs).alias("SpanAttributes"),
+            F.map_concat(_text_map(pairs), prompts).alias("SpanAttributes"),
             (F.length("text0") * 1000000).cast("bigint").alias("Duration"),
             F.lit("Ok").alias("StatusCode"),
         )

@@ -167,7 +167,7 @@ def test_long_agent_lists_give_the_same_grid(spans, monkeypatch):
     stats, ids = population.agent_metrics(agents.agent_stats(df)), sessions.sessions(df)
     shape = lambda g: sorted((r["session_id"], r["agent"], r["completion"]) for r in g.collect())
     plain = shape(population.aligned_agent_measures(stats, ids))
-    monkeypatch.setattr(population, "_MAX_UNFOLDED", 2)
+    monkeypatch.setattr(population, "_BUCKETS", 1)
     assert shape(population.aligned_agent_measures(stats, ids)) == plain
     assert len(plain) == 21
 

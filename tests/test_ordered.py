@@ -72,3 +72,10 @@ def test_packed_of_hot_groups(spark, small_groups):
     spark.conf.unset("spanloom.maxGroupRows")
     plain = {(p["g"], p["part"]): p["ids"] for p in packed(df, ["g"], ["t", "id"], F.col("id"), "ids", 25).collect()}
     assert hot == plain
+
+
+def test_a_packed_group_is_one_row_at_any_size(spark):
+    df = spark.range(25_000).select((F.col("id") % 2).alias("g"), (-F.col("id")).alias("t"), "id")
+    got = {r["g"]: r for r in packed(df, ["g"], ["t"], F.col("id"), "ids").collect()}
+    assert [r["part"] for r in got.values()] == [0, 0]
+    assert got[1]["ids"] == list(range(24_999, 0, -2))

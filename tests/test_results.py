@@ -85,8 +85,10 @@ def test_all_native_metrics_run_at_every_level(spans):
 
 
 def test_unknown_metric_is_an_error(spans):
-    with pytest.raises(KeyError):
-        registry.run_metrics(build.Frames(spans([tool()])), ["Nope"])
+    """One failed row for the name; the run goes on."""
+    got = registry.run_metrics(build.Frames(spans([tool()])), ["NoSuchMetric"]).collect()
+    assert [(r.metric_name, r.success, r.bucket) for r in got] == [("NoSuchMetric", False, "failed")]
+    assert "NoSuchMetric" in got[0].error_message
 
 
 def test_build_filters_one_session_and_rejects_nothing_found(raw_spans):
@@ -180,3 +182,56 @@ def test_scope_is_checked(spark):
     assert metric_store.with_scope(rows, "span").first()["Scope"] == "span"
     with pytest.raises(ValueError, match="scope"):
         metric_store.with_scope(rows, "agent")
+
+
+def _agent_results(spark, rows):
+    return spark.createDataFrame(rows, "session_id string, agent_id string, metric_name string, aggregation_level string, value_num double")
+
+
+def test_agents_are_reused_only_where_all_of_a_session_are_stored(spark):
+    wanted = spark.createDataFrame([("s1", "a", "M"), ("s1", "b", "M"), ("s2", "a", "M"), ("s3", "c", "M")], "session_id string, agent_id string, metric_name string")
+    stored = _agent_results(spark, [("s1", "a", "M", "agent", 1.0), ("s2", "a", "M", "agent", 2.0), ("s2", "a", "M", "agent", 2.0), ("s2", "gone", "M", "agent", 3.0), ("s3", "c", "M", "session", 4.0)])
+    todo, reuse = results.split_work(wanted, stored, agent_level=True)
+    assert sorted((r.session_id, r.agent_id) for r in todo.collect()) == [("s1", "a"), ("s1", "b"), ("s3", "c")]
+    assert [(r.session_id, r.agent_id, r.value_num, r.from_cache) for r in reuse.collect()] == [("s2", "a", 2.0, True)]
+
+
+def test_a_run_skips_what_lacks_inputs_and_survives_failures(spans):
+    from spanloom.plans.build import Frames
+    from spanloom.plans.registry import Registry, run_metrics, skipped_metrics
+    from tests.conftest import model
+
+    frames = Frames(spans([tool(session="s1", id="x1"), model([("user", "hello there")], [("assistant", "hi")], session="s2", id="x2")]))
+    own = Registry()
+
+    @own.metric("Talk", "session", requires=("conversation_elements",))
+    def talk(f):
+        return results.result_rows(f.sessions.select("session_id"), "Talk", "session", F.lit(1.0))
+
+    @own.metric("Broken", "session")
+    def broken(f):
+        return f.spans.select("no such column")
+
+    got = {(r.metric_name, r.session_id): (r.value_num, r.bucket) for r in run_metrics(frames, ["Talk", "Broken", "Unknown"], registry=own).collect()}
+    assert got == {("Talk", "s2"): (1.0, "session"), ("Broken", None): (-1.0, "failed"), ("Unknown", None): (-1.0, "failed")}
+    assert [(r.metric_name, r.session_id, r.missing) for r in skipped_metrics(frames, ["Talk"], registry=own).collect()] == [("Talk", "s1", ["conversation_elements"])]
+
+
+def test_search_survives_deep_texts_and_takes_plain_ones_without_python(spark):
+    from spanloom.functions.values import find_key
+
+    texts = ["[" * 200_000 + "]" * 200_000 + '"status"', '{"status": "ok"}', '{"a": {"status": 3}}', '{"status": null, "b": {"x": 1}}', '{"status": "a\\nb"}', '{"a": "status"}', None]
+    deep = '{"a":' * 50_000 + '{"status": 1}' + "}" * 50_000
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, deep])], "i int, t string")
+    got = [r.v for r in rows.select("i", find_key(F.col("t"), "status").alias("v")).orderBy("i").collect()]
+    assert got == [None, '"ok"', "3", None, '"a\\nb"', None, None, None]
+
+
+def test_span_metrics_are_matched_without_a_shuffle(spans):
+    from spanloom.operators import cases
+
+    df = spans([tool(), tool()])
+    out = results.match_span_metrics(df, cases.catalog(df.sparkSession, "tool"))
+    assert out.count() == 10
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "entity_type" not in "".join(line for line in plan.splitlines() if "Exchange" in line)

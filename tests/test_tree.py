@@ -58,18 +58,16 @@ def test_tour_ranks_give_the_same_walk(spans):
     assert [r["span_id"] for r in got] == WALK
 
 
-def test_deep_forests_are_ranked_by_their_tour(spans, monkeypatch):
+def test_tour_ranks_are_the_order_of_paths(spans):
     rnd = random.Random(2)
     rows = [tool(id=f"n{i:03d}", parent=f"n{i - rnd.randrange(1, 3):03d}" if i > 1 else "", at=rnd.randrange(500)) for i in range(60)]
     df = spans(rows)
-    plain = _walk(df)
-    monkeypatch.setattr(tree, "MAX_PATH_DEPTH", 4)
-    assert _walk(df) == plain
-    assert len(plain) == 60
+    by_path = [r["span_id"] for r in tree.with_paths(df).orderBy("path").collect()]
+    assert _walk(df) == by_path
+    assert len(by_path) == 60
 
 
-def test_leaf_paths_are_whole_at_any_depth(spans, monkeypatch):
-    monkeypatch.setattr(tree, "MAX_PATH_DEPTH", 2)
+def test_leaf_paths_are_whole_at_any_depth(spans):
     rows = [tool(id=f"n{i:02d}", parent=f"n{i - 1:02d}" if i else "") for i in range(15)]
     got = tree.leaf_paths(spans(rows)).collect()
     assert [r["path"] for r in got] == [[f"n{i:02d}" for i in range(15)]]

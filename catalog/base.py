@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.parse import in_sessions, parse_spans
-from spanloom.operators.reads import promoted
 from spanloom.operators.tree import unique_spans
 from spanloom.plans.build import Frames
 from spanloom.runtime import materialize, scratch_root
 from spanloom.sources import derived
-from spanloom.sources.traces import read_histogram
+from spanloom.sources.traces import read_histogram, read_traces, write_trace_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,8 +43,13 @@ def _stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Dat
 
 
 def raw(spark: SparkSession, folder: str) -> DataFrame:
-    """The derived trace table, stored as Parquet as a collector would leave it."""
-    return _stored(spark, folder, "traces", lambda: promoted(derived.spans(spark, folder)))
+    """The derived trace table, stored by the intake's own layout and read back as a user would."""
+    key = (spark.sparkContext.applicationId, folder, "traces")
+    if key not in _tables:
+        path = scratch(spark, "traces")
+        write_trace_table(derived.spans(spark, folder), path)
+        _tables[key] = read_traces(spark, path)
+    return _tables[key]
 
 
 def typed(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import frames, query, raw, scratch, typed
 from catalog.base_sql import with_base
+from catalog.parsing import _DEFS
 from catalog.sessions import _SES
 from catalog.talk import _EL, _ORD, _OUTJ, _SENDS
 from spanloom.operators import cases, metrics, results
@@ -35,12 +36,12 @@ def _(spark, d):
     return cases.task_cases(typed(spark, d))[0].select("session_id", "input", "actual_output")
 
 
-_TJ = f"""tj AS (SELECT sid, count(*) AS n, '[' || string_agg('{{"name":' || to_json(name) || ',"input_parameters":' || to_json(i)
+_TJ = f"""tj AS (SELECT sid, count(*) AS n, '[' || string_agg('{{' || CASE WHEN name IS NULL THEN '' ELSE '"name":' || to_json(name) || ',' END || CASE WHEN description IS NULL THEN '' ELSE '"description":' || to_json(description) || ',' END || '"input_parameters":' || to_json(i)
   || CASE WHEN o IS NULL THEN '' ELSE ',"output":' || to_json(o) END || '}}', ',' ORDER BY ts, span) || ']' AS j
-  FROM (SELECT sid, span, ts, name, tool_in AS i, {_OUTJ} AS o FROM evt WHERE kind = 'tool' AND sid IS NOT NULL) GROUP BY 1)"""
+  FROM (SELECT evt.sid, span, ts, name, tool_in AS i, {_OUTJ} AS o, description FROM evt LEFT JOIN first ON first.sid = evt.sid AND first.tool = evt.name WHERE kind = 'tool' AND evt.sid IS NOT NULL) GROUP BY 1)"""
 
 
-@query("E02_session_tools", with_base("SELECT sid AS session_id, 0::BIGINT AS part, n AS n_tools, j AS tools_called FROM tj", _TJ))
+@query("E02_session_tools", with_base("SELECT sid AS session_id, 0::BIGINT AS part, n AS n_tools, j AS tools_called FROM tj", _DEFS, _TJ))
 def _(spark, d):
     real = typed(spark, d).filter("attrs['tool_name'] is null")
     return cases.session_tools(real)
@@ -57,16 +58,16 @@ def _(spark, d):
 @query(
     "E04_answer_relevancy_cases",
     with_base(
-        """SELECT span AS span_id, 'tool_' || (k % 4) AS first_tool, 1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS n_tools, 'Please calculate item ' || k AS question FROM sp WHERE kind = 'llm'
-        UNION ALL SELECT span, NULL, 0, CASE WHEN held >= 2 THEN second_text END FROM ch"""
+        """SELECT span AS span_id, '[{"name":"tool_' || (k % 4) || '","description":"desc ' || k || '","parameters":' || to_json('{"type": "object", "n": ' || k || '}') || '},' || CASE WHEN k % 3 = 0 THEN '{"name":"tool_3"},' ELSE '' END || '{"name":"tool_gap"}]' AS tools, 'Please calculate item ' || k AS question FROM sp WHERE kind = 'llm'
+        UNION ALL SELECT span, '[]', CASE WHEN held >= 2 THEN second_text END FROM ch"""
     ),
 )
 def _(spark, d):
     c = cases.answer_relevancy_cases(typed(spark, d))
-    defs = F.from_json(F.get_json_object("input", "$.tool_definitions"), "array<struct<name:string>>")
+    defs = F.get_json_object("input", "$.tool_definitions")
     chat = F.from_json(F.get_json_object("input", "$.chat_payload"), "map<string,string>")
     return c.select(
-        "span_id", F.try_element_at(defs, F.lit(1))["name"].alias("first_tool"), F.size(defs).alias("n_tools"),
+        "span_id", defs.alias("tools"),
         F.try_element_at(chat, F.lit("gen_ai.prompt.1.content")).alias("question"),
     )
 
@@ -124,7 +125,7 @@ def _(spark, d):
 
 @query(
     "E09_session_parameters",
-    with_base("SELECT coalesce(tu.sid, tj.sid) AS session_id, tu.j AS conversation, q AS user_input, a AS final_response, tj.j AS tools_used FROM tu FULL JOIN tj ON tu.sid = tj.sid LEFT JOIN endss ON endss.sid = coalesce(tu.sid, tj.sid)", _EL, _TURNS, _TJ, _SENDS),
+    with_base("SELECT coalesce(tu.sid, tj.sid) AS session_id, tu.j AS conversation, q AS user_input, a AS final_response, tj.j AS tools_used FROM tu FULL JOIN tj ON tu.sid = tj.sid LEFT JOIN endss ON endss.sid = coalesce(tu.sid, tj.sid)", _EL, _TURNS, _DEFS, _TJ, _SENDS),
 )
 def _(spark, d):
     real = typed(spark, d).filter("attrs['tool_name'] is null")

@@ -16,7 +16,7 @@ from spanloom.operators.conversation import (
     endpoints,
 )
 from spanloom.operators.ordered import packed
-from spanloom.operators.parse import input_text, output_text
+from spanloom.operators.parse import attach_tool_definitions, input_text, output_text
 from spanloom.operators.results import result_rows
 from spanloom.operators.sessions import SESSION_ORDER, with_order
 from spanloom.schemas import SCORER_REPLY_SCHEMA
@@ -124,9 +124,14 @@ def span_cases(spans: DataFrame, metric: str) -> DataFrame:
     )
 
 
+def shown_tools() -> Column:
+    """All tool definitions of a model span, whatever their numbers."""
+    return F.transform("functions", lambda f: F.struct(f["name"].alias("name"), f["description"].alias("description"), f["parameters"].alias("parameters")))
+
+
 def task_cases(spans: DataFrame, max_items: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(cases, tool calls): the exchange of each session that has both ends, and the tools it
-    called in order, in bounded parts."""
+    called in order."""
     ends = endpoints(spans)
     whole = ends.filter(truthy(F.col("input_query")).isNotNull() & truthy(F.col("final_response")).isNotNull())
     cases = _case(whole, "TaskCompletionMetric", input=F.col("input_query"), actual_output=F.col("final_response"))
@@ -134,10 +139,12 @@ def task_cases(spans: DataFrame, max_items: int | None = None) -> tuple[DataFram
 
 
 def session_tools(spans: DataFrame, max_items: int | None = None) -> DataFrame:
-    """Tool calls of each session as JSON lists, in bounded parts."""
-    used = with_order(spans).filter(F.col("entity_type") == "tool")
+    """Tool calls of each session as a JSON list, with the description that the session's models
+    were shown."""
+    used = with_order(attach_tool_definitions(spans)).filter(F.col("entity_type") == "tool")
     item = F.struct(
         F.col("entity_name").alias("name"),
+        F.col("tool_definition.description").alias("description"),
         F.col("input_payload").alias("input_parameters"),
         F.col("output_payload").alias("output"),
     )
@@ -158,7 +165,7 @@ def conversation_cases(spans: DataFrame, metric: str, max_items: int | None = No
 def answer_relevancy_cases(spans: DataFrame) -> DataFrame:
     """Tool definitions and chat payload in, completions out."""
     asked = F.to_json(
-        F.struct(F.col("functions").alias("tool_definitions"), redact_images(F.col("prompts")).alias("chat_payload"))
+        F.struct(shown_tools().alias("tool_definitions"), redact_images(F.col("prompts")).alias("chat_payload"))
     )
     return _case(_models(spans), "AnswerRelevancyMetric", input=asked, actual_output=F.to_json("completions"))
 
@@ -188,7 +195,7 @@ def session_relevancy_cases(spans: DataFrame) -> DataFrame:
 
 def answer_correctness_cases(spans: DataFrame) -> DataFrame:
     """Tool definitions and chat history in, answer out, expected output where known."""
-    asked = F.struct(F.col("functions").alias("tool_definitions"), chat_messages("prompts").alias("chat_payload"))
+    asked = F.struct(shown_tools().alias("tool_definitions"), chat_messages("prompts").alias("chat_payload"))
     return _case(
         _models(spans),
         "AnswerCorrectnessMetric",
@@ -245,7 +252,7 @@ def hallucination_cases(spans: DataFrame, types: list[str] | None = None) -> Dat
 
 
 def session_parameter_cases(spans: DataFrame) -> DataFrame:
-    """Conversation, ends and tools of each session; one row per part of the conversation."""
+    """Conversation, ends and tools of each session."""
     turns = conversation_cases(spans, "SessionParameters").drop("case_id", "metric_name")
     tools = session_tools(spans)
     parts = turns.join(tools, ["session_id", "part"], "full_outer").join(endpoints(spans), "session_id", "left")

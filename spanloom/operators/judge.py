@@ -129,10 +129,11 @@ def with_ground_truth(rows: DataFrame, truth: DataFrame | None) -> DataFrame:
     """The known answer to each query, where a table of answers is given."""
     if truth is None:
         return rows.withColumn("ground_truth", F.lit("No ground truth available"))
-    known = truth.select("query", F.col("answer").alias("ground_truth")).dropDuplicates(["query"])
-    return rows.join(known, "query", "left").withColumn(
-        "ground_truth", F.coalesce("ground_truth", F.lit("No ground truth available"))
-    )
+    # The least of several answers; rows without a query do not meet in one task.
+    known = truth.filter("query is not null").groupBy(F.col("query").alias("_query")).agg(F.min("answer").alias("ground_truth"))
+    asked = rows.filter("query is not null").join(known, F.col("query") == F.col("_query"), "left").drop("_query")
+    apart = rows.filter("query is null").withColumn("ground_truth", F.lit(None).cast("string"))
+    return asked.unionByName(apart).withColumn("ground_truth", F.coalesce("ground_truth", F.lit("No ground truth available")))
 
 
 def tool_use_requests(spans_with_definitions: DataFrame) -> DataFrame:

@@ -167,6 +167,20 @@ class OrderedGroups:
         )
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """`rows` numbered from 0 in one order over all: dealt by ranges, numbered within each, and
+    moved on by the sizes of the ranges before. The order should end with an id."""
+    ranges = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range; its number is that of the shuffle's partitions.
+    offsets = ranges.groupBy("_range").count().select(
+        F.col("_range").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")
+    )
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    out = ranges.withColumn("_within", within).join(F.broadcast(offsets), F.col("_range") == F.col("_of"))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_within") - 1).alias(name))
+
+
 def packed(
     df: DataFrame,
     keys: list[str],

@@ -89,7 +89,7 @@ def _entity_name() -> Column:
 
 
 def _numbered_functions() -> Column:
-    """Tool definitions on one model span: functions 0..n-1 up to the first missing name."""
+    """All numbered tool definitions on one model span, by number."""
     pattern = r"^llm\.request\.functions\.([0-9]+)\.name$"
     attrs = F.col("SpanAttributes")
     listed = F.sort_array(
@@ -98,12 +98,11 @@ def _numbered_functions() -> Column:
             lambda k: F.regexp_extract(k, pattern, 1).cast("int"),
         )
     )
-    contiguous = F.filter(listed, lambda n, i: n == i)
     field = lambda n, f: F.try_element_at(
         attrs, F.concat(F.lit("llm.request.functions."), n.cast("string"), F.lit("." + f))
     )
     return F.transform(
-        contiguous,
+        listed,
         lambda n: F.struct(
             n.alias("idx"),
             field(n, "name").alias("name"),
@@ -229,9 +228,10 @@ def output_text() -> Column:
 
 
 def tool_definitions(spans: DataFrame) -> DataFrame:
-    """One definition per (session, tool name): the first in session order wins."""
+    """One definition per (session, tool name): the first in session order wins. Of each span
+    the definitions 0, 1, ... count, up to the first missing number."""
     listed = spans.filter(F.col("entity_type") == "llm").select(
-        "session_id", "timestamp", "ts_raw", "span_id", F.explode("functions").alias("f")
+        "session_id", "timestamp", "ts_raw", "span_id", F.explode(F.filter("functions", lambda f, i: f["idx"] == i)).alias("f")
     )
     first = F.min_by(
         F.struct("f.description", "f.parameters"),

@@ -46,6 +46,15 @@ def _between(c: Column, start: str, end: str) -> Column:
     return (c >= lower) & (c <= upper)
 
 
+def _span_between(raw: DataFrame, start: str, end: str) -> Column:
+    """Spans in a time range; where the table is kept by day, only these days are read."""
+    inside = _between(F.col("Timestamp"), start, end)
+    if "day" not in raw.columns:
+        return inside
+    lower, upper = (F.to_date(F.lit(utc_bound(b)).cast("timestamp")) for b in (start, end))
+    return inside & F.col("day").between(lower, upper)
+
+
 def _is_root() -> Column:
     return truthy(F.col("ParentSpanId")).isNull()
 
@@ -76,7 +85,7 @@ def trace_sample(raw: DataFrame, n: int = 10) -> DataFrame:
 def span_listing(raw: DataFrame, start: str, end: str) -> DataFrame:
     """Session id and time of every span in the range, newest first."""
     return (
-        raw.filter(_has_session(raw) & _between(F.col("Timestamp"), start, end))
+        raw.filter(_has_session(raw) & _span_between(raw, start, end))
         .select(_session(raw).alias("session_id"), "Timestamp")
         .orderBy(F.desc("Timestamp"), "session_id")
     )
@@ -161,7 +170,7 @@ def session_pages(
 ) -> DataFrame:
     """Sessions by id part with the row-level time filter, newest first: the frame that
     `page` cuts and whose count is the total."""
-    kept = raw.filter(_has_session(raw) & _between(F.col("Timestamp"), start, end))
+    kept = raw.filter(_has_session(raw) & _span_between(raw, start, end))
     if prompts:
         kept = kept.filter(_stated(raw, "gen_ai.prompt.0.role") == "user")
     if name_prefix:

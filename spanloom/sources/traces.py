@@ -4,18 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.constants import DEFAULT_FILE_SESSION
 from spanloom.functions.values import truthy, uuid_part
-from spanloom.operators.ordered import OrderedGroups
+from spanloom.operators.ordered import numbered
 from spanloom.operators.parse import session_id
-from spanloom.operators.reads import promoted
+from spanloom.operators.reads import PROMOTED, promoted
 from spanloom.schemas import HISTOGRAM_SCHEMA, SPAN_FILE_SCHEMA, SPAN_SCHEMA
 
 
+# How spans are stored: the promoted attributes as columns, partitioned by day.
+TRACE_TABLE_SCHEMA = T.StructType(
+    [
+        *SPAN_SCHEMA.fields,
+        *[T.StructField(c, T.StringType()) for c in PROMOTED.values()],
+        T.StructField("day", T.DateType()),
+    ]
+)
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """The raw trace table."""
-    return spark.read.schema(SPAN_SCHEMA).parquet(path)
+    """The raw trace table, with the promoted columns and the day where it was stored with them
+    (`write_trace_table`), so that filters reach the scan."""
+    have = set(spark.read.parquet(path).columns)
+    stored = [f for f in TRACE_TABLE_SCHEMA.fields if f.name in have or f in SPAN_SCHEMA.fields]
+    return spark.read.schema(T.StructType(stored)).parquet(path)
 
 
 def read_histogram(spark: SparkSession, path: str, metric: str) -> DataFrame:
@@ -79,11 +93,11 @@ def status_number() -> Column:
 def one_session_per_row(rows: DataFrame, order: list[str]) -> DataFrame:
     """Population from a file: the row's own session field, else a generated session named
     by the row's place in the file (`order` is the file order)."""
-    placed = OrderedGroups(rows.withColumn("_file", F.lit(0)), ["_file"], order).positions("_row")
+    placed = numbered(rows, [F.col(o).asc_nulls_last() for o in order], "_row")
     generated = F.concat(F.lit("file_session_"), F.col("_row").cast("string"))
     return placed.withColumn(
         "population_session", F.coalesce(truthy(F.col("session_id")), generated)
-    ).drop("_file", "_row")
+    ).drop("_row")
 
 
 def write_trace_table(raw: DataFrame, path: str, mode: str = "append") -> None:
@@ -92,6 +106,8 @@ def write_trace_table(raw: DataFrame, path: str, mode: str = "append") -> None:
     (
         promoted(raw)
         .withColumn("day", F.to_date("Timestamp"))
+        # Few files per day, and a busy day over many.
+        .repartitionByRange("day", "Timestamp", "SpanId")
         .write.mode(mode)
         .partitionBy("day")
         .parquet(path)

@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from spanloom.operators.reads import PROMOTED, promoted
+from spanloom.operators.reads import promoted
 from spanloom.schemas import SPAN_SCHEMA
+from spanloom.sources.traces import TRACE_TABLE_SCHEMA
 
 _KEYS = ["TraceId", "SpanId"]
-TRACE_TABLE_SCHEMA = T.StructType(
-    [
-        *SPAN_SCHEMA.fields,
-        *[T.StructField(c, T.StringType()) for c in PROMOTED.values()],
-        T.StructField("day", T.DateType()),
-    ]
-)
 
 
 def landing_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -33,18 +26,23 @@ def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def store_batch(batch: DataFrame, table: str) -> None:
-    """Append the spans of a batch that the table does not hold yet. Only the days of the
-    batch are read for that, late spans are stored like others, and a replayed batch adds
+    """Append the spans of a batch that the table does not hold yet. Only the days that occur in
+    the batch are read for that, late spans are stored like others, and a replayed batch adds
     nothing."""
     spark = batch.sparkSession
-    rows = promoted(batch).withColumn("day", F.to_date("Timestamp")).dropDuplicates(_KEYS)
-    first, last = rows.agg(F.min("day"), F.max("day")).first()
-    if first is None and batch.isEmpty():
-        return
-    stored = spark.read.schema(TRACE_TABLE_SCHEMA).parquet(table)
-    near = F.col("day").between(F.lit(first), F.lit(last)) | F.col("day").isNull()
-    fresh = rows.join(stored.filter(near).select(*_KEYS), _KEYS, "left_anti")
-    fresh.select(*TRACE_TABLE_SCHEMA.names).write.mode("append").partitionBy("day").parquet(table)
+    rows = promoted(batch).withColumn("day", F.to_date("Timestamp")).dropDuplicates(_KEYS).persist()
+    try:
+        # As many as the batch has days; they prune the partitions that are read.
+        days = [r["day"] for r in rows.select("day").distinct().collect()]
+        if not days:
+            return
+        stored = spark.read.schema(TRACE_TABLE_SCHEMA).parquet(table)
+        near = F.col("day").isin([d for d in days if d is not None])
+        near = near | F.col("day").isNull() if None in days else near
+        fresh = rows.join(stored.filter(near).select(*_KEYS), _KEYS, "left_anti")
+        fresh.select(*TRACE_TABLE_SCHEMA.names).write.mode("append").partitionBy("day").parquet(table)
+    finally:
+        rows.unpersist()
 
 
 def start_intake(

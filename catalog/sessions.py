@@ -144,9 +144,33 @@ def _(spark, d):
     return sessions.workflow_summary(typed(spark, d))
 
 
-@query("A23_workflow_runs", with_base("SELECT sid AS session_id, name AS workflow, span AS span_id, ts AS ts_us, err AS has_error FROM sp WHERE etype = 'workflow'"))
+@query(
+    "A23_workflow_runs",
+    with_base(
+        """SELECT sid AS session_id, name AS workflow, span AS span_id, ts AS ts_us, err AS has_error, row_number() OVER (PARTITION BY sid ORDER BY ts, span) - 1 AS position,
+        row_number() OVER (PARTITION BY sid, name ORDER BY ts, span) - 1 AS workflow_position FROM sp WHERE etype = 'workflow'"""
+    ),
+)
+def _(spark, d):
+    out = sessions.workflow_runs(typed(spark, d), frames(spark, d).largest_session)
+    return out.select("session_id", "workflow", "span_id", micros("timestamp").alias("ts_us"), "has_error", "position", "workflow_position")
+
+
+@query("A23_workflow_totals", with_base("SELECT sid AS session_id, count(DISTINCT name) AS total_workflows, count(*) AS total_executions, bool_or(err) AS has_errors FROM sp WHERE etype = 'workflow' GROUP BY 1"))
+def _(spark, d):
+    return sessions.workflow_totals(typed(spark, d))
+
+
+@query(
+    "A24_tool_calls",
+    with_base(
+        """SELECT sid AS session_id, name AS tool, span AS span_id, ts AS ts_us, err AS has_error, row_number() OVER (PARTITION BY sid ORDER BY ts, span) - 1 AS position,
+        row_number() OVER (PARTITION BY sid, name ORDER BY ts, span) - 1 AS tool_position FROM sp WHERE etype = 'tool'"""
+    ),
+)
 def _(spark, d):
-    return sessions.workflow_runs(typed(spark, d)).select("session_id", "workflow", "span_id", micros("timestamp").alias("ts_us"), "has_error")
+    out = sessions.tool_calls(typed(spark, d), frames(spark, d).largest_session)
+    return out.select("session_id", "tool", "span_id", micros("timestamp").alias("ts_us"), "has_error", "position", "tool_position")
 
 
 @query(
@@ -334,12 +358,13 @@ def _(spark, d):
     with_base(
         """SELECT sid AS session_id, owner AS agent, count(*) AS n_spans, count(*) FILTER (etype = 'tool') AS tool_calls, count(*) FILTER (etype = 'llm') AS llm_spans,
         count(*) FILTER (etype = 'workflow') AS workflow_spans, count(*) FILTER (etype = 'task') AS task_spans, count(*) FILTER (etype = 'tool' AND err) AS tool_errors,
+        coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (etype = 'tool' AND name <> ''), '') AS tool_names,
         round(coalesce(100.0 * count(*) FILTER (etype = 'tool' AND err) / nullif(count(*) FILTER (etype = 'tool'), 0), 0), 6) AS tool_error_rate FROM ow GROUP BY 1, 2""",
         _OWN,
     ),
 )
 def _(spark, d):
-    out = agents.agent_view(frames(spark, d).owned)
+    out = agents.agent_view(frames(spark, d).owned).withColumn("tool_names", F.array_join("tool_names", ","))
     return out.withColumn("tool_error_rate", F.round("tool_error_rate", 6))
 
 

@@ -112,7 +112,8 @@ def agent_spans(spans: DataFrame, owned: DataFrame | None = None) -> DataFrame:
 
 
 def agent_view(owned: DataFrame) -> DataFrame:
-    """Per (session, agent) over its spans: counts per type, tool errors and error rate."""
+    """Per (session, agent) over its spans: counts per type, tool errors and error rate, and the
+    sorted names of the tools it used."""
     count = lambda kind: F.count_if(F.col("entity_type") == kind)
     errors = F.count_if((F.col("entity_type") == "tool") & F.col("contains_error"))
     return (
@@ -124,6 +125,7 @@ def agent_view(owned: DataFrame) -> DataFrame:
             count("workflow").alias("workflow_spans"),
             count("task").alias("task_spans"),
             errors.alias("tool_errors"),
+            F.array_sort(F.collect_set(F.when(F.col("entity_type") == "tool", truthy(F.col("entity_name"))))).alias("tool_names"),
         )
         .withColumn("tool_error_rate", per_call(F.col("tool_errors") * 100.0, F.col("tool_calls")))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.constants import DEFAULT_APP_NAME
 from spanloom.functions.values import attr, truthy, utc_bound, whole_number
+from spanloom.operators.ordered import OrderedGroups
 
 SESSION_ORDER = ["timestamp", "ts_order", "span_id"]
 
@@ -183,27 +184,38 @@ def graph_attributes(spans: DataFrame) -> DataFrame:
     return spans.filter(_is("graph")).groupBy("session_id").agg(picked.alias("g")).select("session_id", "g.*")
 
 
-def workflow_runs(spans: DataFrame) -> DataFrame:
-    """One row per workflow execution, with its place in the session's pattern."""
-    return spans.filter(_is("workflow")).select(
-        "session_id",
-        F.col("entity_name").alias("workflow"),
-        "timestamp",
-        "span_id",
-        "start_time",
-        "end_time",
-        "input_payload",
-        "output_payload",
-        F.col("contains_error").alias("has_error"),
-        "parent_span_id",
+def _in_pattern(spans: DataFrame, kind: str, name: str, largest: int | None) -> DataFrame:
+    """Spans of one type with their place in the session and among those of their name."""
+    rows = with_order(spans.filter(_is(kind))).withColumn(name, F.col("entity_name"))
+    rows = rows.select(
+        "session_id", name, *SESSION_ORDER, "start_time", "end_time", "input_payload", "output_payload",
+        F.col("contains_error").alias("has_error"), "parent_span_id",
     )
+    placed = OrderedGroups(rows, ["session_id"], SESSION_ORDER, largest=largest).positions("position")
+    placed = OrderedGroups(placed, ["session_id", name], SESSION_ORDER, largest=largest).positions(f"{name}_position")
+    return placed.drop("ts_order")
+
+
+def workflow_runs(spans: DataFrame, largest: int | None = None) -> DataFrame:
+    """One row per workflow execution, with its place (from 0) in the session's pattern and
+    among the executions of that workflow. `largest`: spans of the largest session, where known."""
+    return _in_pattern(spans, "workflow", "workflow", largest)
 
 
 def workflow_summary(spans: DataFrame) -> DataFrame:
     return (
-        workflow_runs(spans)
-        .groupBy("session_id", "workflow")
-        .agg(F.count("*").alias("total_executions"), F.bool_or("has_error").alias("has_errors"))
+        spans.filter(_is("workflow"))
+        .groupBy("session_id", F.col("entity_name").alias("workflow"))
+        .agg(F.count("*").alias("total_executions"), F.bool_or("contains_error").alias("has_errors"))
+    )
+
+
+def workflow_totals(spans: DataFrame) -> DataFrame:
+    """Distinct workflows and executions per session."""
+    return (
+        workflow_summary(spans)
+        .groupBy("session_id")
+        .agg(F.count("*").alias("total_workflows"), F.sum("total_executions").alias("total_executions"), F.bool_or("has_errors").alias("has_errors"))
     )
 
 
@@ -252,6 +264,12 @@ def workflow_exchange(spans: DataFrame) -> DataFrame:
     )
 
 
+def tool_calls(spans: DataFrame, largest: int | None = None) -> DataFrame:
+    """One row per tool call, with its place (from 0) in the session's usage pattern and among
+    the calls of that tool."""
+    return _in_pattern(spans, "tool", "tool", largest).withColumn("success", ~F.col("has_error"))
+
+
 def tool_usage(spans: DataFrame) -> DataFrame:
     """Calls and failures per session and tool."""
     return (

@@ -178,7 +178,7 @@ _APP = {n: c for n, c in metrics.PASSIVE_APP.items()}
     ),
 )
 def _(spark, d):
-    out = metrics.passive_app(population.session_metrics(typed(spark, d)))
+    out = metrics.passive_app(frames(spark, d).session_metrics)
     return out.select("session_id", "app_name", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in out.columns if c.startswith("eval")])
 
 

@@ -402,7 +402,7 @@ _AM = """am AS (SELECT sid, agent, tool_calls, tool_fails, 0 AS tool_total_token
     ),
 )
 def _(spark, d):
-    out = population.population_averages(population.session_metrics(typed(spark, d)))
+    out = population.population_averages(frames(spark, d).session_metrics)
     return out.select("n_sessions", *[F.round(c, 4).alias(c) for c in out.columns if c != "n_sessions"])
 
 
@@ -424,7 +424,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    m = population.session_metrics(typed(spark, d))
+    m = frames(spark, d).session_metrics
     return population.long_measures(m, ["session_id"], population.SESSION_MEASURES).withColumn("value", F.round("value", 6))
 
 
@@ -456,7 +456,7 @@ def _(spark, d):
 
 @query("A22_population_apps", with_base("SELECT sid AS session_id, app AS app_name FROM sm", *_POP))
 def _(spark, d):
-    return population.session_apps(population.session_metrics(typed(spark, d)))
+    return population.session_apps(frames(spark, d).session_metrics)
 
 
 @query(

@@ -80,7 +80,7 @@ def _(spark, d):
 )
 def _(spark, d):
     f = frames(spark, d)
-    return conversation.transcripts(f.agent_elements, ["session_id", "agent"], largest=f.largest_agent_conversation)
+    return f.agent_transcripts
 
 
 @query(
@@ -227,7 +227,7 @@ def _session_request(key: str, metric: str):
     )
     def _(spark, d):
         f = frames(spark, d)
-        asked = judge.conversation_requests(metric, f.elements, f.sessions, f.largest_conversation)
+        asked = judge.conversation_requests(metric, f.conversations, f.sessions)
         return asked.select("session_id", "prompt")
 
 
@@ -245,7 +245,7 @@ def _agent_request(key: str, metric: str):
     )
     def _(spark, d):
         f = frames(spark, d)
-        asked = judge.agent_conversation_requests(metric, f.agent_elements, f.roles, f.largest_agent_conversation)
+        asked = judge.agent_conversation_requests(metric, f.agent_transcripts, f.roles)
         return asked.select("session_id", "agent", "prompt")
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import find_key, reply_json, truthy
-from spanloom.operators.conversation import elements_json, transcripts
 from spanloom.operators.results import result_rows
 from spanloom.schemas import JUDGE_REPLY_SCHEMA
 
@@ -89,23 +88,21 @@ def requests(entities: DataFrame, metric: str, level: str) -> DataFrame:
     )
 
 
-def conversation_requests(
-    metric: str, elements: DataFrame, session_frame: DataFrame, largest: int | None = None
-) -> DataFrame:
-    """Session-level request over the conversation's elements. Every session is asked about,
-    one without elements with an empty conversation."""
-    shown = elements_json(elements, ["session_id"], largest=largest).withColumnRenamed("elements", "conversation")
+def conversation_requests(metric: str, shown: DataFrame, session_frame: DataFrame) -> DataFrame:
+    """Session-level request over the conversation's elements (`shown`: their JSON, as
+    `conversation.elements_json` renders it). Every session is asked about, one without elements
+    with an empty conversation."""
+    shown = shown.withColumnRenamed("elements", "conversation")
     every = session_frame.select("session_id").join(shown, "session_id", "left")
     return requests(every.withColumn("part", F.coalesce("part", F.lit(0))), metric, "session")
 
 
-def agent_conversation_requests(
-    metric: str, elements: DataFrame, roles: DataFrame, largest: int | None = None
-) -> DataFrame:
-    """Agent-level request over the agent's transcript. Agents without text are passed over,
+def agent_conversation_requests(metric: str, texts: DataFrame, roles: DataFrame) -> DataFrame:
+    """Agent-level request over the agent's transcript (`texts`, as `conversation.transcripts`
+    renders it). Agents without text are passed over,
     and so are coordinators where the criterion says so (`roles` has skip per agent)."""
-    text = transcripts(elements, ["session_id", "agent"], largest=largest).withColumnRenamed("text", "conversation")
-    asked = text.filter(truthy(F.col("conversation")).isNotNull())
+    asked = texts.withColumnRenamed("text", "conversation")
+    asked = asked.filter(truthy(F.col("conversation")).isNotNull())
     if CRITERIA[metric].skip_coordinators:
         asked = asked.join(roles.filter("skip").select("session_id", "agent"), ["session_id", "agent"], "left_anti")
     return requests(asked, metric, "agent")

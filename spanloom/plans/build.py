@@ -34,10 +34,6 @@ class Frames:
         """Elements of the largest conversation."""
         return largest_group(self.elements, ["session_id"])
 
-    @cached_property
-    def largest_agent_conversation(self) -> int:
-        return largest_group(self.agent_elements, ["session_id", "agent"])
-
     @cached_property
     def sessions(self) -> DataFrame:
         return sessions.sessions(self.spans)
@@ -48,7 +44,7 @@ class Frames:
 
     @cached_property
     def agent_stats(self) -> DataFrame:
-        return agents.agent_stats(self.spans)
+        return materialize(agents.agent_stats(self.spans), "agent-stats")
 
     @cached_property
     def owned(self) -> DataFrame:
@@ -63,7 +59,18 @@ class Frames:
 
     @cached_property
     def agent_elements(self) -> DataFrame:
-        return conversation.conversation_elements(self.owned, ["session_id", "agent"], tools=True)
+        found = conversation.conversation_elements(self.owned, ["session_id", "agent"], tools=True)
+        return materialize(found, "agent-elements")
+
+    @cached_property
+    def conversations(self) -> DataFrame:
+        """The elements of each session as JSON, rendered once for all requests."""
+        return materialize(conversation.elements_json(self.elements, ["session_id"]), "conversations")
+
+    @cached_property
+    def agent_transcripts(self) -> DataFrame:
+        """The transcript of each agent, rendered once for all requests."""
+        return materialize(conversation.transcripts(self.agent_elements, ["session_id", "agent"]), "transcripts")
 
     @cached_property
     def endpoints(self) -> DataFrame:
@@ -79,12 +86,12 @@ class Frames:
 
     @cached_property
     def session_metrics(self) -> DataFrame:
-        return population.session_metrics(self.spans)
+        return materialize(population.session_metrics(self.spans), "session-metrics")
 
     @cached_property
     def roles(self) -> DataFrame:
         behaviour = roles.agent_behaviour(self.agent_elements, self.agent_stats, agents.agent_tools(self.spans))
-        return roles.skip_coordinators(roles.agent_roles(behaviour))
+        return materialize(roles.skip_coordinators(roles.agent_roles(behaviour)), "roles")
 
 
 def build_sessions(raw: DataFrame, session: str | None = None, steps: list[Step] | None = None) -> Frames:

@@ -13,6 +13,8 @@
 3. The best candidate of every class is confirmed on the full sets; components of the confirmed
    links are formed; then the candidates between different components are confirmed, and the
    components joined. No link found is lost: a candidate that is skipped lies within a component.
+4. In a dense region the neighbours of a class may all be a little too far while the text that
+   they vary is near enough: each class is also compared with the hubs of the components next to it.
 
 A link of similarity s is missed by a tree with probability 1 - s ** depth, where depth is what
 it takes to tell it from its region; by all 16 trees at s = 0.8 and depth 4, in 1 of 4,500.
@@ -37,6 +39,7 @@ TREES = 16
 DEPTH = 6
 LEAST_DEPTH = 3
 NEAR = 3
+HUBS = 8
 
 _VALUES = TREES * DEPTH
 _FACTORS = salts(_VALUES, 11) | np.uint64(1)
@@ -230,6 +233,25 @@ def confirmed_pairs(pairs: DataFrame, docs: DataFrame, k: int, percent: int) ->
     return joined.mapInArrow(_confirmed(k, percent), "a long, b long").distinct()
 
 
+def hub_pairs(pairs: DataFrame, ends: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a class and the hubs of the components next to it.
+
+    A class that no neighbour of a dense component is similar enough to may still be similar to
+    the text which the others vary. That text has the most neighbours and agrees best with them; the
+    best of each of HUBS parts of a component, and its first text, are its hubs. pairs: a, b; ends: of, to, agree of
+    each pair both ways; comps: node, comp."""
+    centre = ends.groupBy("e.of").agg(F.sum("agree").alias("near")).join(comps.withColumnRenamed("node", "of"), "of")
+    part = F.pmod(F.xxhash64("of"), F.lit(HUBS))
+    hubs = centre.groupBy("comp", part.alias("part")).agg(F.max(F.struct("near", (-F.col("of")).alias("of"))).alias("h"))
+    hubs = hubs.select("comp", (-F.col("h.of")).alias("hub")).union(hubs.select("comp", "comp")).distinct()
+    of = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
+    apart = pairs.join(of("a"), "a").join(of("b"), "b").where(F.col("comp_a") != F.col("comp_b"))
+    sides = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("comp_b").alias("comp")), F.struct(F.col("b").alias("x"), F.col("comp_a").alias("comp"))))
+    asked = apart.select(sides.alias("s")).select("s.*").distinct().join(hubs, "comp")
+    asked = asked.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
+    return materialize(asked.join(pairs, ["a", "b"], "left_anti"), "hub-pairs")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of `docs`.
 
@@ -264,10 +286,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = materialize(rest, "pairs-left")
     more = rest.join(confirmed_pairs(rest, wanted, words, percent), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     above = components(more).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
-
-    least = classes.select(*[F.col(c).alias(f"__{c}") for c in keys], "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left")
-    least = least.withColumn("__own", F.coalesce("root", "doc_id")).join(above, F.col("__own") == F.col("__node"), "left")
-    least = least.select(*[f"__{c}" for c in keys], F.coalesce("__root", "__own").alias("component_id"))
+    comps = ids.select(F.col("doc_id").alias("node")).join(roots, "node", "left")
+    comps = comps.select("node", F.coalesce("root", "node").alias("__own")).join(above, F.col("__own") == F.col("__node"), "left")
+    comps = materialize(comps.select("node", F.coalesce("__root", "__own").alias("comp")), "components")
+    hub_links = confirmed_pairs(hub_pairs(pairs, ends, comps), wanted, words, percent)
+    comp_of = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
+    joined_up = hub_links.join(comp_of("a"), "a").join(comp_of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    top = components(joined_up).select(F.col("node").alias("__comp"), F.col("root").alias("__top"))
+    comps = comps.join(top, F.col("comp") == F.col("__comp"), "left").select("node", F.coalesce("__top", "comp").alias("comp"))
+
+    least = classes.select(*[F.col(c).alias(f"__{c}") for c in keys], "doc_id").join(comps, F.col("doc_id") == F.col("node"), "left")
+    least = least.select(*[f"__{c}" for c in keys], F.coalesce("comp", "doc_id").alias("component_id"))
     joined = able.join(least, [able[c] == least[f"__{c}"] for c in keys]).select("doc_id", "n_shingles", "component_id")
     apart = signed.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
     return joined.union(apart.select("doc_id", "n_shingles", "doc_id"))

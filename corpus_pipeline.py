@@ -17,6 +17,8 @@ from spanloom.llm.sharding import shuffle_into_shards
 from spanloom.runtime import materialize
 
 SHARDS = 8
+# Rows with their texts are permuted in parts of about this many.
+PART_ROWS = 10_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Uniform shuffle into shards of equal size; adds shard and slot."""
     keys = [F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.col("source")]
-    return shuffle_into_shards(docs, keys, SHARDS)
+    return shuffle_into_shards(docs, keys, SHARDS, part_rows=PART_ROWS)
 
 
 STAGES = [

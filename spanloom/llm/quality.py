@@ -100,7 +100,9 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
         ),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
     }
-    out = out.withColumns({name(k): v for k, v in n.items()}).drop(body, words, lines, hashes)
+    # Unfolded from one row, so that a filter on the measures stays above and they are worked out once.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in {name(k) for k in n}]
+    out = out.select(*others, F.inline(F.array(F.struct(*[v.alias(name(k)) for k, v in n.items()]))))
     c = lambda x: F.col(f"`{name(x)}`")
     per = lambda a, b: F.when(c(b) > 0, c(a) / c(b))
     return out.withColumns(

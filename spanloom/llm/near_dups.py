@@ -15,9 +15,16 @@
    components joined. No link found is lost: a candidate that is skipped lies within a component.
 4. In a dense region the neighbours of a class may all be a little too far while the text that
    they vary is near enough: each class is also compared with the hubs of the components next to it.
-
-A link of similarity s is missed by a tree with probability 1 - s ** depth, where depth is what
-it takes to tell it from its region; by all 16 trees at s = 0.8 and depth 4, in 1 of 4,500.
+5. What is then still apart within a region (a tree, and the LEAST_DEPTH hashes that its classes
+   share) is compared in blocks: every class outside the region's largest component with the
+   block's centres, the classes that agree best with all others, until nothing is joined any more;
+   then with every class of the other components. So no number of neighbours or centres decides
+   what is found.
+
+A link of similarity s is missed if no tree has both ends in one region, with probability
+(1 - s ** LEAST_DEPTH) ** TREES, at s = 0.8 in 1 of 97,000, or if the sketches lie five deviations
+below the mean. Texts that share a region but no link are the costly case: their pairs are all
+compared, by sketch, and those that pass it on the full sets.
 """
 
 from __future__ import annotations
@@ -40,6 +47,9 @@ DEPTH = 6
 LEAST_DEPTH = 3
 NEAR = 3
 HUBS = 8
+# Classes of a region on either side of a block of comparisons.
+BLOCK = 4096
+CENTRES = 4
 
 _VALUES = TREES * DEPTH
 _FACTORS = salts(_VALUES, 11) | np.uint64(1)
@@ -203,6 +213,149 @@ def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, doc_id, comp) for each tree; a region is a tree and its first LEAST_DEPTH hashes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        signature = _matrix(batch.column("signature"), 2 * _VALUES)
+        for tree in range(TREES):
+            region = np.full(batch.num_rows, tree, np.int64)
+            for at in range(2 * LEAST_DEPTH):
+                region = (region << 8) | signature[:, tree * _KEY + at]
+            yield pa.RecordBatch.from_arrays([pa.array(region), batch.column("doc_id"), batch.column("comp")], names=["region", "doc_id", "comp"])
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The signature as its sketch: four bits of every hash."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        low = _matrix(batch.column("signature"), 2 * _VALUES)[:, 1::2] & 15
+        sketch = (low[:, ::2] << 4) | low[:, 1::2]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("n_shingles"), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "n_shingles", "sketch"]
+        )
+
+
+def _blocks(percent: int, centres: int | None):
+    """Candidates (a, b, agree) of different components within the blocks (region, base, probe) of
+    sorted rows; with `centres` only those of so many classes that agree best with the others."""
+    floor = _least_agreement(percent)
+    ones = np.uint64(0x1111111111111111)
+
+    def pairs(rows):
+        asked, rest, ids, comp, size, sketch = rows
+        of, to = np.flatnonzero(asked), np.flatnonzero(~asked)
+        step = max(1, (1 << 18) // max(1, len(to)))
+        for lo in range(0, len(of), step):
+            x = of[lo : lo + step, None]
+            # Of two that both ask, the greater asks.
+            fit = (comp[x] != comp[to]) & ~(rest[to] & (ids[to] > ids[x]))
+            fit &= 100 * np.minimum(size[x], size[to]) >= percent * np.maximum(size[x], size[to])
+            i, j = np.nonzero(fit)
+            i, j = x[i, 0], to[j]
+            differ = np.zeros(len(i), np.uint8)
+            for word in range(sketch.shape[1]):
+                d = sketch[i, word] ^ sketch[j, word]
+                d |= d >> np.uint64(1)
+                d |= d >> np.uint64(2)
+                differ += np.bitwise_count(d & ones)
+            keep = differ <= _VALUES - floor
+            yield i[keep], j[keep], (_VALUES - differ[keep]).astype(np.int32)
+
+    def chosen(rows):
+        """Pairs as ids. Sums are by class, which may be in the block on both sides; they are taken
+        as means over what the class is compared with, so that members of large components count alike."""
+        asked, rest, ids, comp = rows[:4]
+        if centres is None:
+            for i, j, agree in pairs(rows):
+                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), agree
+            return
+        classes, first, of = np.unique(ids, return_index=True, return_inverse=True)
+        _, group, members = np.unique(comp[first], return_inverse=True, return_counts=True)
+        met = np.where(rest[first], len(classes) - members[group], asked.sum())
+        near = np.zeros(len(classes), np.int64)
+        for i, j, agree in pairs(rows):
+            near += np.bincount(of[i], agree, len(classes)).astype(np.int64) + np.bincount(of[j], agree, len(classes)).astype(np.int64)
+        centre = np.zeros(len(classes), bool)
+        centre[np.argsort(-near / np.maximum(met, 1), kind="stable")[:centres]] = True
+        centre = centre[of]
+        for i, j, agree in pairs(rows):
+            keep = centre[i] | centre[j]
+            i, j = i[keep], j[keep]
+            yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), agree[keep]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solved(batch):
+            if not batch.num_rows:
+                return
+            rows = (
+                batch.column("asks").to_numpy(zero_copy_only=False),
+                batch.column("rest").to_numpy(zero_copy_only=False),
+                batch.column("doc_id").to_numpy(),
+                batch.column("comp").to_numpy(),
+                batch.column("n_shingles").to_numpy(),
+                _matrix(batch.column("sketch"), _VALUES // 2).view(np.uint64),
+            )
+            key = [batch.column(c).to_numpy() for c in ("region", "base", "probe")]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
+            starts = np.flatnonzero(new)
+            for lo, hi in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+                for a, b, agree in chosen(tuple(x[lo:hi] for x in rows)):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree)], names=["a", "b", "agree"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(c).to_numpy() for c in ("region", "base", "probe")]
+            end = tuple(k[-1] for k in key)
+            at = int(np.argmax(np.logical_and.reduce([k == e for k, e in zip(key, end, strict=True)])))
+            if end == last and at == 0:
+                held.append(batch)
+                continue
+            held.append(batch.slice(0, at))
+            yield from solved(pa.Table.from_batches(held).combine_chunks())
+            held, last = [batch.slice(at)], end
+        if held:
+            yield from solved(pa.Table.from_batches(held).combine_chunks())
+
+    return scan
+
+
+def region_pairs(classes: DataFrame, comps: DataFrame, percent: int, centres: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Distinct (a, b, agree) of all classes that share a region, lie in different components and
+    may be similar enough. comps: node, comp of every class.
+
+    Regions that neighbours cover whole are left out, as are those of one component. The others are
+    dealt in blocks of about `block` classes; only classes outside the largest component ask. With `centres` a block yields the pairs of so
+    many classes only."""
+    all_rows = classes.join(comps, F.col("doc_id") == F.col("node")).select("signature", "doc_id", "comp")
+    rows = all_rows.mapInArrow(_region_rows, "region long, doc_id long, comp long")
+    rows = materialize(rows, "regions")
+    parts = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
+    regions = parts.groupBy("region").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "comp")).alias("main"))
+    regions = regions.where((F.col("k") > 1) & (F.col("m") > NEAR + 1))
+    count = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    regions = regions.select("region", F.col("main.comp").alias("main"), count(F.col("m")).alias("bases"), count(F.col("m") - F.col("main.n")).alias("probes"))
+    open_rows = materialize(rows.join(regions, "region").withColumn("rest", F.col("comp") != F.col("main")).drop("main"), "regions-open")
+    part = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    full = open_rows.join(classes.select("doc_id", "n_shingles", "signature").mapInArrow(_sketches, "doc_id long, n_shingles long, sketch binary"), "doc_id")
+    columns = ["region", "rest", "doc_id", "comp", "n_shingles", "sketch"]
+    base = full.select(*columns, F.lit(False).alias("asks"), part("bases", 1).alias("base"), every("probes").alias("probe"))
+    asks = full.where("rest").select(*columns, F.lit(True).alias("asks"), part("probes", 2).alias("probe"), every("bases").alias("base"))
+    keys = ["region", "base", "probe"]
+    dealt = base.unionByName(asks).repartition(*keys).sortWithinPartitions(*keys)
+    found = dealt.mapInArrow(_blocks(percent, centres), "a long, b long, agree int")
+    return materialize(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "region-pairs")
+
+
 def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
     out = []
     for lo, hi, w in scanned(column, LOWER, NOT_SPACE):
@@ -233,6 +386,15 @@ def confirmed_pairs(pairs: DataFrame, docs: DataFrame, k: int, percent: int) ->
     return joined.mapInArrow(_confirmed(k, percent), "a long, b long").distinct()
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (node, comp) after the links (a, b) between their nodes."""
+    of = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    top = components(between).select(F.col("node").alias("__comp"), F.col("root").alias("__top"))
+    grown = comps.join(top, F.col("comp") == F.col("__comp"), "left").select("node", F.coalesce("__top", "comp").alias("comp"))
+    return materialize(grown, "components")
+
+
 def hub_pairs(pairs: DataFrame, ends: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs (a, b) of a class and the hubs of the components next to it.
 
@@ -289,11 +451,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     comps = ids.select(F.col("doc_id").alias("node")).join(roots, "node", "left")
     comps = comps.select("node", F.coalesce("root", "node").alias("__own")).join(above, F.col("__own") == F.col("__node"), "left")
     comps = materialize(comps.select("node", F.coalesce("__root", "__own").alias("comp")), "components")
-    hub_links = confirmed_pairs(hub_pairs(pairs, ends, comps), wanted, words, percent)
-    comp_of = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
-    joined_up = hub_links.join(comp_of("a"), "a").join(comp_of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    top = components(joined_up).select(F.col("node").alias("__comp"), F.col("root").alias("__top"))
-    comps = comps.join(top, F.col("comp") == F.col("__comp"), "left").select("node", F.coalesce("__top", "comp").alias("comp"))
+    hubs = hub_pairs(pairs, ends, comps)
+    comps = merged(comps, confirmed_pairs(hubs, wanted, words, percent))
+    every = classes.select("doc_id").join(comps, F.col("doc_id") == F.col("node"), "left")
+    comps = materialize(every.select(F.col("doc_id").alias("node"), F.coalesce("comp", "doc_id").alias("comp")), "components")
+
+    def confirmed(found: DataFrame) -> DataFrame:
+        ids = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "doc_id")
+        held = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+        held = materialize(held.select("doc_id", "text"), "candidates-left")
+        return materialize(confirmed_pairs(found, held, words, percent), "region-links")
+
+    asked = pairs.select("a", "b").union(hubs)
+    for centres in (CENTRES, None):
+        while True:
+            left = materialize(region_pairs(classes, comps, percent, centres).join(asked, ["a", "b"], "left_anti"), "region-pairs-left")
+            if left.isEmpty():
+                break
+            links = confirmed(left)
+            if links.isEmpty():
+                break
+            comps, asked = merged(comps, links), asked.union(left.select("a", "b"))
+            if centres is None:
+                break
 
     least = classes.select(*[F.col(c).alias(f"__{c}") for c in keys], "doc_id").join(comps, F.col("doc_id") == F.col("node"), "left")
     least = least.select(*[f"__{c}" for c in keys], F.coalesce("comp", "doc_id").alias("component_id"))

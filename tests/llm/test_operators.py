@@ -148,6 +148,32 @@ def test_large_group_of_near_copies_is_one_component(spark):
     assert near_dups.keep_one_of_each(frame, words=2).count() == len(set(want.values()))
 
 
+def test_star_of_copies_that_only_their_original_links(spark):
+    """Each copy is near its original but far from the other copies; plain sets prove every link."""
+    base, copies = passage(3, 300).split(), 2500
+    texts = [(copies, " ".join(base))]
+    for i in range(copies):
+        draw, copy = random.Random(i), list(base)
+        for _ in range(5):
+            copy[draw.randrange(300)] = f"edit{draw.randrange(1_000_000)}"
+        texts.append((i, " ".join(copy)))
+    sets = [brute.shingles(t, 5) for _, t in texts]
+    assert all(10 * len(s & sets[0]) >= 8 * len(s | sets[0]) for s in sets)
+    got = near_dups.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words=5)
+    assert {r.component_id for r in got.collect()} == {0}, "recall below 1"
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_region_pairs_are_all_pairs_of_a_region(spark, block):
+    base = passage(4, 200).split()
+    texts = [(i, " ".join([*base[:40], f"x{i}", *base[41:]])) for i in range(60)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    classes = frame.mapInArrow(near_dups._signatures(5), "doc_id long, n_shingles long, first long, second long, signature binary")
+    comps = classes.select(F.col("doc_id").alias("node"), F.when(F.col("doc_id") < 20, 0).otherwise(F.col("doc_id")).cast("long").alias("comp"))
+    got = {(r.a, r.b) for r in near_dups.region_pairs(classes, comps, 80, block=block).collect()}
+    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60) if b >= 20}
+
+
 def test_keep_one_of_each_keeps_columns_and_rows_without_id(docs):
     kept = near_dups.keep_one_of_each(docs)
     assert kept.columns == docs.columns

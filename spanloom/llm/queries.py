@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from spanloom.llm.hosts import UrlRule, filter_urls
 from spanloom.llm.licenses import scan_licenses
 from spanloom.llm.mixing import mix, text_words
 from spanloom.llm.near_dups import near_duplicates
+from spanloom.llm.packing import pack_sequences, token_ids
 from spanloom.llm.quality import base_failed, measured, quality_verdict
 from spanloom.llm.sharding import shuffle_into_shards
 from spanloom.llm.substrings import remove_repeats
@@ -142,3 +144,9 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").where(~held_out("doc_id")).select("doc_id", F.col("quality").alias("label"))
     scored = score_quality(docs, train(docs, labels), returned=["doc_id"])
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    ids = token_ids(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_sequences(ids).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

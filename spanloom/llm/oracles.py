@@ -111,6 +111,19 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, link.y FR
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) c USING (doc_id)"""
 
+_RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_LETTER_WORDS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS query, item_id, {_LETTER_WORDS} AS w FROM benchmark),
+t AS (SELECT DISTINCT query, term FROM i, unnest(w) AS u(term)),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM d WHERE len(w) > 0),
+f AS (SELECT row, term, count(*)::BIGINT AS tf FROM d, unnest(w) AS u(term) WHERE term IN (SELECT term FROM t) GROUP BY 1, 2),
+v AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM f, total GROUP BY term, n_docs),
+c AS (SELECT f.row, f.term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w)::BIGINT * n_docs) // n_words))) AS part
+  FROM f JOIN v USING (term) JOIN d USING (row), total),
+s AS (SELECT query, row, sum(part)::BIGINT AS score FROM t JOIN c USING (term) GROUP BY 1, 2 HAVING sum(part) > 0),
+r AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s JOIN d USING (row))
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r JOIN i USING (query) WHERE rank <= 10"""
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": _CONTAMINATION,
     "op3_warc": _CAPTURES,
@@ -118,4 +131,5 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": _QUALITY,
     "op9_url_filter": _URLS,
     "op10_minhash_near_dedup": _NEAR_DUPLICATES,
+    "op12_lexical_search": _RANKED,
 }

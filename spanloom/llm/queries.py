@@ -12,6 +12,7 @@ from spanloom.llm.archives import archive_folder, read_archive, write_archive, w
 from spanloom.llm.classifier import score_quality, train
 from spanloom.llm.decontaminate import find_benchmark_words, hit_words
 from spanloom.llm.hosts import UrlRule, filter_urls
+from spanloom.llm.lexical import search
 from spanloom.llm.licenses import scan_licenses
 from spanloom.llm.mixing import mix, text_words
 from spanloom.llm.near_dups import near_duplicates
@@ -150,3 +151,8 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     ids = token_ids(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pack_sequences(ids).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -16,12 +16,16 @@ the input, bounds its memory, besides the longest single example.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,36 +49,73 @@ class Limits:
             raise ValueError("limits must be at least 1")
 
 
+# The steps of a tokenizer that lower-cases, drops white space and then knows no token
+# across it, and the characters that every library treats alike: line end, printable ASCII, Latin-1 letters.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITS = {"behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_PLAIN = r"\n\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+
+
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: itself where it is visible
+    in Latin-1, else the next free one above."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class _Encoder:
-    """Ids of texts, as little-endian 32-bit bytes; what lies between blanks is encoded once."""
+    """Ids of texts, as little-endian 32-bit bytes.
+
+    Where the tokenizer works word by word (see above), words of plain characters go straight to
+    its model, and only when they are new; what lies between blanks and is not plain is encoded by
+    itself. Any other tokenizer gets the text whole."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        steps = json.loads(self.tokenizer.to_str())
+        split, *rest = (steps["pre_tokenizer"] or {}).get("pretokenizers", [None])
+        self.by_word = (
+            (steps["normalizer"] or {}).get("normalizers") == _NORMALIZERS and rest == [_BYTES] and _SPLITS.items() <= split.items() and steps["post_processor"] is None
+        )
+        if self.by_word:
+            self.model = self.tokenizer.model
+            # The tokenizer's own pattern, over lower-cased plain characters.
+            plain_letters = split["pattern"]["Regex"].replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")
+            self.split = re.compile(plain_letters).findall
+            # A character that a special token begins with is not plain.
+            apart = "".join({t["content"][0] for t in steps["added_tokens"]})
+            self.plain = regex.compile(f"(?V1)[{_PLAIN}--[{regex.escape(apart)}]]*" if apart else f"[{_PLAIN}]*").fullmatch
+            letters = _byte_letters()
+            self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        words, known = self.split(text.lower()), self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = set(words).difference(known)
+        for word in new:
+            known[word] = array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes()
+        out = b"".join(map(known.__getitem__, words))
+        for word in new:
+            if len(word) > WORD_CHARS:
+                del known[word]
+        return out
 
     def encode(self, text: str) -> bytes:
-        # Blanks and line ends are dropped by the tokenizer and no token reaches over them.
-        words = text.replace("\n", " ").split(" ")
-        new = set(words).difference(self.known)
-        rare = {w for w in new if len(w) > WORD_CHARS}
-        common = sorted(new - rare)
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-            common = sorted(w for w in set(words) if w and len(w) <= WORD_CHARS)
-        if common:
-            self.known.update(zip(common, self._encoded(common), strict=True))
-        if not rare:
-            return b"".join(map(self.known.__getitem__, words))
-        rest = sorted(rare)
-        at = self.known | dict(zip(rest, self._encoded(rest), strict=True))
-        return b"".join(map(at.__getitem__, words))
+        if not self.by_word:
+            return self._whole(text)
+        if self.plain(text):
+            return self._plain(text)
+        return b"".join(self._plain(w) if self.plain(w) else self._whole(w) for w in text.replace("\n", " ").split(" ") if w)
 
 
 def token_ids(docs: DataFrame, vocabulary: str, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -69,11 +69,30 @@ def test_ids_of_tricky_texts(spark):
 
 def test_ids_beyond_the_cache(spark, monkeypatch):
     encoder = packing._Encoder(FILE)
+    assert encoder.by_word
     monkeypatch.setattr(packing, "CACHE_WORDS", 5)
     for text in ("alpha beta gamma delta", "epsilon zeta eta theta alpha", "alpha beta iota " + "k" * 100, "alpha"):
         assert encoder.encode(text) == as_bytes(plain_ids(text)[:-1])
 
 
+def test_words_of_every_character_and_length():
+    """Whatever two characters stand side by side, cached or not."""
+    encoder, draw = packing._Encoder(FILE), random.Random(8)
+    odd = [chr(c) for c in range(0x250) if c not in (0xD800,)] + list("ΣσςİıŉſßẞﬁǅЖ漢字ガ가각\u0301\u0338\u00a0\u2003\u2028\u3000٣²½🙂\U0001f1e9\ufeff\u200d")
+    for n in range(4000):
+        text = "".join(draw.choice(odd if draw.random() < 0.4 else "abcdeésñ'-<|>. tlrvm0") for _ in range(draw.randrange(1, 12)))
+        assert encoder.encode(text) == as_bytes(plain_ids(text)[:-1]), ascii(text)
+    for text in ("<|endoftext|>", "a<|startoftext|>b x", "<|ENDOFTEXT|>", "O'REILLY's we'LL" * 40):
+        assert encoder.encode(text) == as_bytes(plain_ids(text)[:-1])
+
+
+def test_a_tokenizer_with_blanks_in_its_tokens(spark):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    text = " two  blanks\nand a line  "
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert bytes(packing.token_ids(rows, other, end=7).first().ids) == as_bytes([*Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids, 7])
+
+
 def examples(spark, n, seed, longest):
     draw, out = random.Random(seed), []
     for i in range(n):

@@ -124,6 +124,20 @@ s AS (SELECT query, row, sum(part)::BIGINT AS score FROM t JOIN c USING (term) G
 r AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s JOIN d USING (row))
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r JOIN i USING (query) WHERE rank <= 10"""
 
+_NEGATIVES = """
+WITH raw AS (SELECT row_number() OVER () AS row, vec_id, label, embedding AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+v AS (SELECT row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(e, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM raw WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT row, p, x[p] AS x FROM v, unnest(range(1, len(x) + 1)) AS t(p)),
+s AS (SELECT a.row AS anchor, c.row AS row, sum(a.x * c.x)::BIGINT AS score FROM c a JOIN c ON a.p = c.p WHERE a.row IN (SELECT row FROM v WHERE vec_id % 100 = 0) GROUP BY 1, 2),
+r AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, v.vec_id, v.row, v.label = a.label AS same, score FROM s JOIN v a ON a.row = s.anchor JOIN v ON v.row = s.row WHERE v.row <> a.row),
+pos AS (SELECT anchor, anchor_id, vec_id AS positive_id, row, score AS positive_score FROM r WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5),
+neg AS (SELECT pos.anchor_id, positive_id, r.vec_id AS negative_id, positive_score, score AS negative_score,
+  row_number() OVER (PARTITION BY pos.anchor, pos.row ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM pos JOIN r ON r.anchor = pos.anchor AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5"""
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": _CONTAMINATION,
     "op3_warc": _CAPTURES,
@@ -132,4 +146,5 @@ ORACLES: dict[str, str] = {
     "op9_url_filter": _URLS,
     "op10_minhash_near_dedup": _NEAR_DUPLICATES,
     "op12_lexical_search": _RANKED,
+    "op13_hard_negatives": _NEGATIVES,
 }

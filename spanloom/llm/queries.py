@@ -16,6 +16,7 @@ from spanloom.llm.lexical import search
 from spanloom.llm.licenses import scan_licenses
 from spanloom.llm.mixing import mix, text_words
 from spanloom.llm.near_dups import near_duplicates
+from spanloom.llm.negatives import mine_hard_negatives
 from spanloom.llm.packing import pack_sequences, token_ids
 from spanloom.llm.quality import base_failed, measured, quality_verdict
 from spanloom.llm.sharding import shuffle_into_shards
@@ -156,3 +157,10 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    return mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)

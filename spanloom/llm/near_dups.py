@@ -13,18 +13,15 @@
 3. The best candidate of every class is confirmed on the full sets; components of the confirmed
    links are formed; then the candidates between different components are confirmed, and the
    components joined. No link found is lost: a candidate that is skipped lies within a component.
-4. In a dense region the neighbours of a class may all be a little too far while the text that
-   they vary is near enough: each class is also compared with the hubs of the components next to it.
-5. What is then still apart within a region (a tree, and the LEAST_DEPTH hashes that its classes
-   share) is compared in blocks: every class outside the region's largest component with the
-   block's centres, the classes that agree best with all others, until nothing is joined any more;
-   then with every class of the other components. So no number of neighbours or centres decides
-   what is found.
-
-A link of similarity s is missed if no tree has both ends in one region, with probability
-(1 - s ** LEAST_DEPTH) ** TREES, at s = 0.8 in 1 of 97,000, or if the sketches lie five deviations
-below the mean. Texts that share a region but no link are the costly case: their pairs are all
-compared, by sketch, and those that pass it on the full sets.
+4. Where a region, that is a tree and the LEAST_DEPTH hashes its classes share, still holds several
+   components, its classes meet in blocks with their full sets: those outside its largest component
+   with all, exactly, and a block puts out the links that join components, at most one less than
+   it has classes. A region above a block is deepened first: its parts that share all DEPTH hashes
+   come before it. Trees go in ROUNDS, so that later ones have only what is still apart.
+
+A link of similarity s is missed only if no tree has both ends in one region, with probability
+(1 - s ** LEAST_DEPTH) ** TREES, at s = 0.8 in 1 of 97,000. Texts that share a region but no link
+are the costly case: within their region all are compared, by one matrix product a block.
 """
 
 from __future__ import annotations
@@ -37,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import components
+from spanloom.llm.rows import ROW, packed, schema_with, unpacked
 from spanloom.llm.words import LOWER, NOT_SPACE, Words, mix, salts, scanned, texts, windows
 from spanloom.runtime import materialize
 
@@ -46,10 +44,14 @@ TREES = 16
 DEPTH = 6
 LEAST_DEPTH = 3
 NEAR = 3
-HUBS = 8
-# Classes of a region on either side of a block of comparisons.
+# Classes of a region on either side of a block of comparisons, and shingles of them.
 BLOCK = 4096
-CENTRES = 4
+BLOCK_SHINGLES = 4_000_000
+# The trees whose regions are compared one round after the other.
+ROUNDS = (range(0, 4), range(4, 8), range(8, 16))
+# Cells of a matrix of shared shingles.
+TILE = 1024
+COLUMNS = 4096
 
 _VALUES = TREES * DEPTH
 _FACTORS = salts(_VALUES, 11) | np.uint64(1)
@@ -214,146 +216,134 @@ def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(region, doc_id, comp) for each tree; a region is a tree and its first LEAST_DEPTH hashes."""
+    """(tree, region, deep, node) for each tree: the first LEAST_DEPTH hashes, and a hash of all."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        signature = _matrix(batch.column("signature"), 2 * _VALUES)
+        signature = _matrix(batch.column("signature"), 2 * _VALUES).astype(np.uint64)
         for tree in range(TREES):
-            region = np.full(batch.num_rows, tree, np.int64)
-            for at in range(2 * LEAST_DEPTH):
-                region = (region << 8) | signature[:, tree * _KEY + at]
-            yield pa.RecordBatch.from_arrays([pa.array(region), batch.column("doc_id"), batch.column("comp")], names=["region", "doc_id", "comp"])
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The signature as its sketch: four bits of every hash."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        low = _matrix(batch.column("signature"), 2 * _VALUES)[:, 1::2] & 15
-        sketch = (low[:, ::2] << 4) | low[:, 1::2]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_shingles"), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "n_shingles", "sketch"]
-        )
+            region, deep = np.full(batch.num_rows, tree, np.uint64), np.full(batch.num_rows, tree, np.uint64)
+            for at in range(_KEY):
+                value = signature[:, tree * _KEY + at]
+                region = (region << np.uint64(8)) | value if at < 2 * LEAST_DEPTH else region
+                deep = mix(deep ^ value)
+            columns = [pa.array(np.full(batch.num_rows, tree, np.int32)), pa.array(region.view(np.int64)), pa.array(deep.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("doc_id"), batch.column("n_shingles")], names=["tree", "region", "deep", "node", "n_shingles"])
+
+
+def dense_regions(classes: DataFrame) -> DataFrame:
+    """(tree, region, deep, node, n_shingles) of the regions with more than one class."""
+    rows = classes.select("doc_id", "n_shingles", "signature").mapInArrow(_region_rows, "tree int, region long, deep long, node long, n_shingles long")
+    several = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("region")
+    return rows.join(several, "region")
+
+
+def _incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(common)), np.float32)
+    for n, values in enumerate(sets):
+        at = np.searchsorted(common, values)
+        at[at == len(common)] = 0
+        out[n, at[common[at] == values]] = 1
+    return out
 
 
-def _blocks(percent: int, centres: int | None):
-    """Candidates (a, b, agree) of different components within the blocks (region, base, probe) of
-    sorted rows; with `centres` only those of so many classes that agree best with the others."""
-    floor = _least_agreement(percent)
-    ones = np.uint64(0x1111111111111111)
-
-    def pairs(rows):
-        asked, rest, ids, comp, size, sketch = rows
-        of, to = np.flatnonzero(asked), np.flatnonzero(~asked)
-        step = max(1, (1 << 18) // max(1, len(to)))
-        for lo in range(0, len(of), step):
-            x = of[lo : lo + step, None]
-            # Of two that both ask, the greater asks.
-            fit = (comp[x] != comp[to]) & ~(rest[to] & (ids[to] > ids[x]))
-            fit &= 100 * np.minimum(size[x], size[to]) >= percent * np.maximum(size[x], size[to])
-            i, j = np.nonzero(fit)
-            i, j = x[i, 0], to[j]
-            differ = np.zeros(len(i), np.uint8)
-            for word in range(sketch.shape[1]):
-                d = sketch[i, word] ^ sketch[j, word]
-                d |= d >> np.uint64(1)
-                d |= d >> np.uint64(2)
-                differ += np.bitwise_count(d & ones)
-            keep = differ <= _VALUES - floor
-            yield i[keep], j[keep], (_VALUES - differ[keep]).astype(np.int32)
-
-    def chosen(rows):
-        """Pairs as ids. Sums are by class, which may be in the block on both sides; they are taken
-        as means over what the class is compared with, so that members of large components count alike."""
-        asked, rest, ids, comp = rows[:4]
-        if centres is None:
-            for i, j, agree in pairs(rows):
-                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), agree
-            return
-        classes, first, of = np.unique(ids, return_index=True, return_inverse=True)
-        _, group, members = np.unique(comp[first], return_inverse=True, return_counts=True)
-        met = np.where(rest[first], len(classes) - members[group], asked.sum())
-        near = np.zeros(len(classes), np.int64)
-        for i, j, agree in pairs(rows):
-            near += np.bincount(of[i], agree, len(classes)).astype(np.int64) + np.bincount(of[j], agree, len(classes)).astype(np.int64)
-        centre = np.zeros(len(classes), bool)
-        centre[np.argsort(-near / np.maximum(met, 1), kind="stable")[:centres]] = True
-        centre = centre[of]
-        for i, j, agree in pairs(rows):
-            keep = centre[i] | centre[j]
-            i, j = i[keep], j[keep]
-            yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), agree[keep]
+def linked(sets: list[np.ndarray], comp: np.ndarray, asks: np.ndarray, to: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the components that links join: pairs of components. Sets are sorted
+    shingle hashes; those at `asks` are compared with those at `to`, exactly."""
+    size = np.array([len(x) for x in sets])
+    # A shingle that only one set has is in no intersection.
+    values, times = np.unique(np.concatenate(sets), return_counts=True)
+    shared = values[times > 1]
+    up: dict[int, int] = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    forest = []
+    for lo in range(0, len(asks), TILE):
+        of = asks[lo : lo + TILE]
+        for low in range(0, len(to), TILE):
+            other = to[low : low + TILE]
+            both = np.zeros((len(of), len(other)), np.float32)
+            for c in range(0, len(shared), COLUMNS):
+                columns = shared[c : c + COLUMNS]
+                both += _incidence([sets[i] for i in of], columns) @ _incidence([sets[i] for i in other], columns).T
+            both = both.astype(np.int64)
+            near = 100 * both >= percent * (size[of][:, None] + size[other] - both)
+            i, j = np.nonzero(near & (both > 0) & (comp[of][:, None] != comp[other]))
+            for a, b in np.unique(np.column_stack([comp[of[i]], comp[other[j]]]), axis=0).tolist():
+                x, y = root(a), root(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    forest.append((a, b))
+    return forest
+
+
+def _blocks(k: int, percent: int):
+    """Links (a, b) of components within the blocks (region, base, probe) of sorted rows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def solved(batch):
-            if not batch.num_rows:
+        def solved():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            asks = rows.column("asks").to_numpy()
+            if not asks.any() or not len(rows):
                 return
-            rows = (
-                batch.column("asks").to_numpy(zero_copy_only=False),
-                batch.column("rest").to_numpy(zero_copy_only=False),
-                batch.column("doc_id").to_numpy(),
-                batch.column("comp").to_numpy(),
-                batch.column("n_shingles").to_numpy(),
-                _matrix(batch.column("sketch"), _VALUES // 2).view(np.uint64),
-            )
-            key = [batch.column(c).to_numpy() for c in ("region", "base", "probe")]
-            new = np.ones(batch.num_rows, bool)
-            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
-            starts = np.flatnonzero(new)
-            for lo, hi in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
-                for a, b, agree in chosen(tuple(x[lo:hi] for x in rows)):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree)], names=["a", "b", "agree"])
+            found = linked(_sets(rows.column("text"), k), rows.column("comp").to_numpy(), np.flatnonzero(asks), np.flatnonzero(~asks), percent)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = [batch.column(c).to_numpy() for c in ("region", "base", "probe")]
-            end = tuple(k[-1] for k in key)
-            at = int(np.argmax(np.logical_and.reduce([k == e for k, e in zip(key, end, strict=True)])))
-            if end == last and at == 0:
-                held.append(batch)
-                continue
-            held.append(batch.slice(0, at))
-            yield from solved(pa.Table.from_batches(held).combine_chunks())
-            held, last = [batch.slice(at)], end
+            key = [batch.column(c).to_numpy() for c in ("part", "base", "probe")]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in key])
+            starts = np.flatnonzero(new)
+            for lo, hi in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+                now = tuple(x[lo] for x in key)
+                if held and now != last:
+                    yield from solved()
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = now
         if held:
-            yield from solved(pa.Table.from_batches(held).combine_chunks())
+            yield from solved()
 
     return scan
 
 
-def region_pairs(classes: DataFrame, comps: DataFrame, percent: int, centres: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b, agree) of all classes that share a region, lie in different components and
-    may be similar enough. comps: node, comp of every class.
-
-    Regions that neighbours cover whole are left out, as are those of one component. The others are
-    dealt in blocks of about `block` classes; only classes outside the largest component ask. With `centres` a block yields the pairs of so
-    many classes only."""
-    all_rows = classes.join(comps, F.col("doc_id") == F.col("node")).select("signature", "doc_id", "comp")
-    rows = all_rows.mapInArrow(_region_rows, "region long, doc_id long, comp long")
-    rows = materialize(rows, "regions")
-    parts = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
-    regions = parts.groupBy("region").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "comp")).alias("main"))
-    regions = regions.where((F.col("k") > 1) & (F.col("m") > NEAR + 1))
-    count = lambda n: F.ceil(n / F.lit(block)).cast("int")
-    regions = regions.select("region", F.col("main.comp").alias("main"), count(F.col("m")).alias("bases"), count(F.col("m") - F.col("main.n")).alias("probes"))
-    open_rows = materialize(rows.join(regions, "region").withColumn("rest", F.col("comp") != F.col("main")).drop("main"), "regions-open")
-    part = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    full = open_rows.join(classes.select("doc_id", "n_shingles", "signature").mapInArrow(_sketches, "doc_id long, n_shingles long, sketch binary"), "doc_id")
-    columns = ["region", "rest", "doc_id", "comp", "n_shingles", "sketch"]
-    base = full.select(*columns, F.lit(False).alias("asks"), part("bases", 1).alias("base"), every("probes").alias("probe"))
-    asks = full.where("rest").select(*columns, F.lit(True).alias("asks"), part("probes", 2).alias("probe"), every("bases").alias("base"))
-    keys = ["region", "base", "probe"]
-    dealt = base.unionByName(asks).repartition(*keys).sortWithinPartitions(*keys)
-    found = dealt.mapInArrow(_blocks(percent, centres), "a long, b long, agree int")
-    return materialize(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "region-pairs")
+def region_links(regions: DataFrame, comps: DataFrame, held: DataFrame, k: int, percent: int, least: int = 0, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) of components that share a region. regions: part, node, n_shingles; comps: node, comp;
+    held: node, text.
+
+    Regions of one component are left out, and those of no more than `least` classes. The others are
+    dealt in blocks of about `block` classes and `shingles` shingles on either side."""
+    rows = regions.join(comps, "node")
+    parts = rows.groupBy("part", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    whole = parts.groupBy("part").agg(
+        F.sum("n").alias("m"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "s", "comp")).alias("main")
+    )
+    whole = whole.where((F.col("k") > 1) & (F.col("m") > least))
+    count = lambda n, s: F.ceil(F.greatest(n / F.lit(block), s / F.lit(shingles))).cast("int")
+    whole = whole.select("part", F.col("main.comp").alias("main"), count(F.col("m"), F.col("s")).alias("bases"), count(F.col("m") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("probes"))
+    open_rows = rows.join(whole, "part").select("part", "node", "comp", "bases", "probes", (F.col("comp") != F.col("main")).alias("rest"))
+    piece = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # Each class is a base; those outside the largest component also ask.
+    places = F.transform(every("probes"), lambda p: F.struct(F.lit(False).alias("asks"), piece("bases", 1).alias("base"), p.alias("probe")))
+    asking = F.transform(every("bases"), lambda p: F.struct(F.lit(True).alias("asks"), p.alias("base"), piece("probes", 2).alias("probe")))
+    none = F.filter(asking, lambda p: F.lit(False))
+    dealt = open_rows.select("part", "node", "comp", F.explode(F.concat(places, F.when(F.col("rest"), asking).otherwise(none))).alias("p")).select("part", "node", "comp", "p.*")
+    keys = ["part", "base", "probe"]
+    full = dealt.join(held, "node").select(*keys, "asks", "comp", "text").repartition(*keys).sortWithinPartitions(*keys)
+    return full.mapInArrow(_blocks(k, percent), "a long, b long")
 
 
 def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -379,39 +369,90 @@ def _confirmed(k: int, percent: int):
 
 
 def confirmed_pairs(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) whose full shingle sets are similar enough. docs: doc_id, text."""
-    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """The (a, b) whose full shingle sets are similar enough. docs: node, text."""
+    left = docs.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = docs.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
     return joined.mapInArrow(_confirmed(k, percent), "a long, b long").distinct()
 
 
 def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """comps (node, comp) after the links (a, b) between their nodes."""
-    of = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
-    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    top = components(between).select(F.col("node").alias("__comp"), F.col("root").alias("__top"))
+    """comps (node, comp) after the links (a, b) between components."""
+    top = components(links).select(F.col("node").alias("__comp"), F.col("root").alias("__top"))
     grown = comps.join(top, F.col("comp") == F.col("__comp"), "left").select("node", F.coalesce("__top", "comp").alias("comp"))
     return materialize(grown, "components")
 
 
-def hub_pairs(pairs: DataFrame, ends: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a class and the hubs of the components next to it.
+def _of_their_class(k: int):
+    """The rows whose text has the digest of the class that their id stands for."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches(list(_signatures(k)(iter([batch]))))
+            same = np.ones(batch.num_rows, bool)
+            for name in ("first", "second"):
+                same &= own.column(name).to_numpy() == batch.column(name).to_numpy()
+            keep = pa.array(same)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("node", "text")], names=["node", "text"])
+
+    return scan
+
+
+_SIGNED = "doc_id long, n_shingles long, first long, second long, signature binary"
+_DIGEST = ["first", "second", "n_shingles"]
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(signed, classes): the digest of every row; of every class its digest, its least doc_id and
+    the least of its component, and whether it is the class that stands for the component."""
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    signed = materialize(rows.mapInArrow(_signatures(k), _SIGNED), "signatures")
+    able = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    grouped = able.groupBy(*_DIGEST).agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"))
+    # A class has a number of its own, since two may share their least doc_id.
+    classes = materialize(grouped.withColumn("doc_id", F.monotonically_increasing_id()), "classes")
+    regions = materialize(dense_regions(classes), "regions")
+    pairs = materialize(candidate_pairs(classes, percent), "pairs")
+
+    ids = regions.select("node").distinct().join(classes.select(F.col("doc_id").alias("node"), F.col("least").alias("doc_id"), "first", "second"), "node")
+    # Merged at every size, so that the work grows with the input and not by leaps.
+    held = rows.join(ids.hint("merge"), "doc_id").groupBy("doc_id", "node", "first", "second", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    held = materialize(held.mapInArrow(_of_their_class(k), "node long, text string"), "candidates")
+
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("to")), F.struct(F.col("b").alias("of"), F.col("a").alias("to")))).alias("e"), "agree")
+    best = ends.groupBy("e.of").agg(F.max(F.struct("agree", (-F.col("e.to")).alias("to"))).alias("m"))
+    best = best.select(F.least("of", -F.col("m.to")).alias("a"), F.greatest("of", -F.col("m.to")).alias("b")).distinct()
+    roots = components(confirmed_pairs(best, held, k, percent)).select("node", "root")
+    comps = regions.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
+    comps = materialize(comps, "components")
 
-    A class that no neighbour of a dense component is similar enough to may still be similar to
-    the text which the others vary. That text has the most neighbours and agrees best with them; the
-    best of each of HUBS parts of a component, and its first text, are its hubs. pairs: a, b; ends: of, to, agree of
-    each pair both ways; comps: node, comp."""
-    centre = ends.groupBy("e.of").agg(F.sum("agree").alias("near")).join(comps.withColumnRenamed("node", "of"), "of")
-    part = F.pmod(F.xxhash64("of"), F.lit(HUBS))
-    hubs = centre.groupBy("comp", part.alias("part")).agg(F.max(F.struct("near", (-F.col("of")).alias("of"))).alias("h"))
-    hubs = hubs.select("comp", (-F.col("h.of")).alias("hub")).union(hubs.select("comp", "comp")).distinct()
     of = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
-    apart = pairs.join(of("a"), "a").join(of("b"), "b").where(F.col("comp_a") != F.col("comp_b"))
-    sides = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("comp_b").alias("comp")), F.struct(F.col("b").alias("x"), F.col("comp_a").alias("comp"))))
-    asked = apart.select(sides.alias("s")).select("s.*").distinct().join(hubs, "comp")
-    asked = asked.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
-    return materialize(asked.join(pairs, ["a", "b"], "left_anti"), "hub-pairs")
+    rest = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where(F.col("comp_a") != F.col("comp_b"))
+    rest = materialize(rest.select("a", "b", "comp_a", "comp_b"), "pairs-left")
+    more = rest.join(confirmed_pairs(rest, held, k, percent), ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    comps = merged(comps, more)
+
+    sizes = materialize(regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "large-regions")
+    deepened = not sizes.isEmpty()
+    for trees in ROUNDS:
+        own = regions.where(F.col("tree").isin(*trees))
+        passes = [("deep", own.join(sizes, "region", "left_semi"))] if deepened else []
+        for part, some in [*passes, ("region", own)]:
+            links = materialize(region_links(some.select(F.col(part).alias("part"), "node", "n_shingles"), comps, held, k, percent), "region-links")
+            if not links.isEmpty():
+                comps = merged(comps, links)
+
+    every = classes.select("doc_id", "least", *_DIGEST).join(comps, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    first = every.groupBy("comp").agg(F.min(F.struct("least", "doc_id")).alias("f"))
+    found = every.join(first, "comp").select(*_DIGEST, "least", F.col("f.least").alias("component_id"), (F.col("doc_id") == F.col("f.doc_id")).alias("stands"))
+    return signed, found
+
+
+def _with_class(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    own = classes.select(*[F.col(c).alias(f"__{c}") for c in _DIGEST], "least", "component_id", "stands")
+    return signed.join(own, [signed[c] == own[f"__{c}"] for c in _DIGEST])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -423,68 +464,47 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one shingle. Null, empty and wordless texts have no shingles and are linked with nothing; a
     null id is linked with nothing and has a null component; repeated rows come out alike; rows
     that share an id but not the text are linked each by its own text."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, first long, second long, signature binary"
-    signed = materialize(rows.mapInArrow(_signatures(words), schema), "signatures")
+    signed, classes = _classes(docs, doc_id, text, words, percent)
     able = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    keys = ["first", "second", "n_shingles"]
-    classes = materialize(able.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
-
-    pairs = materialize(candidate_pairs(classes, percent), "pairs")
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    # Merged at every size, so that the work grows with the input and not by leaps.
-    wanted = rows.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    wanted = materialize(wanted.select("doc_id", "text"), "candidates")
-
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("to")), F.struct(F.col("b").alias("of"), F.col("a").alias("to")))).alias("e"), "agree")
-    best = ends.groupBy("e.of").agg(F.max(F.struct("agree", (-F.col("e.to")).alias("to"))).alias("m"))
-    best = best.select(F.least("of", -F.col("m.to")).alias("a"), F.greatest("of", -F.col("m.to")).alias("b")).distinct()
-    roots = materialize(components(confirmed_pairs(best, wanted, words, percent)), "roots")
-
-    root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-    at = lambda end: F.coalesce(f"root_{end}", end)
-    rest = rest.where(at("a") != at("b")).select("a", "b", at("a").alias("x"), at("b").alias("y"))
-    rest = materialize(rest, "pairs-left")
-    more = rest.join(confirmed_pairs(rest, wanted, words, percent), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    above = components(more).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
-    comps = ids.select(F.col("doc_id").alias("node")).join(roots, "node", "left")
-    comps = comps.select("node", F.coalesce("root", "node").alias("__own")).join(above, F.col("__own") == F.col("__node"), "left")
-    comps = materialize(comps.select("node", F.coalesce("__root", "__own").alias("comp")), "components")
-    hubs = hub_pairs(pairs, ends, comps)
-    comps = merged(comps, confirmed_pairs(hubs, wanted, words, percent))
-    every = classes.select("doc_id").join(comps, F.col("doc_id") == F.col("node"), "left")
-    comps = materialize(every.select(F.col("doc_id").alias("node"), F.coalesce("comp", "doc_id").alias("comp")), "components")
-
-    def confirmed(found: DataFrame) -> DataFrame:
-        ids = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "doc_id")
-        held = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
-        held = materialize(held.select("doc_id", "text"), "candidates-left")
-        return materialize(confirmed_pairs(found, held, words, percent), "region-links")
-
-    asked = pairs.select("a", "b").union(hubs)
-    for centres in (CENTRES, None):
-        while True:
-            left = materialize(region_pairs(classes, comps, percent, centres).join(asked, ["a", "b"], "left_anti"), "region-pairs-left")
-            if left.isEmpty():
-                break
-            links = confirmed(left)
-            if links.isEmpty():
-                break
-            comps, asked = merged(comps, links), asked.union(left.select("a", "b"))
-            if centres is None:
-                break
-
-    least = classes.select(*[F.col(c).alias(f"__{c}") for c in keys], "doc_id").join(comps, F.col("doc_id") == F.col("node"), "left")
-    least = least.select(*[f"__{c}" for c in keys], F.coalesce("comp", "doc_id").alias("component_id"))
-    joined = able.join(least, [able[c] == least[f"__{c}"] for c in keys]).select("doc_id", "n_shingles", "component_id")
+    joined = _with_class(able, classes).select("doc_id", "n_shingles", "component_id")
     apart = signed.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
     return joined.union(apart.select("doc_id", "n_shingles", "doc_id"))
 
 
+def _digests(k: int):
+    """The rows, each with the digest of its text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = pa.Table.from_batches(list(_signatures(k)(iter([batch])))).combine_chunks()
+                columns = [own.column(c).combine_chunks() for c in ("doc_id", *_DIGEST)]
+                yield pa.RecordBatch.from_arrays([batch.column(ROW), *columns], names=[ROW, "doc_id", *_DIGEST])
+
+    return scan
+
+
 def keep_one_of_each(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` (doc_id, text, ...) whose id is the least of its group, columns
-    unchanged. Rows without an id stay."""
-    groups = near_duplicates(docs, text=text, words=words, percent=percent)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(kept.hint("merge"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of `docs` (doc_id, text, ...) for each group of near-duplicates, columns unchanged: one
+    with the group's least id. Rows without an id or without words stay, all of them; of repeated rows,
+    and of equal texts under one id, one stays."""
+    signed, classes = _classes(docs, "doc_id", text, words, percent)
+    standing = materialize(classes.where("stands").select(F.col("least").alias("doc_id"), *_DIGEST), "standing")
+    able = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    times = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("most"))
+    single = times.where("n = 1").join(standing.select("doc_id", F.lit(True).alias("kept")), "doc_id", "left")
+    single = single.where(F.col("kept") | (F.col("most") == 0)).select("doc_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = docs.where(F.col("doc_id").isNotNull()).join(single.hint("merge"), "doc_id", "left_semi").select(*columns)
+    # Ids that several rows share: rows are told apart by the digests of their texts.
+    again = materialize(times.where("n > 1").select("doc_id"), "shared-ids")
+    out = alone.unionByName(docs.where(F.col("doc_id").isNull()))
+    if again.isEmpty():
+        return out
+    rows = docs.join(again, "doc_id", "left_semi").select(packed(docs.columns), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    digested = rows.mapInArrow(_digests(words), schema_with(rows, "doc_id long, first long, second long, n_shingles long"))
+    shared = materialize(digested, "shared-rows")
+    one = shared.where(able).join(standing, ["doc_id", *_DIGEST], "left_semi").groupBy("doc_id", *_DIGEST).agg(F.first(ROW).alias(ROW))
+    for more in (one, shared.where(~able)):
+        out = out.unionByName(unpacked(more, docs.columns, []))
+    return out

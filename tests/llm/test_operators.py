@@ -164,14 +164,54 @@ def test_star_of_copies_that_only_their_original_links(spark):
 
 
 @pytest.mark.parametrize("block", [7, 4096])
-def test_region_pairs_are_all_pairs_of_a_region(spark, block):
+def test_region_links_join_what_a_region_holds(spark, block):
+    """Of one region with a large component and many single classes; blocks put out a forest."""
     base = passage(4, 200).split()
-    texts = [(i, " ".join([*base[:40], f"x{i}", *base[41:]])) for i in range(60)]
-    frame = spark.createDataFrame(texts, "doc_id long, text string")
-    classes = frame.mapInArrow(near_dups._signatures(5), "doc_id long, n_shingles long, first long, second long, signature binary")
-    comps = classes.select(F.col("doc_id").alias("node"), F.when(F.col("doc_id") < 20, 0).otherwise(F.col("doc_id")).cast("long").alias("comp"))
-    got = {(r.a, r.b) for r in near_dups.region_pairs(classes, comps, 80, block=block).collect()}
-    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60) if b >= 20}
+    texts = [(i, " ".join([*base[: 40 + i % 3], f"x{i}", *base[41 + i % 3 :]])) for i in range(60)] + [(60 + i, passage(900 + i, 50)) for i in range(9)]
+    held = spark.createDataFrame(texts, "node long, text string")
+    regions = held.select(F.lit(1).cast("long").alias("part"), "node", F.lit(200).cast("long").alias("n_shingles"))
+    comps = held.select("node", F.when(F.col("node") < 20, 0).otherwise(F.col("node")).cast("long").alias("comp"))
+    links = near_dups.region_links(regions, comps, held, 5, 80, block=block)
+    joined = {r.node: r.comp for r in near_dups.merged(comps, links).collect()}
+    want = {d: c for d, _, c in brute.similar_components(texts, 5, 0.8)}
+    assert joined == want and set(want.values()) == {0, *range(60, 69)}
+    assert links.count() == 40 if block == 4096 else links.count() <= 40 * -(-69 // block) * 2
+    assert near_dups.region_links(regions, comps.withColumn("comp", F.lit(7).cast("long")), held, 5, 80).count() == 0
+
+
+def test_linked_is_exact():
+    draw = random.Random(6)
+    import numpy as np
+
+    sets = [np.array(sorted(draw.sample(range(60), draw.randrange(20, 50))), np.uint64) for _ in range(80)]
+    comp = np.arange(80) // 2
+    found = near_dups.linked(sets, comp, np.arange(40), np.arange(80), 70)
+    assert len(found) < 40
+    up = dict.fromkeys(range(40))
+    root = lambda x: x if up[x] is None else root(up[x])
+
+    def join(pairs):
+        for key in up:
+            up[key] = None
+        for a, b in pairs:
+            if root(a) != root(b):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(c) for c in range(40)]
+
+    near = lambda x, y: 100 * len(x & y) >= 70 * len(x | y)
+    plain = [set(s.tolist()) for s in sets]
+    assert join(found) == join([(comp[i], comp[j]) for i in range(40) for j in range(80) if near(plain[i], plain[j])])
+
+
+def test_rows_that_share_an_id_are_each_linked_by_their_text(spark):
+    one, two, three = passage(1, 100), passage(2, 100), passage(3, 100)
+    texts = [(1, one), (1, two), (1, two), (2, one + " more"), (3, two + " more"), (4, three), (4, three), (5, ""), (5, None), (5, three + " x"), (None, one)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("__row", F.lit(1)).repartition(4)
+    got = near_dups.near_duplicates(frame)
+    assert rows(got, "doc_id", "component_id") == ordered([(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 5), (5, 5), (5, 4), (None, None)])
+    kept = near_dups.keep_one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert rows(kept, "doc_id", "text") == ordered([(1, one), (1, two), (4, three), (5, ""), (5, None), (None, one)])
 
 
 def test_keep_one_of_each_keeps_columns_and_rows_without_id(docs):

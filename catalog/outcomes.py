@@ -494,16 +494,46 @@ def _(spark, d):
 # --- files and intake ------------------------------------------------------------------------------
 
 
-@query("S02_trace_file_lines", with_base("SELECT span AS span_id, etype AS entity_type, sid AS session_id, err AS contains_error, ts AS ts_us FROM typ"))
-def _(spark, d):
-    path = scratch(spark, "span-file")
+_FILE_SPANS = with_base("SELECT span AS span_id, etype AS entity_type, sid AS session_id, err AS contains_error, ts AS ts_us FROM typ")
+
+
+def _to_file(spark, d):
     source = raw(spark, d).select(*[c for c in SPAN_FILE_SCHEMA.names if c in SPAN_SCHEMA.names])
-    stamp = F.date_format("Timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    source.withColumn("Timestamp", stamp).write.json(path)
-    spans = parse_spans(traces.file_spans(traces.read_trace_file(spark, path, "lines")))
+    return source.withColumn("Timestamp", F.date_format("Timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+
+
+def _from_file(rows):
+    spans = parse_spans(traces.file_spans(rows))
     return spans.select("span_id", "entity_type", "session_id", "contains_error", F.unix_micros("timestamp").alias("ts_us"))
 
 
+@query("S02_trace_file_lines", _FILE_SPANS)
+def _(spark, d):
+    path = scratch(spark, "span-file")
+    _to_file(spark, d).write.json(path)
+    return _from_file(traces.read_trace_file(spark, path, "lines"))
+
+
+@query("S02_trace_file_array", _FILE_SPANS)
+def _(spark, d):
+    """Files of one array each, of some 20,000 spans; the last member is a null."""
+    path, source = scratch(spark, "span-array"), _to_file(spark, d)
+    files = source.count() // 20_000 + 1
+    members = source.select(F.pmod(F.xxhash64("TraceId", "SpanId"), F.lit(files)).alias("file"), F.lit(1).alias("at"), F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("line"))
+    ends = spark.range(files).select(F.col("id").alias("file"), F.explode(F.create_map(F.lit(0), F.lit("["), F.lit(2), F.lit("null]"))).alias("at", "line"))
+    lines = members.unionByName(ends).repartition("file").sortWithinPartitions("file", "at")
+    lines.select("file", "line").write.partitionBy("file").text(path)
+    return _from_file(traces.read_trace_file(spark, path))
+
+
+@query("S02_trace_file_objects", _FILE_SPANS)
+def _(spark, d):
+    """Objects one after the other, each over several lines."""
+    path = scratch(spark, "span-objects")
+    _to_file(spark, d).select(F.to_json(F.struct("*"), {"pretty": "true"})).write.text(path)
+    return _from_file(traces.read_trace_file(spark, path))
+
+
 @query("S13_session_dump", with_base(f"SELECT span AS span_id, span_name FROM raw WHERE sid = '{_SID1}'"))
 def _(spark, d):
     path = scratch(spark, "dump")

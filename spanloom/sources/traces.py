@@ -11,6 +11,7 @@ from spanloom.functions.values import truthy, uuid_part
 from spanloom.operators.ordered import numbered
 from spanloom.operators.parse import session_id
 from spanloom.operators.reads import PROMOTED, promoted
+from spanloom.sources.json_pieces import json_objects
 from spanloom.schemas import HISTOGRAM_SCHEMA, SPAN_FILE_SCHEMA, SPAN_SCHEMA
 
 
@@ -37,13 +38,16 @@ def read_histogram(spark: SparkSession, path: str, metric: str) -> DataFrame:
     return spark.read.schema(HISTOGRAM_SCHEMA).parquet(path).filter(F.col("MetricName") == metric)
 
 
-def read_trace_file(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """Spans from JSON. `lines` reads one object per line and splits large files; `document`
-    reads one array or one object per file (a file is then read by one task)."""
-    if layout not in ("lines", "document"):
-        raise ValueError(f"layout must be 'lines' or 'document', got {layout!r}")
-    reader = spark.read.schema(SPAN_FILE_SCHEMA).option("mode", "PERMISSIVE")
-    return reader.option("multiLine", layout == "document").json(path)
+def read_trace_file(spark: SparkSession, path: str, layout: str = "any") -> DataFrame:
+    """Spans from JSON files. With `any`, each file may be an array of spans, one span, or spans one
+    after the other, and a large one is read by many tasks whatever its layout; a span that does
+    not parse is a row of nulls. `lines` is the shorter way for files known to hold a span a line."""
+    if layout not in ("any", "lines"):
+        raise ValueError(f"layout must be 'any' or 'lines', got {layout!r}")
+    if layout == "lines":
+        return spark.read.schema(SPAN_FILE_SCHEMA).option("mode", "PERMISSIVE").json(path)
+    parsed = json_objects(spark, path).select(F.from_json("json", SPAN_FILE_SCHEMA).alias("span"))
+    return parsed.select("span.*")
 
 
 def file_spans(rows: DataFrame) -> DataFrame:

@@ -109,8 +109,9 @@ SPAN = {
 @pytest.mark.parametrize(
     ("layout", "text", "n"),
     [
-        ("document", json.dumps([SPAN, {**SPAN, "SpanId": "b"}], indent=1), 2),
-        ("document", json.dumps(SPAN, indent=1), 1),
+        ("any", json.dumps([SPAN, {**SPAN, "SpanId": "b"}], indent=1), 2),
+        ("any", json.dumps(SPAN, indent=1), 1),
+        ("any", "\n".join(json.dumps({**SPAN, "SpanId": i}) for i in "abc"), 3),
         ("lines", "\n".join(json.dumps({**SPAN, "SpanId": i}) for i in "abc"), 3),
     ],
 )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import frames, query, raw, scratch, typed
+import catalog.metrics  # noqa: F401 - whose twins the runs are compared with
+from catalog.base import ORACLES, frames, query, raw, scratch, typed
 from catalog.base_sql import with_base
 from catalog.parsing import _DEFS
 from catalog.sessions import _SES
@@ -582,10 +583,89 @@ def _(spark, d):
     return out.select("aggregation_level", "session_id", "agent_id", "value_num")
 
 
-@query("V04_native_metric_run", with_base("SELECT m AS metric_name, lvl AS aggregation_level, count(*) AS n FROM (SELECT 'ToolErrorRate' AS m, 'session' AS lvl, sid FROM rt UNION ALL SELECT 'SpanCounter', 'session', sid FROM rt UNION ALL SELECT 'WorkflowEfficiency', 'session', sid FROM rt) GROUP BY 1, 2", _RES))
+def _numbers(metric, level, source, value, agent="NULL", ok="true", key="NULL"):
+    return f"SELECT '{metric}' AS metric_name, '{level}' AS aggregation_level, session_id, NULL AS span_id, {agent} AS agent_id, {key} AS key, round(cast({value} AS double), 6) AS value, NULL AS text, {ok} AS success FROM ({ORACLES[source]})"
+
+
+def _all_native_sql():
+    sessions = f"(SELECT session_id FROM ({ORACLES['M10_workflow_efficiency']}))"
+    parts = [
+        _numbers("ToolErrorRate", "session", "M01_tool_error_rate", "tool_error_rate"),
+        _numbers("ToolErrorRate", "agent", "M02_agent_tool_error_rate", "tool_error_rate", "agent"),
+        f"SELECT 'CyclesCount', 'session', session_id, NULL, NULL, NULL, coalesce(cycles, 0), NULL, true FROM {sessions} LEFT JOIN ({ORACLES['M03_cycles']}) USING (session_id)",
+        _numbers("CyclesCount", "agent", "M04_agent_cycles", "cycles", "agent"),
+        f"SELECT 'AgentToAgentInteractions', 'session', session_id, NULL, NULL, transition, n, NULL, true FROM {sessions} LEFT JOIN ({ORACLES['M05_agent_to_agent_counts']}) USING (session_id)",
+        f"SELECT 'AgentToToolInteractions', 'session', session_id, NULL, NULL, interaction, n, NULL, NOT coalesce(failed, false) FROM {sessions} LEFT JOIN ({ORACLES['M06_agent_to_tool']}) USING (session_id)",
+        f"SELECT 'GraphDeterminismScore', 'population', NULL, NULL, NULL, NULL, path_variance, NULL, true FROM ({ORACLES['M07_J08_path_variance']})",
+        _numbers("WorkflowEfficiency", "session", "M10_workflow_efficiency", "efficiency"),
+        _numbers("SpanCounter", "session", "M17_span_counts", "n_spans"),
+        f"SELECT 'ToolError', 'span', session_id, span_id, NULL, CASE WHEN status IS NOT NULL THEN 'status' END, CASE WHEN status IS NULL THEN -1 END, status, status IS NOT NULL FROM ({ORACLES['M16_tool_status']}) JOIN (SELECT span AS span_id, sid AS session_id FROM ({with_base('SELECT span, sid FROM sp')})) USING (span_id)",
+        f"SELECT 'PassiveEvalApp', 'session', session_id, NULL, NULL, 'app_name', NULL, app_name, true FROM ({ORACLES['M08_passive_app']})",
+    ]
+    for n in metrics.PASSIVE_APP:
+        parts.append(_numbers("PassiveEvalApp", "session", "M08_passive_app", f"eval_app_{n}", key=f"'eval_app_{n}'") + f" WHERE eval_app_{n} IS NOT NULL")
+        if not n.startswith("graph"):
+            parts.append(_numbers("PassiveEvalAgents", "session", "M09_passive_agents", f"eval_agent_{n}", "agent", key=f"'eval_agent_{n}'") + f" WHERE eval_agent_{n} IS NOT NULL")
+    for kind in ("Average", "Minimum", "Maximum"):
+        for level, source, agent in (("session", "M11_M12_M13_session_confidence", "NULL"), ("agent", "M15_agent_confidence", "agent")):
+            parts.append(_numbers(f"LLM{kind}Confidence", level, source, f"{kind.lower()}_confidence", agent, f"{kind.lower()}_confidence <> -1"))
+    return " UNION ALL ".join(parts)
+
+
+def _flat(out):
+    """Every value of every result: numbers, and the members of maps."""
+    members = F.explode_outer(F.when(F.col("value_json").isNotNull(), F.from_json("value_json", "map<string,string>"))).alias("key", "member")
+    rows = out.select("metric_name", "aggregation_level", "session_id", "span_id", "agent_id", "value_num", "success", members)
+    number = F.col("member").try_cast("double")
+    return rows.select(
+        "metric_name", "aggregation_level", "session_id", "span_id", "agent_id", "key",
+        F.round(F.coalesce(number, "value_num"), 6).alias("value"), F.when(number.isNull(), F.col("member")).alias("text"), "success",
+    )
+
+
+@query("V04_native_metric_run", _all_native_sql())
+def _(spark, d):
+    """All thirteen native metrics at all their levels in one run, by value."""
+    return _flat(registry.run_metrics(frames(spark, d), levels=["session", "agent", "span", "population"]))
+
+
+@query(
+    "V04_run_with_failures",
+    with_base(
+        """SELECT 'SpanCounter' AS metric_name, sid AS session_id, cast(count(*) AS double) AS value_num, true AS success, NULL AS problem FROM sp GROUP BY 2
+        UNION ALL SELECT 'NeedsTools', sid, cast(count(*) AS double), true, NULL FROM sp GROUP BY 2 HAVING count(*) FILTER (etype = 'tool') > 0
+        UNION ALL SELECT 'FailsInATask', NULL, -1e0, false, 'a session has spans'
+        UNION ALL SELECT 'FailsAtPlanning', NULL, -1e0, false, 'no such column'
+        UNION ALL SELECT 'Nowhere', NULL, -1e0, false, 'unknown metric'"""
+    ),
+)
 def _(spark, d):
-    out = registry.run_metrics(frames(spark, d), ["ToolErrorRate", "SpanCounter", "WorkflowEfficiency"])
-    return out.groupBy("metric_name", "aggregation_level").agg(F.count("*").alias("n"))
+    """One metric that works, one that some sessions lack inputs for, one that fails when planned,
+    one that fails in its tasks, one that nobody knows."""
+    own = registry.Registry()
+    counted = lambda f: f.spans.groupBy("session_id").agg(F.count("*").alias("n"))
+
+    @own.metric("SpanCounter", "session")
+    def spans(f):
+        return results.result_rows(counted(f), "SpanCounter", "session", F.col("n"))
+
+    @own.metric("NeedsTools", "session", requires=("tool_calls",))
+    def needs_tools(f):
+        return results.result_rows(counted(f), "NeedsTools", "session", F.col("n"))
+
+    @own.metric("FailsAtPlanning", "session")
+    def at_planning(f):
+        return f.spans.select("no such column")
+
+    @own.metric("FailsInATask", "session")
+    def in_a_task(f):
+        bad = F.when(F.col("n") > 0, F.raise_error(F.lit("a session has spans"))).otherwise(F.col("n"))
+        return results.result_rows(counted(f), "FailsInATask", "session", bad.cast("double"))
+
+    names = ["SpanCounter", "FailsInATask", "NeedsTools", "FailsAtPlanning", "Nowhere"]
+    out = registry.run_metrics(frames(spark, d), names, registry=own)
+    known = [F.when(F.col("error_message").contains(t), t) for t in ("a session has spans", "no such column", "unknown metric")]
+    return out.select("metric_name", "session_id", "value_num", "success", F.coalesce(*known).alias("problem"))
 
 
 @query("V05_V07_build_with_steps", with_base("SELECT sid AS session_id, count(*) AS n_spans, count(*) FILTER (etype = 'tool') AS n_marked FROM sp GROUP BY 1"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from spanloom.constants import AGGREGATION_LEVELS
 from spanloom.operators import confidence, metrics, population
@@ -21,7 +25,7 @@ from spanloom.operators.results import (
     with_session_app,
 )
 from spanloom.plans.build import Frames, with_session_inputs
-from spanloom.runtime import materialize
+from spanloom.runtime import materialize, scratch_root
 from spanloom.schemas import METRIC_RESULT_SCHEMA
 
 Compute = Callable[[Frames], DataFrame]
@@ -180,18 +184,57 @@ for _name, _column in [
     native.metric(_name, "session", agent=_confidence(_column, _name, True))(_confidence(_column, _name, False))
 
 
+# Metrics whose jobs run side by side.
+PARALLEL = 4
+
+_COLUMNS = [f.name for f in METRIC_RESULT_SCHEMA.fields]
+
+
 def _error_rows(frames: Frames, name: str, level: str, text: str) -> DataFrame:
-    """One failed result that stands for a metric that could not be planned."""
+    """One failed result that stands for a metric that could not be computed."""
     one = frames.spans.sparkSession.createDataFrame([(text,)], "problem string")
     return result_rows(one, name, level, error=F.col("problem"))
 
 
-def _safely(compute: Compute, frames: Frames, name: str, level: str) -> DataFrame:
+def _problem(problem: Exception) -> str:
+    return f"{type(problem).__name__}: {problem}"[:2000]
+
+
+def _safely(compute: Callable[[], DataFrame], frames: Frames, name: str, level: str) -> DataFrame:
     """A metric whose plan fails gives an error row, and the run goes on."""
     try:
-        return compute(frames).select(*[f.name for f in METRIC_RESULT_SCHEMA.fields])
+        return compute().select(*_COLUMNS)
     except Exception as problem:  # noqa: BLE001 - whatever a user's metric raises
-        return _error_rows(frames, name, level, f"{type(problem).__name__}: {problem}"[:2000])
+        return _error_rows(frames, name, level, _problem(problem))
+
+
+def _isolated(work: list[tuple[str, str, Callable[[], DataFrame]]], frames: Frames, parallel: int) -> list[DataFrame]:
+    """The results of every metric, each computed by jobs of a group of its own and committed to
+    a folder of its own. One that fails, at whatever stage, gives an error row; what it has begun
+    is cancelled and what it has written is not read; the others go on.
+
+    Plans are made one at a time, since they share the stored frames; their jobs run side by side."""
+    spark, root, planning = frames.spans.sparkSession, f"{scratch_root(frames.spans.sparkSession)}/spanloom/metrics-{uuid.uuid4().hex}", threading.Lock()
+
+    def run(number: int, name: str, level: str, compute: Callable[[], DataFrame]) -> DataFrame:
+        group = f"{root.rsplit('/', 1)[1]}-{number}"
+        spark.sparkContext.setJobGroup(group, f"{name} ({level})", interruptOnCancel=True)
+        try:
+            with planning:
+                rows = compute().select(*_COLUMNS)
+            place = f"{root}/{number}"
+            rows.write.mode("errorifexists").parquet(place)
+            return spark.read.schema(METRIC_RESULT_SCHEMA).parquet(place)
+        except Exception as problem:  # noqa: BLE001 - whatever a user's metric raises, on the driver or in a task
+            spark.sparkContext.cancelJobGroup(group)
+            return _error_rows(frames, name, level, _problem(problem))
+        finally:
+            for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                spark.sparkContext.setLocalProperty(key, None)
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        asked = [pool.submit(inheritable_thread_target(spark)(run), n, *w) for n, w in enumerate(work)]
+        return [a.result() for a in asked]
 
 
 def _wanted(frames: Frames, name: str, level: str) -> DataFrame:
@@ -233,13 +276,18 @@ def run_metrics(
     levels: list[str] | None = None,
     registry: Registry = native,
     stored: DataFrame | None = None,
+    isolated: bool = True,
+    parallel: int = PARALLEL,
 ) -> DataFrame:
     """Results of the named metrics at the given levels (session by default), labelled, with
     the bucket each goes to.
 
     Sessions that lack what a metric requires have no result of it (`skipped_metrics` lists
-    them). An unknown name, or a metric whose plan fails, gives one error row. Stored results are
-    reused; metrics see only the sessions that still have work."""
+    them). An unknown name, or a metric that fails, when planned or while it runs, gives one error
+    row at its level, and the others go on: each runs by itself, `parallel` at a time, and its
+    results are stored. With `isolated` false all metrics are one lazy plan, which is guarded against
+    failures of planning only. Stored results are reused; metrics see only the sessions that still
+    have work."""
     levels = levels or ["session"]
     asked = [(name, registry.get(name)) for name in names or registry.names()]
     skipped = skipped_metrics(frames, names, levels, registry)
@@ -264,15 +312,23 @@ def run_metrics(
     if work and len(todo) == len(work):
         ids = reduce(DataFrame.union, [t.select("session_id") for t in todo.values()]).distinct()
         narrowed = Frames(materialize(frames.spans.join(ids, "session_id", "left_semi"), "spans-with-work"))
-    for name, level, compute in work:
-        rows = _safely(compute, narrowed, name, level)
-        if (name, level) in todo:
-            # A failed plan has no session; its row stays.
-            left = todo[name, level].select(F.col("session_id").alias("_todo")).distinct()
-            rows = rows.join(left, rows["session_id"] == left["_todo"], "left").filter("_todo is not null or session_id is null").drop("_todo")
-        if registry.get(name).requires and level in ("session", "agent"):
-            out = skipped.filter((F.col("metric_name") == name) & (F.col("aggregation_level") == level)).select(F.col("session_id").alias("_out"))
-            rows = rows.join(out, rows["session_id"] == out["_out"], "left_anti")
-        parts.append(rows)
+
+    def planned(name: str, level: str, compute: Compute) -> Callable[[], DataFrame]:
+        def plan() -> DataFrame:
+            rows = compute(narrowed).select(*_COLUMNS)
+            if (name, level) in todo:
+                rows = rows.join(todo[name, level].select("session_id").distinct(), "session_id", "left_semi").select(*_COLUMNS)
+            if registry.get(name).requires and level in ("session", "agent"):
+                out = skipped.filter((F.col("metric_name") == name) & (F.col("aggregation_level") == level)).select(F.col("session_id").alias("_out"))
+                rows = rows.join(out, rows["session_id"] == out["_out"], "left_anti")
+            return rows
+
+        return plan
+
+    plans = [(name, level, planned(name, level, compute)) for name, level, compute in work]
+    if isolated:
+        parts += _isolated(plans, narrowed, parallel)
+    else:
+        parts += [_safely(plan, narrowed, name, level) for name, level, plan in plans]
     everything = reduce(DataFrame.unionByName, parts)
     return with_bucket(with_labels(with_session_app(everything, frames.sessions)))

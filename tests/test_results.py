@@ -236,3 +236,44 @@ def test_span_metrics_are_matched_without_a_shuffle(spans):
     assert out.count() == 10
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "entity_type" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_a_metric_that_fails_while_it_runs_leaves_the_others(spark, spans):
+    from spanloom.plans.registry import Registry, run_metrics
+
+    own = Registry()
+    frames = build.Frames(spans([tool(), agent("a"), tool(session="s2")]))
+    counted = lambda f: f.spans.groupBy("session_id").agg(F.count("*").alias("n"))
+
+    @own.metric("Fine", "session")
+    def fine(f):
+        return results.result_rows(counted(f), "Fine", "session", F.col("n"))
+
+    @own.metric("JvmFailure", "session")
+    def in_the_jvm(f):
+        bad = F.when(F.col("session_id") == "s2", F.raise_error(F.lit("no s2"))).otherwise(F.col("n"))
+        return results.result_rows(counted(f), "JvmFailure", "session", bad.cast("double"))
+
+    @own.metric("PythonFailure", "session")
+    def in_python(f):
+        def broken(batches):
+            raise RuntimeError("broken worker")
+            yield from batches
+
+        rows = counted(f)
+        return results.result_rows(rows.mapInArrow(broken, rows.schema), "PythonFailure", "session", F.col("n"))
+
+    @own.metric("WrongShape", "session")
+    def wrong_shape(f):
+        return counted(f)
+
+    for parallel in (1, 3):
+        got = run_metrics(frames, ["Fine", "JvmFailure", "PythonFailure", "WrongShape"], registry=own, parallel=parallel).collect()
+        assert {(r.metric_name, r.session_id, r.value_num) for r in got if r.success} == {("Fine", "s1", 2.0), ("Fine", "s2", 1.0)}
+        failed = {r.metric_name: r for r in got if not r.success}
+        assert set(failed) == {"JvmFailure", "PythonFailure", "WrongShape"} and len(got) == 5
+        assert "no s2" in failed["JvmFailure"].error_message and "broken worker" in failed["PythonFailure"].error_message
+        assert all(r.bucket == "failed" or r.bucket for r in failed.values())
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    lazy = run_metrics(frames, ["Fine", "WrongShape"], registry=own, isolated=False).collect()
+    assert sorted((r.metric_name, r.success) for r in lazy) == [("Fine", True), ("Fine", True), ("WrongShape", False)]

@@ -224,7 +224,7 @@ def _(spark, d):
 def _(spark, d):
     t = typed(spark, d)
     starts = t.filter("entity_type = 'agent'").select("session_id", "span_id")
-    return tree.descendants(t, starts).select("session_id", "start_id", "span_id")
+    return tree.descendants(frames(spark, d).tree, starts).select("session_id", "start_id", "span_id")
 
 
 _PRE = f"""{TREE}, tstart AS (SELECT sid, tid, min(ts || '/' || span) AS t0 FROM tree WHERE depth = 0 GROUP BY 1, 2),
@@ -233,10 +233,13 @@ pre AS (SELECT tree.*, row_number() OVER (PARTITION BY tree.sid ORDER BY t0, pat
 
 @query("W05_preorder_and_depth", with_base("SELECT sid AS session_id, span AS span_id, root AS root_id, depth, pos AS position FROM pre", _PRE))
 def _(spark, d):
-    from spanloom.operators.ordered import OrderedGroups
+    return tree.labelled_tree(typed(spark, d)).select("session_id", "span_id", "root_id", "depth", F.col("enter").alias("position"))
+
 
-    walked = tree.walked(typed(spark, d)).select("session_id", "span_id", "root_id", "depth", "preorder")
-    return OrderedGroups(walked, ["session_id"], ["preorder"], largest=frames(spark, d).largest_session).positions().drop("preorder")
+@query("W05_interval_labels", with_base(
+    "SELECT p.sid AS session_id, p.span AS span_id, p.pos AS enter, p.pos + (SELECT count(*) FROM tree t WHERE t.sid = p.sid AND list_contains(t.ids, p.span)) - 1 AS leave FROM pre p", _PRE))
+def _(spark, d):
+    return frames(spark, d).tree.select("session_id", "span_id", "enter", "leave")
 
 
 @query(

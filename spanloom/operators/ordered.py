@@ -143,13 +143,21 @@ class OrderedGroups:
 
     def positions(self, name: str = "position") -> DataFrame:
         """Number the rows of each group from 0."""
-        out = self.df.withColumn(name, F.row_number().over(self._window()).cast("bigint") - 1)
+        return self._running(name, F.lit(1).cast("bigint"))
+
+    def sums_before(self, name: str, source: str) -> DataFrame:
+        """Add to each row the sum of `source` over the rows of its group before it."""
+        return self._running(name, F.col(source).cast("bigint"))
+
+    def _running(self, name: str, amount: Column) -> DataFrame:
+        within = self._window().rowsBetween(Window.unboundedPreceding, -1)
+        out = self.df.withColumn(name, F.coalesce(F.sum(amount).over(within), F.lit(0).cast("bigint")))
         if not self.split:
             return out
         before = self._block_window().rowsBetween(Window.unboundedPreceding, -1)
         offsets = (
             self.df.groupBy(*self.keys, _BLOCK)
-            .agg(F.count("*").alias("_n"))
+            .agg(F.sum(amount).alias("_n"))
             .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
             .drop("_n")
         )

@@ -191,96 +191,104 @@ def with_paths(spans: DataFrame, folds: list[Fold] | None = None) -> DataFrame:
 def walked(spans: DataFrame, folds: list[Fold] | None = None) -> DataFrame:
     """Reachable spans with `preorder`, whose order is a depth-first walk: traces by their
     first root, then roots and children by time. One way at every depth."""
-    return tour_ranked(fold_ancestors(spans, folds or []))
+    reached = fold_ancestors(spans, folds or [])
+    ranks = interval_labels(reached).select("session_id", "span_id", F.struct(F.col("enter").alias("rank")).alias("preorder"))
+    return reached.join(ranks, ["session_id", "span_id"])
 
 
-def tour_ranked(reached: DataFrame) -> DataFrame:
-    """The walk as a rank, for forests of any depth. Each span is entered and left once;
-    the tour enter → first child … leave → next sibling or parent is a linked list, ranked by
-    doubling its links. Nothing kept per span grows with depth."""
+def subtree_sizes(reached: DataFrame) -> DataFrame:
+    """(session_id, span_id, size): the spans at and below each, for rows (session_id, span_id, up).
+
+    After a round a span knows how many lie less than 2, 4, 8, ... steps below it and the ancestor
+    as many steps above; the next round adds what those who have it as that ancestor know. So a
+    forest of depth d takes log2(d) rounds of sums and joins on (session, span)."""
+    size = F.lit(1).cast("bigint").alias("size")
+    state, left = reached.select("session_id", "span_id", "up", size), 1
+    while left:
+        below = state.filter("up is not null").groupBy("session_id", F.col("up").alias("span_id")).agg(F.sum("size").alias("_more"))
+        far = state.select("session_id", F.col("span_id").alias("up"), F.col("up").alias("_up"))
+        step = state.join(below, ["session_id", "span_id"], "left").join(far, ["session_id", "up"], "left")
+        seen = Observation()
+        grown = step.select("session_id", "span_id", F.col("_up").alias("up"), (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"))
+        state = materialize(grown.observe(seen, F.count("up").alias("left")), "sizes")
+        left = seen.get["left"]
+    return state.select("session_id", "span_id", "size")
+
+
+def interval_labels(reached: DataFrame) -> DataFrame:
+    """(session_id, span_id, enter, leave) of reachable spans: `enter` numbers the depth-first walk
+    of a session from 0, and the spans below a span are those that enter after it and not after its
+    `leave`. Nothing kept per span grows with depth.
+
+    A child enters one after its parent plus the sizes of its earlier siblings, a root after
+    the sizes of the roots before it; summed along the ancestors."""
     trace = F.coalesce("trace_id", F.lit("unknown"))
     own = reached.select(
-        "session_id",
-        "span_id",
-        F.when(F.col("depth") > 0, F.col("parent_span_id")).alias("up"),
-        trace.alias("root_trace"),
-        path_item().alias("item"),
-    )
-    starts = trace_starts(reached)
-    rows = own.join(starts, ["session_id", "root_trace"], "left").select(
-        "session_id", "span_id", "up", F.when(F.col("up").isNull(), F.col("trace_start")).alias("start"), "item"
-    )
-    linked = OrderedGroups(rows, ["session_id", "up"], ["start", "item"]).neighbours(
-        {"before": "span_id"}, {"after": "span_id"}
-    )
-    linked = materialize(linked.select("session_id", "span_id", "up", "before", "after"), "siblings")
-    firsts = linked.filter("before is null and up is not null").select(
-        "session_id", F.col("up").alias("span_id"), F.col("span_id").alias("child")
-    )
-    enter, leave = (lambda c: F.concat(F.lit("+"), c)), (lambda c: F.concat(F.lit("-"), c))
-    going_in = linked.join(firsts, ["session_id", "span_id"], "left").select(
-        "session_id",
-        enter(F.col("span_id")).alias("at"),
-        F.coalesce(enter(F.col("child")), leave(F.col("span_id"))).alias("to"),
-        F.lit(1).cast("bigint").alias("ahead"),
-    )
-    going_out = linked.select(
-        "session_id",
-        leave(F.col("span_id")).alias("at"),
-        F.coalesce(enter(F.col("after")), leave(F.col("up"))).alias("to"),
-        F.lit(0).cast("bigint").alias("ahead"),
-    )
-    links = materialize(going_in.unionByName(going_out), "tour")
-    while not links.filter("to is not null").isEmpty():
-        far = links.select("session_id", F.col("at").alias("to"), F.col("to").alias("_to"), F.col("ahead").alias("_a"))
-        links = materialize(
-            links.join(far, ["session_id", "to"], "left").select(
-                "session_id",
-                "at",
-                F.col("_to").alias("to"),
-                (F.col("ahead") + F.coalesce("_a", F.lit(0))).alias("ahead"),
-            ),
-            "tour",
-        )
-    ranks = links.filter(F.col("at").startswith("+")).select(
-        "session_id", F.substring("at", 2, 1 << 30).alias("span_id"), F.struct((-F.col("ahead")).alias("rank")).alias("preorder")
-    )
-    return reached.join(ranks, ["session_id", "span_id"])
-
-
-def trace_starts(reached: DataFrame) -> DataFrame:
-    """When each trace of a session begins: the (time, id) of its first root."""
-    roots = reached.filter(F.col("depth") == 0)
-    return roots.groupBy("session_id", F.coalesce("trace_id", F.lit("unknown")).alias("root_trace")).agg(
-        F.min(path_item()).alias("trace_start")
+        "session_id", "span_id", F.when(F.col("depth") > 0, F.col("parent_span_id")).alias("up"), "depth", trace.alias("root_trace"), path_item().alias("item")
     )
-
-
-def descendants(spans: DataFrame, starts: DataFrame) -> DataFrame:
-    """Spans at or below each start (`starts`: session_id, span_id). Only the starts above a
-    span are carried down, so the work is that of the result."""
-    keys = ["session_id", "span_id"]
-    wanted = starts.select(*keys).distinct().withColumn("_start", F.lit(True))
-    nodes = spans.select(*keys, "parent_span_id").join(wanted, keys, "left")
-    empty = F.array().cast("array<string>")
-    own = F.when(F.col("_start"), F.array("span_id")).otherwise(empty)
-    fold = Fold("starts_above", own, empty, lambda near, far: F.concat(near, far))
-    reached = fold_ancestors(nodes, [fold])
-    return reached.select(*keys, F.explode(F.concat("starts_above", own)).alias("start_id"))
+    own = materialize(own, "reached")
+    starts = own.filter("depth = 0").groupBy("session_id", "root_trace").agg(F.min("item").alias("start"))
+    roots = own.filter("up is null").join(starts, ["session_id", "root_trace"])
+    rows = roots.unionByName(own.filter("up is not null"), allowMissingColumns=True).drop("root_trace", "depth")
+    rows = rows.join(subtree_sizes(own), ["session_id", "span_id"])
+    placed = OrderedGroups(rows, ["session_id", "up"], ["start", "item"]).sums_before("before", "size")
+    step = F.col("before") + F.when(F.col("up").isNull(), 0).otherwise(1)
+    nodes = materialize(placed.select("session_id", "span_id", F.col("up").alias("parent_span_id"), "size", step.alias("step")), "walk")
+    above = Fold("above", F.col("step"), F.lit(0).cast("bigint"), lambda near, far: near + far)
+    labelled = fold_ancestors(nodes, [above]).withColumn("enter", F.col("above") + F.col("step"))
+    return labelled.select("session_id", "span_id", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"))
+
+
+def labelled_tree(spans: DataFrame) -> DataFrame:
+    """Reachable spans with root_id, depth, enter and leave."""
+    reached = execution_tree(spans)
+    return reached.join(interval_labels(reached), ["session_id", "span_id"])
+
+
+# Intervals are cut into aligned ranges of powers of this many numbers.
+_RADIX = 16
+
+
+def _aligned(enter: Column, leave: Column) -> Column:
+    """The least aligned ranges (level, n) that make up the numbers from enter to leave: at most
+    2 * (_RADIX - 1) of each level, and no more levels than the interval's length has digits."""
+    up = lambda x, k: F.ceil(x / F.pow(F.lit(_RADIX), k)).cast("bigint")
+    down = lambda x, k: F.floor(x / F.pow(F.lit(_RADIX), k)).cast("bigint")
+    end = leave + 1
+    digits = F.floor(F.log(float(_RADIX), end - enter) + 1e-9).cast("int")
+
+    def of_level(k: Column) -> Column:
+        first, last = up(enter, k), down(end, k)
+        inner, outer = up(enter, k + 1) * _RADIX, down(end, k + 1) * _RADIX
+        # What the next level covers is left to it.
+        span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+        numbers = F.when(inner < outer, F.concat(span(first, inner), span(outer, last))).otherwise(span(first, last))
+        return F.transform(numbers, lambda n: F.struct(k.alias("level"), n.alias("n")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), digits), of_level))
+
+
+def descendants(labels: DataFrame, starts: DataFrame) -> DataFrame:
+    """Spans at or below each start (`starts`: session_id, span_id), as a range join on the labels
+    (session_id, span_id, enter, leave): an interval is cut into aligned ranges, a span lies in one
+    range of each level, so the join is by equality, spreads within a session, and makes the
+    rows of the result alone."""
+    wanted = labels.join(starts.select("session_id", "span_id").distinct(), ["session_id", "span_id"], "left_semi")
+    ranges = wanted.select("session_id", F.col("span_id").alias("start_id"), F.explode(_aligned(F.col("enter"), F.col("leave"))).alias("r"))
+    ranges = ranges.select("session_id", "start_id", "r.level", "r.n")
+    # Only levels that some interval of the session uses.
+    levels = ranges.groupBy("session_id").agg(F.max("level").alias("top"))
+    placed = labels.join(levels, "session_id").select("session_id", "span_id", "enter", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
+    placed = placed.withColumn("n", F.floor(F.col("enter") / F.pow(F.lit(_RADIX), F.col("level"))).cast("bigint"))
+    return placed.join(ranges, ["session_id", "level", "n"]).select("session_id", "span_id", "start_id")
 
 
 def tree_summary(tree: DataFrame) -> DataFrame:
     """Per session and trace: spans in the flows of its roots, and roots. A span counts for
-    the trace of its root."""
-    trace = F.coalesce("trace_id", F.lit("unknown"))
-    roots = tree.filter(F.col("depth") == 0).select(
-        "session_id", F.col("span_id").alias("root_id"), trace.alias("root_trace")
-    )
-    flows = tree.groupBy("session_id", "root_id").agg(F.count("*").alias("n"))
-    return (
-        flows.join(roots, ["session_id", "root_id"])
-        .groupBy("session_id", F.col("root_trace").alias("trace_id"))
-        .agg(F.count("*").alias("root_count"), F.sum("n").alias("flow_count"))
+    the trace of its root. tree: a labelled tree."""
+    roots = tree.filter(F.col("depth") == 0)
+    return roots.groupBy("session_id", F.coalesce("trace_id", F.lit("unknown")).alias("trace_id")).agg(
+        F.count("*").alias("root_count"), F.sum(F.col("leave") - F.col("enter") + 1).alias("flow_count")
     )
 
 

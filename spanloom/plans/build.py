@@ -40,7 +40,8 @@ class Frames:
 
     @cached_property
     def tree(self) -> DataFrame:
-        return materialize(tree.execution_tree(self.spans), "forest")
+        """Reachable spans with their depth and nested-interval labels."""
+        return materialize(tree.labelled_tree(self.spans), "forest")
 
     @cached_property
     def agent_stats(self) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from spanloom.operators import agents, tree
 from tests.conftest import agent, model, tool
 
@@ -52,13 +54,55 @@ def test_preorder_walks_traces_roots_and_children_by_time(spans):
     assert _walk(spans(FOREST)) == WALK
 
 
-def test_tour_ranks_give_the_same_walk(spans):
-    df = spans(FOREST)
-    got = tree.tour_ranked(tree.execution_tree(df)).orderBy("preorder").collect()
-    assert [r["span_id"] for r in got] == WALK
+def test_labels_number_the_same_walk(spans):
+    got = tree.labelled_tree(spans(FOREST)).orderBy("enter").collect()
+    assert [(r["span_id"], r["enter"], r["leave"]) for r in got] == list(zip(WALK, range(6), (3, 2, 2, 3, 4, 5)))
+
+
+def _below(rows):
+    """{id: ids at and below it} of rows (id, parent)."""
+    up = dict(rows)
+    found = {}
+    for node in up:
+        at = node
+        while at is not None:
+            found.setdefault(at, set()).add(node)
+            at = up[at]
+    return found
+
+
+def _random_forest(n, reach, seed):
+    rnd = random.Random(seed)
+    up = {i: (i - rnd.randrange(1, reach) if i > 3 else None) for i in range(n)}
+    rows = [tool(id=f"n{i:03d}", parent=f"n{p:03d}" if p is not None and p >= 0 else "", at=rnd.randrange(500)) for i, p in up.items()]
+    return rows, [(f"n{i:03d}", f"n{p:03d}" if p is not None and p >= 0 else None) for i, p in up.items()]
+
+
+@pytest.mark.parametrize(("n", "reach"), [(150, 2), (150, 3), (200, 60)])
+def test_descendants_by_interval(spans, n, reach):
+    """Chains, thin trees and bushes; intervals of one span and of whole sessions."""
+    rows, links = _random_forest(n, reach, n + reach)
+    loop = [tool(id="x", parent="y"), tool(id="y", parent="x"), tool(id="one", session="s2")]
+    labels = tree.labelled_tree(spans(rows + loop))
+    below = _below(links)
+    got = {r["span_id"]: (r["enter"], r["leave"]) for r in labels.filter("session_id = 's1'").collect()}
+    assert sorted(e for e, _ in got.values()) == list(range(n))
+    assert all(leave - enter + 1 == len(below[s]) for s, (enter, leave) in got.items())
+    assert all({o for o, (e, _) in got.items() if enter <= e <= leave} == below[s] for s, (enter, leave) in got.items())
+    pairs = [(r["start_id"], r["span_id"]) for r in tree.descendants(labels, labels).filter("session_id = 's1'").collect()]
+    assert sorted(pairs) == sorted((s, o) for s, found in below.items() for o in found)
+    assert tree.descendants(labels, labels.filter("span_id = 'one'")).count() == 1
+    assert tree.descendants(labels, labels.filter("false")).count() == 0
+
+
+def test_labels_with_hot_groups(spans, small_groups):
+    rows, _ = _random_forest(120, 40, 3)
+    df = spans(rows)
+    by_path = [r["span_id"] for r in tree.with_paths(df).orderBy("path").collect()]
+    assert _walk(df) == by_path
 
 
-def test_tour_ranks_are_the_order_of_paths(spans):
+def test_preorder_is_the_order_of_paths(spans):
     rnd = random.Random(2)
     rows = [tool(id=f"n{i:03d}", parent=f"n{i - rnd.randrange(1, 3):03d}" if i > 1 else "", at=rnd.randrange(500)) for i in range(60)]
     df = spans(rows)

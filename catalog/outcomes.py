@@ -37,15 +37,14 @@ def _(spark, d):
     return cases.task_cases(typed(spark, d))[0].select("session_id", "input", "actual_output")
 
 
-_TJ = f"""tj AS (SELECT sid, count(*) AS n, '[' || string_agg('{{' || CASE WHEN name IS NULL THEN '' ELSE '"name":' || to_json(name) || ',' END || CASE WHEN description IS NULL THEN '' ELSE '"description":' || to_json(description) || ',' END || '"input_parameters":' || to_json(i)
-  || CASE WHEN o IS NULL THEN '' ELSE ',"output":' || to_json(o) END || '}}', ',' ORDER BY ts, span) || ']' AS j
-  FROM (SELECT evt.sid, span, ts, name, tool_in AS i, {_OUTJ} AS o, description FROM evt LEFT JOIN first ON first.sid = evt.sid AND first.tool = evt.name WHERE kind = 'tool' AND evt.sid IS NOT NULL) GROUP BY 1)"""
+_TJ = f"""tj AS (SELECT sid, count(*) AS n, '[' || string_agg('{{' || array_to_string(list_filter([
+    '"name":' || to_json(name), '"description":' || to_json(description), '"input_parameters":' || to_json(i), '"output":' || to_json(o)], lambda x: x IS NOT NULL), ',') || '}}', ',' ORDER BY ts, span) || ']' AS j
+  FROM (SELECT evt.sid, span, ts, name, tool_in AS i, {_OUTJ} AS o, description FROM evt LEFT JOIN first ON first.sid = evt.sid AND first.tool = evt.name WHERE etype = 'tool' AND evt.sid IS NOT NULL) GROUP BY 1)"""
 
 
 @query("E02_session_tools", with_base("SELECT sid AS session_id, 0::BIGINT AS part, n AS n_tools, j AS tools_called FROM tj", _DEFS, _TJ))
 def _(spark, d):
-    real = typed(spark, d).filter("attrs['tool_name'] is null")
-    return cases.session_tools(real)
+    return cases.session_tools(typed(spark, d))
 
 
 _TURNS = f"""tu AS (SELECT sid, count(*) AS n, '[' || string_agg('{{"role":' || to_json(CASE WHEN role IN ('user','assistant') THEN role ELSE 'assistant' END) || ',"content":' || to_json(content) || '}}', ',' ORDER BY {_ORD}) || ']' AS j FROM el GROUP BY 1)"""
@@ -113,15 +112,23 @@ def _(spark, d):
 _AGIO = """ag AS (SELECT span, kind, k FROM sp WHERE etype = 'agent')"""
 
 
+_COMPLETIONS = """cj AS (SELECT el.span, '{' || CASE WHEN sp.src = 'c' OR sp.k % 3 > 0 THEN '"gen_ai.completion.0.role":"assistant",' ELSE '' END || '"gen_ai.completion.0.content":' || to_json(content)
+  || CASE WHEN sp.k % 16 = 5 THEN ',"gen_ai.completion.0.tool_calls.0.name":"tool_1","gen_ai.completion.0.tool_calls.0.arguments":' || to_json('{"q": ' || sp.k || '}') ELSE '' END || '}' AS c
+  FROM el JOIN sp ON sp.span = el.span WHERE source = 0 AND side = 1)"""
+
+
 @query(
     "E08_span_parameters",
     with_base(
-        """SELECT span AS span_id, CASE WHEN kind = 'agent' THEN '{"value":"Plan step ' || k || '"}' END AS input, CASE WHEN kind <> 'agent' THEN NULL WHEN k % 2 = 0 THEN '{"value": "Agent reply ' || k || ' done"}' ELSE cast(k AS varchar) END AS output FROM ag""",
-        _AGIO,
+        """SELECT span AS span_id, CASE WHEN kind = 'agent' THEN '{"value":"Plan step ' || k || '"}' END AS input, CASE WHEN kind <> 'agent' THEN NULL WHEN k % 2 = 0 THEN '{"value": "Agent reply ' || k || ' done"}' ELSE cast(k AS varchar) END AS output FROM ag
+        UNION ALL SELECT sp.span, p, c FROM sp LEFT JOIN pj ON pj.span = sp.span LEFT JOIN cj ON cj.span = sp.span WHERE etype = 'llm'""",
+        _AGIO, _EL, _PJ, _COMPLETIONS,
     ),
 )
 def _(spark, d):
-    return cases.span_parameter_cases(typed(spark, d), ["agent"]).select("span_id", "input", "output")
+    """Models, which is the default, and agents."""
+    both = cases.span_parameter_cases(typed(spark, d)).unionByName(cases.span_parameter_cases(typed(spark, d), ["agent"]))
+    return both.select("span_id", "input", "output")
 
 
 @query(
@@ -129,8 +136,7 @@ def _(spark, d):
     with_base("SELECT coalesce(tu.sid, tj.sid) AS session_id, tu.j AS conversation, q AS user_input, a AS final_response, tj.j AS tools_used FROM tu FULL JOIN tj ON tu.sid = tj.sid LEFT JOIN endss ON endss.sid = coalesce(tu.sid, tj.sid)", _EL, _TURNS, _DEFS, _TJ, _SENDS),
 )
 def _(spark, d):
-    real = typed(spark, d).filter("attrs['tool_name'] is null")
-    return cases.session_parameter_cases(real).select("session_id", "conversation", "user_input", "final_response", "tools_used")
+    return cases.session_parameter_cases(typed(spark, d)).select("session_id", "conversation", "user_input", "final_response", "tools_used")
 
 
 @query(

@@ -79,25 +79,24 @@ _OUT = """CASE WHEN tool_out IS NULL THEN NULL WHEN NOT json_valid(tool_out) THE
   WHEN tool_out LIKE '{%' THEN tool_out ELSE '{"value":' || tool_out || '}' END"""
 
 
-@query("P07_payloads", with_base(f"SELECT span AS span_id, tool_in AS input_payload, {_OUT} AS output_payload FROM evt WHERE kind = 'tool'"))
+@query("P07_payloads", with_base(f"SELECT span AS span_id, tool_in AS input_payload, {_OUT} AS output_payload FROM evt WHERE etype = 'tool'"))
 def _(spark, d):
-    tools = _parsed(spark, d).filter("entity_type = 'tool' and attrs['tool_name'] is null")
-    return tools.select("span_id", "input_payload", "output_payload")
+    return _parsed(spark, d).filter("entity_type = 'tool'").select("span_id", "input_payload", "output_payload")
 
 
 @query(
     "P08_workflow_and_agent_payloads",
     with_base(
-        """SELECT span AS span_id, CASE WHEN kind = 'agent' THEN '{"value":"Plan step ' || k || '"}'
+        """SELECT span AS span_id, CASE WHEN kind = 'autoagent' THEN NULL WHEN kind = 'agent' THEN '{"value":"Plan step ' || k || '"}'
           WHEN k % 2 = 0 THEN '{"inputs": {"chat_history": [{"message": "Query ' || k || '"}]}}' ELSE '{"inputs": {"messages": [["user", "Ask ' || k || '"]]}}' END AS input_payload,
-          CASE WHEN kind = 'agent' THEN CASE WHEN k % 2 = 0 THEN '{"value": "Agent reply ' || k || ' done"}' ELSE '{"answer": ' || k || '}' END
+          CASE WHEN kind = 'autoagent' THEN NULL WHEN kind = 'agent' THEN CASE WHEN k % 2 = 0 THEN '{"value": "Agent reply ' || k || ' done"}' ELSE '{"answer": ' || k || '}' END
           WHEN k % 4 = 3 THEN '{"value":"flow text ' || k || '"}'
           ELSE '{"outputs": {"messages": [{"kwargs": {"content": "first"}}, {"kwargs": {"content": "Answer ' || k || '"}}, {"kwargs": {"content": "End ' || k || '"}}]}}' END AS output_payload
-        FROM evt WHERE kind IN ('agent','workflow','autoflow')"""
+        FROM evt WHERE etype IN ('agent','workflow')"""
     ),
 )
 def _(spark, d):
-    kept = _parsed(spark, d).filter("entity_type = 'workflow' or (entity_type = 'agent' and input_payload is not null)")
+    kept = _parsed(spark, d).filter("entity_type in ('workflow', 'agent')")
     return kept.select("span_id", "input_payload", "output_payload")
 
 
@@ -216,9 +215,9 @@ _STATUS = """CASE WHEN tool_out IS NULL OR NOT json_valid(tool_out) THEN NULL EL
   CASE WHEN et = 'error' AND k % 2 = 0 THEN NULL WHEN k % 20 = 6 THEN NULL WHEN k % 20 = 11 THEN 'clean' WHEN k % 5 = 0 THEN 'ok' WHEN k % 5 = 1 THEN 'failed' WHEN k % 5 = 3 THEN 'partial' END END"""
 
 
-@query("P23_nested_key", with_base(f"SELECT span AS span_id, {_STATUS} AS status FROM evt WHERE kind = 'tool' AND sid IS NOT NULL"))
+@query("P23_nested_key", with_base(f"SELECT span AS span_id, {_STATUS} AS status FROM evt WHERE etype = 'tool' AND sid IS NOT NULL"))
 def _(spark, d):
-    tools = typed(spark, d).filter("entity_type = 'tool' and attrs['tool_name'] is null")
+    tools = typed(spark, d).filter("entity_type = 'tool'")
     found = values.find_key(F.col("output_payload"), "status")
     return tools.select("span_id", F.get_json_object(F.concat(F.lit('{"v":'), found, F.lit("}")), "$.v").alias("status"))
 
@@ -245,7 +244,7 @@ def _(spark, d):
 
 @query(
     "F18_span_validity",
-    with_base("SELECT span AS span_id, CASE WHEN k % 25 = 24 THEN 'Missing span_id' WHEN k % 25 = 23 THEN 'Missing entity_type' END AS reason FROM sp WHERE src = 'e'"),
+    with_base("SELECT span AS span_id, CASE WHEN k % 25 = 24 THEN 'Missing span_id' WHEN k % 25 = 23 THEN 'Missing entity_type' END AS reason FROM sp"),
 )
 def _(spark, d):
     events = derived.table(spark, d, "events", "event_id bigint, props string")
@@ -253,7 +252,8 @@ def _(spark, d):
         F.concat(F.lit("sp"), F.col("event_id").cast("string")).alias("sid_"),
         F.regexp_extract("props", r"([0-9]+)", 1).cast("int").alias("k"),
     )
-    spans = typed(spark, d).join(k, F.col("span_id") == F.col("sid_"))
+    # Spans of conversations have no event and stay as they are.
+    spans = typed(spark, d).join(k, F.col("span_id") == F.col("sid_"), "left").withColumn("k", F.coalesce("k", F.lit(0)))
     broken = spans.select(
         F.col("span_id").alias("orig"),
         F.when(F.col("k") % 25 != 24, F.col("span_id")).alias("span_id"),

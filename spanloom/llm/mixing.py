@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.ordered import numbered
+from spanloom.operators.ordered import OrderedGroups, numbered
 from spanloom.runtime import materialize
 
 CHUNK_UNITS = 5_000
@@ -104,12 +104,14 @@ def land(p: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return p
 
 
-def _flown(last: bool, seed: int):
+def _flown(seed: int):
     def chunk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "doc_id", "size"], na_position="first", kind="stable").reset_index(drop=True)
         draw = random.Random(f"{seed}/{rows['chunk'].iloc[0]}/{len(rows)}/{rows['order'].iloc[0]}")
         totals = rows["total"].to_numpy().astype(float)
         p = rows["p"].to_numpy().astype(float)
+        # A source that is down to one chunk is landed, whatever the others still have to fly.
+        last = rows["chunks"].iloc[0] == 1
         flying = len(p) - LANDING if last else len(p)
         if flying > 0:
             p = np.concatenate([cube_flight(p[:flying], totals[:flying], draw), p[flying:]])
@@ -122,11 +124,11 @@ def _flown(last: bool, seed: int):
 def mix(
     units: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0, chunk_units: int = CHUNK_UNITS
 ) -> DataFrame:
-    """units: doc_id, source, size (words). One row for each distinct (doc_id, source, size):
-    these, n_rows (how many rows of `units` it stands for), source_size, target (of the source),
-    copies (how often each of its rows is taken).
+    """units: doc_id, source, size (words). Rows that stand for rows of `units`: these, n_rows (how
+    many), source_size, target (of the source), copies (how often each of them is taken).
 
-    Repeated rows share their decision and count together in the balance. A source without words
+    Repeated rows are taken in the same share as others: as many as are certain, and one that is
+    drawn, so one (doc_id, source, size) may come in up to three rows. A source without words
     has target 0 and gives nothing; null ids and sources are values like others; an empty table
     gives an empty result. No copies exceed the next integer above target / source_size."""
     every = units.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -142,10 +144,19 @@ def mix(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = every.join(known, F.col("source").eqNullSafe(F.col("__source")))
     order = F.xxhash64(F.lit(seed), "doc_id", "size")
-    start = start.select(
-        "doc_id", "source", "size", "n_rows", "source_size", "target",
-        F.floor(rate).cast("int").alias("sure"), (rate - F.floor(rate)).alias("p"),
-        (F.col("size") * F.col("n_rows")).alias("total"), order.alias("order"),
+    # Of n equal rows at rate p, floor(n * p) are taken, one flies with what is left, the others stay.
+    p, n = rate - F.floor(rate), F.col("n_rows")
+    whole = F.floor(n * p + 1e-9).cast("long")
+    part = lambda rows, chance: F.struct(rows.cast("long").alias("n_rows"), chance.cast("double").alias("p"))
+    left = F.when(whole < n, F.greatest(n * p - whole, F.lit(0.0))).otherwise(0.0)
+    flies = F.when(left > 1e-9, 1).otherwise(0)
+    parts = F.when(n == 1, F.array(part(n, p))).otherwise(
+        F.filter(F.array(part(whole, F.lit(1.0)), part(flies, left), part(n - whole - flies, F.lit(0.0))), lambda x: x["n_rows"] > 0)
+    )
+    start = start.withColumn("part", F.explode(parts)).select(
+        "doc_id", "source", "size", "part.n_rows", "source_size", "target",
+        F.floor(rate).cast("int").alias("sure"), "part.p",
+        (F.col("size") * F.col("part.n_rows")).alias("total"), order.alias("order"),
         F.greatest(F.lit(1), F.ceil(F.col("__units") / chunk_units)).cast("long").alias("chunks"),
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in start.schema.fields) + ", chunk long"
@@ -155,7 +166,7 @@ def mix(
     for depth in range(64):
         level = level.withColumn("chunk", F.pmod(F.xxhash64(F.lit(depth), "doc_id", "size"), F.col("chunks")))
         last = level.agg(F.max("chunks")).first()[0] in (None, 1)
-        flown = level.groupBy("source", "chunk").applyInPandas(_flown(last, seed * 64 + depth), schema)
+        flown = level.groupBy("source", "chunk").applyInPandas(_flown(seed * 64 + depth), schema)
         flown = materialize(flown.drop("chunk"), "flight")
         decided.append(flown.where(~is_open))
         if last:
@@ -177,6 +188,28 @@ def take_mix(
     keys = {"__id": F.col("doc_id").cast("long"), "__source": F.col(f"`{source}`").cast("string"), "__size": text_words(F.col(f"`{text}`").cast("string"))}
     rows = docs.select("*", *[v.alias(k) for k, v in keys.items()])
     taken = mix(rows.select(*[F.col(k).alias(n) for k, n in zip(keys, ("doc_id", "source", "size"), strict=True)]), weights, share, most, seed)
+    # Rows that share a unit are told apart by their number; most units have one row and need none.
+    taken = materialize(taken, "taken")
+    unit = ["doc_id", "source", "size"]
+    several = taken.groupBy(*unit).agg(F.sum("n_rows").alias("n")).where("n > 1")
+    if not several.isEmpty():
+        return _take_numbered(docs, rows, taken, list(keys))
     taken = taken.where(F.col("copies") > 0).select(*[F.col(n).alias(f"{k}_of") for k, n in zip(keys, ("doc_id", "source", "size"), strict=True)], "copies")
     held = rows.join(taken.hint("merge"), [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys])
     return held.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _take_numbered(docs: DataFrame, rows: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that the mix takes where some share their unit: those of a unit are numbered, and its
+    parts take them in turn."""
+    unit = ["doc_id", "source", "size"]
+    split = OrderedGroups(taken, unit, ["copies"]).sums_before("__from", "n_rows")
+    shared = split.groupBy(*unit).agg(F.sum("n_rows").alias("n")).where("n > 1").select(*[F.col(u).alias(f"__of_{u}") for u in unit])
+    same = lambda prefix: [F.col(k).eqNullSafe(F.col(f"{prefix}{u}")) for k, u in zip(keys, unit, strict=True)]
+    apart = rows.join(shared, same("__of_"), "left_anti").withColumn("__number", F.lit(0).cast("long"))
+    held = rows.join(shared, same("__of_"), "left_semi").withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    together = OrderedGroups(held, keys, ["__tie"]).positions("__number").drop("__tie")
+    parts = split.where(F.col("copies") > 0).select(*[F.col(u).alias(f"__of_{u}") for u in unit], "copies", "__from", (F.col("__from") + F.col("n_rows")).alias("__to"))
+    within = (F.col("__number") >= F.col("__from")) & (F.col("__number") < F.col("__to"))
+    out = apart.unionByName(together).join(parts, [*same("__of_"), within])
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -66,9 +66,9 @@ hit AS (SELECT doc_id, count(DISTINCT q) AS n FROM g JOIN often USING (doc_id, g
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^!?]+', '', 'g'))::BIGINT AS n_marks,
   len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
-  len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stop_words FROM d LEFT JOIN hit USING (doc_id)),
+  len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stop_words, strlen(t) > 1.5 * length(t) AS other_script FROM d LEFT JOIN hit USING (doc_id)),
 r AS (SELECT *, word_chars / nullif(n_words, 0) AS mean_word_chars, n_symbols / nullif(n_words, 0) AS symbol_ratio, n_marks / nullif(n_words, 0) AS mark_ratio,
-  n_stop_words / nullif(n_words, 0) AS stop_word_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio, n_words / nullif(n_lines, 0) AS long_line_words,
+  CASE WHEN NOT other_script THEN n_stop_words / nullif(n_words, 0) END AS stop_word_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_broken_rules()}) AS kept FROM r"""
 

@@ -27,6 +27,10 @@ STOP_WORDS = (
 )
 
 
+# A text of more bytes a character is in a script that the list has no words of.
+OTHER_SCRIPT = 1.5
+
+
 @dataclass(frozen=True)
 class Rule:
     """A measure must lie between low and high; null bounds are open, a null measure passes."""
@@ -42,7 +46,6 @@ RULES = (
     Rule("mark_ratio", None, 0.3),
     Rule("stop_word_ratio", 0.02, None),
     Rule("dup_line_ratio", None, 0.5),
-    Rule("long_line_words", None, 100_000),
 )
 
 
@@ -72,7 +75,9 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
     """All columns of `docs` and the measures, each named with `prefix`: n_words, word_chars
     (code points in words), n_symbols, n_marks (exclamation and question marks), n_lines (lines
     with a word), n_dup_lines (those equal to an earlier one), n_repeat_words (words in 3-word
-    windows that occur twice or more), n_stop_words, and the ratios of the rules.
+    windows that occur twice or more), n_stop_words, other_script, and the ratios of the rules. No
+    measure falls or grows with length alone; the share of stop words is null in other scripts, and so
+    judges only texts in Latin letters.
 
     A null text counts as empty. Counts of empty and wordless texts are 0, their ratios null.
     Columns of `docs` with the name of a measure are replaced."""
@@ -98,6 +103,7 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
         "n_repeat_words": F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(
             _repeat_words(F.col(hashes), 3)
         ),
+        "other_script": F.octet_length(body) > OTHER_SCRIPT * F.char_length(body),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
     }
     # Unfolded from one row, so that a filter on the measures stays above and they are worked out once.
@@ -110,9 +116,8 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
             name("mean_word_chars"): per("word_chars", "n_words"),
             name("symbol_ratio"): per("n_symbols", "n_words"),
             name("mark_ratio"): per("n_marks", "n_words"),
-            name("stop_word_ratio"): per("n_stop_words", "n_words"),
+            name("stop_word_ratio"): F.when(~c("other_script"), per("n_stop_words", "n_words")),
             name("dup_line_ratio"): per("n_dup_lines", "n_lines"),
-            name("long_line_words"): per("n_words", "n_lines"),
         }
     )
 

@@ -255,6 +255,28 @@ def test_mix_of_tricky_rows(docs, nothing):
     assert taken.count() > 0
 
 
+def test_sources_of_repeated_rows_come_near_their_target(spark):
+    """A source that is one row many times, beside one of many chunks and one of few long rows."""
+    units = [(1, "a", 100)] * 1000 + [(10 + i, "b", 50 + i % 90) for i in range(2000)] + [(5000 + i, "c", 300) for i in range(200)] + [(6000, None, 7)] * 3
+    frame = spark.createDataFrame(units, "doc_id long, source string, size long").repartition(3)
+    taken, rows_of = Counter(), Counter()
+    target = {}
+    for r in mixing.mix(frame, chunk_units=150).collect():
+        taken[r.source] += r.copies * r["size"] * r.n_rows
+        rows_of[r.source] += r.n_rows
+        target[r.source] = r.target
+        assert r.copies <= 2
+    assert rows_of == Counter(s for _, s, _ in units)
+    assert all(abs(taken[s] - target[s]) <= 300 for s in taken)
+    texts = [(d, " ".join(["w"] * n), s, f"row {i}") for i, (d, s, n) in enumerate(units)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string, name string").repartition(4)
+    got = mixing.take_mix(docs)
+    times = Counter(r.name for r in got.collect())
+    assert max(times.values()) <= 2 and got.columns == docs.columns
+    words = got.where("source = 'a'").count() * 100
+    assert abs(words - target["a"]) <= 300
+
+
 # Archives
 
 PAGES = [
@@ -362,6 +384,15 @@ def test_classifier_of_tricky_rows(spark, docs, nothing):
 # Quality rules
 
 
+def test_clean_texts_are_kept_at_any_length_and_in_any_script(spark):
+    draw = random.Random(2)
+    prose = lambda n, letters: " ".join("".join(draw.choice(letters) for _ in range(draw.randrange(2, 9))) for _ in range(n))
+    english = " ".join(draw.choice(["the", "of", "and"]) if draw.random() < 0.3 else f"w{draw.randrange(30_000)}" for _ in range(150_000))
+    texts = [(1, english), (2, prose(206, "абвгдежзиклмнопрстуфх")), (3, prose(120, "漢字仮名交じり文章")), (4, prose(300, "αβγδεζηθικλμν")), (5, prose(200, "qwxzjk"))]
+    kept = quality.keep_good(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4]
+
+
 def test_quality_counts(docs, nothing):
     got = quality.measured(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("f"))
     assert rows(got, "*") == ordered((i, *brute.quality_counts(t)) for i, t in tricky_texts())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,7 +41,10 @@ def store_batch(batch: DataFrame, table: str) -> None:
         stored = spark.read.schema(TRACE_TABLE_SCHEMA).parquet(table)
         near = F.col("day").isin([d for d in days if d is not None])
         near = near | F.col("day").isNull() if None in days else near
-        fresh = rows.join(stored.filter(near).select(*_KEYS), _KEYS, "left_anti")
+        held = stored.filter(near).select(*[F.col(k).alias(f"_held_{k}") for k in _KEYS])
+        # A span without an id is a span like others, so ids are equal where both are missing.
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_held_{k}")) for k in _KEYS])
+        fresh = rows.join(held, same, "left_anti")
         fresh.select(*TRACE_TABLE_SCHEMA.names).write.mode("append").partitionBy("day").parquet(table)
     finally:
         rows.unpersist()

@@ -133,6 +133,16 @@ def test_rows_without_session_get_one_each(spark):
     assert got == {0: "x", 1: "file_session_1", 2: "file_session_2", 3: "x"}
 
 
+def test_a_replayed_span_without_ids_is_kept_once(spark, raw_spans, tmp_path):
+    table = str(tmp_path / "table")
+    rows = raw_spans([tool(id="a"), tool(id="b"), tool(id="c")])
+    rows = rows.withColumn("TraceId", F.when(F.col("SpanId") != "a", F.col("TraceId"))).withColumn("SpanId", F.when(F.col("SpanId") != "c", F.col("SpanId")))
+    spark.createDataFrame([], intake.TRACE_TABLE_SCHEMA).write.partitionBy("day").parquet(table)
+    for _ in range(3):
+        intake.store_batch(rows, table)
+    assert spark.read.schema(intake.TRACE_TABLE_SCHEMA).parquet(table).count() == 3
+
+
 def test_intake_keeps_late_spans_and_drops_repeats(spark, raw_spans, tmp_path):
     landing, table, mark = (str(tmp_path / n) for n in ("in", "table", "mark"))
     first = [tool(id="a", at=500_000), tool(id="b", at=500_001)]

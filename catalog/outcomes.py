@@ -88,25 +88,31 @@ def _(spark, d):
     return cases.session_relevancy_cases(typed(spark, d)).select("session_id", "input", "actual_output")
 
 
+_TOOLS = """'[{"name":"tool_' || (k % 4) || '","description":"desc ' || k || '","parameters":' || to_json('{"type": "object", "n": ' || k || '}') || '},' || CASE WHEN k % 3 = 0 THEN '{"name":"tool_3"},' ELSE '' END || '{"name":"tool_gap"}]'"""
+# Messages as JSON, with all fields: the prompts of a model, and its completion.
+_WHOLE = """asked AS (SELECT span, '[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(content) || CASE WHEN role = 'assistant' THEN ',"tool_calls":[]' ELSE '' END || '}', ',' ORDER BY idx) || ']' AS j
+  FROM el WHERE source = 0 AND side = 0 GROUP BY 1),
+said AS (SELECT sp.span, '[{' || CASE WHEN sp.src = 'c' OR sp.k % 3 > 0 THEN '"role":"assistant",' ELSE '' END || '"content":' || to_json(content)
+  || CASE WHEN sp.k % 16 = 5 AND sp.k % 3 = 0 THEN ',"tool_calls.0.arguments":' || to_json('{"q": ' || sp.k || '}') || ',"tool_calls.0.name":"tool_1"'
+    WHEN sp.k % 16 = 5 THEN ',"tool_calls":[{"name":"tool_1","arguments":{"q": ' || sp.k || '}}]'
+    WHEN sp.src = 'c' OR sp.k % 3 > 0 THEN ',"tool_calls":[]' ELSE '' END || '}]' AS j FROM sp JOIN el ON el.span = sp.span WHERE source = 0 AND side = 1)"""
+
+
 @query(
     "E06_answer_correctness_cases",
-    with_base("SELECT span AS span_id, count(*) FILTER (side = 0) AS n_asked, max(content) FILTER (side = 1) AS answer, '' AS expected_output FROM el WHERE source = 0 GROUP BY 1", _EL),
+    with_base(
+        f"""SELECT sp.span AS span_id, '{{"tool_definitions":' || CASE WHEN sp.src = 'e' THEN {_TOOLS.replace("k %", "sp.k %").replace("|| k ||", "|| sp.k ||")} ELSE '[]' END || ',"chat_payload":' || coalesce(asked.j, '[]') || '}}' AS input, said.j AS actual_output, '' AS expected_output
+        FROM sp LEFT JOIN asked ON asked.span = sp.span JOIN said ON said.span = sp.span""",
+        _EL, _WHOLE,
+    ),
 )
 def _(spark, d):
-    c = cases.answer_correctness_cases(typed(spark, d))
-    asked = F.from_json(F.get_json_object("input", "$.chat_payload"), "array<struct<role:string,content:string>>")
-    said = F.from_json("actual_output", "array<struct<content:string>>")
-    return c.select("span_id", F.size(asked).cast("bigint").alias("n_asked"), said[0]["content"].alias("answer"), "expected_output")
+    return cases.answer_correctness_cases(typed(spark, d)).select("span_id", "input", "actual_output", "expected_output")
 
 
-@query(
-    "E07_style_cases",
-    with_base("SELECT span AS span_id, '{}' AS input, content AS answer FROM el WHERE source = 0 AND side = 1", _EL),
-)
+@query("E07_style_cases", with_base("SELECT span AS span_id, '{}' AS input, j AS actual_output FROM said", _EL, _WHOLE))
 def _(spark, d):
-    c = cases.style_cases(typed(spark, d))
-    said = F.from_json("actual_output", "array<struct<content:string>>")
-    return c.select("span_id", "input", said[0]["content"].alias("answer"))
+    return cases.style_cases(typed(spark, d)).select("span_id", "input", "actual_output")
 
 
 _AGIO = """ag AS (SELECT span, kind, k FROM sp WHERE etype = 'agent')"""

@@ -117,6 +117,25 @@ def _(spark, d):
     return calls.select("span_id", F.col("c.name").alias("tool"), "c.arguments")
 
 
+@query(
+    "P25_chat_history_whole",
+    with_base(
+        """SELECT sp.span AS span_id, '[{' || CASE WHEN sp.src = 'c' OR sp.k % 3 > 0 THEN '"role":"assistant",' ELSE '' END || '"content":' || to_json(content) || ',"finish_reason":' || to_json(sp.name)
+        || CASE WHEN sp.k % 16 = 5 AND sp.k % 3 = 0 THEN ',"tool_calls.0.arguments":' || to_json('{"q": ' || sp.k || '}') || ',"tool_calls.0.name":"tool_1","tool_calls.0.type":"function"'
+          WHEN sp.k % 16 = 5 THEN ',"tool_calls":[{"name":"tool_1","arguments":{"q": ' || sp.k || '},"type":"function"}]'
+          WHEN sp.src = 'c' OR sp.k % 3 > 0 THEN ',"tool_calls":[]' ELSE '' END || '}]' AS messages FROM sp JOIN el ON el.span = sp.span WHERE source = 0 AND side = 1""",
+        _EL,
+    ),
+)
+def _(spark, d):
+    """Completions with fields of their own beside the usual ones."""
+    called = F.try_element_at("completions", F.lit("gen_ai.completion.0.tool_calls.0.name")).isNotNull()
+    kind = F.map_filter(F.create_map(F.lit("gen_ai.completion.0.tool_calls.0.type"), F.lit("function")), lambda k, v: called)
+    more = F.map_concat("completions", F.create_map(F.lit("gen_ai.completion.0.finish_reason"), F.col("entity_name")), kind)
+    h = conversation.chat_history(typed(spark, d).withColumn("completions", more), "completions")
+    return h.select("span_id", conversation.messages_json(F.col("messages")).alias("messages"))
+
+
 _CTRL = """(t LIKE '{"next":%' OR length(t) < LEN OR lower(t) LIKE '%text contains%' OR lower(t) LIKE 'the word %'
   OR (lower(t) LIKE 'the %' AND length(t) < 50 AND (lower(t) LIKE '%next%' OR lower(t) LIKE '%finish%')) OR lower(t) IN ('next','finish')
   OR lower(t) LIKE '% is mentioned.' OR lower(t) LIKE '% is present.' OR (lower(t) LIKE '%mentioned%' AND length(t) < 100 AND (lower(t) LIKE '%next%' OR lower(t) LIKE '%finish%')))"""

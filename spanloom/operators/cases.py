@@ -12,6 +12,7 @@ from spanloom.functions.values import lenient_json, strip, truthy
 from spanloom.operators.conversation import (
     ELEMENT_ORDER,
     chat_messages,
+    messages_json,
     conversation_elements,
     endpoints,
 )
@@ -195,12 +196,13 @@ def session_relevancy_cases(spans: DataFrame) -> DataFrame:
 
 def answer_correctness_cases(spans: DataFrame) -> DataFrame:
     """Tool definitions and chat history in, answer out, expected output where known."""
-    asked = F.struct(shown_tools().alias("tool_definitions"), chat_messages("prompts").alias("chat_payload"))
+    tools = F.coalesce(F.to_json(shown_tools()), F.lit("[]"))
+    asked = messages_json(chat_messages("prompts"))
     return _case(
         _models(spans),
         "AnswerCorrectnessMetric",
-        input=F.to_json(asked),
-        actual_output=F.to_json(chat_messages("completions")),
+        input=F.concat(F.lit('{"tool_definitions":'), tools, F.lit(',"chat_payload":'), asked, F.lit("}")),
+        actual_output=messages_json(chat_messages("completions")),
         expected_output=F.coalesce("expected_output", F.lit("")),
     )
 
@@ -211,7 +213,7 @@ def style_cases(spans: DataFrame) -> DataFrame:
         _models(spans),
         "GeneralStructureAndStyleMetric",
         input=F.lit("{}"),
-        actual_output=F.to_json(chat_messages("completions")),
+        actual_output=messages_json(chat_messages("completions")),
     )
 
 

@@ -154,23 +154,66 @@ def agent_exchanges(spans: DataFrame, max_items: int | None = None) -> DataFrame
 
 
 def chat_messages(side: str) -> Column:
-    """Messages of a model span, from its numbered prompts or completions, with the tool calls
-    of assistant messages rebuilt. Row-local: bounded by the span's own attributes."""
+    """Messages of a model span, from its numbered prompts or completions, with every field: role
+    and content, the tool calls of assistant messages rebuilt, and `fields`, all others by name.
+    Messages of other roles keep flat tool-call fields among these. Row-local: bounded by the span's
+    own attributes."""
     prefix = {"prompts": "gen_ai.prompt", "completions": "gen_ai.completion"}[side]
-    values = F.col(side)
 
     def message(n: Column) -> Column:
-        role = _field(values, prefix, n, "role")
-        calls = F.when(role == "assistant", _tool_calls(values, prefix, n))
-        content = _field(values, prefix, n, "content")
-        quiet = (role == "assistant") & (F.size(calls) > 0) & content.isin('""', "''")
+        own = _below(F.col(side), F.concat(F.lit(prefix + "."), n.cast("string"), F.lit(".")))
+        role, content = F.try_element_at(own, F.lit("role")), F.try_element_at(own, F.lit("content"))
+        assistant = F.coalesce(role == "assistant", F.lit(False))
+        calls = F.when(assistant, _tool_calls(own))
+        quiet = assistant & (F.size(calls) > 0) & content.isin('""', "''")
+        others = F.map_filter(own, lambda k, v: ~k.isin("role", "content") & ~(assistant & k.startswith("tool_calls.")))
         return F.struct(
             role.alias("role"),
-            F.when(quiet, F.lit("")).otherwise(content).alias("content"),
+            F.when(quiet, F.lit("")).when(assistant, F.coalesce(content, F.lit(""))).otherwise(content).alias("content"),
             calls.alias("tool_calls"),
+            others.alias("fields"),
         )
 
-    return F.transform(_numbered(values, prefix), message)
+    return F.transform(_numbered(F.col(side), prefix), message)
+
+
+def _below(values: Column, head: Column) -> Column:
+    """The entries whose key begins with `head`, by the rest of the key."""
+    own = F.filter(F.map_entries(values), lambda e: e["key"].startswith(head))
+    return F.map_from_entries(F.transform(own, lambda e: F.struct(F.substr(e["key"], F.length(head) + 1).alias("key"), e["value"].alias("value"))))
+
+
+def _quoted(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2))
+
+
+def _members(fields: Column) -> Column:
+    """The entries of a text map as members of a JSON object, by name."""
+    return F.transform(
+        F.array_sort(F.map_entries(fields)), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.coalesce(_quoted(e["value"]), F.lit("null")))
+    )
+
+
+def _object(members: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(members), ","), F.lit("}"))
+
+
+def messages_json(messages: Column) -> Column:
+    """Messages as a JSON list of objects with all their fields. The arguments of a tool call
+    are JSON themselves where they parse, else text; assistant messages always list their calls."""
+
+    def call(c: Column) -> Column:
+        arguments = F.when(F.try_parse_json(c["arguments"]).isNotNull(), c["arguments"]).otherwise(_quoted(c["arguments"]))
+        known = [F.concat(F.lit(f'"{n}":'), _quoted(c[n])) for n in ("id", "name")]
+        return _object(F.concat(F.array(*known, F.concat(F.lit('"arguments":'), arguments)), _members(c["fields"])))
+
+    def message(m: Column) -> Column:
+        known = [F.concat(F.lit(f'"{n}":'), _quoted(m[n])) for n in ("role", "content")]
+        calls = F.concat(F.lit('"tool_calls":['), F.array_join(F.transform(m["tool_calls"], call), ","), F.lit("]"))
+        return _object(F.concat(F.array(*known), _members(m["fields"]), F.array(calls)))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(messages, message), ","), F.lit("]"))
 
 
 def chat_history(spans: DataFrame, side: str = "prompts") -> DataFrame:
@@ -180,22 +223,21 @@ def chat_history(spans: DataFrame, side: str = "prompts") -> DataFrame:
     )
 
 
-def _tool_calls(values: Column, prefix: str, n: Column) -> Column:
-    """Tool calls of message n: name and arguments per call number."""
-    head = F.concat(F.lit(prefix + "."), n.cast("string"), F.lit(".tool_calls."))
-    keys = F.filter(F.map_keys(values), lambda k: k.startswith(head))
+def _tool_calls(own: Column) -> Column:
+    """Tool calls among a message's fields, in the order of their numbers: id, name, arguments and
+    all other fields."""
     numbers = F.array_sort(
-        F.array_distinct(
-            F.transform(keys, lambda k: F.regexp_extract(k, r"\.tool_calls\.([0-9]+)\.", 1).cast("int"))
+        F.array_compact(
+            F.array_distinct(F.transform(F.map_keys(own), lambda k: F.nullif(F.regexp_extract(k, r"^tool_calls\.([0-9]+)\.", 1), F.lit("")).cast("int")))
         )
     )
-    part = lambda c, name: F.try_element_at(values, F.concat(head, c.cast("string"), F.lit("." + name)))
-    return F.transform(
-        numbers,
-        lambda c: F.struct(
-            part(c, "id").alias("id"), part(c, "name").alias("name"), part(c, "arguments").alias("arguments")
-        ),
-    )
+
+    def call(n: Column) -> Column:
+        parts = _below(own, F.concat(F.lit("tool_calls."), n.cast("string"), F.lit(".")))
+        known = [F.try_element_at(parts, F.lit(name)).alias(name) for name in ("id", "name", "arguments")]
+        return F.struct(*known, F.map_filter(parts, lambda k, v: ~k.isin("id", "name", "arguments")).alias("fields"))
+
+    return F.transform(numbers, call)
 
 
 def input_query(values: Column) -> Column:

@@ -448,6 +448,33 @@ def _(spark, d):
     return out.select("session_id", "agent", *[F.round(m, 6).alias(m) for m in _AGM])
 
 
+_PERCENTS = (25, 50, 75, 90)
+
+
+@query(
+    "A21_agent_distribution",
+    with_base(
+        "SELECT agent, measure, max(n) AS n_sessions, count(*) FILTER (value = 0) AS n_zero, round(avg(value), 4) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most, "
+        + ", ".join(f"round(max(value) FILTER (place = ({p} * n + 99) // 100), 6) AS p{p}" for p in _PERCENTS)
+        + " FROM (SELECT *, count(*) OVER (PARTITION BY agent, measure) AS n, row_number() OVER (PARTITION BY agent, measure ORDER BY value) AS place FROM grid) GROUP BY 1, 2",
+        _SES, _AST, _AM,
+        "grid AS (" + " UNION ALL ".join(
+            f"SELECT a.agent, '{m}' AS measure, cast(coalesce(am.{m}, 0) AS double) AS value FROM ses, (SELECT DISTINCT agent FROM am) a LEFT JOIN am ON am.sid = ses.sid AND am.agent = a.agent"
+            for m in population.AGENT_MEASURES
+        ) + ")",
+    ),
+)
+def _(spark, d):
+    """Over all sessions; the states of two halves of them, merged."""
+    f = frames(spark, d)
+    measures = population.agent_metrics(f.agent_stats)
+    half = F.pmod(F.xxhash64("session_id"), F.lit(2))
+    states = [population.agent_sketches(measures.filter(half == n)) for n in range(2)]
+    merged = population.merged_sketches(states[0].unionByName(states[1]))
+    out = population.agent_distributions(merged, f.sessions.count(), _PERCENTS)
+    return out.select("agent", "measure", "n_sessions", "n_zero", F.round("mean", 4).alias("mean"), *[r6(c) for c in ("least", "most", *(f"p{p}" for p in _PERCENTS))])
+
+
 @query(
     "W06_agent_occurrence",
     with_base("SELECT sid AS session_id, agent, row_number() OVER (PARTITION BY agent ORDER BY sid) - 1 AS occurrence, tool_calls FROM am", _AST, _AM),

@@ -199,10 +199,20 @@ def packed(
     largest: int | None = None,
 ) -> DataFrame:
     """Ordered lists, one row per group: `part` 0 holds the group whole, at any size. Only a
-    caller that asks for `max_items` gets numbered parts of that length."""
+    caller that asks for `max_items` gets numbered parts of that length.
+
+    The lists of hot groups are put together twice: the rows of a block, in as many tasks as the
+    group has blocks, and then the blocks, which are in order already."""
     if max_items is None:
         place = [c for o in order for c in (F.col(o).isNull().alias(f"n_{o}"), F.col(o).alias(f"v_{o}"))]
-        listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*place, item.alias("_item")))).alias("_l"))
+        own = F.array_sort(F.collect_list(F.struct(*place, item.alias("_item"))))
+        groups = OrderedGroups(df, keys, order, largest=largest)
+        if groups.split:
+            blocks = groups.df.groupBy(*keys, _BLOCK).agg(F.transform(own, lambda x: x["_item"]).alias("_items"))
+            whole = F.array_sort(F.collect_list(F.struct(_BLOCK, "_items")), lambda a, b: (a[_BLOCK] - b[_BLOCK]).cast("int"))
+            stitched = blocks.groupBy(*keys).agg(F.flatten(F.transform(whole, lambda x: x["_items"])).alias(name))
+            return stitched.select(*keys, F.lit(0).cast("bigint").alias("part"), name)
+        listed = df.groupBy(*keys).agg(own.alias("_l"))
         listed = listed.withColumn("part", F.lit(0).cast("bigint"))
     else:
         placed = OrderedGroups(df, keys, order, largest=largest).positions("_pos")

@@ -12,7 +12,10 @@ from spanloom.operators.ordered import OrderedGroups
 from spanloom.operators.sessions import sessions
 from spanloom.operators.tree import tool_token_cost
 
-_BUCKETS = 16
+_AGENTS_A_PART, _SESSIONS_A_PART = 1_000, 50_000
+# Values that a quantile sketch keeps as they are; beyond, its error is about 1.3 / SKETCH_K of the rank.
+SKETCH_K = 4096
+SHARES = 2000
 
 SESSION_MEASURES = [
     "tool_calls", "tool_fails", "tool_total_tokens", "tool_duration", "tool_duration_norm",
@@ -90,15 +93,74 @@ def long_measures(metrics: DataFrame, keys: list[str], measures: list[str]) -> D
     return typed.unpivot(keys, measures, "measure", "value")
 
 
+def agent_sketches(metrics: DataFrame, measures: list[str] = AGENT_MEASURES, k: int = SKETCH_K) -> DataFrame:
+    """Mergeable state of each agent's measures over the sessions it took part in, one row per
+    (agent, measure): n, n_zero, n_below (zero), total, least, most, and a quantile sketch of all
+    values that are not zero. Zeros are counted, not sketched, so that sessions without the agent
+    can be added as a number."""
+    return long_measures(metrics, ["agent"], measures).groupBy("agent", "measure").agg(
+        F.count("value").alias("n"),
+        F.count_if(F.col("value") == 0).alias("n_zero"),
+        F.count_if(F.col("value") < 0).alias("n_below"),
+        F.sum("value").alias("total"),
+        F.min("value").alias("least"),
+        F.max("value").alias("most"),
+        F.call_function("kll_sketch_agg_double", F.when(F.col("value") != 0, F.col("value")), F.lit(k)).alias("sketch"),
+    )
+
+
+def merged_sketches(states: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """The states of several sets of sessions, such as days, as the state of all of them."""
+    sums = [F.sum(c).alias(c) for c in ("n", "n_zero", "n_below", "total")]
+    ends = [F.min("least").alias("least"), F.max("most").alias("most")]
+    return states.groupBy("agent", "measure").agg(*sums, *ends, F.call_function("kll_merge_agg_double", "sketch", F.lit(k)).alias("sketch"))
+
+
+def agent_distributions(states: DataFrame, n_sessions: int, percents: tuple[int, ...] = (25, 50, 75, 90)) -> DataFrame:
+    """What each agent's measures look like over all `n_sessions`, with a zero for each session the
+    agent took no part in: n_zero, mean, least, most, and for each of `percents` the least value
+    that so many percent of the sessions do not exceed. No (session, agent) pair is formed beyond
+    those with spans. Quantiles are exact for up to SHARES values that are not zero, and within the
+    error of the sketch beyond."""
+    absent = F.lit(n_sessions) - F.col("n")
+    zeros, others = F.col("n_zero") + absent, F.col("n") - F.col("n_zero")
+    end = lambda c, pick: F.when(absent > 0, pick(F.col(c), F.lit(0.0))).otherwise(F.col(c))
+
+    # A sketch is asked for fixed shares only; the place of a rank among them is looked up.
+    shares = F.lit([(i + 0.5) / SHARES for i in range(SHARES)])
+    states = states.withColumn("_values", F.when(others > 0, F.call_function("kll_sketch_get_quantile_double", "sketch", shares)))
+
+    def quantile(percent: int):
+        rank = F.floor((F.lit(percent * n_sessions) + 99) / 100)
+        # Values below zero come first, then the zeros, then the rest.
+        place = F.when(rank <= F.col("n_below"), rank).otherwise(rank - zeros)
+        found = F.try_element_at("_values", F.least(F.floor((place - 0.5) / others * SHARES) + 1, F.lit(SHARES)).cast("int"))
+        is_zero = (rank > F.col("n_below")) & (rank <= F.col("n_below") + zeros)
+        return F.when(is_zero | (others == 0), 0.0).otherwise(found).alias(f"p{percent}")
+
+    return states.select(
+        "agent",
+        "measure",
+        F.lit(n_sessions).cast("bigint").alias("n_sessions"),
+        zeros.alias("n_zero"),
+        (F.col("total") / n_sessions).alias("mean"),
+        end("least", F.least).alias("least"),
+        end("most", F.greatest).alias("most"),
+        *[quantile(p) for p in percents],
+    )
+
+
 def aligned_agent_measures(metrics: DataFrame, session_ids: DataFrame) -> DataFrame:
-    """Every agent in every session, zeros where it took no part: the full grid is what the
-    statistic is. Agents are dealt into a few buckets that sessions visit by equi-join, so that
-    neither list is collected. `metrics` is the sparse form; for large populations pass the
-    sessions that are looked at."""
+    """Every agent in each of the sessions `session_ids`, zeros where it took no part: the grid
+    itself, for sessions that are looked at one by one; over a population, `agent_distributions`
+    gives what the grid would without it. Agents and sessions are dealt into parts of bounded
+    size which meet pairwise by equi-join, so that neither list is in one task or collected."""
     agents = metrics.select("agent").distinct()
-    dealt = agents.withColumn("_b", F.pmod(F.hash("agent"), F.lit(_BUCKETS)))
-    visits = session_ids.select("session_id", F.explode(F.sequence(F.lit(0), F.lit(_BUCKETS - 1))).alias("_b"))
-    return visits.join(dealt, "_b").join(metrics, ["session_id", "agent"], "left").select(
+    a_parts, s_parts = (max(1, -(-df.count() // n)) for df, n in ((agents, _AGENTS_A_PART), (session_ids, _SESSIONS_A_PART)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = agents.select("agent", F.pmod(F.xxhash64("agent"), F.lit(a_parts)).cast("int").alias("_a"), every(s_parts).alias("_s"))
+    visits = session_ids.select("session_id", F.pmod(F.xxhash64("session_id"), F.lit(s_parts)).cast("int").alias("_s"), every(a_parts).alias("_a"))
+    return visits.join(dealt, ["_a", "_s"]).join(metrics, ["session_id", "agent"], "left").select(
         "session_id",
         "agent",
         *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in AGENT_MEASURES],

@@ -66,7 +66,7 @@ class Frames:
     @cached_property
     def conversations(self) -> DataFrame:
         """The elements of each session as JSON, rendered once for all requests."""
-        return materialize(conversation.elements_json(self.elements, ["session_id"]), "conversations")
+        return materialize(conversation.elements_json(self.elements, ["session_id"], largest=self.largest_conversation), "conversations")
 
     @cached_property
     def agent_transcripts(self) -> DataFrame:

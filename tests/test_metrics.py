@@ -172,3 +172,28 @@ def test_long_agent_lists_give_the_same_grid(spans, monkeypatch):
     assert len(plain) == 21
 
 
+
+
+def test_distributions_are_those_of_the_grid(spark):
+    """Merged states with added zeros against all (session, agent) pairs; values below zero too."""
+    from spanloom.operators import population
+
+    draw = random.Random(5)
+    part = [(f"s{i:03d}", a, *[float(draw.choice([0, -1, 0.5, draw.randrange(1, 50)])) for _ in range(14)]) for i in range(200) for a in "abc" if draw.random() < {"a": 1.0, "b": 0.4, "c": 0.02}[a]]
+    names = ["session_id", "agent", *population.AGENT_MEASURES]
+    metrics_rows = spark.createDataFrame(part, ", ".join(f"{n} {'string' if i < 2 else 'double'}" for i, n in enumerate(names)))
+    early, late = metrics_rows.filter("session_id < 's120'"), metrics_rows.filter("session_id >= 's120'")
+    states = population.merged_sketches(population.agent_sketches(early).unionByName(population.agent_sketches(late)))
+    got = {(r.agent, r.measure): r for r in population.agent_distributions(states, 200).collect()}
+    assert len(got) == 3 * 14
+    grid = population.aligned_agent_measures(metrics_rows, spark.createDataFrame([(f"s{i:03d}",) for i in range(200)], "session_id string"))
+    held = {}
+    for r in grid.collect():
+        for m in population.AGENT_MEASURES:
+            held.setdefault((r.agent, m), []).append(r[m])
+    for key, values in held.items():
+        values.sort()
+        r = got[key]
+        assert (r.n_sessions, r.n_zero, r.least, r.most) == (200, values.count(0), values[0], values[-1])
+        assert [r.p25, r.p50, r.p75, r.p90] == [values[-(-200 * p // 100) - 1] for p in (25, 50, 75, 90)]
+        assert abs(r["mean"] - sum(values) / 200) < 1e-9

@@ -79,3 +79,17 @@ def test_a_packed_group_is_one_row_at_any_size(spark):
     got = {r["g"]: r for r in packed(df, ["g"], ["t"], F.col("id"), "ids").collect()}
     assert [r["part"] for r in got.values()] == [0, 0]
     assert got[1]["ids"] == list(range(24_999, 0, -2))
+
+
+def test_lists_of_hot_groups_are_stitched_from_blocks(spark, small_groups):
+    """A group with a third of all rows, one of null key, small ones; ties and missing order values."""
+    rows = [("hot", i % 7 if i % 11 else None, f"x{i:03d}") for i in range(120)] + [(None, i, f"n{i:02d}") for i in range(15)]
+    rows += [(f"g{i % 40}", i, f"y{i}") for i in range(240)]
+    df = spark.createDataFrame(rows, "g string, at int, id string").repartition(5)
+    groups = OrderedGroups(df, ["g"], ["at", "id"])
+    assert groups.df.filter("g = 'hot'").select("_block").distinct().count() > 5
+    item = F.concat_ws("/", F.col("at").cast("string"), "id")
+    got = {r.g: r["items"] for r in packed(df, ["g"], ["at", "id"], item).collect()}
+    plain = {r.g: r["items"] for r in packed(df, ["g"], ["at", "id"], item, largest=1).collect()}
+    assert got == plain and len(got["hot"]) == 120 and len(got) == 42
+    assert got["hot"][-1].startswith("x")

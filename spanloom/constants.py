@@ -59,3 +59,11 @@ GRADE_LABELS = [
 ]
 
 REFERENCE_TOPICS = ["technology", "science", "business", "math"]
+
+# What a relevancy case shows where a session has no such text.
+NO_USER_INPUT = "[FALLBACK] No meaningful user input found in session data"
+NO_FINAL_RESPONSE = "[FALLBACK] No meaningful final response found in session data"
+
+# What is cut from the ends of a judge reply.
+FENCE_START = r"^```[a-zA-Z]*\n?"
+FENCE_END = r"```$"

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanloom.constants import ERROR_WORDS
+from spanloom.constants import ERROR_WORDS, FENCE_END, FENCE_START
 
 # A JSON string token: keys are consumed up to their colon, values captured.
 _STRING_TOKENS = r'"(?:[^"\\]|\\.)*+"\s*+:|"((?:[^"\\]|\\.)*+)"'
@@ -254,8 +254,8 @@ def find_key(json_text: Column, key: str, order: str = "document") -> Column:
 
 def strip_fences(text: Column) -> Column:
     """A judge reply without the code fence around it."""
-    opened = F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\n?", "")
-    return F.regexp_replace(opened, r"```$", "")
+    opened = F.regexp_replace(F.trim(text), FENCE_START, "")
+    return F.regexp_replace(opened, FENCE_END, "")
 
 
 def reply_json(text: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.constants import ENTITY_TYPES, REFERENCE_TOPICS
+from spanloom.constants import ENTITY_TYPES, NO_FINAL_RESPONSE, NO_USER_INPUT, REFERENCE_TOPICS
 from spanloom.functions.filters import is_system_content
 from spanloom.functions.values import lenient_json, strip, truthy
 from spanloom.operators.conversation import (
@@ -183,14 +183,12 @@ def session_relevancy_cases(spans: DataFrame) -> DataFrame:
     every = spans.select("session_id").distinct().join(endpoints(spans), "session_id", "left").join(
         spare, "session_id", "left"
     )
-    text = lambda a, b, what: F.coalesce(
-        truthy(F.col(a)), truthy(F.col(b)), F.lit(f"[FALLBACK] No meaningful {what} found in session data")
-    )
+    text = lambda a, b, otherwise: F.coalesce(truthy(F.col(a)), truthy(F.col(b)), F.lit(otherwise))
     return _case(
         every,
         "AnswerRelevancyMetric",
-        input=text("input_query", "_q", "user input"),
-        actual_output=text("final_response", "_a", "final response"),
+        input=text("input_query", "_q", NO_USER_INPUT),
+        actual_output=text("final_response", "_a", NO_FINAL_RESPONSE),
     )
 
 

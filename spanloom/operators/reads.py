@@ -109,29 +109,21 @@ def transport_metrics(raw: DataFrame, execution: str, names: list[str] | None =
 
 def match_requested(sessions: DataFrame, ids: DataFrame) -> DataFrame:
     """Give each session id the first requested id (`ids`: request_no, session_id) that equals
-    it or is its suffix, else itself. Suffixes become an equi-join: a session meets only the
-    requested lengths, so no pair of all sessions and all ids is ever formed."""
+    it or is its suffix, else itself.
+
+    A requested id of 2 ** k to 2 ** (k + 1) - 1 characters is joined by its last 2 ** k, and a session id
+    asks once for each k it is long enough for; what joins is then compared whole. So a session
+    meets the requests that share at least half of their own length with it, in a handful
+    of rows, whatever lengths there are."""
+    digits = lambda c: F.length(F.bin(F.length(c))) - 1
+    tail = lambda c, k: F.right(F.col(c), F.pow(F.lit(2), k).cast("int"))
     wanted = ids.select("request_no", F.trim("session_id").alias("requested")).filter("requested <> ''")
-    lengths = wanted.select(F.length("requested").alias("n")).distinct()
-    # At most one row per distinct id length; checked before it travels to every task.
-    known = [r["n"] for r in lengths.limit(257).collect()]
+    wanted = wanted.withColumn("k", digits(F.col("requested"))).withColumn("tail", tail("requested", F.col("k")))
     found = sessions.select("session_id").distinct()
-    if len(known) > 256:
-        suffix = F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("session_id")), lambda n: F.right(F.col("session_id"), n)
-            )
-        )
-        keyed = found.select("session_id", suffix.alias("_suffix"))
-    else:
-        cuts = F.array(
-            *[F.when(F.length("session_id") >= n, F.right(F.col("session_id"), F.lit(n))) for n in sorted(known)]
-        )
-        keyed = found.select("session_id", F.explode_outer(F.array_distinct(cuts)).alias("_suffix"))
-    hit = keyed.join(wanted, F.col("_suffix") == F.col("requested"), "left")
-    return hit.groupBy("session_id").agg(
-        F.coalesce(F.min_by("requested", "request_no"), F.col("session_id")).alias("matched_id")
-    )
+    asking = found.filter("session_id <> ''").select("session_id", F.explode(F.sequence(F.lit(0), digits(F.col("session_id")))).alias("k"))
+    hits = asking.withColumn("tail", tail("session_id", F.col("k"))).join(wanted, ["k", "tail"]).filter(F.endswith("session_id", "requested"))
+    first = hits.groupBy("session_id").agg(F.min_by("requested", "request_no").alias("first_id"))
+    return found.join(first, "session_id", "left").select("session_id", F.coalesce("first_id", "session_id").alias("matched_id"))
 
 
 def requested_but_missing(ids: DataFrame, matched: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ def unique_spans(spans: DataFrame) -> DataFrame:
     expect unique ids, so this runs once, when spans are stored."""
     keys = ["session_id", "span_id"]
     repeated = spans.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys)
+    repeated = materialize(repeated, "repeated-ids")
     if repeated.isEmpty():
         return spans
     columns = [c for c in spans.columns if c not in keys]

@@ -60,3 +60,19 @@ def test_rows_are_numbered_over_many_ranges(spark):
     got = ordered.numbered(df, [F.col("id")], "n")
     assert got.filter("n <> id").isEmpty() and got.count() == 5000
     assert ordered.numbered(df.limit(0), [F.col("id")], "n").count() == 0
+
+
+def test_requested_ids_of_any_length(spark):
+    """Suffixes of all lengths at once, ids within ids, the first of several, none at all."""
+    import random
+
+    from spanloom.operators import reads
+
+    draw = random.Random(3)
+    text = lambda n: "".join(draw.choice("ab") for _ in range(n))
+    sessions = sorted({text(draw.randrange(1, 330)) for _ in range(60)} | {"", "b", "ab" * 160})
+    asked = [draw.choice(sessions)[-draw.randrange(1, 330) :] for _ in range(280)] + ["zz", " ", "b ", *[text(n) for n in range(1, 12)]]
+    ids = spark.createDataFrame(list(enumerate(asked)), "request_no int, session_id string").repartition(3)
+    got = {r.session_id: r.matched_id for r in reads.match_requested(spark.createDataFrame([(s,) for s in sessions], "session_id string"), ids).collect()}
+    want = {s: next((a.strip() for a in asked if a.strip() and s.endswith(a.strip())), s) for s in sessions}
+    assert got == want

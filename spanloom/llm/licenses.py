@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -77,7 +78,7 @@ class Scanner:
     def __init__(self, phrases: dict[str, str], notices: tuple[Notice, ...]):
         self.phrases, self.notices = phrases, notices
         self.patterns = [
-            regex.compile(rf"(?b)(?<= )(?:{regex.escape(n.text)}){{e<={n.edits}}}(?= )") for n in notices
+            regex.compile(rf"(?e)(?<= )(?:{regex.escape(n.text)}){{e<={n.edits}}}(?= )") for n in notices
         ]
         self.tree = ahocorasick.Automaton()
         found: dict[str, list] = {}
@@ -145,7 +146,8 @@ def scan_licenses(
                 for t in range(hi - lo):
                     body = fold(data[offsets[t] : offsets[t + 1]].tobytes())
                     exact, fuzzy = scanner.scan(body)
-                    word = lambda at, body=body: body.count(" ", 0, at) - 1
+                    blanks = np.flatnonzero(np.frombuffer(body.encode("latin-1"), np.uint8) == 32) if exact or fuzzy else None
+                    word = lambda at, blanks=blanks: int(np.searchsorted(blanks, at)) - 1
                     counts.append(max(0, body.count(" ") - 1))
                     places.append([{"label": phrases[p], "word": word(at)} for at, p in exact])
                     spans.append(

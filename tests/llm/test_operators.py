@@ -342,6 +342,22 @@ def test_license_places(spark, docs, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_notices_side_by_side_are_all_reported(spark):
+    """Whichever of them are exact, and beside hundreds of others."""
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES)
+    spans = lambda text: [(n, a, e) for n, a, _, e in scanner.scan(licenses.fold(text.encode()))[1] if n == "apache"]
+    assert [e for _, _, e in spans("apach license apache license apache licens")] == [1, 0, 1]
+    assert [e for _, _, e in spans("apache license apach license")] == [0, 1]
+    forms = ["apache license", "apach license", "apache licens", "apache license"]
+    draw = random.Random(9)
+    told = [draw.choice(forms) for _ in range(300)]
+    assert len(spans(" and ".join(told))) == 300
+    frame = spark.createDataFrame([(1, " and ".join(told))], "doc_id long, text string")
+    notices = [n for n in licenses.scan_licenses(frame).first().notices if n.label == "apache"]
+    assert [n.first_word for n in notices] == list(range(0, 900, 3)) and [n.edits for n in notices] == [int(t != forms[0]) for t in told]
+    assert all(n.last_word == n.first_word + 1 for n in notices)
+
+
 def test_seeds_find_what_a_full_search_finds():
     draw = random.Random(4)
     scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES)

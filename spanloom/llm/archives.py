@@ -7,8 +7,9 @@ run that counts are kept, so a file without lines is never read.
 
 Index: the lines are sorted by key over all files and cut into blocks of BLOCK_LINES, each block
 compressed; the blocks lie one after another in index files, and the directory keeps a single row
-per block: first key, file, offset, length. A search reads the directory by binary search, then
-the few blocks, then the records, each by a range read.
+per block: first and last key, file, offset, length. A search finds the blocks of a key by binary
+search in the directory, finds its lines by binary search in each block, and fetches the records
+by range reads. Keys are strings in the order of their code points, in Spark and Python alike.
 
 Of records with equal payloads of at least `least_bytes` bytes, that of the smallest page_id is a
 response; the others are revisits that refer to it and store no payload.
@@ -30,10 +31,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.operators.ordered import numbered
 from spanloom.runtime import materialize, scratch_root
 
 BLOCK_LINES = 1_000
 RECORDS_PER_READ = 256
+# Rows of the directory that are searched at once: each stands for a block of lines.
+DIRECTORY_ROWS = 200_000
 
 _LINES = "key string, page_id long, type string, digest string, file string, offset long, length long"
 _FIELDS = ("key", "page_id", "type", "digest", "file", "offset", "length")
@@ -231,25 +235,70 @@ def read_archive(directory: DataFrame, folder: str, payloads: bool = True) -> Da
     return directory.repartition("file", "offset").mapInArrow(read, _RECORDS)
 
 
-def look_up(directory: DataFrame, folder: str, keys: list[str], payloads: bool = True) -> DataFrame:
-    """The records whose capture key is one of `keys`, a stated list: a binary search finds the
-    blocks that can hold one, the blocks are read, searched and the records fetched."""
-    shared: Broadcast = directory.sparkSession.sparkContext.broadcast(sorted(set(keys)))
+def _find_blocks(keys: DataFrame, part: pa.Table) -> DataFrame:
+    """(file, offset, length, key): the blocks of a part of the directory that can hold each key,
+    by binary search among their sorted first and last keys."""
+    blocks = {c: part.column(c).to_pylist() for c in ("first_key", "last_key", "file", "offset", "length")}
+    shared: Broadcast = keys.sparkSession.sparkContext.broadcast(blocks)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path, asked = *_place(folder), shared.value
+        d = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
-                within = asked[bisect.bisect_left(asked, row["first_key"]) : bisect.bisect_right(asked, row["last_key"])]
-                if not within:
-                    continue
-                lines = _block_lines(store, path, row["file"], row["offset"], row["length"])
-                have = [x[0] for x in lines]
-                found = [x for key in within for x in lines[bisect.bisect_left(have, key) : bisect.bisect_right(have, key)]]
-                if found:
-                    yield from _read_records(store, path, found, payloads)
-
-    return directory.mapInArrow(search, _RECORDS)
+            found = []
+            for key in batch.column("key").to_pylist():
+                # A key that fills several blocks lies in all that end with it or begin with it.
+                lo, hi = bisect.bisect_left(d["last_key"], key), bisect.bisect_right(d["first_key"], key)
+                found += [(d["file"][n], d["offset"][n], d["length"][n], key) for n in range(lo, hi)]
+            columns = list(zip(*found, strict=True)) if found else [()] * 4
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "offset", "length", "key"])
+
+    return keys.mapInArrow(search, "file string, offset long, length long, key string")
+
+
+def find_captures(directory: DataFrame, folder: str, keys: DataFrame, payloads: bool = True, directory_rows: int = DIRECTORY_ROWS) -> DataFrame:
+    """The records whose capture key is one of `keys` (key), each once. The directory is searched in parts
+    of at most `directory_rows` rows, each sent to all tasks; the keys then go to the blocks that
+    can hold them, a block is read once and searched, and what is found is fetched by range reads.
+    Null keys find nothing."""
+    spark = directory.sparkSession
+    asked = keys.select("key").where(F.col("key").isNotNull()).distinct()
+    parts = max(1, -(-directory.count() // directory_rows))
+    if parts > 1:
+        asked, directory = materialize(asked, "asked"), materialize(numbered(directory, [F.col(c) for c in ("first_key", "last_key", "file", "offset")], "n"), "directory-order")
+    hits = None
+    for p in range(parts):
+        part = directory if parts == 1 else directory.where((F.col("n") >= p * directory_rows) & (F.col("n") < (p + 1) * directory_rows))
+        held = part.orderBy("first_key", "last_key", "file", "offset").toArrow()
+        if held.num_rows:
+            some = asked if parts == 1 else asked.where((F.col("key") >= held.column("first_key")[0].as_py()) & (F.col("key") <= held.column("last_key")[-1].as_py()))
+            own = _find_blocks(some, held)
+            hits = own if hits is None else hits.unionByName(own)
+    if hits is None:
+        return spark.createDataFrame([], _RECORDS)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (store, path), at, lines, have, found = _place(folder), None, [], [], []
+        for batch in batches:
+            for file, offset, length, key in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "key")), strict=True):
+                if (file, offset) != at:
+                    if found:
+                        yield from _read_records(store, path, found, payloads)
+                    at, found = (file, offset), []
+                    lines = _block_lines(store, path, file, offset, length)
+                    have = [x[0] for x in lines]
+                found += lines[bisect.bisect_left(have, key) : bisect.bisect_right(have, key)]
+        if found:
+            yield from _read_records(store, path, found, payloads)
+
+    dealt = hits.repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+    return dealt.mapInArrow(read, _RECORDS)
+
+
+def look_up(directory: DataFrame, folder: str, keys: list[str], payloads: bool = True) -> DataFrame:
+    """The records whose capture key is one of `keys`, a stated list."""
+    asked = directory.sparkSession.createDataFrame([(k,) for k in keys], "key string")
+    return find_captures(directory, folder, asked, payloads)
 
 
 def archive_folder(spark: SparkSession) -> str:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.archives import archive_folder, read_archive, write_archive, write_index
+from spanloom.llm.archives import archive_folder, capture_key, find_captures, write_archive, write_index
 from spanloom.llm.classifier import score_quality, train
 from spanloom.llm.decontaminate import find_benchmark_words, hit_words
 from spanloom.llm.hosts import UrlRule, filter_urls
@@ -115,9 +115,10 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
-    place = archive_folder(spark)
-    lines = write_archive(table(spark, folder, "pages"), place)
-    records = read_archive(write_index(lines, place), place, payloads=False)
+    """Every page's record, by a search for the key of its url."""
+    place, pages = archive_folder(spark), table(spark, folder, "pages")
+    lines = write_archive(pages, place)
+    records = find_captures(write_index(lines, place), place, pages.select(capture_key(F.col("url")).alias("key")), payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

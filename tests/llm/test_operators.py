@@ -304,6 +304,24 @@ def test_archive_round_trip(spark):
     assert sorted(str(r.page_id) for r in found.collect()) == ["1", "5", "5", "None"]
 
 
+def test_searches_find_every_capture_of_a_key_once(spark):
+    """One key over many blocks, keys between blocks, missing keys, a directory in several parts."""
+    urls = ["http://hot.example.com/"] * 90 + [f"http://h{i % 13}.example.org/{i % 29}" for i in range(160)] + [None, "", "é漢://ﬁ.x/𝄞", "é漢://\ue000.x/"]
+    pages = spark.createDataFrame([(i, u, f"body {i % 50}") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(4)
+    place = archives.archive_folder(spark)
+    directory = archives.write_index(archives.write_archive(pages, place), place, block_lines=7)
+    keyed = pages.select("page_id", archives.capture_key(F.col("url")).alias("key")).collect()
+    everything = spark.createDataFrame([(r.key,) for r in keyed] + [("missing",), (None,)], "key string")
+    for size in (200_000, 5):
+        got = archives.find_captures(directory, place, everything, payloads=False, directory_rows=size)
+        assert sorted(r.page_id for r in got.collect()) == list(range(len(urls)))
+        asked = spark.createDataFrame([("com,example,hot)/",), ("org,example,h3)/3",), ("zzz",), ("a",)], "key string")
+        some = archives.find_captures(directory, place, asked, directory_rows=size)
+        assert sorted(r.page_id for r in some.collect()) == sorted(r.page_id for r in keyed if r.key in ("com,example,hot)/", "org,example,h3)/3"))
+    whole = archives.read_archive(directory, place)
+    assert whole.count() == len(urls)
+
+
 def test_small_payloads_are_all_responses_and_empty_archive(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     place = archives.archive_folder(spark)

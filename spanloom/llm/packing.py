@@ -146,7 +146,8 @@ class _Packer:
     def __init__(self, limits: Limits, cut: bool):
         self.limits, self.cut = limits, cut
         self.most = np.array([limits.tokens, limits.segments, limits.loss], np.float64)
-        self.vectors = np.zeros((0, 3), np.int64)
+        # One row for each dimension; whole numbers far below 2 ** 53.
+        self.vectors = np.zeros((3, 0))
         self.parts: list[tuple[object, int, int]] = []
         self.size = 0
 
@@ -164,38 +165,38 @@ class _Packer:
         return min(end, int(np.searchsorted(example.bears, example.bears[start] + loss, "right")) - 1)
 
     def add(self, example, start: int, end: int) -> None:
-        if self.size == len(self.vectors):
-            more = np.zeros((max(64, self.size), 3), np.int64)
-            self.vectors = np.concatenate([self.vectors, more])
-        self.vectors[self.size] = end - start, 1, self._loss(example, start, end)
+        if self.size == self.vectors.shape[1]:
+            self.vectors = np.hstack([self.vectors, np.zeros((3, max(64, self.size)))])
+        self.vectors[:, self.size] = end - start, 1, self._loss(example, start, end)
         self.parts[self.size :] = [(example, start, end)]
         self.size += 1
 
     def _take(self, at: int) -> tuple[object, int, int]:
         part, last = self.parts[at], self.size - 1
-        self.parts[at], self.vectors[at] = self.parts[last], self.vectors[last]
+        self.parts[at] = self.parts[last]
+        self.vectors[:, at] = self.vectors[:, last]
         self.parts.pop()
         self.size = last
         return part
 
     def _best(self, free: np.ndarray, weight: np.ndarray, fits: np.ndarray | None) -> int:
-        product = self.vectors[: self.size] @ (weight * free)
+        product = (weight * free) @ self.vectors[:, : self.size]
         if fits is not None:
             product = np.where(fits, product, -1.0)
         return int(np.argmax(product))
 
     def sequence(self) -> list[tuple[object, int, int]]:
         """The parts of the next sequence, in order; they leave the pool."""
-        free = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], np.int64)
-        scarce = self.vectors[: self.size].sum(axis=0) / self.most
+        free = self.most.copy()
+        scarce = self.vectors[:, : self.size].sum(axis=1) / self.most
         weight = scarce / max(scarce.max(), 1e-9) / self.most**2
         chosen = []
         while self.size:
-            fits = (self.vectors[: self.size] <= free).all(axis=1)
+            fits = (self.vectors[:, : self.size] <= free[:, None]).all(axis=0)
             if not fits.any():
                 break
             at = self._best(free, weight, fits)
-            free = free - self.vectors[at]
+            free = free - self.vectors[:, at]
             chosen.append(self._take(at))
         if not self.cut:
             return chosen

@@ -283,7 +283,7 @@ def topic_messages(spans: DataFrame) -> DataFrame:
 
 
 def topic_cases(spans: DataFrame, mode: str = "precision", topics: list[str] | None = None, max_items: int | None = None) -> DataFrame:
-    """Multi-turn samples with reference topics, in bounded parts."""
+    """Multi-turn samples with reference topics, one row for each session unless `max_items` asks for parts."""
     if mode not in TOPIC_MODES:
         raise ValueError(f"mode must be one of {TOPIC_MODES}, got {mode!r}")
     item = F.struct(F.col("message_type").alias("type"), "content")

@@ -65,7 +65,7 @@ def render(template: str, fields: list[str], columns: set[str]) -> Column:
 
 def requests(entities: DataFrame, metric: str, level: str) -> DataFrame:
     """One request per row of `entities`, which has session_id, optionally agent and span_id,
-    optionally part (long conversations are asked about part by part), and the fields."""
+    optionally part (0, unless the caller packed texts with a limit), and the fields."""
     criterion = CRITERIA[metric]
     if level not in criterion.levels:
         raise ValueError(f"{metric} is not computed at {level} level")

@@ -167,13 +167,12 @@ def test_long_agent_lists_give_the_same_grid(spans, monkeypatch):
     stats, ids = population.agent_metrics(agents.agent_stats(df)), sessions.sessions(df)
     shape = lambda g: sorted((r["session_id"], r["agent"], r["completion"]) for r in g.collect())
     plain = shape(population.aligned_agent_measures(stats, ids))
-    monkeypatch.setattr(population, "_BUCKETS", 1)
+    monkeypatch.setattr(population, "_AGENTS_A_PART", 2)
+    monkeypatch.setattr(population, "_SESSIONS_A_PART", 1)
     assert shape(population.aligned_agent_measures(stats, ids)) == plain
     assert len(plain) == 21
 
 
-
-
 def test_distributions_are_those_of_the_grid(spark):
     """Merged states with added zeros against all (session, agent) pairs; values below zero too."""
     from spanloom.operators import population

@@ -110,8 +110,10 @@ def write_trace_table(raw: DataFrame, path: str, mode: str = "append") -> None:
     (
         promoted(raw)
         .withColumn("day", F.to_date("Timestamp"))
-        # Few files per day, and a busy day over many.
-        .repartitionByRange("day", "Timestamp", "SpanId")
+        # Few files per day, and a busy day over many, by sizes met in the shuffle: bounds of ranges
+        # would be sampled, for which all spans are made a second time. Files are in time order.
+        .hint("rebalance", "day")
+        .sortWithinPartitions("day", "Timestamp", "SpanId")
         .write.mode(mode)
         .partitionBy("day")
         .parquet(path)

@@ -76,3 +76,19 @@ def test_requested_ids_of_any_length(spark):
     got = {r.session_id: r.matched_id for r in reads.match_requested(spark.createDataFrame([(s,) for s in sessions], "session_id string"), ids).collect()}
     want = {s: next((a.strip() for a in asked if a.strip() and s.endswith(a.strip())), s) for s in sessions}
     assert got == want
+
+
+def test_spans_are_made_once_when_stored(spark, raw_spans, tmp_path):
+    """No sample is taken of what is written, which would make every span a second time."""
+    made = spark.sparkContext.accumulator(0)
+    rows = raw_spans([tool(id=f"n{i}", at=i * 3600) for i in range(60)])
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    traces.write_trace_table(rows.mapInArrow(counted, rows.schema), str(tmp_path / "table"))
+    stored = traces.read_traces(spark, str(tmp_path / "table"))
+    assert stored.count() == made.value == 60
+    assert stored.select("day").distinct().count() == 3

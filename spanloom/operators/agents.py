@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.values import attr, per_call, truthy
 from spanloom.operators.sessions import session_measures, tokens
-from spanloom.operators.tree import Fold, fold_ancestors, path_item, walked
+from spanloom.operators.tree import Fold, every_span_folded, fold_ancestors, path_item
 
 
 def span_agent() -> Column:
@@ -93,12 +93,12 @@ def ownership(spans: DataFrame, ordered: bool = False) -> DataFrame:
     leads = F.when(F.col("entity_type").isin("agent", "task") & F.col("agent").isNotNull(), F.array("agent"))
     fold = Fold("agents_above", F.coalesce(leads, empty), empty, F.array_union)
     keys = ["session_id", "span_id"]
+    joined = every_span_folded(nodes, [fold], labels=ordered)
     if ordered:
-        reached = walked(nodes, [fold]).select(*keys, "agents_above", "preorder")
-        place = F.struct(F.col("preorder").isNull().alias("off"), "preorder", path_item().alias("item"))
-        joined = nodes.join(reached, keys, "left").withColumn("preorder", place)
-    else:
-        joined = nodes.join(fold_ancestors(nodes, [fold]).select(*keys, "agents_above"), keys, "left")
+        rank = F.when(F.col("enter").isNotNull(), F.struct(F.col("enter").alias("rank")))
+        joined = joined.withColumn("preorder", rank).withColumn(
+            "preorder", F.struct(F.col("preorder").isNull().alias("off"), "preorder", path_item().alias("item"))
+        )
     owners = F.array_compact(F.array_union(F.coalesce("agents_above", empty), F.array("agent")))
     extra = ["preorder"] if ordered else []
     # Only agents that some span is attributed to have statistics, and so a view; the names
@@ -140,7 +140,8 @@ def agent_tool_tokens(spans: DataFrame) -> DataFrame:
 
 def with_tool_cost(spans: DataFrame) -> DataFrame:
     """Tool spans attributed to an agent with the tokens of the model calls below them."""
-    nodes = with_agent(spans)
+    n = tokens("total_tokens")
+    nodes = with_agent(spans).select(*_NARROW, F.when(n >= 0, n).otherwise(0).alias("n"))
     mine = F.when(
         (F.col("entity_type") == "tool") & F.col("agent").isNotNull(),
         F.create_map("agent", F.lit(1).cast("bigint")),
@@ -149,8 +150,5 @@ def with_tool_cost(spans: DataFrame) -> DataFrame:
     add = lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))
     fold = Fold("callers", F.coalesce(mine, empty), empty, lambda n, f: F.map_zip_with(n, f, add))
     calls = fold_ancestors(nodes, [fold]).filter(F.col("entity_type") == "llm")
-    n = tokens("total_tokens")
-    return calls.select(
-        "session_id", F.explode("callers").alias("agent", "times"), F.when(n >= 0, n).otherwise(0).alias("n")
-    ).select("session_id", "agent", (F.col("n") * F.col("times")).alias("tokens"))
+    return calls.select("session_id", F.explode("callers").alias("agent", "times"), "n").select("session_id", "agent", (F.col("n") * F.col("times")).alias("tokens"))
 

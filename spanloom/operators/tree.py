@@ -5,6 +5,9 @@ every round, so a chain of depth d takes log2(d) joins on (session, span) and no
 (ancestor, descendant) is ever formed. A round that reaches no new root ends the work:
 depths below a root have no gaps, so whatever is left hangs in a parent loop and stays
 unreachable.
+
+Sessions of few spans take one shuffle instead: the spans of a session are listed by its id and the
+same doubling runs within the list. Both ways use the same folds and give the same rows.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.values import truthy
 from spanloom.operators.ordered import OrderedGroups
 from spanloom.operators.sessions import order_struct, tokens
-from spanloom.runtime import materialize
+from spanloom.runtime import materialize, max_group_rows
 
 
 @dataclass
@@ -114,9 +117,126 @@ def _first_hops(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
     return state.withColumn("root_id", F.when(ended, F.coalesce("at", "span_id"))).drop("_next")
 
 
+# Sessions of up to this many spans are folded as lists.
+_TOGETHER = 500
+
+
+def _by_size(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the sessions to be folded as lists, and the rows of larger ones if there are any.
+    One map-side-combined count tells."""
+    limit = min(_TOGETHER, max_group_rows(nodes.sparkSession))
+    large = nodes.groupBy("session_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select("session_id")
+    large = materialize(large, "large-sessions")
+    if large.isEmpty():
+        return nodes, None
+    known = nodes.filter("span_id is not null")
+    return nodes.join(large, "session_id", "left_anti"), known.join(large, "session_id", "left_semi")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _listed_folds(nodes: DataFrame, folds: list[Fold], labels: bool = False, every_span: bool = False) -> DataFrame:
+    """`fold_ancestors`, and with `labels` also enter and leave as `interval_labels` gives them, of
+    sessions that are small enough to be lists. With `every_span` spans that are not reached stay,
+    without any of these."""
+    carried = [c for c in nodes.columns if c != "session_id"]
+    every = [*folds, path_fold()] if labels else folds
+    own = [F.col(c) for c in carried]
+    starts = [f.start.alias(f"_start_{f.name}") for f in every]
+    # Ids are compared by equality, so rows without one are in no forest.
+    known = nodes.filter("session_id is not null and span_id is not null")
+    listed = known.groupBy("session_id").agg(F.collect_list(F.struct(*own, truthy(F.col("parent_span_id")).alias("_next"), *starts)).alias("_nodes"))
+    rows = F.col("_nodes")
+
+    def begun(u: Column, i: Column) -> Column:
+        root = u == 0
+        first = [F.when(root, f.empty).otherwise(F.get(rows, u - 1)[f"_start_{f.name}"]).alias(f.name) for f in every]
+        return F.struct(u.alias("at"), F.when(root, i + 1).alias("top"), F.when(root, 0).otherwise(1).cast("bigint").alias("depth"), *first)
+
+    def doubled(state: Column) -> Column:
+        def step(s: Column) -> Column:
+            far = F.get(state, s["at"] - 1)
+            more = [f.merge(s[f.name], far[f.name]).alias(f.name) for f in every]
+            return F.when(s["at"] == 0, s).otherwise(
+                F.struct(far["at"].alias("at"), far["top"].alias("top"), (s["depth"] + far["depth"]).alias("depth"), *more)
+            )
+
+        return F.transform(state, step)
+
+    def found(state: Column) -> Column:
+        def row(n: Column, s: Column) -> Column:
+            kept = [n[c].alias(c) for c in carried]
+            met = s["top"].isNotNull()
+            extra = [F.concat(s["above"], n["_start_above"]).alias("_path"), s["top"].alias("_top")] if labels else []
+            return F.struct(*kept, F.get(rows, s["top"] - 1)["span_id"].alias("root_id"), F.when(met, s["depth"]).alias("depth"), *[F.when(met, s[f.name]).alias(f.name) for f in folds], *extra)
+
+        whole = F.zip_with(rows, state, row)
+        return whole if every_span else F.filter(whole, lambda x: x["root_id"].isNotNull())
+
+    ids = F.transform(rows, lambda n: n["span_id"])
+    ups = _let(ids, lambda known_ids: F.transform(rows, lambda n: F.coalesce(F.array_position(known_ids, n["_next"]), F.lit(0)).cast("int")))
+    rounds = F.sequence(F.lit(1), F.length(F.bin(F.size(rows))))
+    folded = F.aggregate(rounds, F.transform(ups, begun), lambda state, _: doubled(state))
+    reached = _let(folded, found)
+    names = [*carried, "root_id", "depth", *[f.name for f in folds]]
+    if labels:
+        reached = _let(reached, lambda x: _with_labels(x, rows, names, every_span))
+        names += ["enter", "leave"]
+    out = listed.select("session_id", F.inline(reached))
+    return out.select("session_id", "span_id", *[c for c in names if c != "span_id"])
+
+
+def _with_labels(spans: Column, rows: Column, names: list[str], every_span: bool) -> Column:
+    """The reached spans of one list in the order of the depth-first walk, with enter and leave,
+    and after them the others where `every_span` says so."""
+    reached = F.filter(spans, lambda x: x["root_id"].isNotNull()) if every_span else spans
+    trace = lambda x: F.coalesce(x["trace_id"], F.lit("unknown"))
+    roots = F.transform(F.filter(reached, lambda x: x["depth"] == 0), lambda x: F.struct(trace(x).alias("trace"), F.get(x["_path"], F.lit(0)).alias("item")))
+
+    def placed(tops: Column) -> Column:
+        def key(x: Column) -> Column:
+            of = trace(F.get(rows, x["_top"] - 1))
+            start = F.array_min(F.transform(F.filter(tops, lambda r: r["trace"] == of), lambda r: r["item"]))
+            return F.struct(start.alias("start"), x["_path"].alias("path"), x["depth"].alias("depth"), F.struct(*[x[c].alias(c) for c in names]).alias("row"))
+
+        return F.transform(reached, key)
+
+    def first_start(a: Column, b: Column) -> Column:
+        ahead = lambda x, y: F.when(x < y, -1).when(x > y, 1)
+        return F.coalesce(ahead(a["start"], b["start"]), ahead(a["path"], b["path"]), F.lit(0))
+
+    def numbered(walk: Column) -> Column:
+        depths = F.transform(walk, lambda x: x["depth"])
+
+        def label(x: Column, i: Column, d: Column) -> Column:
+            after = F.transform(F.slice(d, i + 2, F.size(d)), lambda other: other <= x["depth"])
+            below = F.array_position(after, F.lit(True))
+            leave = F.when(below == 0, F.size(d) - 1).otherwise(i + below - 1)
+            return F.struct(*[x["row"][c].alias(c) for c in names], i.cast("bigint").alias("enter"), leave.cast("bigint").alias("leave"))
+
+        return _let(depths, lambda d: F.transform(walk, lambda x, i: label(x, i, d)))
+
+    walk = _let(_let(roots, lambda tops: F.array_sort(placed(tops), first_start)), numbered)
+    if not every_span:
+        return walk
+    none = F.lit(None).cast("bigint")
+    off = F.filter(spans, lambda x: x["root_id"].isNull())
+    return F.concat(walk, F.transform(off, lambda x: F.struct(*[x[c].alias(c) for c in names], none.alias("enter"), none.alias("leave"))))
+
+
 def fold_ancestors(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
     """`nodes` (session_id, span_id, parent_span_id, ...) with root_id, depth and one column
     per fold. Spans in or under a parent loop are left out."""
+    small, large = _by_size(nodes)
+    together = _listed_folds(small, folds)
+    return together if large is None else together.unionByName(_joined_folds(large, folds))
+
+
+def _joined_folds(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
+    """`fold_ancestors` of sessions of any size, by joins."""
     columns = ["session_id", "span_id", "at", "root_id", "depth", *[f.name for f in folds]]
     state, done, total = _stored_step(_first_hops(nodes, folds).select(*columns))
     still_open = total - done
@@ -192,9 +312,33 @@ def with_paths(spans: DataFrame, folds: list[Fold] | None = None) -> DataFrame:
 def walked(spans: DataFrame, folds: list[Fold] | None = None) -> DataFrame:
     """Reachable spans with `preorder`, whose order is a depth-first walk: traces by their
     first root, then roots and children by time. One way at every depth."""
-    reached = fold_ancestors(spans, folds or [])
-    ranks = interval_labels(reached).select("session_id", "span_id", F.struct(F.col("enter").alias("rank")).alias("preorder"))
-    return reached.join(ranks, ["session_id", "span_id"])
+    reached = _labelled(spans, folds or [])
+    return reached.withColumn("preorder", F.struct(F.col("enter").alias("rank"))).drop("enter", "leave")
+
+
+def _labelled(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
+    """`fold_ancestors` with enter and leave."""
+    small, large = _by_size(nodes)
+    together = _listed_folds(small, folds, labels=True)
+    return together if large is None else together.unionByName(_joined_labels(large, folds))
+
+
+def _joined_labels(nodes: DataFrame, folds: list[Fold]) -> DataFrame:
+    reached = _joined_folds(nodes, folds)
+    return reached.join(interval_labels(reached), ["session_id", "span_id"])
+
+
+def every_span_folded(nodes: DataFrame, folds: list[Fold], labels: bool = False) -> DataFrame:
+    """All rows of `nodes` with what `fold_ancestors` adds, and with `labels` enter and leave; null
+    for spans that are not reached."""
+    keys = ["session_id", "span_id"]
+    small, large = _by_size(nodes)
+    whole = _listed_folds(small, folds, labels, every_span=True)
+    if large is not None:
+        reached = _joined_labels(large, folds) if labels else _joined_folds(large, folds)
+        added = [c for c in reached.columns if c not in nodes.columns]
+        whole = whole.unionByName(large.join(reached.select(*keys, *added), keys, "left"))
+    return whole.unionByName(nodes.filter("session_id is null or span_id is null"), allowMissingColumns=True)
 
 
 def subtree_sizes(reached: DataFrame) -> DataFrame:
@@ -236,14 +380,13 @@ def interval_labels(reached: DataFrame) -> DataFrame:
     step = F.col("before") + F.when(F.col("up").isNull(), 0).otherwise(1)
     nodes = materialize(placed.select("session_id", "span_id", F.col("up").alias("parent_span_id"), "size", step.alias("step")), "walk")
     above = Fold("above", F.col("step"), F.lit(0).cast("bigint"), lambda near, far: near + far)
-    labelled = fold_ancestors(nodes, [above]).withColumn("enter", F.col("above") + F.col("step"))
+    labelled = _joined_folds(nodes, [above]).withColumn("enter", F.col("above") + F.col("step"))
     return labelled.select("session_id", "span_id", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"))
 
 
 def labelled_tree(spans: DataFrame) -> DataFrame:
     """Reachable spans with root_id, depth, enter and leave."""
-    reached = execution_tree(spans)
-    return reached.join(interval_labels(reached), ["session_id", "span_id"])
+    return _labelled(spans.select(*_NODE), [])
 
 
 # Intervals are cut into aligned ranges of powers of this many numbers.

@@ -154,3 +154,41 @@ def test_agent_spans_are_its_own_and_those_below(spans):
         ("plan_agent", "a"), ("plan_agent", "t"), ("plan_agent", "u"), ("plan_agent", "d"), ("plan_agent", "dt"),
         ("lone_agent", "u"), ("deep_agent", "d"), ("deep_agent", "dt"),
     }
+
+
+def _joins(df):
+    return df._jdf.queryExecution().sparkPlan().toString().count("Join")
+
+
+def test_sessions_of_few_spans_take_no_joins(spans):
+    rows = [tool(id=f"n{i:03d}", session=f"s{i // 10}", parent=f"n{i - 1:03d}" if i % 10 else "") for i in range(60)]
+    df = spans(rows)
+    assert _joins(tree.labelled_tree(df)) == 0
+    assert _joins(tree.execution_tree(df)) == 0
+    assert _joins(agents.ownership(df, ordered=True)) == 0
+    assert _joins(tree.tool_token_cost(df)) == 1
+
+
+def test_lists_and_joins_give_the_same_rows(spans, spark):
+    """Forests with loops, missing parents, several traces and equal times, folded both ways."""
+    rnd = random.Random(8)
+    rows = [tool(id=None, parent="s3n1", session="s3", attrs={"agent_id": "x_agent"})]
+    for s, n in enumerate([1, 9, 10, 11, 40]):
+        for i in range(n):
+            up = rnd.choice(["", None, "gone", *[f"s{s}n{rnd.randrange(max(1, i // 2 + rnd.randrange(2)))}" for _ in range(9)]])
+            mine = {"attrs": {"agent_id": f"{rnd.choice('abc')}_agent"}} if rnd.random() < 0.5 else {}
+            named = rnd.choice([tool, lambda **kw: agent("plan_agent", **kw)])
+            rows.append(named(**mine, id=f"s{s}n{i}", session=f"s{s}", parent=up, trace=f"t{rnd.randrange(3)}", at=rnd.randrange(9)))
+    df = spans(rows)
+    found = {}
+    for limit in (None, 10):
+        if limit:
+            spark.conf.set("spanloom.maxGroupRows", str(limit))
+        try:
+            label = tree.labelled_tree(df).select("session_id", "span_id", "root_id", "depth", "enter", "leave")
+            order = agents.ownership(df, ordered=True).orderBy("session_id", "preorder", "agent").select("session_id", "span_id", "agent")
+            found[limit] = [sorted(map(str, label.collect())), order.collect()]
+        finally:
+            spark.conf.unset("spanloom.maxGroupRows")
+    assert found[None] == found[10]
+    assert all(found[None])

@@ -82,3 +82,24 @@ def test_a_span_that_does_not_parse_is_a_row_of_nulls(spark, tmp_path):
     assert sorted(str(r.SpanId) for r in read_trace_file(spark, str(tmp_path)).collect()) == ["None", "a", "b"]
     with pytest.raises(ValueError):
         read_trace_file(spark, str(tmp_path), "document")
+
+
+def shuffled(plan):
+    """Bytes that the shuffles of a plan that has run held."""
+    if hasattr(plan, "getClass") and plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    own = plan.metrics().apply("dataSize").value() if plan.getClass().getSimpleName() == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("tiny_blocks", [100_000], indirect=True)
+def test_only_what_crosses_blocks_is_shuffled(spark, tmp_path, tiny_blocks):
+    spans = [{"SpanId": f"s{i}", "x": {"k": "}{" * 9 + str(i)}} for i in range(8000)]
+    (tmp_path / "a.json").write_text(json.dumps(spans))
+    found = json_objects(spark, str(tmp_path))
+    rows = sorted(found.collect(), key=lambda r: r.place)
+    assert [json.loads(r.json) for r in rows] == spans
+    assert [r.place for r in rows] == list(range(8000))
+    assert shuffled(found._jdf.queryExecution().executedPlan()) < (tmp_path / "a.json").stat().st_size / 20

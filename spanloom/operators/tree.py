@@ -384,9 +384,16 @@ def interval_labels(reached: DataFrame) -> DataFrame:
     return labelled.select("session_id", "span_id", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"))
 
 
+def parent_type_fold() -> Fold:
+    """The type of the nearest ancestor, as a list of one; empty for a root."""
+    empty = F.array().cast("array<string>")
+    return Fold("parent_type", F.array("entity_type"), empty, lambda near, far: F.when(F.size(near) > 0, near).otherwise(far))
+
+
 def labelled_tree(spans: DataFrame) -> DataFrame:
-    """Reachable spans with root_id, depth, enter and leave."""
-    return _labelled(spans.select(*_NODE), [])
+    """Reachable spans with root_id, depth, enter, leave and the parent's type."""
+    labelled = _labelled(spans.select(*_NODE), [parent_type_fold()])
+    return labelled.withColumn("parent_type", F.get("parent_type", F.lit(0)))
 
 
 # Intervals are cut into aligned ranges of powers of this many numbers.
@@ -467,11 +474,10 @@ def flow_listing(tree: DataFrame) -> DataFrame:
 
 
 def type_hierarchy(tree: DataFrame) -> DataFrame:
-    """Per session: spans of each type, and the types found directly below it."""
-    linked = parents(tree)
+    """Per session: spans of each type, and the types found directly below it. tree: a labelled tree."""
     counts = tree.groupBy("session_id", "entity_type").agg(F.count("*").alias("n_spans"))
     below = (
-        linked.filter(~F.col("is_root"))
+        tree.filter(F.col("depth") > 0)
         .groupBy("session_id", F.col("parent_type").alias("entity_type"))
         .agg(F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("contains"))
     )

@@ -108,11 +108,12 @@ def write_trace_table(raw: DataFrame, path: str, mode: str = "append") -> None:
     """Store raw spans with the attributes that reads filter on promoted out of the maps, and
     partitioned by day, so that filters and pruning reach the scan."""
     (
-        promoted(raw)
-        .withColumn("day", F.to_date("Timestamp"))
         # Few files per day, and a busy day over many, by sizes met in the shuffle: bounds of ranges
         # would be sampled, for which all spans are made a second time. Files are in time order.
+        # Attributes are copied out of the maps behind the shuffle, so as not to be moved twice.
+        raw.withColumn("day", F.to_date("Timestamp"))
         .hint("rebalance", "day")
+        .transform(promoted)
         .sortWithinPartitions("day", "Timestamp", "SpanId")
         .write.mode(mode)
         .partitionBy("day")

@@ -169,6 +169,23 @@ def test_sessions_of_few_spans_take_no_joins(spans):
     assert _joins(tree.tool_token_cost(df)) == 1
 
 
+@pytest.mark.parametrize("limit", [None, "10"])
+def test_types_below_a_type_need_no_second_look_at_the_spans(spans, spark, limit):
+    """As lists and by joins; loops are left out, a lost span is a root."""
+    rows = [agent("a_agent", id="n00"), *[tool(id=f"n{i:02d}", parent=f"n{i - 1:02d}") for i in range(1, 12)]]
+    rows += [model(id="m", parent="n05"), model(id="lost", parent="gone"), tool(id="x", parent="y"), tool(id="y", parent="x")]
+    if limit:
+        spark.conf.set("spanloom.maxGroupRows", limit)
+    try:
+        out = tree.type_hierarchy(tree.labelled_tree(spans(rows)))
+        got = sorted((r.entity_type, r.n_spans, r.contains) for r in out.collect())
+    finally:
+        spark.conf.unset("spanloom.maxGroupRows")
+    assert got == [("agent", 1, "tool"), ("llm", 2, ""), ("tool", 11, "llm,tool")]
+    # Counts and types below meet once.
+    assert limit or _joins(out) == 1
+
+
 def test_lists_and_joins_give_the_same_rows(spans, spark):
     """Forests with loops, missing parents, several traces and equal times, folded both ways."""
     rnd = random.Random(8)
